@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, quality, sharding, url_reputation
+from . import chat, licenses, mixing, quality, sharding, simhash, url_reputation
 from .common import scratch, shuffle_cleanup, table
 from .sql import ORACLE_SQL
 
@@ -42,6 +42,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), TARGETS)
 
@@ -51,7 +56,7 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_url_reputation, op3_quality_rules, op6_license_scan, op8_mixing, op10_chat_snapshots)
+    f.__name__: f for f in (op1_sharding, op2_url_reputation, op3_quality_rules, op6_license_scan, op7_simhash, op8_mixing, op10_chat_snapshots)
 }
 
 
