@@ -6,13 +6,15 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A term is a run of ASCII digits, lower-case ASCII letters and non-ASCII characters.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased.
+RAW_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -22,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lower_ascii(col: Column) -> Column:
-    """A-Z only, so that every engine agrees."""
-    return F.translate(col, _UPPER, _UPPER.lower())
+    """A-Z only, so that every engine agrees; pure ASCII takes the fast way."""
+    return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, _UPPER, _UPPER.lower()))
 
 
 def words(col: Column, pattern: str = WORD) -> Column:
@@ -100,6 +102,29 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds uid, a unique long that orders rows as doc_id does; columns doc_id, text, uid.
+
+    Where ids are unique and set, uid is the doc_id.  Else NULL ids come first, rows with
+    equal ids are ordered by their text's md5, and rows equal in both share a uid: they
+    are one document, reported once per row.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    per_id = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    row = per_id.agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
+    if (row.n or 0) <= 1 and not row.nulls:
+        return d.withColumn("uid", F.col("doc_id"))
+    known = F.coalesce("doc_id", F.lit((row.least or 0) - 1))
+    keyed = d.select("doc_id", "text", known.alias("k"), F.md5("text").alias("h"))
+    order = keyed.select("k", "h").distinct().withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("h")))
+    return keyed.join(order, ["k", "h"]).select("doc_id", "text", (F.col("k") * F.lit(row.n + 1) + F.col("i")).alias("uid"))
+
+
 def shuffle_cleanup(spark: SparkSession) -> None:
     """Let Spark delete a finished query's shuffle files at once, where it can."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
