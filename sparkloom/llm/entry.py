@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, quality, sharding, simhash, url_reputation
+from . import chat, decontaminate, licenses, mixing, quality, sharding, simhash, substring_dedup, url_reputation
 from .common import scratch, shuffle_cleanup, table
 from .sql import ORACLE_SQL
 
@@ -38,6 +38,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return df.select(
@@ -64,7 +69,7 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_url_reputation, op3_quality_rules, op5_decontamination, op6_license_scan, op7_simhash, op8_mixing, op10_chat_snapshots)
+    f.__name__: f for f in (op1_sharding, op2_url_reputation, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_simhash, op8_mixing, op10_chat_snapshots)
 }
 
 
