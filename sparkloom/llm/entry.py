@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, quality, sharding, simhash, substring_dedup, url_reputation
+from . import chat, decontaminate, licenses, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, url_reputation
 from .common import scratch, shuffle_cleanup, table
 from .sql import ORACLE_SQL
 
@@ -64,12 +64,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), TARGETS)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_url_reputation, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_simhash, op8_mixing, op10_chat_snapshots)
+    f.__name__: f for f in (op1_sharding, op2_url_reputation, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_simhash, op8_mixing, op9_suffix_dedup, op10_chat_snapshots)
 }
 
 

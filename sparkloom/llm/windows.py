@@ -136,11 +136,11 @@ def _buffers(pieces: Iterator[tuple], limit: int, size) -> Iterator[list[tuple]]
 
 
 def byte_chunks(docs: Iterator[tuple[int, bytes]], window: int, gram: int) -> Iterator[Chunks]:
+    """``c`` is left at 0: byte chunks are compared as strings."""
     for group in _buffers(_pieces(docs, window), BUFFER, len):
         data = np.frombuffer(b"".join(p[2] for p in group), np.uint8)
-        roll, roll2 = Rolling(data), Rolling(data, 1)
         ends = np.cumsum([len(p[2]) for p in group])
-        yield _chunks(roll.grams(gram), roll2.of, ends, *(np.array([p[i] for p in group], np.int64) for i in (0, 1)), window, gram)
+        yield _chunks(Rolling(data).grams(gram), lambda a, _: np.zeros(len(a), np.uint64), ends, *(np.array([p[i] for p in group], np.int64) for i in (0, 1)), window, gram)
 
 
 def word_chunks(docs: Iterator[tuple[int, bytes]], window: int, gram: int) -> Iterator[Chunks]:
