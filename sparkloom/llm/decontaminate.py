@@ -99,7 +99,7 @@ class PositionalIndex:
         return self.postings.join(small(anchor, BROADCAST_ROWS), "term").select("ik", "uid", "q", (F.col("pos") - F.col("q")).alias("shift"))
 
     def phrases(self, width: int = 10) -> DataFrame:
-        """doc_id, n_words, n_hit, matches (array of item_id, s, e) of every document.
+        """doc_id, digest (md5 of the text), n_words, n_hit, matches (array of item_id, s, e) of every document.
 
         matches has each occurrence of a window of ``width`` words of an item (of the whole
         item if it is shorter) as word positions [s, e); n_hit counts the words in any.
@@ -119,8 +119,8 @@ class PositionalIndex:
 
         empty = F.array().cast(f"array<struct<item_id:{self.items.schema['item_id'].dataType.simpleString()},s:int,e:int>>")
         matches = F.when(F.col("aligned").isNull(), empty).otherwise(let(terms(F.col("text")), checked))
-        found = found.select("doc_id", F.size(words(F.col("text"), RAW_TERM)).cast("long").alias("n_words"), matches.alias("matches"))
-        return found.select("doc_id", "n_words", covered(F.transform("matches", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))).alias("n_hit"), "matches")
+        found = found.select("doc_id", F.md5("text").alias("digest"), F.size(words(F.col("text"), RAW_TERM)).cast("long").alias("n_words"), matches.alias("matches"))
+        return found.select("doc_id", "digest", "n_words", covered(F.transform("matches", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))).alias("n_hit"), "matches")
 
     def proximity(self, width: int = 10, slop: int = 3) -> DataFrame:
         """uid, item_id, q1, q2, gap: a window's two rarest terms, gap (1 to slop) words off their distance in the item."""
@@ -142,3 +142,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     found = PositionalIndex(docs, items).phrases(width)
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.coalesce(m["item_id"].cast("string"), F.lit("null")))))
     return found.select("doc_id", "n_words", "n_hit", ids.alias("item_ids"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no phrase of any item."""
+    found = PositionalIndex(docs, items).phrases(width).filter("n_hit > 0")
+    dirty = stored(found.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_d")).distinct(), "dirty")
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
+    return packed.join(dirty, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d")), "left_anti").select("_row.*")

@@ -136,3 +136,9 @@ def mix(docs: DataFrame, targets: Targets, iterations: int = 30, rate: float = 1
                 F.round(F.when(F.col("_p") > 0, F.col("_mult") / F.col("_p")).otherwise(0.0), 6).alias("weight"),
                 (md5_uniform(F.col("doc_id"), F.lit(seed)) < F.col("_p")).alias("kept"))
     )
+
+
+def sample(docs: DataFrame, targets: Targets, **how) -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``mix`` keeps."""
+    packed = docs.select("doc_id", "source", "lang", "text", F.struct("*").alias("_row"))
+    return mix(packed, targets, keep=["_row"], **how).filter("kept").select("_row.*")

@@ -166,26 +166,47 @@ def _whiten(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", _distance([F.col(f"z{i}") for i in range(p)]))
 
 
-def grouped(stats: DataFrame, lim: Limits) -> DataFrame:
-    """Adds g: language and source; where too few, the language's rest, then the rest of all."""
-    exact = F.concat_ws("|", F.lit("g"), F.coalesce("lang", F.lit("-")), F.coalesce("source", F.lit("-")))
+@dataclass(frozen=True)
+class Model:
+    """names: g0 (language and source) and g, the group that stands for it; factors: g, location, scatter, scale."""
+
+    names: DataFrame
+    factors: DataFrame
+
+    def distances(self, stats: DataFrame) -> DataFrame:
+        """Adds d2, the scaled squared robust distance, to documents with words; NULL where no group is known."""
+        df = stats.withColumns({n: F.expr(e) for n, e in _VECTOR.items()}).withColumn("g0", _exact_group())
+        df = _whiten(df.join(self.names, "g0", "left").join(self.factors, "g", "left"))
+        return df.withColumn("d2", F.col("d2") / F.col("scale"))
+
+
+_VECTOR = {n: f"CAST(round({SCALE} * {e}) AS BIGINT)" for n, e, _ in FEATURES}
+
+
+def _exact_group() -> Column:
+    return F.concat_ws("|", F.lit("g"), F.coalesce("lang", F.lit("-")), F.coalesce("source", F.lit("-")))
+
+
+def _failed(lim: Limits) -> Column:
+    return (F.col("n_words") < lim.min_words) | (100 * F.col("n_repeat_words") > lim.max_repeat_percent * F.col("n_words"))
+
+
+def group_names(stats: DataFrame, lim: Limits) -> DataFrame:
+    """g0, g: language and source; where too few, the language's rest, then the rest of all."""
     lang = F.concat_ws("|", F.lit("l"), F.coalesce("lang", F.lit("-")))
-    counts = stats.groupBy(exact.alias("g0"), lang.alias("g1")).agg(F.count(F.lit(1)).alias("n"))
-    small = counts.filter(F.col("n") < lim.min_group)
-    langs = small.groupBy("g1").agg(F.sum("n").alias("n1"))
-    names = counts.join(langs, "g1", "left").select(
+    counts = stats.groupBy(_exact_group().alias("g0"), lang.alias("g1")).agg(F.count(F.lit(1)).alias("n"))
+    langs = counts.filter(F.col("n") < lim.min_group).groupBy("g1").agg(F.sum("n").alias("n1"))
+    return counts.join(langs, "g1", "left").select(
         "g0", F.when(F.col("n") >= lim.min_group, F.col("g0")).when(F.col("n1") >= lim.min_group, F.col("g1")).otherwise("rest").alias("g")
     )
-    return stats.withColumn("g0", exact).join(names, "g0", "left").drop("g0")
-
 
-def outlier_distances(vectors: DataFrame, lim: Limits = Limits()) -> DataFrame:
-    """id columns of ``vectors`` and d2: the scaled squared robust distance.
 
-    ``vectors`` has g and the features as integers; it is read ``steps`` + 2 times, so
-    hand in a stored table.
-    """
+def fit(stats: DataFrame, lim: Limits = Limits()) -> Model:
+    """Estimate from the statistics of documents with words that pass the base rules."""
     p = len(FEATURES)
+    names = stored(group_names(stats, lim), "mcd-names")
+    vectors = stats.withColumn("g0", _exact_group()).join(names, "g0").select("g", *(F.expr(e).alias(n) for n, e in _VECTOR.items()))
+    vectors = stored(vectors, "mcd-vectors")
     ridge = [F.lit(r * SCALE) for _, _, r in FEATURES]
     centre = vectors.groupBy("g").agg(*(F.percentile(n, F.lit(0.5)).alias(f"m{i}") for i, n in enumerate(NAMES)))
     around = vectors.join(centre, "g")
@@ -193,7 +214,6 @@ def outlier_distances(vectors: DataFrame, lim: Limits = Limits()) -> DataFrame:
     start = stored(centre.join(spread, "g"), "mcd-start")
     near = vectors.join(start, "g")
     near = near.withColumn("d2", _distance([(F.col(n) - F.col(f"m{i}")) / F.greatest(F.lit(1.4826) * F.col(f"a{i}"), ridge[i]) for i, n in enumerate(NAMES)]))
-    params = None
     for step in range(lim.steps + 1):
         near = near.select("g", *NAMES, _bin(F.col("d2")).alias("bin"))
         limit = stored(near.groupBy("g").agg(F.expr(f"percentile_disc({lim.subset}) WITHIN GROUP (ORDER BY bin)").cast("int").alias("limit")), f"mcd-limit{step}")
@@ -205,10 +225,9 @@ def outlier_distances(vectors: DataFrame, lim: Limits = Limits()) -> DataFrame:
         )
         params = stored(_params(sums), f"mcd-params{step}")
         near = _whiten(vectors.join(params, "g"))
-    middle = near.select("g", _bin(F.col("d2")).alias("bin")).groupBy("g").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY bin)").alias("mid"))
+    middle = near.select("g", _bin(F.col("d2")).alias("bin")).groupBy("g").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY bin)").cast("int").alias("mid"))
     scale = F.greatest((F.pow(F.lit(2.0), (F.col("mid") + 1) / 64.0) - 1) / lim.median, F.lit(1.0))
-    factors = stored(params.join(middle, "g").withColumn("scale", scale), "mcd-scale")
-    return _whiten(vectors.join(factors, "g")).withColumn("d2", F.col("d2") / F.col("scale"))
+    return Model(names, stored(params.join(middle, "g").withColumn("scale", scale).drop("mid"), "mcd-factors"))
 
 
 def judge_quality(docs: DataFrame, lim: Limits = Limits()) -> DataFrame:
@@ -222,14 +241,25 @@ def judge_quality(docs: DataFrame, lim: Limits = Limits()) -> DataFrame:
     result.  A group of fewer than ``min_group`` documents joins its language's other
     small groups, and those, if still few, the rest of all languages.
     """
-    stats = stored(text_stats(docs, ["doc_id", "lang", "source"]), "quality-stats")
-    failed = (F.col("n_words") < lim.min_words) | (100 * F.col("n_repeat_words") > lim.max_repeat_percent * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    # ANSI division: documents with no words never pass the base rules, the guard is for min_words = 0
+    stats = stored(text_stats(docs, ["doc_id", "lang", "source"]).withColumn("base_failed", _failed(lim)), "quality-stats")
+    # the guard is for min_words = 0: the vectors divide by the number of words
     good = stats.filter("NOT base_failed AND n_words > 0")
-    vectors = grouped(good, lim).select(*columns, "g", *(F.expr(f"CAST(round({SCALE} * {e}) AS BIGINT)").alias(n) for n, e, _ in FEATURES))
-    judged = outlier_distances(stored(vectors, "quality-vectors"), lim)
-    judged = judged.select(*columns, (F.col("d2") <= lim.cutoff).alias("kept"), F.round("d2", 4).alias("distance"))
+    judged = fit(good, lim).distances(good)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    judged = judged.select(*columns, F.coalesce(F.col("d2") <= lim.cutoff, F.lit(True)).alias("kept"), F.round("d2", 4).alias("distance"))
     rest = stats.filter("base_failed OR n_words = 0").select(*columns, F.expr("NOT base_failed").alias("kept"), F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(rest)
+
+
+def keep_good(docs: DataFrame, lim: Limits = Limits()) -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``judge_quality`` keeps.
+
+    Texts are judged where they are read: once the estimates are known, a document's
+    statistics are computed again, which is cheaper than to shuffle all texts to theirs.
+    """
+    packed = docs.select(F.struct("*").alias("_row"), "text", "lang", "source")
+    first = text_stats(packed, ["lang", "source"]).filter(~_failed(lim) & (F.col("n_words") > 0))
+    model = fit(stored(first, "quality-stats"), lim)
+    second = text_stats(packed, ["_row", "lang", "source"]).filter(~_failed(lim))
+    words_ = model.distances(second.filter("n_words > 0")).filter(F.coalesce(F.col("d2") <= lim.cutoff, F.lit(True))).select("_row.*")
+    return words_ if lim.min_words > 0 else words_.unionByName(second.filter("n_words = 0").select("_row.*"))

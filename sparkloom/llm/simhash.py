@@ -53,13 +53,13 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = np.fromiter((fingerprint(None if t is None else t.as_buffer().to_pybytes()) for t in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fp.view(np.int64))], ["doc_id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) of whole texts."""
-    df = docs.select("doc_id", "text")
-    return df.mapInArrow(_fingerprints, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long")
+    """doc_id, digest (md5 of the text), fp (the fingerprint's bits as a signed long) of whole texts."""
+    df = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    return df.mapInArrow(_fingerprints, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest string, fp long")
 
 
 def byte_counts(fp: np.ndarray) -> np.ndarray:
@@ -178,7 +178,9 @@ def links(unique: DataFrame, radius: int = 3, tile_rows: int = 16384) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, tile_rows: int = 16384) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id of all that links reach) of every row of ``docs``.
+    """doc_id, digest, fp, component_id (smallest doc_id of all that links reach), root of every row of ``docs``.
+
+    digest is the md5 of the text; root names the component by one of its fingerprints.
 
     NULL and empty texts have fingerprint 0 and link like any other.  Rows with equal ids
     are fingerprinted one by one.  NULL ids don't count for component_id (which is NULL if
@@ -190,5 +192,16 @@ def near_duplicates(docs: DataFrame, radius: int = 3, tile_rows: int = 16384) ->
     roots = stored(connected(links(unique, radius, tile_rows), "a", "b").withColumnRenamed("node", "fp"), "simhash-roots")
     placed = unique.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = stored(placed.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return marked.join(table, "fp").select("doc_id", "fp", "component_id")
+    table = stored(placed.join(least, "root").select("fp", "component_id", "root"), "simhash-components")
+    return marked.join(table, "fp").select("doc_id", "digest", "fp", "component_id", "root")
+
+
+def keep_first(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """One row, with all columns, of each component: the smallest doc_id, NULL last, then the smallest digest."""
+    key = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")
+    found = near_duplicates(docs, radius).groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    first = stored(found.groupBy("root").agg(F.min_by(F.struct("doc_id", "digest", "rows"), key).alias("k")).select("k.*"), "simhash-first")
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
+    kept = packed.join(first, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest")))
+    twice = first.filter("rows > 1").limit(1).count()
+    return (kept.dropDuplicates(["_id", "_digest"]) if twice else kept).select("_row.*")
