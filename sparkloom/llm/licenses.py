@@ -8,6 +8,9 @@ only if its size allows the threshold: with a and b bigrams, Dice is at most
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,25 +55,49 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])))
 
 
+def telling_words(grams: list[list[str]], threshold: float) -> list[str]:
+    """Words of which every text that reaches the threshold with some template holds one.
+
+    A match shares at least t / (2 - t) of the template's bigrams.  Words are taken from
+    each template, longest first, until the bigrams they are part of are too many to miss.
+    """
+    found: set[str] = set()
+    for g in grams:
+        pairs, taken = [set(x.split(" ")) for x in g], set()
+        for w in sorted(set().union(*pairs), key=lambda w: (w not in found, -len(w), w)):
+            if len(g) - sum(bool(p & taken) for p in pairs) < len(g) * threshold / (2 - threshold) - 1e-9:
+                break
+            taken.add(w)
+        found |= taken
+    return sorted(found)
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, unit ('line' or 'paragraph'), unit_no, license, template_no, dice: the best template of each matching unit.
 
     Whole texts are read.  NULL or empty texts have no units; ties go to the template
     that comes first; repeated rows are reported for each row.  Extra columns are
     ignored; an empty table gives an empty result.  The work is one pass without a
-    shuffle, and the templates (a list in the plan) are its only other input.
+    shuffle, and the templates (a list in the plan) are its only other input.  Texts and
+    units that hold none of the templates' telling words can't match and go first.
     """
     grams = [(i, k, template_bigrams(t)) for i, (k, t) in enumerate(TEMPLATES if templates is None else templates)]
     grams = [g for g in grams if g[2]]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = sorted({len(g[2]) for g in grams})
+    telling = telling_words([g[2] for g in grams], threshold)
     text = F.coalesce(F.col("text"), F.lit(""))
+
+    def may_match(col: Column) -> Column:
+        return reduce(or_, (col.contains(w) for w in telling), F.lit(False))
+
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.cast("long").alias("unit_no"), x.alias("s")))
     paragraphs = F.filter(
         F.transform(F.split(text, r"\n[\x20\t\r]*\n"), lambda x, i: F.struct(F.lit("paragraph").alias("unit"), i.cast("long").alias("unit_no"), x.alias("s"))),
         lambda u: F.contains(F.trim(u["s"]), F.lit("\n")),
     )
-    units = docs.select("doc_id", text.alias("text")).select("doc_id", F.inline(F.concat(lines, paragraphs)))
+    units = docs.select("doc_id", text.alias("text")).filter(let(lower_ascii(F.col("text")), may_match)).select("doc_id", F.inline(F.concat(lines, paragraphs)))
+    units = units.filter(let(lower_ascii(F.col("s")), may_match))
     # a text of n characters has at most n / 2 bigrams, so short lines go before they are split
     units = units.filter(F.length("s") >= 2 * low * sizes[0]).withColumn("w", normal_words(F.col("s")))
     # distinct bigrams only get fewer, so a lower bound on words is exact; the upper bound holds after array_distinct
