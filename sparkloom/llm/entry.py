@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, licenses, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, url_reputation
 from .common import scratch, shuffle_cleanup, table
-from .sql import ORACLE_SQL
+from .sql import ORACLE_SQL, mixing_sql
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Equal shares for twenty sources; languages and topics by hand.
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return {**ORACLE_SQL, "op8_mixing": mixing_sql(TARGETS)}

@@ -28,9 +28,9 @@ SCALE = 1024
 FEATURES: list[tuple[str, str, float]] = [
     ("x0", "ln(n_words)", 0.2),
     ("x1", "ln(word_chars / n_words)", 0.05),
-    ("x2", "ln(1 + 100.0 * n_symbols / word_chars)", 0.5),
-    ("x3", "ln(1 + 100.0 * n_dup_lines / n_lines)", 0.5),
-    ("x4", "ln(1 + 100.0 * n_repeat_words / n_words)", 0.5),
+    ("x2", "ln(1 + 100e0 * n_symbols / word_chars)", 0.5),
+    ("x3", "ln(1 + 100e0 * n_dup_lines / n_lines)", 0.5),
+    ("x4", "ln(1 + 100e0 * n_repeat_words / n_words)", 0.5),
 ]
 NAMES = [n for n, _, _ in FEATURES]
 

@@ -4,13 +4,15 @@ Fingerprints: 64 bits; a bit is set if it is set in over half of the XXH64 value
 text's word shingles.  Equal fingerprints collapse first (an aggregation that combines
 before the shuffle), so groups of exact copies never meet each other.
 
-Distinct fingerprints are ordered by the population counts of their eight bytes and cut
-into at most ``MAX_TILES`` tiles of at least ``tile_rows``.  Two fingerprints differ in
-at least as many bits as the counts of their bytes differ in sum, so a pair of tiles
-whose boxes of counts lie further apart than the radius is skipped; inside a tile pair
-the same holds for blocks of 256.  Remaining blocks are compared exactly with numpy's
-xor and bit_count.  A tile pair returns a spanning forest of its links (a row per
-fingerprint at most), never all pairs, and the forests are joined by star contraction.
+Distinct fingerprints are ordered by population count, then by those of their eight
+bytes, and cut into at most ``MAX_TILES`` tiles of at least ``tile_rows``.  Two
+fingerprints differ in at least as many bits as their counts do, and as those of their
+bytes do in sum, so a pair of tiles whose boxes of counts lie further apart than the
+radius is skipped; inside a tile pair the same holds for blocks of 256.  Remaining
+blocks are compared exactly with numpy's xor and bit_count.  A tile is one packed row,
+which travels once per remaining pair.  A pair returns a spanning forest of its links (a
+row per fingerprint at most), never all pairs, and the forests are joined by star
+contraction.
 """
 
 from __future__ import annotations
@@ -62,23 +64,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return df.mapInArrow(_fingerprints, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest string, fp long")
 
 
-def byte_counts(fp: np.ndarray) -> np.ndarray:
-    """n x 8: bits set in each byte, the highest byte first."""
-    return np.bitwise_count(fp.view(np.uint64).byteswap().view(np.uint8)).reshape(-1, 8)
+def bit_counts(fp: np.ndarray) -> np.ndarray:
+    """n x 9: bits set in all, then in each byte, the highest first."""
+    c = np.bitwise_count(fp.view(np.uint64).byteswap().view(np.uint8)).reshape(-1, 8)
+    return np.concatenate([c.sum(axis=1, dtype=np.uint8)[:, None], c], axis=1)
 
 
 def order_key(fp: np.ndarray) -> np.ndarray:
-    """Sorts by the byte counts (4 bits each), then by the fingerprint's upper half."""
+    """Sorts by the counts, then by the fingerprint's upper bits."""
     key = np.zeros(len(fp), np.uint64)
-    for c in byte_counts(fp).T:
-        key = (key << np.uint64(4)) | c.astype(np.uint64)
-    return ((key << np.uint64(31)) | (fp.view(np.uint64) >> np.uint64(33))).view(np.int64)
+    for c in bit_counts(fp).T:
+        key = (key << np.uint64(4)) + c.astype(np.uint64)
+    return ((key << np.uint64(24)) | (fp.view(np.uint64) >> np.uint64(40))).view(np.int64)
 
 
 def _gap(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> np.ndarray:
-    """Least sum of count differences between boxes: rows of a against rows of b."""
-    apart = np.maximum(low_a[:, None, :] - high_b[None, :, :], low_b[None, :, :] - high_a[:, None, :])
-    return np.maximum(apart, 0).sum(axis=2)
+    """Least number of differing bits that the boxes allow: rows of a against rows of b."""
+    apart = np.maximum(np.maximum(low_a[:, None, :] - high_b[None, :, :], low_b[None, :, :] - high_a[:, None, :]), 0)
+    return np.maximum(apart[:, :, 0], apart[:, :, 1:].sum(axis=2))
+
+
+def boxes(ordered: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest counts of every ``rows`` fingerprints."""
+    c, at = bit_counts(ordered).astype(np.int16), np.arange(0, len(ordered), rows)
+    return np.minimum.reduceat(c, at, axis=0), np.maximum.reduceat(c, at, axis=0)
 
 
 def _root(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -104,13 +113,9 @@ def forest(fp_a: np.ndarray, fp_b: np.ndarray | None, radius: int) -> tuple[np.n
     both, shift = (a, 0) if fp_b is None else (np.concatenate([a, b]), len(a))
     ua, ub, parent = a.view(np.uint64), b.view(np.uint64), np.arange(len(both))
 
-    def boxes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c, at = byte_counts(x).astype(np.int16), np.arange(0, len(x), BLOCK)
-        return np.minimum.reduceat(c, at, axis=0), np.maximum.reduceat(c, at, axis=0)
-
     if not len(a) or not len(b):
         return both[:0], both[:0]
-    (la, ha), (lb, hb) = boxes(a), boxes(b)
+    (la, ha), (lb, hb) = boxes(a, BLOCK), boxes(b, BLOCK)
     for i in range(len(la)):
         near = np.flatnonzero(_gap(la[i : i + 1], ha[i : i + 1], lb, hb)[0] <= radius)
         for j in near[near >= i] if fp_b is None else near:
@@ -123,61 +128,50 @@ def forest(fp_a: np.ndarray, fp_b: np.ndarray | None, radius: int) -> tuple[np.n
     return both[child], both[root[child]]
 
 
-def links(unique: DataFrame, radius: int = 3, tile_rows: int = 16384) -> DataFrame:
+def links(unique: DataFrame, radius: int = 3, tile_rows: int = 8192) -> DataFrame:
     """a, b: links whose components are those of all pairs of ``unique.fp`` within ``radius``."""
-    n = unique.count()
-    tiles = max(1, min(MAX_TILES, -(-n // tile_rows)))
+    spark = unique.sparkSession
+    count = min(MAX_TILES, -(-unique.count() // tile_rows))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             fp = x.column("fp").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(order_key(fp)), *map(pa.array, byte_counts(fp).T.astype(np.int32))], ["fp", "key", *(f"c{i}" for i in range(8))])
+            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(order_key(fp))], ["fp", "key"])
 
-    counts = [f"c{i}" for i in range(8)]
-    keys = stored(unique.select("fp").mapInArrow(keyed, "fp long, key long, " + ", ".join(f"{c} int" for c in counts)), "simhash-keys")
+    keys = stored(unique.select("fp").mapInArrow(keyed, "fp long, key long"), "simhash-keys")
     cuts = np.array([], np.int64)
-    if tiles > 1:
-        share = [i / tiles for i in range(1, tiles)]
-        cuts = np.unique(np.array(keys.agg(F.percentile_approx("key", share, 20 * MAX_TILES)).first()[0], np.int64))
+    if count > 1:
+        cuts = np.unique(np.array(keys.agg(F.percentile_approx("key", [i / count for i in range(1, count)], 20 * MAX_TILES)).first()[0], np.int64))
 
-    # a box per tile, at most MAX_TILES rows
-    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            tile = np.searchsorted(cuts, x.column("key").to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), *(x.column(c) for c in counts)], ["tile", *counts])
-
-    found = keys.drop("fp").mapInArrow(boxes, "tile int, " + ", ".join(f"{c} int" for c in counts))
-    found = found.groupBy("tile").agg(*(f(c) for f in (F.min, F.max) for c in counts)).collect()
-    ids = np.array([r[0] for r in found], np.int64)
-    low, high = (np.array([r[k : k + 8] for r in found], np.int64).reshape(-1, 8) for k in (1, 9))
-    partners: dict[int, list[tuple[int, int]]] = {int(t): [] for t in ids}  # tile -> (pair, side)
-    if len(ids):
-        for k, (i, j) in enumerate(np.argwhere(np.triu(_gap(low, high, low, high) <= radius)).tolist()):
-            partners[int(ids[i])].append((k, 0))
-            if i != j:
-                partners[int(ids[j])].append((k, 1))
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            fp = x.column("fp").to_numpy(zero_copy_only=False)
-            tile = np.searchsorted(cuts, x.column("key").to_numpy(zero_copy_only=False), side="right")
-            for t in np.unique(tile):
-                mine = fp[tile == t]
-                for pair, side in partners[int(t)]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), v, np.int32)) for v in (pair, side)] + [pa.array(mine)], ["pair", "side", "fp"])
+            tile = np.searchsorted(cuts, x.column("key").to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tile), x.column("fp")], ["tile", "fp"])
+
+    def pack(key: tuple, group: pa.Table) -> pa.Table:
+        fp = group.column("fp").to_numpy()
+        low, high = boxes(fp, len(fp))
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "low": [low[0].tolist()], "high": [high[0].tolist()], "fps": pa.array([fp.tobytes()], pa.binary())},
+                        schema=pa.schema([("tile", pa.int32()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())), ("fps", pa.binary())]))
 
-    diagonal = {k for v in partners.values() for k, _ in v} - {k for v in partners.values() for k, s in v if s}
+    tiles = stored(keys.mapInArrow(tiled, "tile int, fp long").groupBy("tile").applyInArrow(pack, "tile int, low array<int>, high array<int>, fps binary"), "simhash-tiles")
+    found = tiles.select("tile", "low", "high").orderBy("tile").collect()  # MAX_TILES rows at most
+    low, high = (np.array([r[k] for r in found], np.int64).reshape(-1, 9) for k in (1, 2))
+    pairs = [(found[i].tile, found[j].tile) for i, j in np.argwhere(np.triu(_gap(low, high, low, high) <= radius)).tolist()]
 
-    def compare(key: tuple, group: pa.Table) -> pa.Table:
-        fp, side = group.column("fp").to_numpy(), group.column("side").to_numpy()
-        child, root = forest(fp[side == 0], None if key[0].as_py() in diagonal else fp[side == 1], radius)
-        return pa.table({"a": child, "b": root})
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for i, j, a, b in zip(*(x.column(c).to_pylist() for c in ("i", "j", "a", "b"))):
+                child, root = forest(np.frombuffer(a, np.int64), None if i == j else np.frombuffer(b, np.int64), radius)
+                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], ["a", "b"])
 
-    pairs = keys.select("fp", "key").mapInArrow(dealt, "pair int, side int, fp long")
-    return pairs.groupBy("pair").applyInArrow(compare, "a long, b long")
+    todo = spark.createDataFrame(pairs, "i int, j int")
+    sides = [tiles.select(F.col("tile").alias(t), F.col("fps").alias(c)) for t, c in (("i", "a"), ("j", "b"))]
+    todo = todo.join(sides[0], "i").join(sides[1], "j").repartition(max(1, len(pairs)), "i", "j")
+    return todo.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, tile_rows: int = 16384) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, tile_rows: int = 8192) -> DataFrame:
     """doc_id, digest, fp, component_id (smallest doc_id of all that links reach), root of every row of ``docs``.
 
     digest is the md5 of the text; root names the component by one of its fingerprints.
