@@ -1,0 +1 @@
+"""Text output."""

@@ -1,0 +1 @@
+"""The superstep operator: vertex programs and the loop that runs them."""

@@ -1,0 +1 @@
+"""The algorithms as vertex programs, their results, and the name registry."""

@@ -1,0 +1 @@
+"""Where graphs come from: the text format, and tables."""
