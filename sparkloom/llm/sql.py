@@ -30,9 +30,9 @@ t AS (SELECT coalesce(sum(sn), 0) tn, coalesce(sum(sbad), 0) tbad FROM s),
 ks AS {strength("SELECT sn n, sbad bad, tn pn, tbad pbad FROM s, t")},
 kd AS {strength("SELECT dn n, dbad bad, sn pn, sbad pbad FROM d JOIN s USING (suffix)")},
 kh AS {strength("SELECT n, bad, dn pn, dbad pbad FROM h JOIN d USING (domain)")},
-r AS (SELECT host, n, bad, bad + kh.k * pd a, n - bad + kh.k * (1 - pd) b FROM (
-  SELECT h.host, h.n, h.bad, (dbad + kd.k * ((sbad + ks.k * ((tbad + 1) / (tn + 2))) / (sn + ks.k))) / (dn + kd.k) pd
-  FROM h JOIN d USING (domain) JOIN s ON s.suffix = d.suffix, t, ks, kd), kh),
+x AS (SELECT h.host, h.n, h.bad, dbad, dn, sbad, sn, (tbad + 1) / (tn + 2) p0, least(ks.k, tn + 2) ks, least(kd.k, sn + 2) kd, least(kh.k, dn + 2) kh
+  FROM h JOIN d USING (domain) JOIN s ON s.suffix = d.suffix, t, ks, kd, kh),
+r AS (SELECT host, n, bad, bad + kh * pd a, n - bad + kh * (1 - pd) b FROM (SELECT *, (dbad + kd * ((sbad + ks * p0) / (sn + ks))) / (dn + kd) pd FROM x)),
 q AS (SELECT host, n, bad, round(a / (a + b), 6) posterior_mean, round(a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) lower_bound FROM r),
 j AS (SELECT *, CASE
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'

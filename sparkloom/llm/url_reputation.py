@@ -4,7 +4,7 @@ Labelled page outcomes are counted per host, and each rate is shrunk towards its
 parent: host -> registered domain -> suffix -> all pages.  How strongly is learnt
 from the data: at every level the prior's strength is the method-of-moments
 estimate of a beta-binomial (children that differ more than a binomial allows get
-a weaker prior).  A host is blocked if the lower posterior bound of its share of
+a weaker prior), and never more pseudo-pages than the parent has pages.  A host is blocked if the lower posterior bound of its share of
 bad pages lies above ``threshold``.
 
 Only counts travel: one row per host and task is shuffled, so a host that has a
@@ -72,10 +72,10 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, C
 
 def _strength(level: DataFrame, prior: Prior) -> float:
     """Pseudo-pages of the prior that ties children (n, bad) to parents (pn, pbad)."""
-    m = F.col("pbad") / F.col("pn")
+    m = F.try_divide("pbad", "pn")
     v = m * (1 - m)
     row = level.filter("n > 0").agg(
-        F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - m, 2)).alias("s"),
+        F.sum(F.col("n") * F.pow(F.try_divide("bad", "n") - m, 2)).alias("s"),
         F.sum(v).alias("v"),
         F.sum((F.col("n") - 1) * v).alias("d"),
     ).first()
@@ -106,11 +106,13 @@ def host_reputation(outcomes: DataFrame, prior: Prior = Prior()) -> DataFrame:
     k_d = _strength(d.select(F.col("dn").alias("n"), F.col("dbad").alias("bad"), F.col("sn").alias("pn"), F.col("sbad").alias("pbad")), prior)
     h = hosts.join(d.drop("suffix"), "domain")
     k_h = _strength(h.select("n", "bad", F.col("dn").alias("pn"), F.col("dbad").alias("pbad")), prior)
-    p_s = (F.col("sbad") + F.lit(k_s * p0)) / (F.col("sn") + F.lit(k_s))
-    p_d = (F.col("dbad") + F.lit(k_d) * p_s) / (F.col("dn") + F.lit(k_d))
-    h = h.withColumn("p_d", p_d)
-    a = F.col("bad") + F.lit(k_h) * F.col("p_d")
-    b = F.col("n") - F.col("bad") + F.lit(k_h) * (1 - F.col("p_d"))
+    # a parent's rate is known no better than from its own pages
+    k_s, k_d, k_h = F.lit(float(min(k_s, total.n + 2))), F.least(F.lit(k_d), F.col("sn") + 2), F.least(F.lit(k_h), F.col("dn") + 2)
+    p_s = (F.col("sbad") + k_s * p0) / (F.col("sn") + k_s)
+    p_d = (F.col("dbad") + k_d * p_s) / (F.col("dn") + k_d)
+    h = h.withColumns({"p_d": p_d, "k": k_h})
+    a = F.col("bad") + F.col("k") * F.col("p_d")
+    b = F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("p_d"))
     h = h.select("host", "n", "bad", a.alias("a"), b.alias("b"))
     t = F.col("a") + F.col("b")
     mean = F.col("a") / t
