@@ -109,7 +109,8 @@ class PositionalIndex:
         both = F.exists("w", lambda x: F.array_contains("qs", x["q1"]) & F.array_contains("qs", x["q2"]))
         survivors = hits.join(small(wins, BROADCAST_ROWS // 10), "ik").filter(both).select("uid", F.struct("item_id", "iw", "width", "shift").alias("a"))
         per_doc = stored(survivors.groupBy("uid").agg(F.collect_list("a").alias("aligned")), "alignments")
-        found = self.docs.join(per_doc, "uid", "left")
+        # survivors grow with the corpus, so they are never broadcast: one plan at every size
+        found = self.docs.join(per_doc.hint("merge"), "uid", "left")
 
         def checked(dw: Column) -> Column:
             def one(a: Column) -> Column:
