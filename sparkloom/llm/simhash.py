@@ -33,9 +33,9 @@ MAX_TILES = 256
 STEP = 1 << 16  # shingles hashed at a time
 
 
-def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     """Unsigned fingerprint of one text; 0 without words."""
-    w = (text or b"").lower().split()  # bytes: ASCII letters and ASCII white space only
+    w = text.lower().split()  # bytes: ASCII letters and ASCII white space only
     if not w:
         return 0
     joined = b" ".join(w)
@@ -54,13 +54,14 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp = np.fromiter((fingerprint(None if t is None else t.as_buffer().to_pybytes()) for t in batch.column("text")), np.uint64, batch.num_rows)
+        fp = np.fromiter((fingerprint(t.as_buffer().to_pybytes()) for t in batch.column("text")), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(fp.view(np.int64))], ["doc_id", "digest", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, digest (md5 of the text), fp (the fingerprint's bits as a signed long) of whole texts."""
-    df = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    text = F.coalesce("text", F.lit(""))
+    df = docs.select("doc_id", text.alias("text"), F.md5(text).alias("digest"))
     return df.mapInArrow(_fingerprints, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, digest string, fp long")
 
 
