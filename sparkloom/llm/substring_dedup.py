@@ -9,7 +9,7 @@ place of that chunk.  A new batch is
 2. sorted by (h, c) into a run, repeats inside the batch settled on the way;
 3. merge-joined with the older runs: a chunk that an older run holds is a repeat;
 4. verified: chunks whose gram occurs in chunks of another shape are compared window by
-   window, word by word, with the texts of both sides;
+   window with the texts of both sides, by 128-bit digests of the windows' words;
 5. committed, and runs of similar size are compacted into one.
 
 Removed words never influence what counts as a repeat: windows are judged on the input.
@@ -17,15 +17,16 @@ Removed words never influence what counts as a repeat: windows are judged on the
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import delete, numbered, scratch, shuffle_cleanup, stored
+from .common import delete, discard, numbered, scratch, shuffle_cleanup, stored
 from .windows import Chunks, cover, flushes, word_chunks
 
 RUN = "h long, c long, uid long, s int, r int"
@@ -85,37 +86,38 @@ class FingerprintIndex:
         batches, and is read only where verification needs a text.
         """
         marked = stored(self._fingerprints(batch), "fingerprints")
-        repeats = [marked.filter("repeat").select("uid", "s", "r")]
+        repeats = [stored(marked.filter("repeat").select("uid", "s", "r"), "repeats")]
         # 2: the run.  Lots have settled their own repeats, so (h, c) has a row per lot at most
         first = F.first(F.struct("uid", "s")).over(Window.partitionBy("h", "c").orderBy("uid", "s"))
-        ranked = stored(marked.filter("NOT repeat").drop("repeat").withColumn("again", F.struct("uid", "s") > first), "ranked")
-        repeats.append(ranked.filter("again").select("uid", "s", "r"))
-        fresh = ranked.filter("NOT again").drop("again")
+        ranked = marked.filter("NOT repeat").drop("repeat").withColumn("seen", F.struct("uid", "s") > first)
         # 3: merge join with the older runs
         old = self.history()
         if self.runs:
-            known = old.select("h", "c").withColumn("known", F.lit(True))
-            joined = stored(fresh.join(known, ["h", "c"], "left"), "merged")
-            repeats.append(joined.filter("known").select("uid", "s", "r"))
-            fresh = joined.filter("known IS NULL").drop("known")
+            known = old.select("h", "c", F.lit(True).alias("known"))
+            ranked = ranked.join(known, ["h", "c"], "left").withColumn("seen", F.col("seen") | F.col("known").isNotNull()).drop("known")
+        ranked = stored(ranked, "ranked")
+        discard(marked)
+        repeats.append(stored(ranked.filter("seen").select("uid", "s", "r"), "repeats"))
+        path = scratch(self.spark, "run")
+        # rows come sorted by (h, c) out of the window and the merge join
+        ranked.filter("NOT seen").select("h", "c", "uid", "s", "r").write.option("compression", "zstd").parquet(path)
+        discard(ranked)
+        fresh = self._run(path)
         # 4: grams that occur in chunks of different shape
         shapes = fresh.select("h", "c").unionByName(old.select("h", "c")).groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"))
         mixed = stored(shapes.filter("a <> b").select("h"), "mixed")
         sides = fresh.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False)))
         sides = stored(sides.join(mixed, "h").select("uid", "s", "r", "new"), "sides")
+        discard(mixed)
         repeats.append(self._verify(sides, corpus))
+        discard(sides)
         # 5: commit, compact
-        path = scratch(self.spark, "run")
-        fresh.select("h", "c", "uid", "s", "r").sortWithinPartitions("h", "c").write.parquet(path)
-        self.runs.append((self._run(path).count(), path))
+        self.runs.append((fresh.count(), path))
         self._compact()
-        out = repeats[0]
-        for x in repeats[1:]:
-            out = out.unionByName(x)
-        return out
+        return reduce(DataFrame.unionByName, repeats)
 
     def _verify(self, sides: DataFrame, corpus: DataFrame) -> DataFrame:
-        """Compare the windows of ``sides`` (uid, s, r, new) as texts; uid, s, r = 1 of new repeats."""
+        """Compare the windows of ``sides`` (uid, s, r, new) in the texts; uid, s, r = 1 of new repeats."""
         per_doc = sides.groupBy("uid").agg(F.collect_list(F.struct("s", "r", "new")).alias("spans"))
         window = self.window
 
@@ -129,12 +131,16 @@ class FingerprintIndex:
                             uid.append(u)
                             s.append(i)
                             new.append(span["new"])
-                            text.append(hashlib.sha256(b" ".join(w[i : i + window])).digest())
+                            text.append(xxhash.xxh3_128_digest(b" ".join(w[i : i + window])))
                 yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(s, pa.int32()), pa.array(new, pa.bool_()), pa.array(text, pa.binary())], ["uid", "s", "new", "w"])
 
-        cuts = stored(corpus.select("uid", "text").join(per_doc, "uid").mapInArrow(cut, "uid long, s int, new boolean, w binary"), "windows")
+        # the documents with edges grow with the corpus: merged at every size, never broadcast
+        cuts = stored(corpus.select("uid", "text").join(per_doc.hint("merge"), "uid").mapInArrow(cut, "uid long, s int, new boolean, w binary"), "windows")
         least = stored(cuts.groupBy("w").agg(F.min(F.struct("uid", "s")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "least")
-        return cuts.filter("new").join(least, "w").filter(F.struct("uid", "s") > F.col("least")).select("uid", "s", F.lit(1).alias("r"))
+        found = stored(cuts.filter("new").join(least, "w").filter(F.struct("uid", "s") > F.col("least")).select("uid", "s", F.lit(1).alias("r")), "repeats")
+        discard(cuts)
+        discard(least)
+        return found
 
     def _compact(self) -> None:
         """Merge the newest runs while ``fanout`` of them are of similar size (within that factor)."""
@@ -147,7 +153,7 @@ class FingerprintIndex:
             for _, path in tail[1:]:
                 rows = rows.unionByName(self._run(path))
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            rows.repartition(n, "h", "c").sortWithinPartitions("h", "c").write.parquet(merged)
+            rows.repartition(n, "h", "c").sortWithinPartitions("h", "c").write.option("compression", "zstd").parquet(merged)
             for _, path in tail:
                 delete(self.spark, path)
             self.runs[-self.fanout :] = [(sum(n for n, _ in tail), merged)]
@@ -173,9 +179,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 10, batches: i
         batch = corpus if low is None else corpus.filter(F.col("uid") > low)
         batch = batch if high is None else batch.filter(F.col("uid") <= high)
         seen = corpus if high is None else corpus.filter(F.col("uid") <= high)
-        found = stored(index.add(batch, seen).distinct(), "repeats")
+        found = index.add(batch, seen)
         spans = found if spans is None else spans.unionByName(found)
-    per_doc = spans.groupBy("uid").agg(F.collect_list(F.struct("s", "r")).alias("spans"))
+    per_doc = spans.groupBy("uid").agg(F.collect_set(F.struct("s", "r")).alias("spans"))
 
     def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in parts:
@@ -188,5 +194,5 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 10, batches: i
                 kept.append(b" ".join(a for a, o in zip(w, out.tolist()) if not o) if gone[-1] else b" ".join(w))
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    joined = corpus.join(stored(per_doc, "repeat-spans"), "uid", "left").select("doc_id", "text", "spans")
+    joined = corpus.join(stored(per_doc, "repeat-spans").hint("merge"), "uid", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(rebuild, "doc_id long, n_words long, n_removed long, kept_text string")

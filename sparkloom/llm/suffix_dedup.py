@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
-from .common import numbered, shuffle_cleanup, stored
+from .common import discard, numbered, shuffle_cleanup, stored
 from .substring_dedup import _texts
 from .windows import byte_chunks, cover, flushes
 
@@ -200,8 +200,8 @@ def splitters(corpus: DataFrame, parts: int) -> np.ndarray:
     return np.unique(np.array(found or [], np.int64))
 
 
-def sort_suffixes(corpus: DataFrame, spans: DataFrame, bounds: np.ndarray, window: int, each: bool) -> DataFrame:
-    """uid, s, r, h, repeat of suffixes: of whole chunks, or (``each``) of all their windows."""
+def suffix_runs(corpus: DataFrame, spans: DataFrame, bounds: np.ndarray, window: int, each: bool) -> DataFrame:
+    """Front-coded sorted runs of suffixes: of whole chunks, or (``each``) of all their windows."""
 
     def lot(items: list[Item]) -> Iterator[tuple[str, object]]:
         items.sort()
@@ -248,6 +248,13 @@ def sort_suffixes(corpus: DataFrame, spans: DataFrame, bounds: np.ndarray, windo
         if items:
             yield from (emit(*y) for y in lot(items))
 
+    # the documents with candidates grow with the corpus: merged at every size, never broadcast
+    return stored(corpus.select("uid", "text").join(spans.hint("merge"), "uid").mapInArrow(sort, RUNS), "suffix-runs")
+
+
+def merge_runs(runs: DataFrame) -> DataFrame:
+    """uid, s, r, h, repeat of all suffixes."""
+
     def merged(table: pa.Table) -> pa.Table:
         runs = [decode([table.column(b)[i].as_py() for b in _BLOBS]) for i in range(table.num_rows)]
         rows = list(settle(merge(runs)))
@@ -259,7 +266,6 @@ def sort_suffixes(corpus: DataFrame, spans: DataFrame, bounds: np.ndarray, windo
                 row = [np.frombuffer(x.column(n)[i].as_py(), t) for n, t in _FOUND]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, row), pa.array(np.ones(len(row[0]), bool))], [*(n for n, _ in _FOUND), "repeat"])
 
-    runs = stored(corpus.select("uid", "text").join(spans, "uid").mapInArrow(sort, RUNS), "suffix-runs")
     local = runs.filter("part < 0").mapInArrow(unpack, FOUND)
     return runs.filter("part >= 0").groupBy("part").applyInArrow(merged, FOUND).unionByName(local)
 
@@ -279,13 +285,20 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFr
     corpus = numbered(docs).select("doc_id", "uid", "text")
     bounds = splitters(corpus, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     spans = stored(candidates(corpus, window, gram), "suffix-candidates")
-    whole = stored(sort_suffixes(corpus, spans, bounds, window, each=False), "suffix-order")
+    runs = suffix_runs(corpus, spans, bounds, window, each=False)
+    discard(spans)
+    whole = stored(merge_runs(runs), "suffix-order")
+    discard(runs)
     # distinct suffixes that share a gram: their windows may repeat in one another
     distinct = whole.filter("NOT repeat")
     mixed = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "suffix-mixed")
     edges = distinct.join(mixed, "h").groupBy("uid").agg(F.collect_set(F.struct("s", "r", "h")).alias("spans"))
-    single = sort_suffixes(corpus, stored(edges, "suffix-edges"), bounds, window, each=True)
-    found = whole.unionByName(single).filter("repeat").groupBy("uid").agg(F.collect_set(F.struct("s", "r")).alias("spans"))
+    edges = stored(edges, "suffix-edges")
+    runs = suffix_runs(corpus, edges, bounds, window, each=True)
+    discard(edges)
+    single = stored(merge_runs(runs).filter("repeat").select("uid", "s", "r", "repeat"), "suffix-windows")
+    discard(runs)
+    found = whole.select("uid", "s", "r", "repeat").unionByName(single).filter("repeat").groupBy("uid").agg(F.collect_set(F.struct("s", "r")).alias("spans"))
 
     def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in parts:
@@ -299,5 +312,8 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFr
                 kept.append(np.frombuffer(text, np.uint8)[~out].tobytes() if gone[-1] else text)
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), *(pa.array(v, pa.int64()) for v in (n, gone, runs)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = corpus.join(stored(found, "suffix-spans"), "uid", "left").select("doc_id", "text", "spans")
+    found = stored(found, "suffix-spans")
+    for df in (whole, mixed, single):
+        discard(df)
+    joined = corpus.join(found.hint("merge"), "uid", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(rebuild, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
