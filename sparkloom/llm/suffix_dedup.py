@@ -14,10 +14,11 @@ are left out; the others are sorted:
    at again;
 3. neighbours in the merged order that share their whole length are repeats.
 
-Suffixes that share a gram but differ as a whole lie at the edges of repeated passages;
-for them a second sort of the same kind has a suffix of the window's length for every
-window.  A string that a third of all documents hold is one suffix per task in the
-exchange.
+Suffixes that share a gram but differ as a whole lie at the edges of repeated passages.
+Their windows may repeat one by one: neighbours of eight have a core in common, and
+where a core occurs in two different suffixes, a second sort of the same kind has a
+suffix of the window's length for each of the eight.  A string that a third of all
+documents hold is one suffix per task in the exchange.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
@@ -38,12 +40,15 @@ from .windows import byte_chunks, cover, flushes
 LOT = 64 << 20
 PREFIX = 7  # bytes of a splitter
 
-_FOUND = [("uid", np.int64), ("s", np.int32), ("r", np.int32), ("h", np.int64)]
-FOUND = "uid long, s int, r int, h long, repeat boolean"
-_BLOBS = ["lcp", "size", "tails", "uid", "s", "r", "h"]
+#: Windows that share a core.
+CORE = 8
+
+_FOUND = [("uid", np.int64), ("s", np.int32), ("r", np.int32), ("h", np.int64), ("a", np.int32)]
+FOUND = "uid long, s int, r int, h long, a int, repeat boolean"
+_BLOBS = ["lcp", "size", "tails", "uid", "s", "r", "h", "a"]
 RUNS = "part int, " + ", ".join(f"{b} binary" for b in _BLOBS)
 
-Item = tuple[bytes, int, int, int, int]  # suffix, uid, s, r, h
+Item = tuple[bytes, int, int, int, int, int]  # suffix, uid, s, r, h, a
 
 
 def shared(a: bytes, b: bytes, start: int = 0) -> int:
@@ -54,7 +59,7 @@ def shared(a: bytes, b: bytes, start: int = 0) -> int:
 
 
 def front_code(items: list[Item]) -> list[bytes]:
-    """The columns of a sorted run: shared lengths, rests' sizes, rests, uid, s, r, h."""
+    """The columns of a sorted run: shared lengths, rests' sizes, rests, and the numbers of ``_FOUND``."""
     lcp, rest, last = [], [], b""
     for x in items:
         k = shared(last, x[0])
@@ -155,39 +160,45 @@ def _found(rows: list[tuple[Item, bool]]) -> dict[str, pa.Array]:
     return out | {"repeat": pa.array([bool(b) for _, b in rows], pa.bool_())}
 
 
+def _spans(column: pa.Array) -> list[list[tuple[int, int, int, int]]]:
+    """Of each row its spans as (s, r, a, h), without a Python object per field."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = column.offsets.to_numpy().tolist()
+    flat = column.values
+    rows = list(zip(*(flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("s", "r", "a", "h"))))
+    return [rows[x:y] for x, y in zip(at, at[1:])]
+
+
 def candidates(corpus: DataFrame, window: int, gram: int) -> DataFrame:
-    """uid, spans (array of s, r, h): the chunks whose minimizer gram occurs more than once."""
+    """uid, spans (array of s, r, a, h): the chunks whose minimizer gram occurs more than once."""
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in flushes(byte_chunks(_texts(batches), window, gram)):
             k = k.take(np.lexsort((k.s, k.uid, k.h)))
-            head = np.concatenate([[True], k.h[1:] != k.h[:-1]])
-            at = np.flatnonzero(head)
-            many = np.diff(np.concatenate([at, [len(k)]])) > 1
-            rest = np.stack([k.uid, k.s, k.r], axis=1).astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], k.h[1:] != k.h[:-1]]))
             stop = np.concatenate([at[1:], [len(k)]])
-            more = [rest[a + 1 : b].tobytes() if m else None for a, b, m in zip(at.tolist(), stop.tolist(), many.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k.h[at].view(np.int64)), pa.array(k.uid[at]), pa.array(k.s[at].astype(np.int32)), pa.array(k.r[at].astype(np.int32)), pa.array(more, pa.binary())],
-                ["h", "uid", "s", "r", "more"],
-            )
+            rest = np.stack([k.uid, k.s, k.r, k.a], axis=1).astype(np.int64)
+            more: list[bytes | None] = [None] * len(at)
+            for i in np.flatnonzero(stop - at > 1).tolist():
+                more[i] = rest[at[i] + 1 : stop[i]].tobytes()
+            own = [pa.array(k.h[at].view(np.int64)), pa.array(k.uid[at]), *(pa.array(c[at].astype(np.int32)) for c in (k.s, k.r, k.a))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(more, pa.binary())], ["h", "uid", "s", "r", "a", "more"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            own = np.stack([x.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("uid", "s", "r", "h")], axis=1)
+            own = np.stack([x.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("uid", "s", "r", "a", "h")], axis=1)
             parts = [own]
-            for h, more in zip(own[:, 3].tolist(), x.column("more")):
-                if more.is_valid:
-                    rest = np.frombuffer(more.as_buffer(), np.int64).reshape(-1, 3)
-                    parts.append(np.concatenate([rest, np.full((len(rest), 1), h)], axis=1))
+            for i in np.flatnonzero(x.column("more").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                rest = np.frombuffer(x.column("more")[i].as_buffer(), np.int64).reshape(-1, 4)
+                parts.append(np.concatenate([rest, np.full((len(rest), 1), own[i, 4])], axis=1))
             a = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2].astype(np.int32)), pa.array(a[:, 3])], ["uid", "s", "r", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), *(pa.array(a[:, c].astype(np.int32)) for c in (1, 2, 3)), pa.array(a[:, 4])], ["uid", "s", "r", "a", "h"])
 
     # a row per gram and lot; a window over them tells whether another lot has the gram
-    rows = corpus.select("uid", "text").mapInArrow(lots, "h long, uid long, s int, r int, more binary")
+    rows = corpus.select("uid", "text").mapInArrow(lots, "h long, uid long, s int, r int, a int, more binary")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(SqlWindow.partitionBy("h"))).filter("n > 1 OR more IS NOT NULL").drop("n")
-    rows = rows.select("h", "uid", "s", "r", "more").mapInArrow(listed, "uid long, s int, r int, h long")
-    return rows.groupBy("uid").agg(F.collect_set(F.struct("s", "r", "h")).alias("spans"))
+    rows = rows.select("h", "uid", "s", "r", "a", "more").mapInArrow(listed, "uid long, s int, r int, a int, h long")
+    return rows.groupBy("uid").agg(F.collect_list(F.struct("s", "r", "a", "h")).alias("spans"))
 
 
 def splitters(corpus: DataFrame, parts: int) -> np.ndarray:
@@ -203,71 +214,99 @@ def splitters(corpus: DataFrame, parts: int) -> np.ndarray:
 def suffix_runs(corpus: DataFrame, spans: DataFrame, bounds: np.ndarray, window: int, each: bool) -> DataFrame:
     """Front-coded sorted runs of suffixes: of whole chunks, or (``each``) of all their windows."""
 
-    def lot(items: list[Item]) -> Iterator[tuple[str, object]]:
-        items.sort()
-        distinct: list[Item] = []
-        settled = settle((len(x[0]) if i and items[i - 1][0] == x[0] else 0, x) for i, x in enumerate(items))
-        repeats = []
-        for x, repeat in settled:
-            (repeats if repeat else distinct).append((x, True) if repeat else x)
-        yield "repeats", repeats
-        prefix = np.array([int.from_bytes(x[0][:PREFIX], "big") for x in distinct], np.int64)
+    def lot(first: dict[bytes, tuple], repeats: list[Item]) -> Iterator[pa.RecordBatch]:
+        yield emit(-1, [b"", b"", b"", *(np.array([x[i + 1] for x in repeats], t).tobytes() for i, (_, t) in enumerate(_FOUND))])
+        keys = sorted(first)
+        prefix = np.array([int.from_bytes(x[:PREFIX], "big") for x in keys], np.int64)
         part = np.searchsorted(bounds, prefix, side="right")
-        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(part) else []
-        for a, b in zip(edges, [*edges[1:], len(part)]):
-            yield "run", (int(part[a]), front_code(distinct[a:b]))
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if keys else []
+        for x, y in zip(edges, [*edges[1:], len(keys)]):
+            yield emit(int(part[x]), front_code([(k, *first[k]) for k in keys[x:y]]))
 
     names = ["part", *_BLOBS]
     types = [pa.int32(), *[pa.binary()] * len(_BLOBS)]
 
-    def emit(kind: str, x) -> pa.RecordBatch:
-        """A run, or the repeats that a lot has settled, as a run of part -1 without suffixes."""
-        if kind == "run":
-            values = [x[0], *x[1]]
-        else:
-            rows = [np.array([y[i + 1] for y, _ in x], t).tobytes() for i, (_, t) in enumerate(_FOUND)]
-            values = [-1, b"", b"", b"", *rows]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
+    def emit(part: int, blobs: list[bytes]) -> pa.RecordBatch:
+        """A run; part -1 has the repeats that a lot has settled, without their suffixes."""
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([part, *blobs], types)], names)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, size = [], 0
+        first: dict[bytes, tuple] = {}
+        repeats: list[Item] = []
+        size = 0
         for x in batches:
-            for uid, t, own in zip(x.column("uid").to_pylist(), x.column("text"), x.column("spans").to_pylist()):
+            for uid, t, own in zip(x.column("uid").to_pylist(), x.column("text"), _spans(x.column("spans"))):
                 text = t.as_buffer().to_pybytes()
-                for span in own:
-                    s, r, h = span["s"], span["r"], span["h"]
-                    if each:
-                        items.extend((text[i : i + window], uid, i, 1, h) for i in range(s, s + r))
-                        size += r * window
-                    else:
-                        items.append((text[s : s + r + window - 1], uid, s, r, h))
-                        size += r + window
-                    if size >= LOT:
-                        yield from (emit(*y) for y in lot(items))
-                        items, size = [], 0
-        if items:
-            yield from (emit(*y) for y in lot(items))
+                if each:
+                    own = [(i, 1, 0, h) for s, r, _, h in own for i in range(s, s + r)]
+                for s, r, a, h in own:
+                    key, item = text[s : s + r + window - 1], (uid, s, r, h, a)
+                    size += len(key)
+                    seen = first.setdefault(key, item)
+                    if seen[:2] < item[:2]:
+                        repeats.append((b"", *item))
+                    elif seen[:2] > item[:2]:
+                        repeats.append((b"", *seen))
+                        first[key] = item
+                if size >= LOT:
+                    yield from lot(first, repeats)
+                    first, repeats, size = {}, [], 0
+        if size:
+            yield from lot(first, repeats)
 
     # the documents with candidates grow with the corpus: merged at every size, never broadcast
     return stored(corpus.select("uid", "text").join(spans.hint("merge"), "uid").mapInArrow(sort, RUNS), "suffix-runs")
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """uid, s, r, h, repeat of all suffixes."""
+def core_hashes(suffix: bytes, r: int, a: int, window: int) -> list[int]:
+    """Of each group of ``CORE`` windows with neighbouring distances to the gram, the hash of what all of them hold.
+
+    The k-th group has the windows that start CORE k to CORE k + CORE - 1 bytes before the
+    gram; equal windows are in equal groups.  ``a`` is the gram's place in the suffix.
+    """
+    least = max(a - r + 1, 0)
+    return [xxhash.xxh3_64_intdigest(suffix[a - CORE * k : a - CORE * k + window - CORE + 1], k) - (1 << 63) for k in range(least // CORE, a // CORE + 1)]
+
+
+def merge_runs(runs: DataFrame, window: int | None = None) -> DataFrame:
+    """uid, s, r, h, a, repeat, cores of all suffixes; cores (of distinct ones) only if ``window`` is given."""
+    kind = pa.list_(pa.int64())
 
     def merged(table: pa.Table) -> pa.Table:
         runs = [decode([table.column(b)[i].as_py() for b in _BLOBS]) for i in range(table.num_rows)]
         rows = list(settle(merge(runs)))
-        return pa.table(_found(rows))
+        cores = [None if repeat or not window else core_hashes(x[0], x[3], x[5], window) for x, repeat in rows]
+        return pa.table(_found(rows) | {"cores": pa.array(cores, kind)})
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for i in range(x.num_rows):
                 row = [np.frombuffer(x.column(n)[i].as_py(), t) for n, t in _FOUND]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, row), pa.array(np.ones(len(row[0]), bool))], [*(n for n, _ in _FOUND), "repeat"])
+                n = len(row[0])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, row), pa.array(np.ones(n, bool)), pa.nulls(n, kind)], [*(n for n, _ in _FOUND), "repeat", "cores"])
+
+    out = FOUND + ", cores array<long>"
+    local = runs.filter("part < 0").mapInArrow(unpack, out)
+    return runs.filter("part >= 0").groupBy("part").applyInArrow(merged, out).unionByName(local)
 
-    local = runs.filter("part < 0").mapInArrow(unpack, FOUND)
-    return runs.filter("part >= 0").groupBy("part").applyInArrow(merged, FOUND).unionByName(local)
+
+def edges(whole: DataFrame) -> DataFrame:
+    """uid, spans: the groups of windows whose core occurs in two different suffixes with one gram."""
+    distinct = whole.filter("NOT repeat")
+    mixed = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "suffix-mixed")
+    # the first group is that of the last window
+    group = F.floor(F.greatest(F.col("a") - F.col("r") + 1, F.lit(0)) / CORE).cast("int") + F.col("k")
+    cores = stored(distinct.join(mixed, "h").select("uid", "s", "r", "a", "h", F.posexplode("cores").alias("k", "core")).withColumn("k", group), "suffix-cores")
+    again = stored(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "suffix-again")
+    discard(mixed)
+    gram = F.col("s") + F.col("a")
+    first = F.greatest(F.col("s"), gram - F.col("k") * CORE - (CORE - 1))
+    last = F.least(F.col("s") + F.col("r") - 1, gram - F.col("k") * CORE)
+    spans = cores.join(again, "core").select("uid", first.alias("s"), (last - first + 1).alias("r"), F.lit(0).alias("a"), "h")
+    out = stored(spans.groupBy("uid").agg(F.collect_set(F.struct("s", "r", "a", "h")).alias("spans")), "suffix-edges")
+    discard(cores)
+    discard(again)
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFrame:
@@ -287,15 +326,11 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFr
     spans = stored(candidates(corpus, window, gram), "suffix-candidates")
     runs = suffix_runs(corpus, spans, bounds, window, each=False)
     discard(spans)
-    whole = stored(merge_runs(runs), "suffix-order")
+    whole = stored(merge_runs(runs, window), "suffix-order")
     discard(runs)
-    # distinct suffixes that share a gram: their windows may repeat in one another
-    distinct = whole.filter("NOT repeat")
-    mixed = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "suffix-mixed")
-    edges = distinct.join(mixed, "h").groupBy("uid").agg(F.collect_set(F.struct("s", "r", "h")).alias("spans"))
-    edges = stored(edges, "suffix-edges")
-    runs = suffix_runs(corpus, edges, bounds, window, each=True)
-    discard(edges)
+    near = edges(whole)
+    runs = suffix_runs(corpus, near, bounds, window, each=True)
+    discard(near)
     single = stored(merge_runs(runs).filter("repeat").select("uid", "s", "r", "repeat"), "suffix-windows")
     discard(runs)
     found = whole.select("uid", "s", "r", "repeat").unionByName(single).filter("repeat").groupBy("uid").agg(F.collect_set(F.struct("s", "r")).alias("spans"))
@@ -313,7 +348,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFr
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), *(pa.array(v, pa.int64()) for v in (n, gone, runs)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     found = stored(found, "suffix-spans")
-    for df in (whole, mixed, single):
+    for df in (whole, single):
         discard(df)
     joined = corpus.join(found.hint("merge"), "uid", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(rebuild, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

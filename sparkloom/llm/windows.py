@@ -79,20 +79,21 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Chunks:
-    """Parallel arrays: gram hash, hash of the whole chunk, document, first window, number of windows."""
+    """Parallel arrays: gram hash, hash of the whole chunk, document, first window, number of windows, place of the gram in the first window."""
 
     h: np.ndarray
     c: np.ndarray
     uid: np.ndarray
     s: np.ndarray
     r: np.ndarray
+    a: np.ndarray
 
     @staticmethod
     def join(parts: list[Chunks]) -> Chunks:
-        return Chunks(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("h", "c", "uid", "s", "r")))
+        return Chunks(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("h", "c", "uid", "s", "r", "a")))
 
     def take(self, at: np.ndarray) -> Chunks:
-        return Chunks(self.h[at], self.c[at], self.uid[at], self.s[at], self.r[at])
+        return Chunks(self.h[at], self.c[at], self.uid[at], self.s[at], self.r[at], self.a[at])
 
     def __len__(self) -> int:
         return len(self.h)
@@ -108,13 +109,13 @@ def _chunks(grams: np.ndarray, span, ends: np.ndarray, uids: np.ndarray, offsets
     at = np.arange(len(piece)) - first[piece] + starts[piece]  # every valid window
     if not len(at):
         z = np.zeros(0, np.int64)
-        return Chunks(z.view(np.uint64), z.view(np.uint64), z, z, z)
+        return Chunks(z.view(np.uint64), z.view(np.uint64), z, z, z, z)
     anchor = (low[at] & _POS).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])]))
     s, p = at[new], piece[new]
     r = np.diff(np.concatenate([new, [len(at)]]))
     c = span(s, s + r + window - 1)
-    return Chunks(grams[anchor[new]], c, uids[p], s - starts[p] + offsets[p], r)
+    return Chunks(grams[anchor[new]], c, uids[p], s - starts[p] + offsets[p], r, anchor[new] - s)
 
 
 def _pieces(docs: Iterator[tuple[int, list | bytes]], window: int) -> Iterator[tuple[int, int, list | bytes]]:

@@ -74,7 +74,7 @@ def test_sliding_min():
 @pytest.mark.parametrize("runs", [1, 2, 5])
 def test_loser_tree(runs):
     rng = random.Random(runs)
-    items = [[(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))), rng.randrange(4), i, 1, 0) for i in range(rng.randint(0, 60))] for _ in range(runs)]
+    items = [[(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))), rng.randrange(4), i, 1, 0, 0) for i in range(rng.randint(0, 60))] for _ in range(runs)]
     for x in items:
         x.sort()
     coded = [suffix_dedup.front_code(x) for x in items]
