@@ -106,18 +106,18 @@ def text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     n_lines counts lines with a word.  NULL texts have no words.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
 
-    def of_words(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words"))
-
-    def of_lines(ls: Column) -> Column:
-        return F.struct(F.size(ls).cast("long").alias("n_lines"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"))
+    def of(w: Column, ls: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
+            (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"), repeat_words(w).alias("n_repeat_words"), F.size(ls).cast("long").alias("n_lines"),
+        )
 
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return docs.select(
-        *keep, let(words(text), of_words).alias("_w"), let(lines, of_lines).alias("_l"),
-        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-    ).select(*keep, "_w.n_words", "_w.word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines")
+    # a generator, since filters on its columns stay above it; a projection's would be
+    # pushed down and evaluate the statistics once for each mention
+    return docs.select(*keep, F.inline(F.array(let(words(text), lambda w: let(lines, lambda ls: of(w, ls))))))
 
 
 def _bin(d2: Column) -> Column:
