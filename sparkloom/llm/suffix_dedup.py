@@ -37,7 +37,7 @@ from .substring_dedup import _texts
 from .windows import byte_chunks, cover, flushes
 
 #: Bytes of suffixes that a task sorts at a time.
-LOT = 64 << 20
+LOT = 32 << 20
 PREFIX = 7  # bytes of a splitter
 
 #: Windows that share a core.
