@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import delete, discard, numbered, scratch, shuffle_cleanup, stored
-from .windows import Chunks, cover, flushes, word_chunks
+from .windows import Chunks, cover, flushes, span_arrays, word_chunks
 
 RUN = "h long, c long, uid long, s int, r int"
 
@@ -186,9 +186,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 10, batches: i
     def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in parts:
             n, gone, kept = [], [], []
-            for t, spans in zip(x.column("text"), x.column("spans").to_pylist()):
+            for t, own in zip(x.column("text"), span_arrays(x.column("spans"))):
                 w = t.as_buffer().to_pybytes().split()
-                out = cover(np.array([(a["s"], a["r"]) for a in spans or []], np.int64).reshape(-1, 2), len(w), window)
+                out = cover(own, len(w), window)
                 n.append(len(w))
                 gone.append(int(out.sum()))
                 kept.append(b" ".join(a for a, o in zip(w, out.tolist()) if not o) if gone[-1] else b" ".join(w))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, numbered, shuffle_cleanup, stored
 from .substring_dedup import _texts
-from .windows import byte_chunks, cover, flushes
+from .windows import byte_chunks, cover, flushes, span_arrays
 
 #: Bytes of suffixes that a task sorts at a time.
 LOT = 32 << 20
@@ -67,8 +67,7 @@ def front_code(items: list[Item]) -> list[bytes]:
         rest.append(x[0][k:])
         last = x[0]
     numbers = [np.array(lcp, np.int32), np.array([len(x) for x in rest], np.int32)]
-    rows = [np.array([x[i + 1] for x in items], t) for i, (_, t) in enumerate(_FOUND)]
-    return [numbers[0].tobytes(), numbers[1].tobytes(), b"".join(rest), *(x.tobytes() for x in rows)]
+    return [numbers[0].tobytes(), numbers[1].tobytes(), b"".join(rest), *(x.tobytes() for x in _numbers(items))]
 
 
 def decode(blobs: list[bytes]) -> Iterator[tuple[int, Item]]:
@@ -155,9 +154,15 @@ def settle(items: Iterator[tuple[int, Item]]) -> Iterator[tuple[Item, bool]]:
         yield from closed()
 
 
+def _numbers(items: list[Item]) -> list[np.ndarray]:
+    """The columns of ``_FOUND``."""
+    columns = list(zip(*items))[1:] if items else [()] * len(_FOUND)
+    return [np.array(c, t) for c, (_, t) in zip(columns, _FOUND)]
+
+
 def _found(rows: list[tuple[Item, bool]]) -> dict[str, pa.Array]:
-    out = {n: pa.array(np.array([x[i + 1] for x, _ in rows], t)) for i, (n, t) in enumerate(_FOUND)}
-    return out | {"repeat": pa.array([bool(b) for _, b in rows], pa.bool_())}
+    out = {n: pa.array(c) for (n, _), c in zip(_FOUND, _numbers([x for x, _ in rows]))}
+    return out | {"repeat": pa.array([b for _, b in rows], pa.bool_())}
 
 
 def _spans(column: pa.Array) -> list[list[tuple[int, int, int, int]]]:
@@ -215,7 +220,7 @@ def suffix_runs(corpus: DataFrame, spans: DataFrame, bounds: np.ndarray, window:
     """Front-coded sorted runs of suffixes: of whole chunks, or (``each``) of all their windows."""
 
     def lot(first: dict[bytes, tuple], repeats: list[Item]) -> Iterator[pa.RecordBatch]:
-        yield emit(-1, [b"", b"", b"", *(np.array([x[i + 1] for x in repeats], t).tobytes() for i, (_, t) in enumerate(_FOUND))])
+        yield emit(-1, [b"", b"", b"", *(x.tobytes() for x in _numbers(repeats))])
         keys = sorted(first)
         prefix = np.array([int.from_bytes(x[:PREFIX], "big") for x in keys], np.int64)
         part = np.searchsorted(bounds, prefix, side="right")
@@ -269,12 +274,12 @@ def core_hashes(suffix: bytes, r: int, a: int, window: int) -> list[int]:
 
 
 def merge_runs(runs: DataFrame, window: int | None = None) -> DataFrame:
-    """uid, s, r, h, a, repeat, cores of all suffixes; cores (of distinct ones) only if ``window`` is given."""
+    """uid, s, r, h, a, repeat, cores: of all suffixes, with the cores of distinct ones, if ``window`` is given; else of repeats."""
     kind = pa.list_(pa.int64())
 
     def merged(table: pa.Table) -> pa.Table:
         runs = [decode([table.column(b)[i].as_py() for b in _BLOBS]) for i in range(table.num_rows)]
-        rows = list(settle(merge(runs)))
+        rows = [x for x in settle(merge(runs)) if window or x[1]]
         cores = [None if repeat or not window else core_hashes(x[0], x[3], x[5], window) for x, repeat in rows]
         return pa.table(_found(rows) | {"cores": pa.array(cores, kind)})
 
@@ -322,7 +327,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFr
     spark = docs.sparkSession
     shuffle_cleanup(spark)
     corpus = numbered(docs).select("doc_id", "uid", "text")
-    bounds = splitters(corpus, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = splitters(corpus, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spans = stored(candidates(corpus, window, gram), "suffix-candidates")
     runs = suffix_runs(corpus, spans, bounds, window, each=False)
     discard(spans)
@@ -338,9 +343,9 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFr
     def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in parts:
             n, gone, runs, kept = [], [], [], []
-            for t, own in zip(x.column("text"), x.column("spans").to_pylist()):
+            for t, own in zip(x.column("text"), span_arrays(x.column("spans"))):
                 text = t.as_buffer().to_pybytes()
-                out = cover(np.array([(a["s"], a["r"]) for a in own or []], np.int64).reshape(-1, 2), len(text), window)
+                out = cover(own, len(text), window)
                 n.append(len(text))
                 gone.append(int(out.sum()))
                 runs.append(int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=0) == 1)))

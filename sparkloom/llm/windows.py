@@ -174,6 +174,14 @@ def flushes(chunks: Iterator[Chunks]) -> Iterator[Chunks]:
         yield Chunks.join(held)
 
 
+def span_arrays(column) -> list[np.ndarray]:
+    """Of each row of an Arrow list of structs (s, r): an n x 2 array, empty for NULL."""
+    flat = column.values
+    rows = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("s", "r")], axis=1).astype(np.int64)
+    at, valid = column.offsets.to_numpy().tolist(), column.is_valid().to_numpy(zero_copy_only=False).tolist()
+    return [rows[a:b] if v else rows[:0] for a, b, v in zip(at, at[1:], valid)]
+
+
 def cover(spans: np.ndarray, n: int, window: int) -> np.ndarray:
     """Units covered by the windows of spans (first window, number of windows), as booleans."""
     delta = np.zeros(n + 1, np.int32)
