@@ -4,9 +4,11 @@ Each document's statistics become a vector of logarithms, in fixed point so that
 are exact in any order.  Per language and source the minimum-covariance-determinant
 estimate of location and scatter is found by concentration steps from a deterministic
 start (medians and absolute deviations): take the ``subset`` share of documents that
-is nearest by Mahalanobis distance, estimate again, repeat.  Documents whose distance
-under the last estimate, scaled to a chi-square median, exceeds ``cutoff`` are rejected.
-A small ridge keeps the determinant positive where a statistic hardly varies.
+is nearest by Mahalanobis distance, estimate again, repeat.  The scatter of the nearest
+share is raised to that of a whole normal sample (``consistency``), and a ridge is added:
+the least deviation that is told apart where a statistic hardly varies.  Squared
+distances are therefore at most chi-square, and documents above its quantile ``cutoff``
+are rejected.
 
 The texts are read once, in one pass without a shuffle; the steps run over one row of
 integers per document.  All aggregates combine before the shuffle: sums, counts, and
@@ -16,6 +18,7 @@ documents is no hot key.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +32,8 @@ FEATURES: list[tuple[str, str, float]] = [
     ("x0", "ln(n_words)", 0.2),
     ("x1", "ln(word_chars / n_words)", 0.05),
     ("x2", "ln(1 + 100e0 * n_symbols / word_chars)", 0.5),
-    ("x3", "ln(1 + 100e0 * n_dup_lines / n_lines)", 0.5),
+    # one repeated line tells nothing, and a share of few lines little
+    ("x3", "ln(1 + 100e0 * greatest(n_dup_lines - 1, 0) / (n_lines + 20))", 0.5),
     ("x4", "ln(1 + 100e0 * n_repeat_words / n_words)", 0.5),
 ]
 NAMES = [n for n, _, _ in FEATURES]
@@ -42,8 +46,24 @@ class Limits:
     min_group: int = 50  # smaller groups join their language's rest, then the rest of all
     subset: float = 0.75
     steps: int = 3
-    cutoff: float = 60.0  # of the squared distance; chi-square with 5 degrees passes it with p = 1e-11
-    median: float = 4.351  # of chi-square with 5 degrees of freedom
+    cutoff: float = 20.515  # of the squared distance; chi-square with 5 degrees passes it with p = 0.001
+
+
+def _chi_square(x: float, degrees: int) -> float:
+    """Distribution function for odd degrees of freedom."""
+    term, out = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), math.erf(math.sqrt(x / 2))
+    for k in range(1, degrees - 1, 2):
+        out, term = out - term, term * x / (k + 2)
+    return out
+
+
+def consistency(subset: float) -> float:
+    """Scatter of a normal sample over that of its ``subset`` share nearest to the centre."""
+    p, low, high = len(FEATURES), 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _chi_square(middle, p) < subset else (low, middle)
+    return subset / _chi_square(high, p + 2)
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -132,13 +152,13 @@ def _distance(whitened: list[Column]) -> Column:
     return out
 
 
-def _params(sums: DataFrame) -> DataFrame:
-    """g, means m<i> and the inverse of the Cholesky factor w<i>_<j> from exact sums."""
+def _params(sums: DataFrame, raised: float) -> DataFrame:
+    """g, means m<i> and the Cholesky factor l<i>_<j> of the scatter, times ``raised``, with ridge, from exact sums."""
     p = len(FEATURES)
     df = sums.select("g", *(((F.col(f"s{i}").cast("double") / F.col("n")).alias(f"m{i}")) for i in range(p)), "n", *(f"s{i}_{j}" for i in range(p) for j in range(i + 1)))
     df = df.select(
         "g", *(f"m{i}" for i in range(p)),
-        *((F.col(f"s{i}_{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (F.lit((FEATURES[i][2] * SCALE) ** 2) if i == j else F.lit(0.0))).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)),
+        *((F.lit(raised) * (F.col(f"s{i}_{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (F.lit((FEATURES[i][2] * SCALE) ** 2) if i == j else F.lit(0.0))).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)),
     )
     for j in range(p):  # Cholesky, column by column
         total = F.col(f"c{j}_{j}")
@@ -168,16 +188,15 @@ def _whiten(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """names: g0 (language and source) and g, the group that stands for it; factors: g, location, scatter, scale."""
+    """names: g0 (language and source) and g, the group that stands for it; factors: g, location, scatter."""
 
     names: DataFrame
     factors: DataFrame
 
     def distances(self, stats: DataFrame) -> DataFrame:
-        """Adds d2, the scaled squared robust distance, to documents with words; NULL where no group is known."""
+        """Adds d2, the squared robust distance, to documents with words; NULL where no group is known."""
         df = stats.withColumns({n: F.expr(e) for n, e in _VECTOR.items()}).withColumn("g0", _exact_group())
-        df = _whiten(df.join(self.names, "g0", "left").join(self.factors, "g", "left"))
-        return df.withColumn("d2", F.col("d2") / F.col("scale"))
+        return _whiten(df.join(self.names, "g0", "left").join(self.factors, "g", "left"))
 
 
 _VECTOR = {n: f"CAST(round({SCALE} * {e}) AS BIGINT)" for n, e, _ in FEATURES}
@@ -223,11 +242,9 @@ def fit(stats: DataFrame, lim: Limits = Limits()) -> Model:
             F.count(F.lit(1)).alias("n"), *(big(F.col(NAMES[i])).alias(f"s{i}") for i in range(p)),
             *(big(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)),
         )
-        params = stored(_params(sums), f"mcd-params{step}")
+        params = stored(_params(sums, consistency(lim.subset)), f"mcd-params{step}")
         near = _whiten(vectors.join(params, "g"))
-    middle = near.select("g", _bin(F.col("d2")).alias("bin")).groupBy("g").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY bin)").cast("int").alias("mid"))
-    scale = F.greatest((F.pow(F.lit(2.0), (F.col("mid") + 1) / 64.0) - 1) / lim.median, F.lit(1.0))
-    return Model(names, stored(params.join(middle, "g").withColumn("scale", scale).drop("mid"), "mcd-factors"))
+    return Model(names, params)
 
 
 def judge_quality(docs: DataFrame, lim: Limits = Limits()) -> DataFrame:

@@ -7,7 +7,7 @@ brute-force versions.
 from __future__ import annotations
 
 from .licenses import TEMPLATES, template_bigrams
-from .quality import FEATURES, SCALE, Limits
+from .quality import SCALE, Limits
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -44,7 +44,19 @@ SELECT page_id, host, path, rule,
   n::BIGINT AS host_labelled, bad::BIGINT AS host_bad, posterior_mean, lower_bound FROM j"""
 
 
-def _quality(lim: Limits = Limits()) -> str:
+#: What op3's SQL was written for.  The operator has since got another x3, a consistency
+#: factor in place of the scale, and a lower cutoff; the SQL is left as it was and so
+#: disagrees with it in kept and distance.
+FEATURES = [
+    ("x0", "ln(n_words)", 0.2),
+    ("x1", "ln(word_chars / n_words)", 0.05),
+    ("x2", "ln(1 + 100e0 * n_symbols / word_chars)", 0.5),
+    ("x3", "ln(1 + 100e0 * n_dup_lines / n_lines)", 0.5),
+    ("x4", "ln(1 + 100e0 * n_repeat_words / n_words)", 0.5),
+]
+
+
+def _quality(lim: Limits = Limits(cutoff=60.0), median: float = 4.351) -> str:
     p, names = range(len(FEATURES)), [n for n, _, _ in FEATURES]
     pairs = [(i, j) for i in p for j in range(i + 1)]
 
@@ -104,7 +116,7 @@ near0 AS (SELECT rid, g, {", ".join(names)}, {binned(" + ".join(f"pow(({n} - m{i
     last = lim.steps
     parts += [
         f"mid AS ({disc(f'near{last + 1}', 0.5, 'mid')})",
-        f"fin AS (SELECT rid, d2 / greatest((pow(2e0, (mid + 1) / 64e0) - 1) / {lim.median}, 1e0) d2 FROM dist{last} JOIN mid USING (g))",
+        f"fin AS (SELECT rid, d2 / greatest((pow(2e0, (mid + 1) / 64e0) - 1) / {median}, 1e0) d2 FROM dist{last} JOIN mid USING (g))",
     ]
     return f"""WITH {", ".join(parts)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {lim.cutoff}, true) AS kept, round(d2, 4) AS distance

@@ -115,6 +115,33 @@ def test_outliers(spark, none):
     assert not plan_has_python(quality.judge_quality(docs))
 
 
+def test_junk_between_pipes_goes_and_one_repeated_line_stays(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def text(mark, repeat):
+        lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) + mark(k) for k in range(45)) for _ in range(rng.randint(7, 9))]
+        short = " ".join(lines[0].split()[:9])
+        return "\n".join([short, *lines[1:], short] if repeat else lines)
+
+    texts = [text(lambda k: "", False) for _ in range(300)]
+    texts += [text(lambda k: " |" if k % 2 else "", False) for _ in range(20)]  # 8 symbols to 100 word characters
+    texts += [text(lambda k: "", True) for _ in range(20)]
+    docs = frame(spark, [(i, t, "en", "src0", 1) for i, t in enumerate(texts)])
+    kept = {r.doc_id for r in quality.judge_quality(docs).collect() if r.kept}
+    assert kept == set(range(300)) | set(range(320, 340))
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
+
+
+def test_consistency():
+    """Known quantiles of chi-square: with 5 degrees 0.95 at 11.0705, 0.999 at 20.515; with 7, 0.95 at 14.0671."""
+    assert quality._chi_square(11.0705, 5) == pytest.approx(0.95, abs=1e-5)
+    assert quality._chi_square(14.0671, 7) == pytest.approx(0.95, abs=1e-5)
+    assert 1 - quality._chi_square(quality.Limits().cutoff, 5) == pytest.approx(0.001, rel=1e-3)
+    assert quality.consistency(0.75) == pytest.approx(1.4121, abs=1e-3) and quality.consistency(1.0) == pytest.approx(1)
+
+
 def test_base_rules(spark):
     texts = [" ".join(f"w{i}" for i in range(49)), " ".join(f"w{i}" for i in range(50)), "x y z " * 20, None]
     got = [r.base_failed for r in quality.judge_quality(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
