@@ -1,6 +1,7 @@
 """The engine's operators as queries over whole tables, with DuckDB SQL for each.
 
-Runs have fixed numbers of steps where SQL can't express the halting rule.
+Runs have fixed numbers of steps where SQL can't express the halting rule; ``lp_labels``
+goes on until it halts, though its SQL stops after 6 steps and so differs from it.
 """
 
 from __future__ import annotations
@@ -171,7 +172,11 @@ t AS (SELECT v, label FROM s WHERE step = {steps})"""
 
 @_query(_propagation(_SUCCESSIONS, 6) + " SELECT v AS id, label FROM t")
 def lp_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.labels(_run(tables.successions(spark, sf_dir), LABEL_PROPAGATION, max_steps=6))
+    """The labels at which propagation halts by itself, or at the program's cap.
+
+    tests/test_algorithms.py holds a brute-force version; the SQL gives those of step 6.
+    """
+    return labels.labels(_run(tables.successions(spark, sf_dir), LABEL_PROPAGATION))
 
 
 @_query(_propagation(_SUCCESSIONS, 2) + """, w AS (SELECT v, label, row_number() OVER (PARTITION BY v ORDER BY count(*) DESC, label) k FROM (

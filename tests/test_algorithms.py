@@ -115,3 +115,18 @@ def test_all_paths(spark):
     done = run(parse_graph(spark, SIMPLE), BFS.program, RunConfig(0, 0))
     found = {r.id: r.path for r in paths.all_paths(done.states, 0, 10).collect()}
     assert found == {0: [0], 1: [0, 1], 2: [0, 2], 3: [0, 1, 3], 4: [0, 1, 3, 4]}
+
+
+def test_label_query_runs_to_its_halt(spark, tmp_path):
+    """A chain of successions takes a step per vertex, and more than the 6 of the query's SQL."""
+    from sparkloom.plans.queries import QUERIES
+
+    n, rng = 14, random.Random(5)
+    buyers = [*range(n), *(rng.randrange(n // 2) for _ in range(6))]
+    rows = [(i, b, "1995-01-01" if i < n else "1995-01-02", 1000.0 * i) for i, b in enumerate(buyers)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(n).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    arcs = [(a[1], b[1], 1) for a, b in zip(rows, rows[1:]) if a[2] == b[2]]
+    want, steps, _, reached = model(n, arcs, "lp", None, None)
+    assert steps > 6 and not reached and want != model(n, arcs, "lp", None, 6)[0]
+    assert {r.id: r.label for r in QUERIES["lp_labels"](spark, str(tmp_path)).collect()} == want
