@@ -9,7 +9,8 @@ with the fewest postings are its anchors.  Their posting lists, shifted by the a
 place in the item, are intersected: an alignment (document, item, shift) survives if
 both anchors of some window are there.  Survivors are checked word by word against the
 text.  Consecutive windows share anchors, so an alignment stands for all of them.
-Only anchors' postings are shuffled, and only documents with survivors are compared.
+Only anchors' postings are shuffled.  Documents with survivors give out the few words
+that an alignment lies over, and those are compared with the item's.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ def terms(text: Column) -> Column:
     return words(lower_ascii(text), TERM)
 
 
-def _intervals(doc: Column, item: Column, shift: Column, width: Column) -> Column:
-    """(s, e) in document positions of each window of ``item`` that occurs at ``shift``."""
+def _intervals(part: Column, item: Column, shift: Column, width: Column) -> Column:
+    """(s, e) in document positions of each window of ``item`` that occurs at ``shift``; ``part``: the document's words from ``shift``, or 0, on."""
     zero = F.struct(F.lit(0).alias("run"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    skipped = F.greatest(-shift, F.lit(0))
 
     def step(a: Column, j: Column) -> Column:
-        at = shift + j
-        hit = (at >= 0) & (F.get(doc, at) == F.get(item, j))
+        hit = (j >= skipped) & (F.get(part, j - skipped) == F.get(item, j))
         run = F.when(hit, a["run"] + 1).otherwise(0)
+        at = shift + j
         return let(run, lambda r: F.struct(r.alias("run"), F.when(r >= width, F.concat(a["out"], F.array(F.struct((at - width + 1).alias("s"), (at + 1).alias("e"))))).otherwise(a["out"]).alias("out")))
 
     return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), zero, step, lambda a: a["out"])
@@ -62,9 +64,18 @@ class PositionalIndex:
         item = items.select("item_id", terms(F.col("text")).alias("iw")).distinct().filter(F.size("iw") > 0)
         self.items = stored(item.withColumn("ik", F.monotonically_increasing_id()), "items")
         vocabulary = stored(self.items.select(F.explode("iw").alias("term")).distinct(), "vocabulary")
-        tokens = self.docs.select("uid", F.posexplode(words(F.col("text"), RAW_TERM)).alias("pos", "raw"))
-        tokens = tokens.select(lower_ascii(F.col("raw")).alias("term"), "uid", "pos")
-        self.postings = stored(tokens.join(small(vocabulary, BROADCAST_ROWS), "term", "left_semi"), "postings")
+        # one pass over the texts: postings, and with each document's first word its own row
+        read = self.docs.select("doc_id", "uid", F.md5("text").alias("digest"), words(F.col("text"), RAW_TERM).alias("raws"))
+        read = read.select("doc_id", "uid", "digest", F.size("raws").cast("long").alias("n_words"), "raws")
+        tokens = read.select("doc_id", "uid", "digest", "n_words", F.posexplode_outer("raws").alias("pos", "raw"))
+        begins = F.coalesce(F.col("pos"), F.lit(0)) == 0
+        own = [F.when(begins, F.col(c)).alias(c) for c in ("doc_id", "digest", "n_words")]
+        tokens = tokens.select(lower_ascii(F.col("raw")).alias("term"), "uid", "pos", begins.alias("begins"), *own)
+        tokens = tokens.join(small(vocabulary.withColumn("known", F.lit(True)), BROADCAST_ROWS), "term", "left").filter("known OR begins")
+        written = stored(tokens, "postings")
+        self.postings = written.filter("known").select("term", "uid", "pos")
+        #: doc_id, uid, digest (md5 of the text), n_words of every row
+        self.rows = written.filter("begins").select("doc_id", "uid", "digest", "n_words")
 
     def windows(self, width: int) -> DataFrame:
         """ik, item_id, iw, width, w: array of (q1, q2), the places of each possible window's rarest terms.
@@ -102,26 +113,28 @@ class PositionalIndex:
         """doc_id, digest (md5 of the text), n_words, n_hit, matches (array of item_id, s, e) of every document.
 
         matches has each occurrence of a window of ``width`` words of an item (of the whole
-        item if it is shorter) as word positions [s, e); n_hit counts the words in any.
+        item if it is shorter) as word positions [s, e), in no order; n_hit counts the words
+        in any.
         """
         wins = stored(self.windows(width), "windows")
         hits = self._hits(wins).groupBy("uid", "ik", "shift").agg(F.collect_set("q").alias("qs"))
         both = F.exists("w", lambda x: F.array_contains("qs", x["q1"]) & F.array_contains("qs", x["q2"]))
-        survivors = hits.join(small(wins, BROADCAST_ROWS // 10), "ik").filter(both).select("uid", F.struct("item_id", "iw", "width", "shift").alias("a"))
+        held = wins.select("ik", "w", F.size("iw").alias("n"))
+        survivors = hits.join(small(held, BROADCAST_ROWS), "ik").filter(both).select("uid", F.struct("ik", "shift", "n").alias("a"))
         per_doc = stored(survivors.groupBy("uid").agg(F.collect_list("a").alias("aligned")), "alignments")
-        # survivors grow with the corpus, so they are never broadcast: one plan at every size
-        found = self.docs.join(per_doc.hint("merge"), "uid", "left")
 
-        def checked(dw: Column) -> Column:
-            def one(a: Column) -> Column:
-                return F.transform(_intervals(dw, a["iw"], a["shift"], a["width"]), lambda x: F.struct(a["item_id"].alias("item_id"), x["s"].alias("s"), x["e"].alias("e")))
+        def cut(dw: Column) -> Column:
+            return F.transform(F.col("aligned"), lambda a: F.struct(a["ik"].alias("ik"), a["shift"].alias("shift"), F.slice(dw, F.greatest(a["shift"], F.lit(0)) + 1, a["n"] + F.least(a["shift"], F.lit(0))).alias("part")))
 
-            return F.flatten(F.transform(F.col("aligned"), one))
-
-        empty = F.array().cast(f"array<struct<item_id:{self.items.schema['item_id'].dataType.simpleString()},s:int,e:int>>")
-        matches = F.when(F.col("aligned").isNull(), empty).otherwise(let(terms(F.col("text")), checked))
-        found = found.select("doc_id", F.md5("text").alias("digest"), F.size(words(F.col("text"), RAW_TERM)).cast("long").alias("n_words"), matches.alias("matches"))
-        return found.select("doc_id", "digest", "n_words", covered(F.transform("matches", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))).alias("n_hit"), "matches")
+        # survivors grow with the corpus, so they are never broadcast: one plan at every size
+        parts = self.docs.join(per_doc.hint("merge"), "uid").select("uid", F.inline(let(terms(F.col("text")), cut)))
+        parts = parts.join(small(wins.select("ik", "item_id", "iw", "width"), BROADCAST_ROWS // 10), "ik")
+        found = parts.select("uid", "item_id", F.inline(_intervals(F.col("part"), F.col("iw"), F.col("shift"), F.col("width"))))
+        found = stored(found.groupBy("uid").agg(F.collect_set(F.struct("item_id", "s", "e")).alias("matches")), "matches")
+        found = self.rows.join(found.hint("merge"), "uid", "left")
+        empty = F.array().cast(found.schema["matches"].dataType)
+        matches = F.coalesce("matches", empty)
+        return found.select("doc_id", "digest", "n_words", covered(F.transform(matches, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))).alias("n_hit"), matches.alias("matches"))
 
     def proximity(self, width: int = 10, slop: int = 3) -> DataFrame:
         """uid, item_id, q1, q2, gap: a window's two rarest terms, gap (1 to slop) words off their distance in the item."""
