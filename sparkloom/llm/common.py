@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -117,19 +117,21 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def numbered(docs: DataFrame) -> DataFrame:
     """Adds uid, a unique long that orders rows as doc_id does; columns doc_id, text, uid.
 
-    Where ids are unique and set, uid is the doc_id.  Else NULL ids come first, rows with
-    equal ids are ordered by their text's md5, and rows equal in both share a uid: they
-    are one document, reported once per row.
+    Where ids are unique and set, uid is the doc_id.  Else uid numbers the distinct pairs
+    of id and text's md5 in order, NULL ids first: rows equal in both share a uid and are
+    one document, reported once per row.  The numbers come from a range sort, so any
+    number of rows may have one id or none; nothing is computed from an id.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     per_id = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    row = per_id.agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
+    row = per_id.agg(F.max("n").alias("n"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
     if (row.n or 0) <= 1 and not row.nulls:
         return d.withColumn("uid", F.col("doc_id"))
-    known = F.coalesce("doc_id", F.lit((row.least or 0) - 1))
-    keyed = d.select("doc_id", "text", known.alias("k"), F.md5("text").alias("h"))
-    order = keyed.select("k", "h").distinct().withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("h")))
-    return keyed.join(order, ["k", "h"]).select("doc_id", "text", (F.col("k") * F.lit(row.n + 1) + F.col("i")).alias("uid"))
+    keyed = d.select("doc_id", "text", F.md5("text").alias("h"))
+    order = keyed.select("doc_id", "h").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "h")
+    # stored, since a range sort that is run again may number otherwise
+    order = stored(order.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), F.monotonically_increasing_id().alias("uid")), "uids")
+    return keyed.join(order, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("doc_id", "text", "uid")
 
 
 def shuffle_cleanup(spark: SparkSession) -> None:
