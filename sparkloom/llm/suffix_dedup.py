@@ -4,21 +4,21 @@ Suffixes start where a chunk of windows starts (see ``windows``; a unit is a byt
 reach to the chunk's end.  Suffixes whose minimizer gram occurs once can't repeat and
 are left out; the others are sorted:
 
-1. each task sorts its suffixes, settles equal ones, cuts the order at the splitters and
-   sends every range as one front-coded run: a suffix is stored as the length of the
-   prefix that it shares with its predecessor, and the rest;
-2. each range is merged by a loser tree over (shared prefix length, suffix).  The player
-   that shares more with the last winner is the smaller one; only at equal lengths are
-   bytes compared, from there on, and the loser remembers how far they agreed (Ng and
-   Kakehi 2008; Bingmann, Eberle, Sanders 2017).  No byte of a known prefix is looked
-   at again;
+1. each task sorts its suffixes in lots, settles equal ones, cuts the order at the
+   splitters and sends every range as one front-coded run;
+2. each range is merged by loser trees that never compare a known prefix again (see
+   ``runs``);
 3. neighbours in the merged order that share their whole length are repeats.
 
 Suffixes that share a gram but differ as a whole lie at the edges of repeated passages.
 Their windows may repeat one by one: neighbours of eight have a core in common, and
-where a core occurs in two different suffixes, a second sort of the same kind has a
-suffix of the window's length for each of the eight.  A string that a third of all
-documents hold is one suffix per task in the exchange.
+where a core occurs in two different suffixes, a second sort of the same kind compares
+the eight: as one string if all groups with that core are alike (by two hashes of their
+at most ``window`` + 7 bytes), else a suffix of the window's length for each.  A string
+that a third of all documents hold is one suffix per lot in the exchange.
+
+Splitters are whole suffixes from a sample of documents; they only balance the work.
+There are as many ranges as hold ``RANGE`` bytes each, or as shuffle partitions.
 """
 
 from __future__ import annotations
@@ -27,287 +27,243 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
 from .common import discard, numbered, shuffle_cleanup, stored
+from .runs import BLOCK, NUMBERS, Items, decode, front_code, gather, merge, pad, repeats, settle, unite, words_for
 from .substring_dedup import _texts
-from .windows import byte_chunks, cover, flushes, span_arrays
+from .windows import Rolling, byte_chunks, cover, flushes, span_arrays
 
-#: Bytes of suffixes that a task sorts at a time.
-LOT = 32 << 20
-PREFIX = 7  # bytes of a splitter
+#: Bytes of suffixes in a lot, suffixes that are cut out of texts at a time, bytes of suffixes in a range.
+LOT, SLICE, RANGE = 32 << 20, 1 << 16, 16 << 20
+#: Keys per range, and in all, in the sample of splitters.
+SAMPLE, MOST = 64, 1 << 20
+#: Places in a packed row of candidates.
+PLACES = 1 << 12
 
 #: Windows that share a core.
 CORE = 8
 
-_FOUND = [("uid", np.int64), ("s", np.int32), ("r", np.int32), ("h", np.int64), ("a", np.int32)]
-FOUND = "uid long, s int, r int, h long, a int, repeat boolean"
-_BLOBS = ["lcp", "size", "tails", "uid", "s", "r", "h", "a"]
+_BLOBS = ["lcp", "rest", "rests", *(n for n, _ in NUMBERS)]
 RUNS = "part int, " + ", ".join(f"{b} binary" for b in _BLOBS)
-
-Item = tuple[bytes, int, int, int, int, int]  # suffix, uid, s, r, h, a
+FOUND = "uid long, s int, r int, h long, a int, repeat boolean, cores array<struct<c:long,f:long,g:long>>"
 
 
-def shared(a: bytes, b: bytes, start: int = 0) -> int:
-    """Length of the common prefix, known to be at least ``start``."""
-    n = min(len(a), len(b)) - start
-    x = int.from_bytes(a[start : start + n], "big") ^ int.from_bytes(b[start : start + n], "big")
-    return start + n - (x.bit_length() + 7) // 8
+def _flat(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a list of structs: the row of each struct, and its fields."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.slice(int(at[0]), int(at[-1] - at[0]))
+    return np.repeat(np.arange(len(at) - 1), np.diff(at)), [values.field(c).to_numpy(zero_copy_only=False) for c in fields]
 
 
-def front_code(items: list[Item]) -> list[bytes]:
-    """The columns of a sorted run: shared lengths, rests' sizes, rests, and the numbers of ``_FOUND``."""
-    lcp, rest, last = [], [], b""
-    for x in items:
-        k = shared(last, x[0])
-        lcp.append(k)
-        rest.append(x[0][k:])
-        last = x[0]
-    numbers = [np.array(lcp, np.int32), np.array([len(x) for x in rest], np.int32)]
-    return [numbers[0].tobytes(), numbers[1].tobytes(), b"".join(rest), *(x.tobytes() for x in _numbers(items))]
+def _one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def decode(blobs: list[bytes]) -> Iterator[tuple[int, Item]]:
-    """(shared with the predecessor, item) in order."""
-    lcp, size = (np.frombuffer(b, np.int32).tolist() for b in blobs[:2])
-    rows = [np.frombuffer(b, t).tolist() for b, (_, t) in zip(blobs[3:], _FOUND)]
-    tails, at, last = blobs[2], 0, b""
-    for k, n, *row in zip(lcp, size, *rows):
-        last = last[:k] + tails[at : at + n]
-        at += n
-        yield k, (last, *row)
+def _buffer(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins."""
+    _, offsets, data = text.buffers()
+    wide = np.int64 if pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type) else np.int32
+    at = np.frombuffer(offsets, wide)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def merge(runs: list[Iterator[tuple[int, Item]]]) -> Iterator[tuple[int, Item]]:
-    """All items of sorted runs in order, each with the prefix length it shares with its predecessor.
+def candidates(corpus: DataFrame, window: int, gram: int) -> DataFrame:
+    """uid, spans (array of s, r, a, h): the chunks whose minimizer gram occurs more than once.
 
-    A tree of losers.  shares[i] is what player i's suffix shares with the last winner; -1
-    once its run is empty.
+    A lot that has a gram twice knows that all its places are candidates, and keeps them;
+    to the exchange by gram it sends one marker, so no gram has more than a row per lot.
     """
-    width = 1
-    while width < len(runs):
-        width *= 2
-    shares, now = [-1] * width, [None] * width
-    for i, run in enumerate(runs):
-        first = next(run, None)
-        if first:
-            shares[i], now[i] = 0, first[1]
-    losers = [0] * width
-
-    def play(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser)"""
-        x, y = shares[a], shares[b]
-        if x != y:
-            return (a, b) if x > y else (b, a)
-        if x < 0:
-            return a, b
-        p, q = now[a][0], now[b][0]
-        k = shared(p, q, x)
-        if k == len(p) or (k < len(q) and p[k] < q[k]):
-            shares[b] = k
-            return a, b
-        shares[a] = k
-        return b, a
-
-    def build(node: int) -> int:
-        if node >= width:
-            return node - width
-        winner, losers[node] = play(build(2 * node), build(2 * node + 1))
-        return winner
-
-    winner = build(1)
-    while shares[winner] >= 0:
-        yield shares[winner], now[winner]
-        following = next(runs[winner], None)
-        if following:
-            shares[winner], now[winner] = following
-        else:
-            shares[winner], now[winner] = -1, None
-        node = (winner + width) >> 1
-        while node:
-            winner, losers[node] = play(winner, losers[node])
-            node >>= 1
-
-
-def settle(items: Iterator[tuple[int, Item]]) -> Iterator[tuple[Item, bool]]:
-    """Each item of a merged order, and whether an equal suffix starts earlier."""
-    group: list[Item] = []
-
-    def closed() -> Iterator[tuple[Item, bool]]:
-        first = min((x[1], x[2]) for x in group)
-        kept = False
-        for x in group:
-            repeat = (x[1], x[2]) != first
-            if repeat or not kept:  # a document that is listed twice counts once
-                yield x, repeat
-            kept = kept or not repeat
-
-    for k, x in items:
-        if group and not (k == len(x[0]) == len(group[-1][0])):
-            yield from closed()
-            group = []
-        group.append(x)
-    if group:
-        yield from closed()
-
-
-def _numbers(items: list[Item]) -> list[np.ndarray]:
-    """The columns of ``_FOUND``."""
-    columns = list(zip(*items))[1:] if items else [()] * len(_FOUND)
-    return [np.array(c, t) for c, (_, t) in zip(columns, _FOUND)]
-
-
-def _found(rows: list[tuple[Item, bool]]) -> dict[str, pa.Array]:
-    out = {n: pa.array(c) for (n, _), c in zip(_FOUND, _numbers([x for x, _ in rows]))}
-    return out | {"repeat": pa.array([b for _, b in rows], pa.bool_())}
-
-
-def _spans(column: pa.Array) -> list[list[tuple[int, int, int, int]]]:
-    """Of each row its spans as (s, r, a, h), without a Python object per field."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    at = column.offsets.to_numpy().tolist()
-    flat = column.values
-    rows = list(zip(*(flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("s", "r", "a", "h"))))
-    return [rows[x:y] for x, y in zip(at, at[1:])]
-
-
-def candidates(corpus: DataFrame, window: int, gram: int) -> DataFrame:
-    """uid, spans (array of s, r, a, h): the chunks whose minimizer gram occurs more than once."""
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k in flushes(byte_chunks(_texts(batches), window, gram)):
-            k = k.take(np.lexsort((k.s, k.uid, k.h)))
-            at = np.flatnonzero(np.concatenate([[True], k.h[1:] != k.h[:-1]]))
-            stop = np.concatenate([at[1:], [len(k)]])
-            rest = np.stack([k.uid, k.s, k.r, k.a], axis=1).astype(np.int64)
-            more: list[bytes | None] = [None] * len(at)
-            for i in np.flatnonzero(stop - at > 1).tolist():
-                more[i] = rest[at[i] + 1 : stop[i]].tobytes()
-            own = [pa.array(k.h[at].view(np.int64)), pa.array(k.uid[at]), *(pa.array(c[at].astype(np.int32)) for c in (k.s, k.r, k.a))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(more, pa.binary())], ["h", "uid", "s", "r", "a", "more"])
+        for n, k in enumerate(flushes(byte_chunks(_texts(batches), window, gram))):
+            k = k.take(np.argsort(k.h, kind="stable"))
+            new = np.concatenate([[True], k.h[1:] != k.h[:-1]])
+            at = np.flatnonzero(new)
+            twice = np.diff(np.concatenate([at, [len(k)]])) > 1
+            own = k.take(at)
+            numbers = [pa.array(c[at].astype(t)) for c, t in ((k.uid, np.int64), (k.s, np.int32), (k.r, np.int32), (k.a, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(own.h.view(np.int64)), *numbers, pa.array(twice), pa.nulls(len(at), pa.binary())], ["h", "uid", "s", "r", "a", "twice", "places"])
+            known = k.take(np.flatnonzero(twice[np.cumsum(new) - 1]))
+            known = known.take(np.lexsort((known.s, known.uid)))
+            rows = np.stack([known.uid, known.s, known.r, known.a, known.h.view(np.int64)], axis=1).astype(np.int64)
+            blobs = [rows[i : i + PLACES].tobytes() for i in range(0, len(rows), PLACES)]
+            # packed places take no part in the count; their hash only spreads them
+            spread = np.random.default_rng([n, len(k), int(k.h[0] & np.uint64(0xFFFFFFFF))]).integers(-(1 << 63), (1 << 63) - 1, len(blobs))
+            none = pa.nulls(len(blobs), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(blobs), pa.int64()), none, none, none, pa.array(np.zeros(len(blobs), bool)), pa.array(blobs, pa.binary())], ["h", "uid", "s", "r", "a", "twice", "places"])
+
+    place = pa.struct([("s", pa.int32()), ("r", pa.int32()), ("a", pa.int32()), ("h", pa.int64())])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            own = np.stack([x.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("uid", "s", "r", "a", "h")], axis=1)
-            parts = [own]
-            for i in np.flatnonzero(x.column("more").is_valid().to_numpy(zero_copy_only=False)).tolist():
-                rest = np.frombuffer(x.column("more")[i].as_buffer(), np.int64).reshape(-1, 4)
-                parts.append(np.concatenate([rest, np.full((len(rest), 1), own[i, 4])], axis=1))
+            packed = x.column("places")
+            single = np.flatnonzero(~packed.is_valid().to_numpy(zero_copy_only=False))
+            parts = [np.stack([x.column(c).take(pa.array(single)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("uid", "s", "r", "a", "h")], axis=1)]
+            parts += [np.frombuffer(b.as_buffer(), np.int64).reshape(-1, 5) for b in packed.drop_null()]
             a = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), *(pa.array(a[:, c].astype(np.int32)) for c in (1, 2, 3)), pa.array(a[:, 4])], ["uid", "s", "r", "a", "h"])
-
-    # a row per gram and lot; a window over them tells whether another lot has the gram
-    rows = corpus.select("uid", "text").mapInArrow(lots, "h long, uid long, s int, r int, a int, more binary")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(SqlWindow.partitionBy("h"))).filter("n > 1 OR more IS NOT NULL").drop("n")
-    rows = rows.select("h", "uid", "s", "r", "a", "more").mapInArrow(listed, "uid long, s int, r int, a int, h long")
-    return rows.groupBy("uid").agg(F.collect_list(F.struct("s", "r", "a", "h")).alias("spans"))
-
-
-def splitters(corpus: DataFrame, parts: int) -> np.ndarray:
-    """Bounds between ranges of suffixes, from one place in each text; they only balance the work."""
-    bytes_ = F.encode(F.col("text"), "UTF-8")
-    at = F.pmod(F.xxhash64("uid"), F.greatest(F.octet_length("text") - PREFIX, F.lit(1)).cast("long")) + 1
-    cut = F.substring(bytes_, at.cast("int"), F.lit(PREFIX))
-    value = F.conv(F.hex(cut), 16, 10).cast("long")
-    found = corpus.filter(F.octet_length("text") > PREFIX).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10000)).first()[0] if parts > 1 else None
-    return np.unique(np.array(found or [], np.int64))
-
-
-def suffix_runs(corpus: DataFrame, spans: DataFrame, bounds: np.ndarray, window: int, each: bool) -> DataFrame:
-    """Front-coded sorted runs of suffixes: of whole chunks, or (``each``) of all their windows."""
-
-    def lot(first: dict[bytes, tuple], repeats: list[Item]) -> Iterator[pa.RecordBatch]:
-        yield emit(-1, [b"", b"", b"", *(x.tobytes() for x in _numbers(repeats))])
-        keys = sorted(first)
-        prefix = np.array([int.from_bytes(x[:PREFIX], "big") for x in keys], np.int64)
-        part = np.searchsorted(bounds, prefix, side="right")
-        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if keys else []
-        for x, y in zip(edges, [*edges[1:], len(keys)]):
-            yield emit(int(part[x]), front_code([(k, *first[k]) for k in keys[x:y]]))
-
-    names = ["part", *_BLOBS]
+            a = a[np.argsort(a[:, 0], kind="stable")]
+            head = np.flatnonzero(np.concatenate([[True], a[1:, 0] != a[:-1, 0]])) if len(a) else np.zeros(0, np.int64)
+            values = pa.StructArray.from_arrays([*(pa.array(a[:, c].astype(np.int32)) for c in (1, 2, 3)), pa.array(a[:, 4])], fields=list(place))
+            yield pa.RecordBatch.from_arrays([pa.array(a[head, 0]), pa.ListArray.from_arrays(pa.array(np.append(head, len(a)).astype(np.int32)), values)], ["uid", "spans"])
+
+    rows = corpus.select("uid", "text").mapInArrow(lots, "h long, uid long, s int, r int, a int, twice boolean, places binary")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(SqlWindow.partitionBy("h"))).filter("places IS NOT NULL OR (n > 1 AND NOT twice)")
+    rows = rows.select("h", "uid", "s", "r", "a", "places").mapInArrow(listed, "uid long, spans array<struct<s:int,r:int,a:int,h:long>>")
+    return rows.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], window: int, words: int, each: bool) -> Iterator[Items]:
+    """Suffixes of rows (uid, text, spans) in slices: of whole chunks, or (``each``) of all windows where a is 0."""
+    for x in batches:
+        data, begin = _buffer(_one(x.column("text")))
+        padded = pad(data, words)
+        uid = x.column("uid").to_numpy(zero_copy_only=False)
+        doc, (s, r, a, h) = _flat(_one(x.column("spans")), ("s", "r", "a", "h"))
+        many = np.where(a == 0, r, 1) if each else np.ones(len(r), np.int64)
+        load = np.cumsum(many) // SLICE
+        for part in np.split(np.arange(len(s)), np.flatnonzero(np.diff(load)) + 1):
+            if not len(part):
+                continue
+            n = many[part]
+            at = np.repeat(part, n)
+            step = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            numbers = [uid[doc[at]], (s[at] + step).astype(np.int32), np.where(many[at] > 1, 1, r[at]).astype(np.int32), h[at], a[at]]
+            size = numbers[2].astype(np.int64) + window - 1
+            yield Items(gather(padded, begin[doc[at]] + numbers[1], size, words), size, numbers)
+
+
+def splitters(docs: DataFrame, spans: DataFrame, window: int, words: int, each: bool) -> list[bytes]:
+    """Bounds of ranges of suffixes, from the suffixes of a sample of documents."""
+    load = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (F.when(x["a"] == 0, x["r"]).otherwise(1) if each else 1))
+    total = spans.agg(F.sum(load)).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * 8 * words // RANGE))
+    step = 256  # one key in so many, from so many times more documents
+    share = min(1.0, step * min(MOST, SAMPLE * parts) / max(1, total))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _suffixes(batches, window, words, each):
+            rows = x.take(np.arange(len(x) // step % step, len(x), step)).bytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in rows], pa.binary())], ["key"])
+
+    sample = F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)
+    rows = docs.select("uid", "text").filter(sample).join(spans.filter(sample).hint("merge"), "uid").mapInArrow(keys, "key binary")
+    found = sorted({bytes(r.key) for r in rows.collect()})  # MOST at most, as bounded as a range sort's own sample
+    return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
+
+
+def suffix_runs(corpus: DataFrame, spans: DataFrame, window: int, words: int, each: bool) -> DataFrame:
+    """Front-coded sorted runs of suffixes; part -1: the places that a lot has settled, without their suffixes."""
+    kind = f"S{8 * words}"
+    bounds = np.array(splitters(corpus, spans, window, words, each), kind)
     types = [pa.int32(), *[pa.binary()] * len(_BLOBS)]
 
-    def emit(part: int, blobs: list[bytes]) -> pa.RecordBatch:
-        """A run; part -1 has the repeats that a lot has settled, without their suffixes."""
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([part, *blobs], types)], names)
+    def row(part: int, blobs: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([part, *(b if isinstance(b, bytes) else b.tobytes() for b in blobs)], types)], ["part", *_BLOBS])
+
+    def lot(held: list[Items]) -> Iterator[pa.RecordBatch]:
+        items = Items.join(held)
+        held.clear()
+        distinct, rest = settle(items)
+        del items
+        uid, s, r = unite(*rest.numbers[:3])
+        yield row(-1, [b"", b"", b"", uid, s.astype(np.int32), r.astype(np.int32), b"", b""])
+        cuts = [0, *np.searchsorted(distinct.bytes().view(kind).ravel(), bounds, side="right").tolist(), len(distinct)]
+        for part, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            if x < y:
+                run = distinct.take(slice(x, y))
+                yield row(part, [*front_code(run), *run.numbers])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[bytes, tuple] = {}
-        repeats: list[Item] = []
-        size = 0
-        for x in batches:
-            for uid, t, own in zip(x.column("uid").to_pylist(), x.column("text"), _spans(x.column("spans"))):
-                text = t.as_buffer().to_pybytes()
-                if each:
-                    own = [(i, 1, 0, h) for s, r, _, h in own for i in range(s, s + r)]
-                for s, r, a, h in own:
-                    key, item = text[s : s + r + window - 1], (uid, s, r, h, a)
-                    size += len(key)
-                    seen = first.setdefault(key, item)
-                    if seen[:2] < item[:2]:
-                        repeats.append((b"", *item))
-                    elif seen[:2] > item[:2]:
-                        repeats.append((b"", *seen))
-                        first[key] = item
-                if size >= LOT:
-                    yield from lot(first, repeats)
-                    first, repeats, size = {}, [], 0
-        if size:
-            yield from lot(first, repeats)
+        held: list[Items] = []
+        for x in _suffixes(batches, window, words, each):
+            held.append(x)
+            if sum(map(len, held)) * 8 * words >= LOT:
+                yield from lot(held)
+        if held:
+            yield from lot(held)
 
     # the documents with candidates grow with the corpus: merged at every size, never broadcast
     return stored(corpus.select("uid", "text").join(spans.hint("merge"), "uid").mapInArrow(sort, RUNS), "suffix-runs")
 
 
-def core_hashes(suffix: bytes, r: int, a: int, window: int) -> list[int]:
-    """Of each group of ``CORE`` windows with neighbouring distances to the gram, the hash of what all of them hold.
+CORES = pa.struct([("c", pa.int64()), ("f", pa.int64()), ("g", pa.int64())])
 
-    The k-th group has the windows that start CORE k to CORE k + CORE - 1 bytes before the
-    gram; equal windows are in equal groups.  ``a`` is the gram's place in the suffix.
-    """
-    least = max(a - r + 1, 0)
-    return [xxhash.xxh3_64_intdigest(suffix[a - CORE * k : a - CORE * k + window - CORE + 1], k) - (1 << 63) for k in range(least // CORE, a // CORE + 1)]
 
+def core_hashes(items: Items, window: int) -> pa.Array:
+    """Of each suffix and group of ``CORE`` windows with neighbouring distances to the gram, a hash of what all of them hold, and two of the whole group.
 
-def merge_runs(runs: DataFrame, window: int | None = None) -> DataFrame:
-    """uid, s, r, h, a, repeat, cores: of all suffixes, with the cores of distinct ones, if ``window`` is given; else of repeats."""
-    kind = pa.list_(pa.int64())
+    The k-th group has the windows that start CORE k to CORE k + CORE - 1 bytes before the
+    gram; equal windows are in equal groups, the first that of the last window.
+    """
+    _, _, r, _, a = (c.astype(np.int64) for c in items.numbers)
+    least = np.maximum(a - r + 1, 0) // CORE
+    n = a // CORE - least + 1
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for i in range(0, len(items), BLOCK // 2):  # as many bytes as a buffer of ``windows``
+        part = slice(i, i + BLOCK // 2)
+        rows = items.take(part).bytes()
+        which = np.repeat(np.arange(len(rows)), n[part])
+        k = least[part][which] + np.arange(len(which)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+        row, gram = which * rows.shape[1], a[part][which]
+        first = row + np.maximum(gram - CORE * k - CORE + 1, 0)
+        last = row + np.minimum(r[part][which] - 1, gram - CORE * k) + window
+        roll, roll2 = (Rolling(rows.ravel(), w) for w in (0, 1))
+        begin = row + gram - CORE * k
+        for o, x in zip(out, (roll.of(begin, begin + window - CORE + 1), roll.of(first, last), roll2.of(first, last))):
+            o.append((x + k.astype(np.uint64)).view(np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(np.concatenate(o)) for o in out], fields=list(CORES)))
+
+
+def merge_runs(runs: DataFrame, window: int, words: int, distinct: bool) -> DataFrame:
+    """``FOUND``: spans of repeats and, if ``distinct``, all different suffixes with their cores."""
+    names, lists = ["uid", "s", "r", "h", "a", "repeat", "cores"], pa.list_(CORES)
+
+    def spans(uid: np.ndarray, s: np.ndarray, r: np.ndarray) -> list[pa.Array]:
+        none = pa.nulls(len(uid), pa.int64())
+        return [pa.array(uid), pa.array(s.astype(np.int32)), pa.array(r.astype(np.int32)), none, none.cast(pa.int32()), pa.array(np.ones(len(uid), bool)), pa.nulls(len(uid), lists)]
 
     def merged(table: pa.Table) -> pa.Table:
-        runs = [decode([table.column(b)[i].as_py() for b in _BLOBS]) for i in range(table.num_rows)]
-        rows = [x for x in settle(merge(runs)) if window or x[1]]
-        cores = [None if repeat or not window else core_hashes(x[0], x[3], x[5], window) for x, repeat in rows]
-        return pa.table(_found(rows) | {"cores": pa.array(cores, kind)})
+        held = []
+        for i in range(table.num_rows):
+            lcp, rest, rests, *numbers = (table.column(b)[i].as_py() for b in _BLOBS)
+            lcp = np.frombuffer(lcp, np.int32)
+            held.append((decode(lcp, np.frombuffer(rest, np.int32), rests, [np.frombuffer(c, t) for c, (_, t) in zip(numbers, NUMBERS)], words), lcp))
+        items, placed, common = merge(held)
+        found, repeat = repeats(items, placed, common)
+        out = pa.table(spans(*unite(*(c[found[repeat]] for c in items.numbers[:3]))), names)
+        if distinct:
+            kept = items.take(found[~repeat])
+            out = pa.concat_tables([out, pa.table([*map(pa.array, kept.numbers), pa.array(np.zeros(len(kept), bool)), core_hashes(kept, window)], names)])
+        return out
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for i in range(x.num_rows):
-                row = [np.frombuffer(x.column(n)[i].as_py(), t) for n, t in _FOUND]
-                n = len(row[0])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, row), pa.array(np.ones(n, bool)), pa.nulls(n, kind)], [*(n for n, _ in _FOUND), "repeat", "cores"])
+                yield pa.RecordBatch.from_arrays(spans(*(np.frombuffer(x.column(n)[i].as_py(), t) for n, t in NUMBERS[:3])), names)
 
-    out = FOUND + ", cores array<long>"
-    local = runs.filter("part < 0").mapInArrow(unpack, out)
-    return runs.filter("part >= 0").groupBy("part").applyInArrow(merged, out).unionByName(local)
+    local = runs.filter("part < 0").mapInArrow(unpack, FOUND)
+    return runs.filter("part >= 0").groupBy("part").applyInArrow(merged, FOUND).unionByName(local)
 
 
 def edges(whole: DataFrame) -> DataFrame:
-    """uid, spans: the groups of windows whose core occurs in two different suffixes with one gram."""
+    """uid, spans: the groups of windows whose core occurs in two different suffixes with one gram; a is 1 if all groups with that core are alike."""
     distinct = whole.filter("NOT repeat")
     mixed = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "suffix-mixed")
     # the first group is that of the last window
     group = F.floor(F.greatest(F.col("a") - F.col("r") + 1, F.lit(0)) / CORE).cast("int") + F.col("k")
-    cores = stored(distinct.join(mixed, "h").select("uid", "s", "r", "a", "h", F.posexplode("cores").alias("k", "core")).withColumn("k", group), "suffix-cores")
-    again = stored(cores.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "suffix-again")
-    discard(mixed)
     gram = F.col("s") + F.col("a")
     first = F.greatest(F.col("s"), gram - F.col("k") * CORE - (CORE - 1))
     last = F.least(F.col("s") + F.col("r") - 1, gram - F.col("k") * CORE)
-    spans = cores.join(again, "core").select("uid", first.alias("s"), (last - first + 1).alias("r"), F.lit(0).alias("a"), "h")
+    cores = distinct.join(mixed, "h").select("uid", "s", "r", "a", "h", F.posexplode("cores").alias("k", "core")).withColumn("k", group)
+    cores = stored(cores.select("uid", first.alias("s"), (last - first + 1).alias("r"), "h", "core.*"), "suffix-cores")
+    kinds = F.struct("f", "g", "r")
+    again = cores.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min(kinds).alias("x"), F.max(kinds).alias("y")).filter("n > 1")
+    again = stored(again.select("c", F.expr("CAST(x = y AS INT)").alias("a")), "suffix-again")
+    discard(mixed)
+    spans = cores.join(again, "c").select("uid", "s", "r", "a", "h")
     out = stored(spans.groupBy("uid").agg(F.collect_set(F.struct("s", "r", "a", "h")).alias("spans")), "suffix-edges")
     discard(cores)
     discard(again)
@@ -327,18 +283,18 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFr
     spark = docs.sparkSession
     shuffle_cleanup(spark)
     corpus = numbered(docs).select("doc_id", "uid", "text")
-    bounds = splitters(corpus, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spans = stored(candidates(corpus, window, gram), "suffix-candidates")
-    runs = suffix_runs(corpus, spans, bounds, window, each=False)
+    words = words_for(2 * window - gram)  # the longest chunk
+    runs = suffix_runs(corpus, spans, window, words, each=False)
     discard(spans)
-    whole = stored(merge_runs(runs, window), "suffix-order")
+    whole = stored(merge_runs(runs, window, words, distinct=True), "suffix-order")
     discard(runs)
     near = edges(whole)
-    runs = suffix_runs(corpus, near, bounds, window, each=True)
+    words = words_for(window + CORE - 1)
+    runs = suffix_runs(corpus, near, window, words, each=True)
     discard(near)
-    single = stored(merge_runs(runs).filter("repeat").select("uid", "s", "r", "repeat"), "suffix-windows")
-    discard(runs)
-    found = whole.select("uid", "s", "r", "repeat").unionByName(single).filter("repeat").groupBy("uid").agg(F.collect_set(F.struct("s", "r")).alias("spans"))
+    single = merge_runs(runs, window, words, distinct=False).select("uid", "s", "r")
+    found = whole.filter("repeat").select("uid", "s", "r").unionByName(single).groupBy("uid").agg(F.collect_list(F.struct("s", "r")).alias("spans"))
 
     def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in parts:
@@ -353,7 +309,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFr
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), *(pa.array(v, pa.int64()) for v in (n, gone, runs)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     found = stored(found, "suffix-spans")
-    for df in (whole, single):
+    for df in (whole, runs):
         discard(df)
     joined = corpus.join(found.hint("merge"), "uid", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(rebuild, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

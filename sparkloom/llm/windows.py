@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Units of window starts in a piece, bytes in a buffer, chunks collected before they are sorted.
-PIECE, BUFFER, FLUSH = 1 << 20, 1 << 21, 1 << 20
+PIECE, BUFFER, FLUSH = 1 << 20, 1 << 18, 1 << 20
 
 _POS = np.uint64((1 << 31) - 1)
 _rng = np.random.Generator(np.random.PCG64(20240229))

@@ -19,7 +19,8 @@ def test_repeated_words(odd, odd_rows, order_keys, batches):
     assert got == want
 
 
-def test_repeated_bytes(odd, odd_rows, order_keys):
+def test_repeated_bytes(odd, odd_rows, order_keys, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "RANGE", 1 << 14)  # many ranges
     units = [(k, (r[1] or "").encode()) for k, r in zip(order_keys, odd_rows)]
     want = Counter()
     for r, (_, u), g in zip(odd_rows, units, brute.repeats(units, 100)):
@@ -71,22 +72,6 @@ def test_sliding_min():
     assert len(windows.sliding_min(x, 1001)) == 0
 
 
-@pytest.mark.parametrize("runs", [1, 2, 5])
-def test_loser_tree(runs):
-    rng = random.Random(runs)
-    items = [[(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))), rng.randrange(4), i, 1, 0, 0) for i in range(rng.randint(0, 60))] for _ in range(runs)]
-    for x in items:
-        x.sort()
-    coded = [suffix_dedup.front_code(x) for x in items]
-    assert [[y for _, y in suffix_dedup.decode(c)] for c in coded] == items
-    merged = list(suffix_dedup.merge([suffix_dedup.decode(c) for c in coded]))
-    assert [x[0] for _, x in merged] == sorted(x[0] for run in items for x in run)
-    last = b""
-    for k, x in merged:
-        assert k == suffix_dedup.shared(last, x[0])
-        last = x[0]
-
-
 def test_simhash(odd, odd_rows):
     fps = [brute.fingerprint(r[1]) for r in odd_rows]
     root = brute.classes(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
