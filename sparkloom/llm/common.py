@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +56,16 @@ def md5_uniform(*cols: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is
-    made and set.
+    Only where the session names none and runs on one machine (tests) a temporary folder
+    is made and set; on a cluster executors couldn't reach it, so that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
             base = sc.getCheckpointDir()
     return base.rstrip("/")
@@ -78,6 +82,56 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = hadoop_fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Make the file ``path`` with ``text`` at one stroke; False if it exists, whoever made it.
+
+    The text is written beside it first.  A local file is then linked, which fails if the
+    name is taken; elsewhere the store's own rename without overwriting decides (atomic
+    on HDFS; a store without an atomic rename can't hold manifests for several writers).
+    """
+    jvm = spark.sparkContext._jvm
+    folder, _, name = path.rpartition("/")
+    fs, target = hadoop_fs(spark, path)
+    _, draft = hadoop_fs(spark, f"{folder}/_draft-{name}-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+            return True
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(draft, target, none)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers n of the files v<n>.json in a folder, in order."""
+    fs, p = hadoop_fs(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

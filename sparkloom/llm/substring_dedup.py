@@ -1,35 +1,38 @@
 """Substring dedup over a log-structured index of window fingerprints.
 
-The index holds sorted immutable runs, one per batch, of chunk fingerprints (see
-``windows``): gram hash h, an independent hash c of the whole chunk, and the first
-place of that chunk.  A new batch is
+The index holds sorted immutable runs of chunk fingerprints (see ``windows``): gram hash
+h, a 128-bit digest c of the chunk's words, and the first place of that chunk.  A run is
+bucketed by (h, c) and sorted inside its buckets, so a batch that is dealt out alike
+merges with it and no run is shuffled again.  A new batch is
 
 1. fingerprinted where its texts are read; repeats inside one task are settled there,
    so a passage that a third of all documents share is one row per task from then on;
 2. sorted by (h, c) into a run, repeats inside the batch settled on the way;
 3. merge-joined with the older runs: a chunk that an older run holds is a repeat;
-4. verified: chunks whose gram occurs in chunks of another shape are compared window by
-   window with the texts of both sides, by 128-bit digests of the windows' words;
-5. committed, and runs of similar size are compacted into one.
+4. verified: a chunk counts as equal only by the digest of all its words, and chunks
+   whose gram occurs in chunks of another shape are compared window by window with the
+   texts of both sides, by digests of the windows' words;
+5. committed by a manifest, and runs of similar size are compacted into one.
 
 Removed words never influence what counts as a repeat: windows are judged on the input.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import delete, discard, numbered, scratch, shuffle_cleanup, stored
-from .windows import Chunks, cover, flushes, span_arrays, word_chunks
+from .common import create_once, delete, discard, numbered, read_text, scratch, shuffle_cleanup, stored, versions
+from .windows import Chunks, cover, digests, flushes, span_arrays, word_chunks
 
-RUN = "h long, c long, uid long, s int, r int"
+RUN = "h long, c binary, uid long, s int, r int"
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
@@ -39,28 +42,59 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
 
 
 def _rows(k: Chunks, repeat: np.ndarray) -> pa.RecordBatch:
+    both = np.stack([k.c, k.d], axis=1)
+    digest = pa.Array.from_buffers(pa.binary(16), len(k), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(k.h.view(np.int64)), pa.array(k.c.view(np.int64)), pa.array(k.uid), pa.array(k.s.astype(np.int32)), pa.array(k.r.astype(np.int32)), pa.array(repeat)],
+        [pa.array(k.h.view(np.int64)), digest, pa.array(k.uid), pa.array(k.s.astype(np.int32)), pa.array(k.r.astype(np.int32)), pa.array(repeat)],
         ["h", "c", "uid", "s", "r", "repeat"],
     )
 
 
 def settle(k: Chunks) -> tuple[Chunks, np.ndarray]:
-    """Sorted by (h, c, uid, s), and which chunks repeat an earlier one of the same lot."""
-    k = k.take(np.lexsort((k.s, k.uid, k.c, k.h)))
-    same = np.concatenate([[False], (k.h[1:] == k.h[:-1]) & (k.c[1:] == k.c[:-1])])
+    """Sorted by (h, digest, uid, s), and which chunks repeat an earlier one of the same lot."""
+    k = k.take(np.lexsort((k.s, k.uid, k.d, k.c, k.h)))
+    same = np.concatenate([[False], (k.h[1:] == k.h[:-1]) & (k.c[1:] == k.c[:-1]) & (k.d[1:] == k.d[:-1])])
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
     later = (k.uid > k.uid[first]) | (k.s > k.s[first])
     return k, same & later
 
 
 class FingerprintIndex:
-    """``add`` batches in order of their documents; windows of earlier batches count as earlier."""
+    """``add`` batches in order of their documents; windows of earlier batches count as earlier.
 
-    def __init__(self, spark: SparkSession, window: int = 20, gram: int = 10, fanout: int = 2):
+    ``root`` keeps the index: runs below ``runs/``, and ``manifest/v<n>.json`` with the runs
+    of version n.  Another job opens it by the same path and goes on from the newest
+    version.  Without ``root`` it lives in the shared folder until the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = 20, gram: int = 10, fanout: int = 2, root: str | None = None):
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
-        self.runs: list[tuple[int, str]] = []  # rows, path
+        self.root = (root or scratch(spark, "index")).rstrip("/")
+        self.runs: list[dict] = []  # rows, path, buckets
+        self.version = 0
+        self._tables: dict[str, str] = {}
         shuffle_cleanup(spark)
+        # a bucket is one sorted file, so a run needs no sort before it is merged
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        if known := versions(spark, f"{self.root}/manifest"):
+            self.version = known[-1]
+            saved = json.loads(read_text(spark, self._manifest(self.version)))
+            if (saved["window"], saved["gram"]) != (window, gram):
+                raise ValueError(f"the index at {self.root} has windows of {saved['window']} words and grams of {saved['gram']}")
+            self.runs = saved["runs"]
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.root}/manifest/v{version:08d}.json"
+
+    def _commit(self, runs: list[dict]) -> None:
+        text = json.dumps({"window": self.window, "gram": self.gram, "runs": runs})
+        if not create_once(self.spark, self._manifest(self.version + 1), text):
+            raise RuntimeError(f"another job has added to the index at {self.root}")
+        self.version, self.runs = self.version + 1, runs
+
+    def _buckets(self) -> int:
+        """As the first run has; else the session's shuffle partitions."""
+        return self.runs[0]["buckets"] if self.runs else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _fingerprints(self, docs: DataFrame) -> DataFrame:
         window, gram = self.window, self.gram
@@ -71,13 +105,33 @@ class FingerprintIndex:
 
         return docs.select("uid", "text").mapInArrow(run, RUN + ", repeat boolean")
 
-    def _run(self, path: str) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(path)
+    def _write(self, rows: DataFrame, buckets: int) -> dict:
+        """``rows``, dealt out by (h, c) to ``buckets`` tasks, as a run: a sorted file for each bucket."""
+        path, name = f"{self.root}/runs/{uuid.uuid4().hex}", f"run_{uuid.uuid4().hex}"
+        rows.select("h", "c", "uid", "s", "r").write.bucketBy(buckets, "h", "c").sortBy("h", "c").option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+        self._tables[path] = name
+        return {"rows": self.spark.table(name).count(), "path": path, "buckets": buckets}
+
+    def _run(self, run: dict) -> DataFrame:
+        if run["path"] not in self._tables:
+            name = f"run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} (h BIGINT, c BINARY, uid BIGINT, s INT, r INT) USING parquet CLUSTERED BY (h, c) SORTED BY (h, c) INTO {run['buckets']} BUCKETS LOCATION '{run['path']}'")
+            self._tables[run["path"]] = name
+        return self.spark.table(self._tables[run["path"]])
+
+    def close(self) -> None:
+        """Forget the runs' table names; the files stay."""
+        for name in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._tables.clear()
+
+    def _drop(self, run: dict) -> None:
+        if name := self._tables.pop(run["path"], None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, run["path"])
 
     def history(self) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], RUN)
-        return self.spark.read.schema(RUN).parquet(*[path for _, path in self.runs])
+        return reduce(DataFrame.unionByName, map(self._run, self.runs)) if self.runs else self.spark.createDataFrame([], RUN)
 
     def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
         """uid, s, r of the batch's repeated windows (r windows from word s on).
@@ -88,21 +142,20 @@ class FingerprintIndex:
         marked = stored(self._fingerprints(batch), "fingerprints")
         repeats = [stored(marked.filter("repeat").select("uid", "s", "r"), "repeats")]
         # 2: the run.  Lots have settled their own repeats, so (h, c) has a row per lot at most
+        buckets = self._buckets()
         first = F.first(F.struct("uid", "s")).over(Window.partitionBy("h", "c").orderBy("uid", "s"))
-        ranked = marked.filter("NOT repeat").drop("repeat").withColumn("seen", F.struct("uid", "s") > first)
-        # 3: merge join with the older runs
-        old = self.history()
-        if self.runs:
-            known = old.select("h", "c", F.lit(True).alias("known"))
-            ranked = ranked.join(known, ["h", "c"], "left").withColumn("seen", F.col("seen") | F.col("known").isNotNull()).drop("known")
+        dealt = marked.filter("NOT repeat").drop("repeat").repartition(buckets, "h", "c")
+        ranked = dealt.withColumn("seen", F.struct("uid", "s") > first)
+        # 3: merge join with the older runs, which are bucketed and sorted by the same keys
+        for run in self.runs:
+            known = self._run(run).select("h", "c", F.lit(True).alias("known"))
+            ranked = ranked.join(known.hint("merge"), ["h", "c"], "left").withColumn("seen", F.col("seen") | F.col("known").isNotNull()).drop("known")
         ranked = stored(ranked, "ranked")
         discard(marked)
         repeats.append(stored(ranked.filter("seen").select("uid", "s", "r"), "repeats"))
-        path = scratch(self.spark, "run")
-        # rows come sorted by (h, c) out of the window and the merge join
-        ranked.filter("NOT seen").select("h", "c", "uid", "s", "r").write.option("compression", "zstd").parquet(path)
+        run = self._write(ranked.filter("NOT seen").repartition(buckets, "h", "c"), buckets)
         discard(ranked)
-        fresh = self._run(path)
+        fresh, old = self._run(run), self.history()
         # 4: grams that occur in chunks of different shape
         shapes = fresh.select("h", "c").unionByName(old.select("h", "c")).groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"))
         mixed = stored(shapes.filter("a <> b").select("h"), "mixed")
@@ -112,7 +165,7 @@ class FingerprintIndex:
         repeats.append(self._verify(sides, corpus))
         discard(sides)
         # 5: commit, compact
-        self.runs.append((fresh.count(), path))
+        self._commit([*self.runs, run])
         self._compact()
         return reduce(DataFrame.unionByName, repeats)
 
@@ -126,12 +179,14 @@ class FingerprintIndex:
                 uid, s, new, text = [], [], [], []
                 for u, t, spans in zip(x.column("uid").to_pylist(), x.column("text"), x.column("spans").to_pylist()):
                     w = t.as_buffer().to_pybytes().split()
-                    for span in spans:
-                        for i in range(span["s"], span["s"] + span["r"]):
-                            uid.append(u)
-                            s.append(i)
-                            new.append(span["new"])
-                            text.append(xxhash.xxh3_128_digest(b" ".join(w[i : i + window])))
+                    stop = np.cumsum([len(v) + 1 for v in w]) - 1
+                    start = stop - [len(v) for v in w]
+                    at = np.concatenate([np.arange(y["s"], y["s"] + y["r"]) for y in spans])
+                    joined = digests(b" ".join(w), start[at], stop[at + window - 1])
+                    uid += [u] * len(at)
+                    s += at.tolist()
+                    new += [y["new"] for y in spans for _ in range(y["r"])]
+                    text += [joined[i : i + 16] for i in range(0, len(joined), 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(s, pa.int32()), pa.array(new, pa.bool_()), pa.array(text, pa.binary())], ["uid", "s", "new", "w"])
 
         # the documents with edges grow with the corpus: merged at every size, never broadcast
@@ -146,17 +201,13 @@ class FingerprintIndex:
         """Merge the newest runs while ``fanout`` of them are of similar size (within that factor)."""
         while len(self.runs) >= self.fanout:
             tail = self.runs[-self.fanout :]
-            if max(n for n, _ in tail) > self.fanout * max(1, min(n for n, _ in tail)):
+            if max(r["rows"] for r in tail) > self.fanout * max(1, min(r["rows"] for r in tail)):
                 return
-            merged = scratch(self.spark, "run")
-            rows = self._run(tail[0][1])
-            for _, path in tail[1:]:
-                rows = rows.unionByName(self._run(path))
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            rows.repartition(n, "h", "c").sortWithinPartitions("h", "c").write.option("compression", "zstd").parquet(merged)
-            for _, path in tail:
-                delete(self.spark, path)
-            self.runs[-self.fanout :] = [(sum(n for n, _ in tail), merged)]
+            buckets = tail[0]["buckets"]
+            rows = reduce(DataFrame.unionByName, map(self._run, tail))
+            self._commit([*self.runs[: -self.fanout], self._write(rows.repartition(buckets, "h", "c"), buckets)])
+            for run in tail:
+                self._drop(run)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 10, batches: int = 2) -> DataFrame:
@@ -171,7 +222,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 10, batches: i
     are ignored; an empty table gives an empty result.
     """
     corpus = numbered(docs).select("doc_id", "uid", "text")
-    index = FingerprintIndex(docs.sparkSession, window, gram)
+    spark = docs.sparkSession
+    index = FingerprintIndex(spark, window, gram)
     cuts = corpus.select(F.percentile_approx("uid", [i / batches for i in range(1, batches)], 10000)).first()[0] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
     spans = None
@@ -181,6 +233,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 10, batches: i
         seen = corpus if high is None else corpus.filter(F.col("uid") <= high)
         found = index.add(batch, seen)
         spans = found if spans is None else spans.unionByName(found)
+    index.close()
+    delete(spark, index.root)
     per_doc = spans.groupBy("uid").agg(F.collect_set(F.struct("s", "r")).alias("spans"))
 
     def rebuild(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
@@ -79,10 +80,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Chunks:
-    """Parallel arrays: gram hash, hash of the whole chunk, document, first window, number of windows, place of the gram in the first window."""
+    """Parallel arrays: gram hash, digest of the whole chunk in two halves, document, first window, number of windows, place of the gram in the first window."""
 
     h: np.ndarray
     c: np.ndarray
+    d: np.ndarray
     uid: np.ndarray
     s: np.ndarray
     r: np.ndarray
@@ -90,10 +92,10 @@ class Chunks:
 
     @staticmethod
     def join(parts: list[Chunks]) -> Chunks:
-        return Chunks(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("h", "c", "uid", "s", "r", "a")))
+        return Chunks(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("h", "c", "d", "uid", "s", "r", "a")))
 
     def take(self, at: np.ndarray) -> Chunks:
-        return Chunks(self.h[at], self.c[at], self.uid[at], self.s[at], self.r[at], self.a[at])
+        return Chunks(self.h[at], self.c[at], self.d[at], self.uid[at], self.s[at], self.r[at], self.a[at])
 
     def __len__(self) -> int:
         return len(self.h)
@@ -109,13 +111,13 @@ def _chunks(grams: np.ndarray, span, ends: np.ndarray, uids: np.ndarray, offsets
     at = np.arange(len(piece)) - first[piece] + starts[piece]  # every valid window
     if not len(at):
         z = np.zeros(0, np.int64)
-        return Chunks(z.view(np.uint64), z.view(np.uint64), z, z, z, z)
+        return Chunks(*[z.view(np.uint64)] * 3, z, z, z, z)
     anchor = (low[at] & _POS).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])]))
     s, p = at[new], piece[new]
     r = np.diff(np.concatenate([new, [len(at)]]))
-    c = span(s, s + r + window - 1)
-    return Chunks(grams[anchor[new]], c, uids[p], s - starts[p] + offsets[p], r, anchor[new] - s)
+    c, d = span(s, s + r + window - 1)
+    return Chunks(grams[anchor[new]], c, d, uids[p], s - starts[p] + offsets[p], r, anchor[new] - s)
 
 
 def _pieces(docs: Iterator[tuple[int, list | bytes]], window: int) -> Iterator[tuple[int, int, list | bytes]]:
@@ -137,11 +139,11 @@ def _buffers(pieces: Iterator[tuple], limit: int, size) -> Iterator[list[tuple]]
 
 
 def byte_chunks(docs: Iterator[tuple[int, bytes]], window: int, gram: int) -> Iterator[Chunks]:
-    """``c`` is left at 0: byte chunks are compared as strings."""
+    """The digests are left at 0: byte chunks are compared as strings."""
     for group in _buffers(_pieces(docs, window), BUFFER, len):
         data = np.frombuffer(b"".join(p[2] for p in group), np.uint8)
         ends = np.cumsum([len(p[2]) for p in group])
-        yield _chunks(Rolling(data).grams(gram), lambda a, _: np.zeros(len(a), np.uint64), ends, *(np.array([p[i] for p in group], np.int64) for i in (0, 1)), window, gram)
+        yield _chunks(Rolling(data).grams(gram), lambda a, _: (np.zeros(len(a), np.uint64),) * 2, ends, *(np.array([p[i] for p in group], np.int64) for i in (0, 1)), window, gram)
 
 
 def word_chunks(docs: Iterator[tuple[int, bytes]], window: int, gram: int) -> Iterator[Chunks]:
@@ -154,11 +156,21 @@ def word_chunks(docs: Iterator[tuple[int, bytes]], window: int, gram: int) -> It
         length = np.fromiter(map(len, w), np.int64, len(w))
         stop = np.cumsum(length + 1) - 1
         start = stop - length
-        roll, roll2 = Rolling(data), Rolling(data, 1)
         n = len(w) - gram + 1
-        grams = roll.of(start[:n], stop[gram - 1 :]) if n > 0 else np.zeros(0, np.uint64)
+        grams = Rolling(data).of(start[:n], stop[gram - 1 :]) if n > 0 else np.zeros(0, np.uint64)
+
+        def span(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            both = np.frombuffer(digests(data, start[a], stop[b - 1]), np.uint64).reshape(-1, 2)
+            return both[:, 0], both[:, 1]
+
         ends = np.cumsum([len(p[2]) for p in group])
-        yield _chunks(grams, lambda a, b: roll2.of(start[a], stop[b - 1]), ends, *(np.array([p[i] for p in group], np.int64) for i in (0, 1)), window, gram)
+        yield _chunks(grams, span, ends, *(np.array([p[i] for p in group], np.int64) for i in (0, 1)), window, gram)
+
+
+def digests(data, starts: np.ndarray, stops: np.ndarray) -> bytes:
+    """128-bit BLAKE2b of data[start:stop] for each, joined: equal only for equal strings, also made by an adversary."""
+    view = memoryview(data)
+    return b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist())])
 
 
 def flushes(chunks: Iterator[Chunks]) -> Iterator[Chunks]:

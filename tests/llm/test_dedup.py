@@ -1,5 +1,6 @@
 """Substring (words, bytes) and SimHash dedup against brute force, on odd rows."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 import brute
-from sparkloom.llm import simhash, substring_dedup, suffix_dedup, windows
+from sparkloom.llm import decontaminate, simhash, substring_dedup, suffix_dedup, windows
 from sparkloom.llm.components import connected
 
 
@@ -57,6 +58,76 @@ def test_index_over_batches(spark):
     assert any(want) and len(index.runs) < 4
 
 
+def test_index_is_opened_again(spark, tmp_path):
+    """Another job goes on where one has stopped; a window of another length is refused, and so is a second writer of one version."""
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choice("abc") for _ in range(60))) for i in range(12)]
+    root, gone, seen = str(tmp_path / "index"), {}, []
+    for k in range(0, 12, 3):
+        index = substring_dedup.FingerprintIndex(spark, gram=5, root=root)
+        seen += docs[k : k + 3]
+        found = index.add(spark.createDataFrame(docs[k : k + 3], "uid long, text string"), spark.createDataFrame(seen, "uid long, text string"))
+        for r in found.collect():
+            gone.setdefault(r.uid, set()).update(range(r.s, r.s + r.r + 19))
+        assert index.version > 0 and sum(r["rows"] for r in index.runs) == index.history().count()
+        index.close()
+    assert [gone.get(i, set()) for i in range(12)] == brute.repeats([(i, t.split()) for i, t in docs], 20)
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, window=21, gram=5, root=root)
+    late = substring_dedup.FingerprintIndex(spark, gram=5, root=root)
+    late.version -= 1
+    with pytest.raises(RuntimeError):
+        late._commit([])
+
+
+def test_runs_are_merged_without_a_shuffle(spark, tmp_path):
+    index = substring_dedup.FingerprintIndex(spark, root=str(tmp_path / "index"))
+    batch = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(90))) for i in range(5)], "uid long, text string")
+    index.add(batch, batch).count()
+    run = index._run(index.runs[0])
+    rows = spark.read.parquet(index.runs[0]["path"]).repartition(index._buckets(), "h", "c")
+    plan = rows.join(run.select("h", "c", "uid").hint("merge"), ["h", "c"], "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1  # the batch's own
+    index.close()
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_in_polynomial_hashes(spark, n):
+    """A Thue-Morse word and its complement agree in every polynomial hash mod 2^64 with an odd base."""
+    shared, word = [f"w{i}" for i in range(19)], thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([*shared, word]), " ".join([*shared, other]), " ".join([*shared, word, "end"]), word + "x" * 60, other + "y" * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 20, 3: 0, 4: 0}
+    want = brute.repeats([(i, t.encode()) for i, t in enumerate(texts)], 100)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {i: len(g) for i, g in enumerate(want)}
+
+
+@pytest.mark.parametrize("numbered_by", ["id", "rank"])
+def test_ids_near_the_limits_of_a_long(spark, numbered_by):
+    rng = random.Random(9)
+    passage = " ".join(rng.choice(["ka", "lo", "mi", "nu"]) + str(rng.randrange(99)) for _ in range(60))
+    ids = [2**63 - 1, 2**62 + 5, 0, -(2**62) - 7, -(2**63)]
+    rows = [(i, f"{k} {passage} {k}") for k, i in enumerate(ids)]
+    if numbered_by == "rank":
+        rows += [(None, passage), (None, "x " + passage), (None, None), (2**62 + 5, "again " + passage), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = [(i is not None, i or 0, hashlib.md5((t or "").encode()).hexdigest()) for i, t in rows]
+    for module, window, cut in ((substring_dedup, 20, lambda t: t.encode().split()), (suffix_dedup, 100, lambda t: t.encode())):
+        gone = brute.repeats([(k, cut(t or "")) for k, (_, t) in zip(keys, rows)], window)
+        want = Counter((i, len(g)) for (i, _), g in zip(rows, gone))
+        assert Counter((r.doc_id, r.n_removed) for r in module.remove_repeats(docs).collect()) == want
+    bench = spark.createDataFrame([(1, " ".join(passage.split()[:12]))], "item_id long, text string")
+    got = Counter((r.doc_id, r.n_hit) for r in decontaminate.decontaminate(docs, bench).collect())
+    assert got == Counter((i, 12 if t else 0) for i, t in rows)
+
+
 def test_chunks_hold_each_window_once(monkeypatch):
     monkeypatch.setattr(windows, "PIECE", 64)
     text = bytes(random.Random(1).choice(b"abc ") for _ in range(900))
