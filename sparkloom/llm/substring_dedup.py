@@ -33,6 +33,7 @@ from .common import create_once, delete, discard, numbered, read_text, scratch,
 from .windows import Chunks, cover, digests, flushes, span_arrays, word_chunks
 
 RUN = "h long, c binary, uid long, s int, r int"
+STORED = RUN + ", seen boolean"  # what a run's files hold: repeats too, until the run is compacted
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
@@ -106,18 +107,18 @@ class FingerprintIndex:
         return docs.select("uid", "text").mapInArrow(run, RUN + ", repeat boolean")
 
     def _write(self, rows: DataFrame, buckets: int) -> dict:
-        """``rows``, dealt out by (h, c) to ``buckets`` tasks, as a run: a sorted file for each bucket."""
+        """``rows`` (``STORED``), dealt out by (h, c) to ``buckets`` tasks, as a run: a sorted file for each bucket."""
         path, name = f"{self.root}/runs/{uuid.uuid4().hex}", f"run_{uuid.uuid4().hex}"
-        rows.select("h", "c", "uid", "s", "r").write.bucketBy(buckets, "h", "c").sortBy("h", "c").option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+        rows.select("h", "c", "uid", "s", "r", "seen").write.bucketBy(buckets, "h", "c").sortBy("h", "c").option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
         self._tables[path] = name
-        return {"rows": self.spark.table(name).count(), "path": path, "buckets": buckets}
+        return {"rows": self.spark.table(name).filter("NOT seen").count(), "path": path, "buckets": buckets}
 
     def _run(self, run: dict) -> DataFrame:
         if run["path"] not in self._tables:
             name = f"run_{uuid.uuid4().hex}"
-            self.spark.sql(f"CREATE TABLE {name} (h BIGINT, c BINARY, uid BIGINT, s INT, r INT) USING parquet CLUSTERED BY (h, c) SORTED BY (h, c) INTO {run['buckets']} BUCKETS LOCATION '{run['path']}'")
+            self.spark.sql(f"CREATE TABLE {name} (h BIGINT, c BINARY, uid BIGINT, s INT, r INT, seen BOOLEAN) USING parquet CLUSTERED BY (h, c) SORTED BY (h, c) INTO {run['buckets']} BUCKETS LOCATION '{run['path']}'")
             self._tables[run["path"]] = name
-        return self.spark.table(self._tables[run["path"]])
+        return self.spark.table(self._tables[run["path"]]).filter("NOT seen").drop("seen")
 
     def close(self) -> None:
         """Forget the runs' table names; the files stay."""
@@ -150,11 +151,9 @@ class FingerprintIndex:
         for run in self.runs:
             known = self._run(run).select("h", "c", F.lit(True).alias("known"))
             ranked = ranked.join(known.hint("merge"), ["h", "c"], "left").withColumn("seen", F.col("seen") | F.col("known").isNotNull()).drop("known")
-        ranked = stored(ranked, "ranked")
+        run = self._write(ranked, buckets)
         discard(marked)
-        repeats.append(stored(ranked.filter("seen").select("uid", "s", "r"), "repeats"))
-        run = self._write(ranked.filter("NOT seen").repartition(buckets, "h", "c"), buckets)
-        discard(ranked)
+        repeats.append(stored(self.spark.table(self._tables[run["path"]]).filter("seen").select("uid", "s", "r"), "repeats"))
         fresh, old = self._run(run), self.history()
         # 4: grams that occur in chunks of different shape
         shapes = fresh.select("h", "c").unionByName(old.select("h", "c")).groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"))
@@ -205,7 +204,7 @@ class FingerprintIndex:
                 return
             buckets = tail[0]["buckets"]
             rows = reduce(DataFrame.unionByName, map(self._run, tail))
-            self._commit([*self.runs[: -self.fanout], self._write(rows.repartition(buckets, "h", "c"), buckets)])
+            self._commit([*self.runs[: -self.fanout], self._write(rows.withColumn("seen", F.lit(False)).repartition(buckets, "h", "c"), buckets)])
             for run in tail:
                 self._drop(run)
 
