@@ -8,7 +8,18 @@ class GraphEngineError(Exception):
 
 
 class ParseError(GraphEngineError):
-    """A graph file breaks the format."""
+    """A graph file breaks the format.
+
+    ``kind`` names the fault (``KINDS``), ``context`` what was read (NODES, or an edge's
+    from, to or weight), ``value`` the text or number at fault, ``n`` the number of nodes
+    where that is what counts.
+    """
+
+    KINDS = ("missing-nodes", "no-edges", "unknown-line", "not-positive", "not-a-node", "out-of-range", "weight-without-weighted", "unweighted-edge", "weighted-edge")
+
+    def __init__(self, message: str, kind: str, context: str | None = None, value: str | int | None = None, n: int | None = None):
+        self.kind, self.context, self.value, self.n = kind, context, value, n
+        super().__init__(message)
 
 
 class LoadError(GraphEngineError):

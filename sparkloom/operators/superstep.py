@@ -8,7 +8,10 @@ One superstep is one plan and one job:
 
 Each step's states go to the checkpoint folder, which keeps their partitioning and cuts
 the lineage: plans don't grow with the number of steps, and an executor's loss costs one
-step at most.
+step at most.  Files of a step are deleted once the next one is written.
+
+Arcs of a vertex with more than ``HUB`` of them are dealt out by (src, salt) in as many
+parts, and its state meets each part; other arcs stay where their states are.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +27,9 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from .program import RunConfig, Step, VertexProgram
 
+#: Arcs of one vertex that may lie in one partition.
+HUB = 1_000_000
+
 SUPERSTEPS = "step int, active_vertices long, messages_sent long, state_changed boolean"
 
 
@@ -55,10 +62,56 @@ class Run:
         return self.graph.spark.createDataFrame(rows, SUPERSTEPS)
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; made and set only where one machine runs all."""
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
+        base = sc.getCheckpointDir()
+    return base
+
+
+def _forget(df: DataFrame) -> None:
+    """Delete the files of a frame that ``checkpoint`` returned."""
+    try:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    except Py4JError:
+        return  # no checkpoint of its own
+    if file.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Arcs:
+    """The arcs of a run, near the states that send along them."""
+
+    def __init__(self, edges: DataFrame, states: DataFrame, parts: int, hubs: bool):
+        self.many = None
+        if hubs:
+            found = states.filter(F.col("degree") > HUB).select(F.col("id").alias("src"), F.ceil(F.col("degree") / HUB).cast("int").alias("salts"))
+            others = [c for c in edges.columns if c != "src"]
+            salted = edges.join(found, "src").withColumn("salt", F.pmod(F.xxhash64(*others, F.monotonically_increasing_id()), F.col("salts")).cast("int"))
+            self.many = salted.repartition(parts, "src", "salt").persist(StorageLevel.DISK_ONLY)
+            edges = edges.join(found, "src", "left_anti")
+        self.few = edges.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def sent(self, emitting: DataFrame, message: dict) -> DataFrame:
+        """src, dst and payload of every message of the emitting states."""
+        columns = ["src", "dst", *(c.alias(k) for k, c in message.items())]
+        out = emitting.join(self.few, F.col("id") == F.col("src")).select(*columns)
+        if self.many is None:
+            return out
+        hub = emitting.filter(F.col("degree") > HUB).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("degree") / HUB).cast("int") - 1)))
+        return out.unionByName(hub.join(self.many, (F.col("id") == F.col("src")) & (F.col("_salt") == F.col("salt"))).select(*columns))
+
+    def close(self) -> None:
+        for df in (self.few, self.many):
+            if df is not None:
+                df.unpersist()
 
 
 def _partitions(spark: SparkSession) -> int:
@@ -97,23 +150,24 @@ def _trace(before: DataFrame, after: DataFrame, outbox: DataFrame, program: Vert
 def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -> Run:
     """Iterate until the cap, until nobody has messages, or until no state changes, checked in this order."""
     spark, n = graph.spark, graph.n
-    _checkpoint_dir(spark)
+    checkpoint_dir(spark)
     graph.check_run_nodes(config.source, config.target)
     cap = program.max_steps(n) if config.max_steps is None else config.max_steps
     parts = _partitions(spark)
-    arcs = program.edges(graph).repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
-    degrees = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    edges = program.edges(graph)
+    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     step = Step(n)
     base = spark.range(n).repartition(parts, "id").join(degrees, F.col("id") == F.col("src"), "left")
     base = base.select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
     states = base.select("id", "degree", *(c.alias(k) for k, c in program.init(config, step).items()))
-    states = states.withColumn("emits", program.bootstrap(config)).checkpoint()
+    held = states = states.withColumn("emits", program.bootstrap(config)).checkpoint()
 
     def measure(df: DataFrame, totals: dict, more: dict):
         along = F.coalesce(F.sum(F.when(F.col("emits"), F.col("degree"))), F.lit(0))
         return df.agg(along.alias("_along"), *(c.alias(k) for k, c in {**totals, **more}.items())).first().asDict()
 
-    seen = measure(states, program.first_totals(), {})
+    seen = measure(states, program.first_totals(), {"_most": F.max("degree")})
+    arcs = Arcs(edges, states, parts, seen["_most"] > HUB)
     step.totals = {k: seen[k] for k in program.first_totals()}
     pending, logs, traces, max_reached = seen["_along"], [], [], False
 
@@ -124,8 +178,7 @@ def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -
             break
         if not pending and not program.always_active:
             break
-        emitting = states.filter("emits").drop("emits")
-        outbox = emitting.join(arcs, F.col("id") == F.col("src")).select("src", "dst", *(c.alias(k) for k, c in program.message(step).items()))
+        outbox = arcs.sent(states.filter("emits").drop("emits"), program.message(step))
         inbox = program.gather(outbox, states)
         active = F.lit(True) if program.always_active else F.col("dst").isNotNull()
         joined = states.drop("emits").join(inbox, F.col("id") == F.col("dst"), "left").withColumn("active", active)
@@ -140,13 +193,14 @@ def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -
         step = Step(n, {k: found[k] for k in program.totals()})
         logs.append(StepLog(number, found["_active"], program.messages_sent(step, found["_along"]), found["_changed"]))
         if config.trace:
-            sent = after.filter("emits").join(arcs, F.col("id") == F.col("src")).select("src", "dst", *(c.alias(k) for k, c in program.message(step).items()))
+            sent = arcs.sent(after.filter("emits").drop("emits"), program.message(step))
             traces.append(_trace(states, after, sent, program, step, number).checkpoint())
-        states, pending = after.select("id", "degree", *new, "emits"), found["_along"]
+        _forget(held)
+        states, held, pending = after.select("id", "degree", *new, "emits"), after, found["_along"]
         if not found["_changed"]:
             break
 
-    arcs.unpersist()
+    arcs.close()
     trace = None
     if config.trace:
         for t in traces:

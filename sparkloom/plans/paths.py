@@ -71,23 +71,27 @@ def distances(run: Run) -> DataFrame:
 def path_to(states: DataFrame, target: int) -> DataFrame:
     """found, distance, path from the source to ``target`` (one row).
 
-    The chain of predecessors is followed by the driver, one lookup per hop.
+    Pointer doubling: tables of every vertex's 2^k-th predecessor, until none is left, then
+    the target's chain from the farthest jumps to the nearest; so the joins grow with the
+    logarithm of the hops.  Distances rise along a path, which puts it in order.
     """
     spark = states.sparkSession
-
-    def look(node: int):
-        return states.filter(F.col("id") == node).select("distance", "predecessor").first()
-
-    row = look(target)
-    if row is None:
+    end = states.filter(F.col("id") == target).select("distance").first()
+    if end is None:
         raise TargetNodeMissing(target)
-    if row.distance is None:
+    if end.distance is None:
         return spark.createDataFrame([(False, None, None)], PATH_RESULT)
-    total, path = row.distance, [target]
-    while row is not None and row.predecessor is not None:
-        path.append(row.predecessor)
-        row = look(row.predecessor)
-    return spark.createDataFrame([(True, total, path[::-1])], PATH_RESULT)
+    jump = states.filter("predecessor IS NOT NULL").select("id", F.col("predecessor").alias("to"))
+    jumps = []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        # from 2^k to 2^(k + 1) hops: a jump from where the last one ended
+        jump = jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")).checkpoint()
+    chain = spark.createDataFrame([(target,)], "id long")
+    for jump in reversed(jumps):
+        chain = chain.unionByName(chain.join(jump, "id").select(F.col("to").alias("id"))).distinct().checkpoint()
+    path = chain.join(states.select("id", "distance"), "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("distance", "id"))), lambda x: x["id"]).alias("path"))
+    return path.select(F.lit(True).alias("found"), F.lit(end.distance).cast("long").alias("distance"), "path")
 
 
 def path_result(run: Run) -> DataFrame:
@@ -98,14 +102,13 @@ def path_result(run: Run) -> DataFrame:
     return path_to(run.states, run.config.target)
 
 
-def all_paths(states: DataFrame, source: int, max_hops: int) -> DataFrame:
+def all_paths(states: DataFrame, source: int) -> DataFrame:
     """id, distance, path for every reached vertex, by joins along predecessors."""
     done = states.filter(F.col("id") == source).select("id", "distance", F.array("id").alias("path"))
     tree = states.filter("predecessor IS NOT NULL").select(F.col("id").alias("child"), F.col("predecessor").alias("parent"), F.col("distance").alias("d"))
     level, out = done, done
-    for _ in range(max_hops):
+    while True:
         level = tree.join(level, tree["parent"] == level["id"]).select(F.col("child").alias("id"), F.col("d").alias("distance"), F.array_append("path", F.col("child")).alias("path")).checkpoint()
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out

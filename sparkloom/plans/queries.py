@@ -1,7 +1,6 @@
 """The engine's operators as queries over whole tables, with DuckDB SQL for each.
 
-Runs have fixed numbers of steps where SQL can't express the halting rule; ``lp_labels``
-goes on until it halts, though its SQL stops after 6 steps and so differs from it.
+Runs halt by the engine's own rules; the SQL goes on until a step changes nothing.
 """
 
 from __future__ import annotations
@@ -22,9 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: Steps within which the searches below end, with room; the SQL goes on for as many.
-STEPS = 30
-
 _PLACES = """
 tops AS (SELECT (SELECT max(r_regionkey) + 1 FROM region) r, (SELECT max(n_nationkey) + 1 FROM nation) n, (SELECT max(c_custkey) + 1 FROM customer) c),
 half AS (SELECT n_nationkey + r src, n_regionkey::BIGINT dst FROM nation, tops UNION SELECT c_custkey + r + n, c_nationkey + r FROM customer, tops),
@@ -42,17 +38,18 @@ e AS (SELECT src, dst, weight FROM half UNION SELECT dst, src, weight FROM half)
 v AS (SELECT unnest(range((SELECT s + p FROM tops))) id)"""
 
 
-def _search(graph: str, source: int, weight: str, steps: int = STEPS) -> str:
-    """CTEs up to t(v, d, p): distance and predecessor after the last step."""
+def _search(graph: str, source: int, weight: str) -> str:
+    """CTEs up to t(v, d, p): distance and predecessor once no step changes any; s has every step."""
     return f"""WITH RECURSIVE {graph},
-s(step, v, d, p) AS (
-  SELECT 0, id, CASE WHEN id = {source} THEN 0 ELSE 1000000000000 END::BIGINT, NULL::BIGINT FROM v
+s(step, v, d, p, alive) AS (
+  SELECT 0, id, CASE WHEN id = {source} THEN 0 ELSE 1000000000000 END::BIGINT, NULL::BIGINT, true FROM v
   UNION ALL
-  SELECT step + 1, v, min(d), nullif(min({{'d': d, 'new': new, 'p': coalesce(p, -1)}}).p, -1) FROM (
-    SELECT step, v, d, p, 0 new FROM s
-    UNION ALL SELECT step, e.dst, s.d + {weight}, s.v, 1 FROM s JOIN e ON e.src = s.v WHERE s.d < 1000000000000)
-  WHERE step < {steps} GROUP BY step, v),
-t AS (SELECT v, CASE WHEN d < 1000000000000 THEN d END d, p FROM s WHERE step = {steps})"""
+  SELECT step + 1, v, d, p, bool_or(changed) OVER () FROM (
+    SELECT step, v, min(d) d, nullif(min({{'d': d, 'new': new, 'p': coalesce(p, -1)}}).p, -1) p, min(d) < min(d) FILTER (new = 0) changed FROM (
+      SELECT step, v, d, p, 0 new FROM s WHERE alive
+      UNION ALL SELECT step, e.dst, s.d + {weight}, s.v, 1 FROM s JOIN e ON e.src = s.v WHERE alive AND s.d < 1000000000000)
+    GROUP BY step, v)),
+t AS (SELECT v, CASE WHEN d < 1000000000000 THEN d END d, p FROM s WHERE step = (SELECT max(step) FROM s))"""
 
 
 def _query(sql: str):
@@ -99,7 +96,7 @@ def graph_range_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_search(_SUCCESSIONS, 1, "1") + " SELECT v AS id, d AS distance, p AS predecessor FROM t")
 def bfs_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.distances(_run(tables.successions(spark, sf_dir), BFS, source=1, target=1, max_steps=STEPS))
+    return paths.distances(_run(tables.successions(spark, sf_dir), BFS, source=1, target=1))
 
 
 def _path_sql(search: str, target: str) -> str:
@@ -116,43 +113,63 @@ def _shown_path(df: DataFrame) -> DataFrame:
 @_query(_path_sql(_search(_SUCCESSIONS, 1, "1"), "(SELECT max(c_custkey) FROM customer)"))
 def bfs_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.successions(spark, sf_dir)
-    return _shown_path(paths.path_result(_run(g, BFS, source=1, target=g.n - 1, max_steps=STEPS)))
+    return _shown_path(paths.path_result(_run(g, BFS, source=1, target=g.n - 1)))
 
 
 @_query(_search(_TRADE, 1, "e.weight") + " SELECT v AS id, d AS distance, p AS predecessor FROM t")
 def sssp_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.distances(_run(tables.trade(spark, sf_dir), BELLMAN_FORD, source=1, target=1, max_steps=STEPS))
+    return paths.distances(_run(tables.trade(spark, sf_dir), BELLMAN_FORD, source=1, target=1))
 
 
 @_query(_search(_SUCCESSIONS.replace("e AS (", "x AS (", 1) + ", e AS (SELECT src, dst, arg_max(weight, pos) weight FROM x GROUP BY src, dst)", 1, "e.weight") + " SELECT v AS id, d AS distance, p AS predecessor FROM t")
 def sssp_parallel_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of parallel arcs, the last in list order tells the weight."""
-    return paths.distances(_run(tables.successions(spark, sf_dir), BELLMAN_FORD, source=1, target=1, max_steps=STEPS))
+    return paths.distances(_run(tables.successions(spark, sf_dir), BELLMAN_FORD, source=1, target=1))
 
 
 @_query(_path_sql(_search(_TRADE, 1, "e.weight"), "(SELECT max(p_partkey) + (SELECT s FROM tops) FROM part)"))
 def sssp_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.trade(spark, sf_dir)
-    return _shown_path(paths.path_result(_run(g, BELLMAN_FORD, source=1, target=g.n - 1, max_steps=STEPS)))
+    return _shown_path(paths.path_result(_run(g, BELLMAN_FORD, source=1, target=g.n - 1)))
 
 
 @_query(_search(_PLACES, 0, "1") + """, up(v, d, p, path) AS (SELECT v, d, p, v::VARCHAR FROM t WHERE v = 0
   UNION ALL SELECT t.v, t.d, t.p, path || ' ' || t.v FROM up JOIN t ON t.p = up.v) SELECT v AS id, d AS distance, path FROM up""")
 def bfs_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _run(tables.places(spark, sf_dir), BFS, source=0, target=0)
-    return paths.all_paths(done.states, 0, STEPS).select("id", "distance", F.array_join("path", " ").alias("path"))
+    return paths.all_paths(done.states, 0).select("id", "distance", F.array_join("path", " ").alias("path"))
+
+
+def _labelled(graph: str, new: str, cap: str = "(SELECT greatest(1, count(*)) FROM v)") -> str:
+    """CTEs up to t(v, label) for label programs; s has every step, with who was active and whether any label changed.
+
+    ``new`` selects (v, label) of the active vertices from s and e; vertices without messages
+    keep their labels and stay silent.
+    """
+    return f"""WITH RECURSIVE {graph}, s(step, v, label, act, alive) AS (SELECT 0, id, id, true, true FROM v UNION ALL
+  SELECT step + 1, v, new, act, bool_or(new <> label) OVER () FROM (
+    SELECT s.step, s.v, s.label, coalesce(w.label, s.label) new, w.label IS NOT NULL act, bool_or(w.label IS NOT NULL) OVER () messages
+    FROM s LEFT JOIN ({new}) w ON w.v = s.v WHERE s.alive AND s.step < {cap}) WHERE messages),
+t AS (SELECT v, label FROM s WHERE step = (SELECT max(step) FROM s)),
+logs AS (SELECT (step - 1)::INT AS step, count(*) FILTER (act) AS active_vertices, coalesce(sum(c) FILTER (act), 0)::BIGINT AS messages_sent, bool_or(alive) AS state_changed
+  FROM s LEFT JOIN (SELECT src, count(*) c FROM e GROUP BY src) ON src = v WHERE step > 0 GROUP BY step)"""
+
+
+_LEAST = "SELECT x.v, least(x.label, min(y.label)) label FROM s x JOIN e ON e.dst = x.v JOIN s y ON y.v = e.src WHERE y.act GROUP BY x.v, x.label"
+_MOST = """SELECT v, label FROM (SELECT v, label, row_number() OVER (PARTITION BY v ORDER BY count(*) DESC, label) k FROM (
+      SELECT e.dst v, s.label FROM s JOIN e ON e.src = s.v WHERE s.act
+      UNION ALL SELECT s.v, s.label FROM s WHERE s.v IN (SELECT e.dst FROM s JOIN e ON e.src = s.v WHERE s.act)) GROUP BY v, label)
+    WHERE k = 1"""
 
 
 def _components(graph: str) -> str:
-    return f"""WITH RECURSIVE {graph}, s(step, v, label) AS (SELECT 0, id, id FROM v UNION ALL
-  SELECT step + 1, v, min(label) FROM (SELECT * FROM s UNION ALL SELECT step, e.dst, label FROM s JOIN e ON e.src = s.v)
-  WHERE step < {STEPS} GROUP BY step, v), t AS (SELECT v, label FROM s WHERE step = {STEPS})"""
+    return _labelled(graph, _LEAST)
 
 
 @_query(_components(_SUCCESSIONS) + " SELECT v AS id, label FROM t")
 def cc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Along arcs only: the least id that reaches a vertex."""
-    return labels.labels(_run(tables.successions(spark, sf_dir), COMPONENTS, max_steps=STEPS))
+    return labels.labels(_run(tables.successions(spark, sf_dir), COMPONENTS))
 
 
 @_query(_components(_PLACES) + " SELECT label, string_agg(v, ' ' ORDER BY v) AS members FROM t GROUP BY label")
@@ -160,57 +177,55 @@ def cc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.components(_run(tables.places(spark, sf_dir), COMPONENTS)).select("label", F.array_join("members", " ").alias("members"))
 
 
-def _propagation(graph: str, steps: int) -> str:
-    return f"""WITH RECURSIVE {graph}, s(step, v, label, act) AS (SELECT 0, id, id, true FROM v UNION ALL
-  SELECT s.step + 1, s.v, coalesce(w.label, s.label), w.label IS NOT NULL FROM s LEFT JOIN (
-    SELECT v, label FROM (SELECT v, label, row_number() OVER (PARTITION BY v ORDER BY count(*) DESC, label) k FROM (
-      SELECT e.dst v, s.label FROM s JOIN e ON e.src = s.v WHERE s.act
-      UNION ALL SELECT s.v, s.label FROM s WHERE s.v IN (SELECT e.dst FROM s JOIN e ON e.src = s.v WHERE s.act)) GROUP BY v, label)
-    WHERE k = 1) w ON w.v = s.v WHERE s.step < {steps}),
-t AS (SELECT v, label FROM s WHERE step = {steps})"""
+def _propagation(graph: str) -> str:
+    return _labelled(graph, _MOST)
 
 
-@_query(_propagation(_SUCCESSIONS, 6) + " SELECT v AS id, label FROM t")
+@_query(_propagation(_SUCCESSIONS) + " SELECT v AS id, label FROM t")
 def lp_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels at which propagation halts by itself, or at the program's cap.
-
-    tests/test_algorithms.py holds a brute-force version; the SQL gives those of step 6.
-    """
     return labels.labels(_run(tables.successions(spark, sf_dir), LABEL_PROPAGATION))
 
 
-@_query(_propagation(_SUCCESSIONS, 2) + """, w AS (SELECT v, label, row_number() OVER (PARTITION BY v ORDER BY count(*) DESC, label) k FROM (
-  SELECT e.dst v, t.label FROM t JOIN e ON e.src = t.v UNION ALL SELECT v, label FROM t) GROUP BY v, label)
-SELECT t.v AS id, t.label, w.label AS wanted FROM t JOIN w ON w.v = t.v AND k = 1 WHERE w.label <> t.label""")
+@_query(f"""WITH {_SUCCESSIONS}, w AS (SELECT v, label, row_number() OVER (PARTITION BY v ORDER BY count(*) DESC, label) k FROM (
+  SELECT dst v, src AS label FROM e UNION ALL SELECT id, id FROM v) GROUP BY v, label)
+SELECT v AS id, v AS label, label AS wanted FROM w WHERE k = 1 AND label <> v""")
 def lp_unstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices that would leave their own label if all in-neighbours voted with theirs."""
     g = tables.successions(spark, sf_dir)
-    return labels.unstable(g, labels.labels(_run(g, LABEL_PROPAGATION, max_steps=2)))
+    return labels.unstable(g, g.vertices().select("id", F.col("id").alias("label")))
 
 
-@_query(f"""WITH RECURSIVE {_SUCCESSIONS}, n AS (SELECT count(*) n FROM v), deg AS (SELECT src, count(*) c FROM e GROUP BY src),
-s(step, v, rank, emit) AS (SELECT 0, id, 1.0::DOUBLE / n, 1.0::DOUBLE / n FROM v, n UNION ALL
-  SELECT step + 1, v, CASE WHEN abs(new - rank) <= 1e-9 THEN rank ELSE new END, new FROM (
+def _ranks(graph: str, cap: str = "(SELECT greatest(50, n * n) FROM n)") -> str:
+    """CTEs up to s(step, v, rank, emit, alive) until no rank moves by more than 1e-9, or the cap."""
+    return f"""WITH RECURSIVE {graph}, n AS (SELECT count(*) n FROM v), deg AS (SELECT src, count(*) c FROM e GROUP BY src),
+s(step, v, rank, emit, alive) AS (SELECT 0, id, 1.0::DOUBLE / n, 1.0::DOUBLE / n, true FROM v, n UNION ALL
+  SELECT step + 1, v, CASE WHEN abs(new - rank) <= 1e-9 THEN rank ELSE new END, new, bool_or(abs(new - rank) > 1e-9) OVER () FROM (
     SELECT s.step, s.v, s.rank, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(m.got, 0) + coalesce(loose, 0) / n) new
     FROM s LEFT JOIN (SELECT e.dst, sum(s.emit / c) got FROM s JOIN e ON e.src = s.v JOIN deg ON deg.src = s.v GROUP BY e.dst) m ON m.dst = s.v,
-      n, (SELECT sum(emit) loose FROM s WHERE v NOT IN (SELECT src FROM deg)))
-  WHERE step < 15)
-SELECT v AS id, round(rank, 6) AS rank FROM s WHERE step = 15""")
+      n, (SELECT sum(emit) loose FROM s WHERE v NOT IN (SELECT src FROM deg)) WHERE s.alive AND s.step < {cap})),
+t AS (SELECT v, rank FROM s WHERE step = (SELECT max(step) FROM s))"""
+
+
+@_query(_ranks(_SUCCESSIONS) + " SELECT v AS id, round(rank, 8) AS rank FROM t")
 def pagerank_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _run(tables.successions(spark, sf_dir), PAGERANK, max_steps=15)
-    return pagerank.rankings(done).select("id", F.round("rank", 6).alias("rank"))
+    done = _run(tables.successions(spark, sf_dir), PAGERANK)
+    return pagerank.rankings(done).select("id", F.round("rank", 8).alias("rank"))
 
 
-@_query(f"""WITH {_SUCCESSIONS}, once AS (SELECT DISTINCT dst FROM e), twice AS (SELECT DISTINCT dst FROM e WHERE src IN (SELECT dst FROM once))
-SELECT 0 AS step, (SELECT count(*) FROM once) AS active_vertices, (SELECT count(*) FROM e WHERE src IN (SELECT dst FROM once)) AS messages_sent, true AS state_changed
-UNION ALL SELECT 1, (SELECT count(*) FROM twice), (SELECT count(*) FROM e WHERE src IN (SELECT dst FROM twice)), true""")
+@_query(_components(_SUCCESSIONS) + " SELECT * FROM logs")
 def cc_supersteps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(tables.successions(spark, sf_dir), COMPONENTS, max_steps=2).log_frame()
+    return _run(tables.successions(spark, sf_dir), COMPONENTS).log_frame()
+
+
+@_query(_propagation(_SUCCESSIONS) + " SELECT * FROM logs")
+def lp_supersteps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(tables.successions(spark, sf_dir), LABEL_PROPAGATION).log_frame()
 
 
-@_query(_search(_PLACES, 0, "1", 3) + """, reached AS (SELECT v, min(step) k, min(d) d FROM s WHERE d < 1000000000000 GROUP BY v)
+@_query(_search(_PLACES, 0, "1") + """, reached AS (SELECT v, min(step) k, min(d) d FROM s WHERE d < 1000000000000 GROUP BY v)
 SELECT k - 1 AS step, 'update' AS kind, v AS from_id, NULL::BIGINT AS to_id, d AS distance FROM reached WHERE k > 0
 UNION ALL SELECT k - 1, 'message', v, e.dst, d FROM reached JOIN e ON e.src = v WHERE k > 0""")
 def bfs_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Updates and messages of the first three steps."""
-    done = _run(tables.places(spark, sf_dir), BFS, source=0, target=0, max_steps=3, trace=True)
+    """Updates and messages of all steps."""
+    done = _run(tables.places(spark, sf_dir), BFS, source=0, target=0, trace=True)
     return done.trace.select("step", "kind", "from_id", "to_id", "distance")

@@ -12,28 +12,32 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from ..errors import EndpointOutOfRange, LoadError, ParseError
 from ..graph import Graph, symmetrize
 
 _SCHEMA = "src long, dst long, weight long, pos long"
-_INT = re.compile(r"-?[0-9]+")
+_INT = re.compile(r"-?[0-9]{1,19}")
+#: Ids, counts and weights are 64-bit; larger numbers are refused like any other text.
+MOST = (1 << 63) - 1
 
 
-def _integer(token: str, least: int, what: str, need: str) -> int:
+def _integer(token: str, least: int, what: str, need: str, kind: str) -> int:
     value = int(token) if _INT.fullmatch(token) else None
-    if value is None or value < least:
-        raise ParseError(f"{what} must be {need}: {token}")
+    if value is None or not least <= value <= MOST:
+        raise ParseError(f"{what} must be {need}: {token}", kind, what, token)
     return value
 
 
 def _node(token: str, what: str) -> int:
-    return _integer(token, 0, what, "an integer >= 0")
+    return _integer(token, 0, what, "an integer >= 0", "not-a-node")
 
 
 def _positive(token: str, what: str) -> int:
-    return _integer(token, 1, what, "a positive integer")
+    return _integer(token, 1, what, "a positive integer", "not-positive")
 
 
 def parse_lines(text: str) -> tuple[int, list[tuple[int, int, int]], bool]:
@@ -52,21 +56,21 @@ def parse_lines(text: str) -> tuple[int, list[tuple[int, int, int]], bool]:
         elif token == ["UNDIRECTED"]:
             undirected, listing = True, False
         elif not listing:
-            raise ParseError(f"Unknown line or outside EDGES section: {line}")
+            raise ParseError(f"Unknown line or outside EDGES section: {line}", "unknown-line", value=line)
         elif weighted:
             if len(token) != 3:
-                raise ParseError("In WEIGHTED mode each edge must have the format: <from> <to> <weight>")
+                raise ParseError("In WEIGHTED mode each edge must have the format: <from> <to> <weight>", "weighted-edge")
             arcs.append((_node(token[0], "edge (from)"), _node(token[1], "edge (to)"), _positive(token[2], "edge (weight)")))
         elif len(token) == 3:
-            raise ParseError(f"Weighted edge found but WEIGHTED directive is missing: {' '.join(token)}")
+            raise ParseError(f"Weighted edge found but WEIGHTED directive is missing: {' '.join(token)}", "weight-without-weighted", value=" ".join(token))
         elif len(token) != 2:
-            raise ParseError("Each edge must have the format: <from> <to>")
+            raise ParseError("Each edge must have the format: <from> <to>", "unweighted-edge")
         else:
             arcs.append((_node(token[0], "edge (from)"), _node(token[1], "edge (to)"), 1))
     if n is None:
-        raise ParseError("Missing NODES directive")
+        raise ParseError("Missing NODES directive", "missing-nodes", "NODES")
     if not arcs:
-        raise ParseError("Missing EDGES section or no edges defined")
+        raise ParseError("Missing EDGES section or no edges defined", "no-edges")
     return n, arcs, undirected
 
 
@@ -77,11 +81,17 @@ def parse_graph(spark: SparkSession, text: str) -> Graph:
     for a, b, _ in reversed(arcs):
         for end, node in (("from", a), ("to", b)):
             if node >= n:
-                raise ParseError(str(EndpointOutOfRange(end, node, n)))
+                raise ParseError(str(EndpointOutOfRange(end, node, n)), "out-of-range", f"edge ({end})", node, n)
     edges = spark.createDataFrame([(a, b, w, last - i) for i, (a, b, w) in enumerate(arcs)], _SCHEMA)
     return Graph(spark, n, symmetrize(edges) if undirected else edges)
 
 
+def graph_text(n: int, arcs: list[tuple[int, ...]], weighted: bool = False, undirected: bool = False) -> str:
+    """A file of the format with these arcs (src, dst[, weight]) in this order."""
+    head = [f"NODES {n}", *["WEIGHTED"] * weighted, *["UNDIRECTED"] * undirected, "EDGES"]
+    return "\n".join([*head, *(" ".join(map(str, a[: 3 if weighted else 2])) for a in arcs)]) + "\n"
+
+
 def load_graph(spark: SparkSession, path: str) -> Graph:
     """Read and parse a file: a local path, or anything with a scheme that Spark reads."""
     try:
@@ -96,4 +106,8 @@ def load_graph(spark: SparkSession, path: str) -> Graph:
         raise LoadError(path, f"{path}: openFile: {e.strerror}") from None
     except UnicodeDecodeError as e:
         raise LoadError(path, f"{path}: {e.reason}") from None
+    except (AnalysisException, Py4JJavaError) as e:
+        raise LoadError(path, f"{path}: {str(e).splitlines()[0]}") from None
+    except (IndexError, TypeError):
+        raise LoadError(path, f"{path}: nothing to read") from None
     return parse_graph(spark, text)

@@ -113,7 +113,7 @@ def test_random_graphs(spark, seed):
 
 def test_all_paths(spark):
     done = run(parse_graph(spark, SIMPLE), BFS.program, RunConfig(0, 0))
-    found = {r.id: r.path for r in paths.all_paths(done.states, 0, 10).collect()}
+    found = {r.id: r.path for r in paths.all_paths(done.states, 0).collect()}
     assert found == {0: [0], 1: [0, 1], 2: [0, 2], 3: [0, 1, 3], 4: [0, 1, 3, 4]}
 
 
@@ -130,3 +130,33 @@ def test_label_query_runs_to_its_halt(spark, tmp_path):
     want, steps, _, reached = model(n, arcs, "lp", None, None)
     assert steps > 6 and not reached and want != model(n, arcs, "lp", None, 6)[0]
     assert {r.id: r.label for r in QUERIES["lp_labels"](spark, str(tmp_path)).collect()} == want
+
+
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    """Arcs of vertices with many of them are salted; results and logs stay as they are."""
+    monkeypatch.setattr("sparkloom.operators.superstep.HUB", 2)
+    for text in (COMPONENTS, COMMUNITIES, WEIGHTED):
+        for name in ("sssp", "cc", "lp"):
+            check(parse_graph(spark, text), name, 0)
+    check(parse_graph(spark, DANGLING), "pagerank", cap=6)
+
+
+def test_long_paths(spark):
+    n = 40
+    g = parse_graph(spark, f"NODES {n + 1}\nEDGES\n" + "".join(f"{i} {i + 1}\n" for i in range(n - 1)))
+    done = run(g, BFS.program, RunConfig(0, n - 1))
+    assert tuple(paths.path_to(done.states, n - 1).first()) == (True, n - 1, list(range(n)))
+    assert tuple(paths.path_to(done.states, n).first()) == (False, None, None)
+    assert tuple(paths.path_to(done.states, 0).first()) == (True, 0, [0])
+    assert {r.id: r.path for r in paths.all_paths(done.states, 0).collect()} == {i: list(range(i + 1)) for i in range(n)}
+
+
+def test_old_checkpoints_are_deleted(spark, tmp_path):
+    import os
+
+    before = spark.sparkContext.getCheckpointDir()
+    root = before.removeprefix("file:")
+    seen = set(os.listdir(root))
+    done = run(parse_graph(spark, COMPONENTS), CC.program)
+    assert done.supersteps == 3 and len(set(os.listdir(root)) - seen) == 1
+    assert done.states.count() == 12

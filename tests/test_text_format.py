@@ -3,7 +3,7 @@ import pytest
 from fixtures import COMPONENTS, SIMPLE
 from sparkloom.errors import EndpointOutOfRange, InvalidNodeCount, InvalidWeight, LoadError, ParseError, RunNodeOutOfRange
 from sparkloom.graph import Graph
-from sparkloom.sources.text_format import load_graph, parse_graph, parse_lines
+from sparkloom.sources.text_format import graph_text, load_graph, parse_graph, parse_lines
 
 
 @pytest.mark.parametrize(
@@ -61,6 +61,39 @@ def test_parallel_weights(spark):
     assert {(r.src, r.dst): r.weight for r in g.effective_weights().collect()} == {(0, 1): 3, (1, 0): 5}
 
 
+@pytest.mark.parametrize(("text", "kind", "context", "value"), [
+    ("EDGES\n0 1\n", "missing-nodes", "NODES", None),
+    ("NODES 2\n", "no-edges", None, None),
+    ("NODES 99999999999999999999\nEDGES\n0 1\n", "not-positive", "NODES", "99999999999999999999"),
+    ("NODES 2\nWEIGHTED\nEDGES\n0 1 9223372036854775808\n", "not-positive", "edge (weight)", "9223372036854775808"),
+    ("NODES 2\nEDGES\n0 -1\n", "not-a-node", "edge (to)", "-1"),
+    ("NODES 2\nEDGES\n0 7\n", "out-of-range", "edge (to)", 7),
+    ("NODES 2\nEDGES\n0 1 5\n", "weight-without-weighted", None, "0 1 5"),
+    ("NODES 2\nx\n", "unknown-line", None, "x"),
+    ("NODES 2\nEDGES\n0\n", "unweighted-edge", None, None),
+    ("NODES 2\nWEIGHTED\nEDGES\n0 1\n", "weighted-edge", None, None),
+])
+def test_errors_carry_their_fields(spark, text, kind, context, value):
+    with pytest.raises(ParseError) as e:
+        parse_graph(spark, text)
+    assert (e.value.kind, e.value.context, e.value.value) == (kind, context, value)
+    assert kind in ParseError.KINDS and e.value.n == (2 if kind == "out-of-range" else None)
+
+
+def test_remote_files(spark, tmp_path):
+    with pytest.raises(LoadError, match="Could not read file"):
+        load_graph(spark, f"file://{tmp_path}/nowhere")
+    (tmp_path / "empty").write_text("")
+    with pytest.raises((LoadError, ParseError)):
+        load_graph(spark, f"file://{tmp_path}/empty")
+
+
+def test_written_graphs_are_read_back(spark):
+    arcs = [(0, 1, 4), (2, 0, 1), (0, 1, 2)]
+    assert parse_lines(graph_text(3, arcs, weighted=True)) == (3, arcs, False)
+    assert parse_lines(graph_text(3, arcs, undirected=True)) == (3, [(a, b, 1) for a, b, _ in arcs], True)
+
+
 def test_files(spark, tmp_path):
     with pytest.raises(LoadError, match="Could not read file .*nowhere"):
         load_graph(spark, str(tmp_path / "nowhere"))
