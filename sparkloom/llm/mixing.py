@@ -106,23 +106,25 @@ def cell_multipliers(tokens: DataFrame, targets: Targets, iterations: int) -> Da
     return raked.select(F.inline(F.arrays_zip("cells", "w"))).select("cells.*", "w").select(*DIMENSIONS, (F.col("w") / F.col("n")).alias("multiplier"))
 
 
-def mix(docs: DataFrame, targets: Targets, iterations: int = 30, rate: float = 1.0, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets, iterations: int = 30, rate: float = 1.0, seed: str = "mix", keep: list[str] | None = None, topic_column: str | None = None, copies: bool = False) -> DataFrame:
     """Every document with n_tokens, topic, multiplier, probability, weight and kept.
 
     Columns: doc_id, source, lang, those of ``keep``, then the above.  Tokens are
-    words.  Documents without tokens (NULL, empty) get probability 0.  NULL sources and
-    languages belong to '*'.  A document's draw depends on doc_id and seed alone:
-    repeated rows are kept or left together.  Extra columns only pass if named in
+    words.  Documents without tokens (NULL, empty) get probability 0.  NULL sources,
+    languages and topics belong to '*'.  ``topic_column`` names a column with topics, say a
+    classifier's; without it ``topic_of`` finds them.  A document's draw depends on doc_id
+    (on the text where that is NULL) and seed alone: repeated rows are kept or left together.  Extra columns only pass if named in
     ``keep``; an empty table gives an empty result.
 
     Two passes: token counts (a row per cell and task is shuffled), then a join with
     the cells, which the targets bound, so they are broadcast.
     """
     text = F.col("text")
-    topic = topic_of(text)
+    topic = topic_of(text) if topic_column is None else F.col(topic_column).cast("string")
     keep = [c for c in keep or [] if c not in ("doc_id", "source", "lang")]
+    identity = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
     classes = [class_of(F.col("source"), targets["source"]).alias("_s"), class_of(F.col("lang"), targets["lang"]).alias("_l")]
-    counted = docs.select("doc_id", "source", "lang", *keep, *classes, topic.alias("_topic"), F.size(words(text)).cast("long").alias("_n"))
+    counted = docs.select("doc_id", "source", "lang", *keep, *classes, topic.alias("_topic"), F.size(words(text)).cast("long").alias("_n"), md5_uniform(identity, F.lit(seed)).alias("_u"))
     topic_class = class_of(F.col("_topic"), targets["topic"])
     cells = cell_multipliers(counted.select(F.col("_s").alias("source"), F.col("_l").alias("lang"), topic_class.alias("topic"), F.col("_n").alias("n")), targets, iterations)
     cells = cells.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("multiplier").alias("_m"))
@@ -134,11 +136,17 @@ def mix(docs: DataFrame, targets: Targets, iterations: int = 30, rate: float = 1
         .select("doc_id", "source", "lang", *keep, F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"),
                 F.round("_mult", 6).alias("multiplier"), F.round("_p", 6).alias("probability"),
                 F.round(F.when(F.col("_p") > 0, F.col("_mult") / F.col("_p")).otherwise(0.0), 6).alias("weight"),
-                (md5_uniform(F.col("doc_id"), F.lit(seed)) < F.col("_p")).alias("kept"))
+                (F.col("_u") < F.col("_p")).alias("kept"), *([(F.floor(F.col("_mult") * rate) + (F.col("_u") < F.col("_mult") * rate - F.floor(F.col("_mult") * rate)).cast("long")).alias("_copies")] if copies else []))
     )
 
 
 def sample(docs: DataFrame, targets: Targets, **how) -> DataFrame:
-    """The rows of ``docs``, with all columns, that ``mix`` keeps."""
-    packed = docs.select("doc_id", "source", "lang", "text", F.struct("*").alias("_row"))
-    return mix(packed, targets, keep=["_row"], **how).filter("kept").select("_row.*")
+    """The rows of ``docs``, with all columns, as often as their multipliers (times ``rate``) say.
+
+    A multiplier of 0.3 keeps a document with that probability; one of 2.3 gives it twice,
+    and a third time with probability 0.3.  So the sample's own token shares meet the
+    targets, as those of ``mix`` do with its weights.
+    """
+    packed = docs.select("doc_id", "source", "lang", "text", F.struct("*").alias("_row"), *([how["topic_column"]] if how.get("topic_column") else []))
+    counted = mix(packed, targets, keep=["_row"], copies=True, **how).filter("_copies > 0")
+    return counted.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

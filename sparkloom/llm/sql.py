@@ -176,7 +176,7 @@ goal_{dim} AS (SELECT {dim}, CASE WHEN {dim} = '*' THEN nat WHEN sum(x) OVER ()
         return f"CASE WHEN {col} IN ({', '.join(repr(v) for v in targets[dim])}) THEN {col} ELSE '*' END"
 
     return rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens,
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, text, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens,
   CASE WHEN regexp_matches(text, '(?i)licen[sc]e|copyright') THEN 'legal' WHEN contains(text, '@') OR contains(text, '://') THEN 'contact' WHEN contains(text, ' | ') THEN 'tabular' ELSE 'general' END AS topic FROM documents),
 k AS (SELECT *, {cls("source", "source")} AS s, {cls("lang", "lang")} AS l, {cls("topic", "topic")} AS t FROM d),
 cell AS (SELECT s AS source, l AS lang, t AS topic, sum(n_tokens) AS n FROM k GROUP BY ALL HAVING sum(n_tokens) > 0),
@@ -184,7 +184,7 @@ cell AS (SELECT s AS source, l AS lang, t AS topic, sum(n_tokens) AS n FROM k GR
 ipf(it, source, lang, topic, n, w) AS (SELECT 0, source, lang, topic, n, n::DOUBLE FROM cell UNION ALL
   SELECT it + 1, source, lang, topic, n, w FROM ({raked(raked(raked("SELECT * FROM ipf", "source"), "lang"), "topic")}) WHERE it < {iterations}),
 f AS (SELECT source, lang, topic, w / n AS m FROM ipf WHERE it = {iterations}),
-o AS (SELECT k.*, CASE WHEN n_tokens > 0 THEN coalesce(m, 0) ELSE 0 END AS m, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|{seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+o AS (SELECT k.*, CASE WHEN n_tokens > 0 THEN coalesce(m, 0) ELSE 0 END AS m, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || '|{seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM k LEFT JOIN f ON f.source = s AND f.lang = l AND f.topic = t)
 SELECT doc_id, source, lang, topic, n_tokens, round(m, 6) AS multiplier, round(least(1, m), 6) AS probability, round(CASE WHEN m > 0 THEN m / least(1, m) ELSE 0 END, 6) AS weight, u < least(1, m) AS kept FROM o"""
 
@@ -200,10 +200,10 @@ kept AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n, string_agg(substr(h,
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 _CHATS = """
-WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l, count(*) AS n FROM conversations GROUP BY conv_id),
+WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l, count(*) AS n FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations) GROUP BY conv_id, own),
 u AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, l, n FROM c GROUP BY l, n),
 pre AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM u))
-SELECT conv_id, n AS n_turns, n_copies, list_reduce(list_prepend('', list_transform(l, lambda x: '<|im_start|>' || replace(coalesce(x.role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(x.text, ''), '<|', '< |') || '<|im_end|>' || chr(10))), lambda a, b: a || b) AS text
+SELECT conv_id, n AS n_turns, n_copies, list_reduce(list_prepend('', list_transform(l, lambda x: '<|im_start|>' || replace(translate(coalesce(x.role, 'unknown'), chr(13) || chr(10), '  '), '<|', '< |') || chr(10) || replace(coalesce(x.text, ''), '<|', '< |') || '<|im_end|>' || chr(10))), lambda a, b: a || b) AS text
 FROM u ANTI JOIN pre USING (l)"""
 
 ORACLE_SQL: dict[str, str] = {

@@ -245,12 +245,41 @@ def test_sampling(odd, none):
     assert out.count() == odd.count() and not plan_has_python(out)
     assert out.filter("n_tokens = 0 AND kept").count() == 0
     kept = mixing.sample(odd, TARGETS)
-    assert kept.columns == odd.columns and kept.count() == out.filter("kept").count()
+    assert kept.columns == odd.columns
+    drawn = Counter((r.doc_id, r.text) for r in kept.collect())
+    for r in mixing.mix(odd, TARGETS, keep=["text"]).collect():
+        n = drawn[r.doc_id, r.text]
+        assert n % 1 == 0 and (r.multiplier >= 1) <= (n > 0) and (n == 0) >= (r.multiplier == 0)
     assert mixing.mix(none, TARGETS).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(odd, {"source": {f"s{i}": 1 for i in range(20_000)}, "lang": {}, "topic": {}})
 
 
+def test_the_sample_itself_meets_the_targets(spark):
+    """Rare cells are repeated: token shares of the rows as they are, without weights."""
+    rows = [(i, "w " * (20 + i % 9), "en" if i % 20 else "de", "a" if i % 7 else "b", 1) for i in range(4000)]
+    targets = {"source": {"a": 1, "b": 1}, "lang": {"en": 0.6, "de": 0.4}, "topic": {}}
+    got = mixing.sample(frame(spark, rows), targets).groupBy("source", "lang").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+    total = sum(r.n for r in got)
+    assert sum(r.n for r in got if r.lang == "de") / total == pytest.approx(0.4, abs=0.02)
+    assert sum(r.n for r in got if r.source == "b") / total == pytest.approx(0.5, abs=0.02)
+    assert total == pytest.approx(sum(20 + i % 9 for i in range(4000)), rel=0.05)
+
+
+def test_rows_without_ids_are_drawn_one_by_one(spark):
+    rows = [(None, f"text number {i}", "en", "a", 1) for i in range(400)]
+    targets = {"source": {"a": 1}, "lang": {}, "topic": {}}
+    kept = mixing.mix(frame(spark, rows), targets, rate=0.5).filter("kept").count()
+    assert 150 < kept < 250
+
+
+def test_topics_from_a_column(spark):
+    docs = spark.createDataFrame([(i, "a b c", "en", "s", "maths" if i % 4 else None) for i in range(80)], "doc_id long, text string, lang string, source string, label string")
+    out = mixing.mix(docs, {"source": {}, "lang": {}, "topic": {"maths": 1.0}}, topic_column="label")
+    assert {r.topic for r in out.collect()} == {"maths", None}
+    assert mixing.sample(docs, {"source": {}, "lang": {}, "topic": {"maths": 1.0}}, topic_column="label").columns == docs.columns
+
+
 # -- chats ---------------------------------------------------------------------------
 
 
@@ -263,7 +292,26 @@ def test_chats(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
     got = {r.conv_id: (r.n_turns, r.n_copies) for r in chat.format_chats(df).collect()}
     assert got == {2: (3, 2), 4: (2, 1), 6: (1, 1), 7: (1, 1), 8: (1, 1), None: (1, 1), 9: (2, 1)}
+    assert not plan_has_python(chat.format_chats(df))
     text = {r.conv_id: r.text for r in chat.format_chats(df).collect()}
     assert text[4] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nx<|im_end|>\n"
     assert text[None] == "<|im_start|>unknown\n< |im_end|><|im_end|>\n"
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_turns_without_a_conversation_stand_alone(spark):
+    rows = [(None, i, "user", f"t{i}") for i in range(30)] + [(None, 0, "user", "t5"), (3, 0, "user", "t7"), (None, 0, "a\nb", None)]
+    got = {r.text: (r.conv_id, r.n_turns, r.n_copies) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == 31 and {v[1] for v in got.values()} == {1}
+    assert got["<|im_start|>user\nt5<|im_end|>\n"] == (None, 1, 2) and got["<|im_start|>user\nt7<|im_end|>\n"] == (3, 1, 2)
+    assert "<|im_start|>a b\n<|im_end|>\n" in got
+
+
+def test_long_conversations(spark):
+    """Linear in the turns; prefixes across the blocks of the chain."""
+    n = 100_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    short = turns.filter(f"turn < {3 * chat.STEP + 1}").withColumn("conv_id", F.lit(2).cast("long"))
+    other = turns.filter(f"turn < {2 * chat.STEP}").withColumn("conv_id", F.lit(3).cast("long")).withColumn("text", F.concat("text", F.when(F.col("turn") == 2 * chat.STEP - 1, "x").otherwise("")))
+    got = {r.conv_id: r.n_turns for r in chat.collapse_snapshots(turns.unionByName(short).unionByName(other)).select("conv_id", "n_turns").collect()}
+    assert got == {1: n, 3: 2 * chat.STEP}
