@@ -5,13 +5,18 @@ Layout below ``root``::
     data/<run>/part-*.parquet      immutable; a run is what one job wrote
     manifest/v00000001.json        the shards of a version, one JSON object a line
 
-Arrivals are appended as small shards, as they come.  Shards of one size tier
+Arrivals are appended as small shards (``arrival_rows`` at most), as they come.  Shards of one size tier
 (powers of ``fanout`` above ``least_bytes``) are merged once there are ``fanout`` of
 them, into files of about ``target_bytes``; larger shards are left alone, so a row is
 rewritten at most once per tier.  A version exists from the moment its manifest file
-is renamed into place; readers see the old or the new set of shards, never a mixture,
-and two writers can't commit the same version.  A lost executor only costs its tasks:
-files become part of a version after the whole job has committed.
+is put in place under a name that must be free (see ``create_once``): of two writers one
+commits a version, and the other looks at the new state and tries again.  Readers see the
+shards of one version.  Replaced files stay for ``retain_seconds``, so a reader that has
+begun with an older version can end.  A lost executor only costs its tasks: files become
+part of a version after the whole job has committed.
+
+A manifest names all shards, some 200 bytes each, and is read by the driver: at 64 MB a
+shard that is 300 MB of manifest for 100 TB.  Larger targets make it smaller.
 
 Merging moves no row between machines: each output file is written by one task that
 reads neighbouring input files (``coalesce`` joins scan partitions).
@@ -21,13 +26,14 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hadoop_fs
+from .common import create_once, hadoop_fs, read_text, versions
 
 MB = 1 << 20
 
@@ -45,6 +51,8 @@ class Policy:
     target_bytes: int = 64 * MB
     least_bytes: int = MB
     fanout: int = 4
+    arrival_rows: int = 4096  # of a shard as it arrives
+    retain_seconds: float = 3600.0
 
     def tier(self, size: int) -> int:
         return 0 if size < self.least_bytes else 1 + int(math.log(size / self.least_bytes, self.fanout))
@@ -66,42 +74,39 @@ class ShardStore:
 
     def version(self) -> int:
         """0 before the first commit."""
-        fs, p = hadoop_fs(self.spark, f"{self.root}/manifest")
-        if not fs.exists(p):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max((int(n[1:9]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
+        known = versions(self.spark, f"{self.root}/manifest")
+        return known[-1] if known else 0
 
     def shards(self, version: int | None = None) -> list[Shard]:
         """The shards of a version (the newest by default), in manifest order."""
         version = self.version() if version is None else version
         if not version:
             return []
-        fs, p = hadoop_fs(self.spark, self._manifest(version))
-        reader = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
-        stream = fs.open(p)
-        try:
-            lines = reader.toString(stream, "UTF-8").splitlines()
-        finally:
-            stream.close()
+        lines = read_text(self.spark, self._manifest(version)).splitlines()
         return [Shard(**{k: v for k, v in json.loads(x).items() if k != "no"}) for x in lines if x]
 
     def commit(self, base: int, shards: list[Shard]) -> int:
         """Make ``shards`` version base + 1, or raise Conflict."""
-        new = self._manifest(base + 1)
-        fs, target = hadoop_fs(self.spark, new)
-        _, draft = hadoop_fs(self.spark, f"{self.root}/manifest/_draft-{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        try:
-            out.write(bytearray("".join(json.dumps({"no": i} | asdict(s)) + "\n" for i, s in enumerate(shards)), "utf-8"))
-        finally:
-            out.close()
-        # rename() is atomic; local file systems would replace a file, hence the look first
-        if fs.exists(target) or not fs.rename(draft, target):
-            fs.delete(draft, False)
-            raise Conflict(new)
+        text = "".join(json.dumps({"no": i} | asdict(s)) + "\n" for i, s in enumerate(shards))
+        if not create_once(self.spark, self._manifest(base + 1), text):
+            raise Conflict(self._manifest(base + 1))
         return base + 1
 
+    def _change(self, gone: set[str], new: list[Shard]) -> int:
+        """Commit the newest version without ``gone`` and with ``new``; tried again while other writers are faster.
+
+        Raises Conflict if another writer has replaced a file of ``gone``.
+        """
+        while True:
+            base = self.version()
+            now = self.shards(base)
+            if not gone <= {s.path for s in now}:
+                raise Conflict("another writer has replaced these shards")
+            try:
+                return self.commit(base, [s for s in now if s.path not in gone] + new)
+            except Conflict:
+                continue
+
     def _manifest(self, version: int) -> str:
         return f"{self.root}/manifest/v{version:08d}.json"
 
@@ -109,15 +114,35 @@ class ShardStore:
 
     def append(self, arrivals: DataFrame) -> int:
         """Write arrivals as they come, without a shuffle, and commit them as new shards."""
-        base = self.version()
-        return self.commit(base, self.shards(base) + self._write(arrivals, base + 1))
+        return self._change(set(), self._write(arrivals.write.option("maxRecordsPerFile", self.policy.arrival_rows)))
+
+    def append_each(self, df: DataFrame, arrivals: int) -> int:
+        """Append ``df`` as several arrivals, each of every so-many-th partition of its scan, and compact after each.
 
-    def _write(self, df: DataFrame, version: int) -> list[Shard]:
-        run = f"{self.root}/data/{version:08d}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(run)
+        One job writes the files of all; it stands for a stream of deliveries.
+        """
+        extra = f"_arrival_{uuid.uuid4().hex}"
+        shards = self._write(df.withColumn(extra, F.pmod(F.spark_partition_id(), F.lit(arrivals))).write.partitionBy(extra).option("maxRecordsPerFile", self.policy.arrival_rows))
+        groups: dict[str, list[Shard]] = {}
+        for s in shards:
+            groups.setdefault(s.path.rsplit("/", 2)[-2], []).append(s)
+        for name in sorted(groups, key=lambda x: int(x.rsplit("=", 1)[1]) if "=" in x else 0) or [""]:
+            self._change(set(), groups.get(name, []))
+            self.compact()
+        return self.version()
+
+    def _write(self, writer: DataFrameWriter) -> list[Shard]:
+        """The shards of a new run.  A run that isn't committed is never read; ``vacuum`` deletes it."""
+        run = f"{self.root}/data/{uuid.uuid4().hex}"
+        writer.option("compression", "zstd").parquet(run)
         fs, p = hadoop_fs(self.spark, run)
-        found = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
-        return [Shard(f"{run}/{n}", size, self.policy.tier(size), version) for n, size in found]
+        files, found = fs.listFiles(p, True), []
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().toString().rpartition(run.rpartition("/")[2])[2]
+            if f.getPath().getName().startswith("part-"):
+                found.append((f"{run}{name}", f.getLen()))
+        return [Shard(path, size, self.policy.tier(size), self.version() + 1) for path, size in sorted(found)]
 
     def plan(self) -> list[Shard]:
         """The shards that the next compaction merges: the lowest tier that is full, else none."""
@@ -127,28 +152,41 @@ class ShardStore:
                 tiers.setdefault(s.tier, []).append(s)
         return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.policy.fanout), [])
 
-    def compact(self, vacuum: bool = True) -> int:
-        """Merge until no tier is full; returns the version.
-
-        ``vacuum`` deletes the replaced files after each commit, and with them the power
-        to read older versions.
-        """
+    def compact(self) -> int:
+        """Merge until no tier is full, then ``vacuum``; returns the version."""
         while merge := self.plan():
-            base = self.version()
             files = max(1, math.ceil(sum(s.bytes for s in merge) / self.policy.target_bytes))
             if files >= len(merge):
                 break  # nothing to gain
-            merged = self._write(self._load(merge).coalesce(files), base + 1)
-            gone = {s.path for s in merge}
-            self.commit(base, [s for s in self.shards(base) if s.path not in gone] + merged)
-            if vacuum:
-                for path in gone:
-                    fs, p = hadoop_fs(self.spark, path)
-                    fs.delete(p, False)
+            self._change({s.path for s in merge}, self._write(self._load(merge).coalesce(files).write))
+        self.vacuum()
         return self.version()
 
+    def vacuum(self) -> int:
+        """Delete data files older than ``retain_seconds`` that the newest version doesn't name; returns their number.
+
+        So does a run that lost its race or whose job has failed.  Readers of older versions
+        and jobs that still write have that long.
+        """
+        live = {self._key(s.path) for s in self.shards()}
+        fs, p = hadoop_fs(self.spark, f"{self.root}/data")
+        if not live or not fs.exists(p):
+            return 0
+        files, old, n = fs.listFiles(p, True), (time.time() - self.policy.retain_seconds) * 1000, 0
+        while files.hasNext():
+            f = files.next()
+            if f.getPath().getName().startswith("part-") and f.getModificationTime() <= old and self._key(f.getPath().toString()) not in live:
+                fs.delete(f.getPath(), False)
+                n += 1
+        return n
+
+    def _key(self, path: str) -> str:
+        """A file's path below ``data``, however the store writes the rest."""
+        return path.rpartition("/data/")[2]
+
     def _load(self, shards: list[Shard]) -> DataFrame:
-        return self.spark.read.parquet(*[s.path for s in shards])
+        # files of a delivery lie in folders whose names are no columns of theirs
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[s.path for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version."""
@@ -158,20 +196,19 @@ class ShardStore:
         """Every row's doc_id with the number, tier and bytes of its shard in the newest version."""
         version = self.version()
         listed = self.spark.read.schema("no long, path string, bytes long, tier int").json(self._manifest(version))
-        key = lambda path: F.concat_ws("/", F.slice(F.split(path, "/"), -2, 2))
+        key = lambda path: F.substring_index(path, "/data/", -1)
         listed = listed.select(key(F.col("path")).alias("file"), F.col("no").alias("shard_no"), "tier", F.col("bytes").alias("shard_bytes"))
         df = self.read(version).select("doc_id", key(F.col("_metadata.file_path")).alias("file"))
         # the manifest has a row per shard; Spark broadcasts it below its own limit
         return df.join(listed, "file").select("doc_id", "shard_no", "tier", "shard_bytes", F.lit(version).cast("long").alias("version"))
 
 
-def shard_table(docs: DataFrame, root: str, policy: Policy = Policy()) -> ShardStore:
-    """Append ``docs`` (any columns, any values) to the store at ``root`` and compact it.
+def shard_table(docs: DataFrame, root: str, policy: Policy = Policy(), arrivals: int = 8) -> ShardStore:
+    """Append ``docs`` (any columns, any values) to the store at ``root`` in several arrivals, compacting after each.
 
     Rows are kept as they are: NULLs, repeated rows and extra columns included.  An empty
-    table makes a version with one empty shard or none.
+    table makes a version without shards or with empty ones.
     """
     store = ShardStore(docs.sparkSession, root, policy)
-    store.append(docs)
-    store.compact()
+    store.append_each(docs, arrivals)
     return store

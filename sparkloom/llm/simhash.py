@@ -5,12 +5,13 @@ text's word shingles.  Equal fingerprints collapse first (an aggregation that co
 before the shuffle), so groups of exact copies never meet each other.
 
 Distinct fingerprints are ordered by population count, then by those of their eight
-bytes, and cut into at most ``MAX_TILES`` tiles of at least ``tile_rows``.  Two
+bytes, by a range sort, and cut into tiles of ``tile_rows``, however many that makes.  Two
 fingerprints differ in at least as many bits as their counts do, and as those of their
 bytes do in sum, so a pair of tiles whose boxes of counts lie further apart than the
 radius is skipped; inside a tile pair the same holds for blocks of 256.  Remaining
-blocks are compared exactly with numpy's xor and bit_count.  A tile is one packed row,
-which travels once per remaining pair.  A pair returns a spanning forest of its links (a
+blocks are compared exactly with numpy's xor and bit_count.  A tile is one packed row of
+64 KB, which travels once per remaining pair; of each tile the driver holds the box, and
+tasks find the pairs.  A pair returns a spanning forest of its links (a
 row per fingerprint at most), never all pairs, and the forests are joined by star
 contraction.
 """
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,8 @@ from .common import stored
 from .components import connected
 
 BLOCK = 256
-MAX_TILES = 256
+PER_TASK = 64  # tiles that a task sorts and packs
+PAIRS = 16  # pairs of tiles that a task compares
 STEP = 1 << 16  # shingles hashed at a time
 
 
@@ -132,33 +135,37 @@ def forest(fp_a: np.ndarray, fp_b: np.ndarray | None, radius: int) -> tuple[np.n
 def links(unique: DataFrame, radius: int = 3, tile_rows: int = 8192) -> DataFrame:
     """a, b: links whose components are those of all pairs of ``unique.fp`` within ``radius``."""
     spark = unique.sparkSession
-    count = min(MAX_TILES, -(-unique.count() // tile_rows))
+    tasks = max(1, -(-unique.count() // (PER_TASK * tile_rows)))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             fp = x.column("fp").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(order_key(fp))], ["fp", "key"])
 
-    keys = stored(unique.select("fp").mapInArrow(keyed, "fp long, key long"), "simhash-keys")
-    cuts = np.array([], np.int64)
-    if count > 1:
-        cuts = np.unique(np.array(keys.agg(F.percentile_approx("key", [i / count for i in range(1, count)], 20 * MAX_TILES)).first()[0], np.int64))
-
-    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x.column("fp").to_numpy(zero_copy_only=False) for x in batches]
+        fp = np.concatenate(held) if held else np.zeros(0, np.int64)
+        fp = fp[np.argsort(order_key(fp), kind="stable")]
+        first = TaskContext.get().partitionId() << 32
+        for k in range(0, len(fp), tile_rows):
+            part = fp[k : k + tile_rows]
+            low, high = boxes(part, len(part))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([first + k // tile_rows]), pa.array([low[0].tolist()], pa.list_(pa.int32())), pa.array([high[0].tolist()], pa.list_(pa.int32())), pa.array([part.tobytes()], pa.binary())],
+                ["tile", "low", "high", "fps"],
+            )
+
+    ordered = unique.select("fp").mapInArrow(keyed, "fp long, key long").repartitionByRange(tasks, "key").select("fp")
+    tiles = stored(ordered.mapInArrow(pack, "tile long, low array<int>, high array<int>, fps binary"), "simhash-tiles")
+    found = tiles.select("tile", "low", "high").orderBy("tile").toArrow()  # 80 bytes for each tile_rows fingerprints
+    number = found.column("tile").to_numpy()
+    low, high = (np.array(found.column(c).combine_chunks().flatten().to_numpy(), np.int16).reshape(-1, 9) for c in ("low", "high"))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            tile = np.searchsorted(cuts, x.column("key").to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(tile), x.column("fp")], ["tile", "fp"])
-
-    def pack(key: tuple, group: pa.Table) -> pa.Table:
-        fp = group.column("fp").to_numpy()
-        low, high = boxes(fp, len(fp))
-        return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "low": [low[0].tolist()], "high": [high[0].tolist()], "fps": pa.array([fp.tobytes()], pa.binary())},
-                        schema=pa.schema([("tile", pa.int32()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())), ("fps", pa.binary())]))
-
-    tiles = stored(keys.mapInArrow(tiled, "tile int, fp long").groupBy("tile").applyInArrow(pack, "tile int, low array<int>, high array<int>, fps binary"), "simhash-tiles")
-    found = tiles.select("tile", "low", "high").orderBy("tile").collect()  # MAX_TILES rows at most
-    low, high = (np.array([r[k] for r in found], np.int64).reshape(-1, 9) for k in (1, 2))
-    pairs = [(found[i].tile, found[j].tile) for i, j in np.argwhere(np.triu(_gap(low, high, low, high) <= radius)).tolist()]
+            for i in x.column("id").to_pylist():
+                j = i + np.flatnonzero(_gap(low[i : i + 1], high[i : i + 1], low[i:], high[i:])[0] <= radius)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), number[i])), pa.array(number[j])], ["i", "j"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -166,10 +173,11 @@ def links(unique: DataFrame, radius: int = 3, tile_rows: int = 8192) -> DataFram
                 child, root = forest(np.frombuffer(a, np.int64), None if i == j else np.frombuffer(b, np.int64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], ["a", "b"])
 
-    todo = spark.createDataFrame(pairs, "i int, j int")
+    slices = max(1, min(len(number), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    todo = stored(spark.range(0, len(number), 1, slices).mapInArrow(paired, "i long, j long"), "simhash-pairs")
     sides = [tiles.select(F.col("tile").alias(t), F.col("fps").alias(c)) for t, c in (("i", "a"), ("j", "b"))]
-    todo = todo.join(sides[0], "i").join(sides[1], "j").repartition(max(1, len(pairs)), "i", "j")
-    return todo.mapInArrow(compare, "a long, b long")
+    n = max(1, -(-todo.count() // PAIRS))
+    return todo.join(sides[0], "i").join(sides[1], "j").repartition(n, "i", "j").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, tile_rows: int = 8192) -> DataFrame:

@@ -47,9 +47,57 @@ def test_commits_are_exclusive(spark, odd, tmp_path):
     assert [json.loads(x)["no"] for x in manifest] == list(range(len(manifest)))
 
 
+def test_another_writer_is_faster(spark, odd, tmp_path, monkeypatch):
+    """An append that loses its race is committed on top of the winner's version; a merge of shards that are gone is not."""
+    root = str(tmp_path / "s")
+    a, b = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
+    plain, calls = sharding.ShardStore.commit, []
+
+    def slow(self, base, shards):
+        if self is a and not calls:
+            calls.append(1)
+            b.append(odd.limit(3).coalesce(1))
+        return plain(self, base, shards)
+
+    monkeypatch.setattr(sharding.ShardStore, "commit", slow)
+    a.append(odd)
+    assert calls and a.version() == 2 and a.read().count() == odd.count() + 3 and a.read(1).count() == 3
+    with pytest.raises(sharding.Conflict):
+        a._change({"gone"}, [])
+
+
+def test_placement_and_history_by_files(spark, odd, tmp_path):
+    """A model of the store: rows by file as pyarrow reads them, tiers by size, every version whole until the vacuum."""
+    import math
+
+    import pyarrow.parquet as pq
+
+    policy = sharding.Policy(target_bytes=40_000, least_bytes=3_000, fanout=3, arrival_rows=9)
+    docs = odd.repartition(6, "text")
+    store = sharding.shard_table(docs, str(tmp_path / "s"), policy, arrivals=3)
+    shards = store.shards()
+    want = Counter((doc, i, s.tier, s.bytes) for i, s in enumerate(shards) for doc in pq.read_table(s.path)["doc_id"].to_pylist())
+    assert Counter((r.doc_id, r.shard_no, r.tier, r.shard_bytes) for r in store.placement().collect()) == want
+    assert Counter(k[0] for k, n in want.items() for _ in range(n)) == Counter(r.doc_id for r in odd.collect())
+    assert all(s.bytes == (tmp_path / s.path).stat().st_size for s in shards)
+    for s in shards:
+        assert s.tier == (0 if s.bytes < 3_000 else 1 + math.floor(math.log(s.bytes / 3_000, 3)))
+    tiers = Counter(s.tier for s in shards if 2 * s.bytes <= 40_000)
+    full = [t for t in sorted(tiers) if tiers[t] >= 3]
+    merge = [s for s in shards if full and s.tier == full[0] and 2 * s.bytes <= 40_000]
+    assert store.plan() == merge and (not merge or math.ceil(sum(s.bytes for s in merge) / 40_000) >= len(merge))
+    counts = [store.read(v).count() for v in range(1, store.version() + 1)]
+    assert counts == sorted(counts) and len(set(counts)) == 3 and counts[-1] == odd.count()  # a merge changes no row
+    assert store.read().columns == odd.columns
+    files = sum(1 for _ in (tmp_path / "s/data").rglob("part-*"))
+    assert files > len(shards) and store.vacuum() == 0
+    swept = sharding.ShardStore(spark, store.root, sharding.Policy(retain_seconds=0.0))
+    assert swept.vacuum() == files - len(shards) and swept.read().count() == odd.count()
+
+
 def test_empty_store(spark, none, tmp_path):
     store = sharding.shard_table(none, str(tmp_path / "s"))
-    assert store.version() == 1
+    assert store.version() == 1 and store.placement().count() == 0
 
 
 # -- urls ----------------------------------------------------------------------------
