@@ -128,7 +128,8 @@ class ShardStore:
             groups.setdefault(s.path.rsplit("/", 2)[-2], []).append(s)
         for name in sorted(groups, key=lambda x: int(x.rsplit("=", 1)[1]) if "=" in x else 0) or [""]:
             self._change(set(), groups.get(name, []))
-            self.compact()
+            self._merge()
+        self.vacuum()  # only now: files of later arrivals were in no version yet
         return self.version()
 
     def _write(self, writer: DataFrameWriter) -> list[Shard]:
@@ -154,13 +155,16 @@ class ShardStore:
 
     def compact(self) -> int:
         """Merge until no tier is full, then ``vacuum``; returns the version."""
+        self._merge()
+        self.vacuum()
+        return self.version()
+
+    def _merge(self) -> None:
         while merge := self.plan():
             files = max(1, math.ceil(sum(s.bytes for s in merge) / self.policy.target_bytes))
             if files >= len(merge):
                 break  # nothing to gain
             self._change({s.path for s in merge}, self._write(self._load(merge).coalesce(files).write))
-        self.vacuum()
-        return self.version()
 
     def vacuum(self) -> int:
         """Delete data files older than ``retain_seconds`` that the newest version doesn't name; returns their number.

@@ -91,6 +91,8 @@ def test_placement_and_history_by_files(spark, odd, tmp_path):
     assert store.read().columns == odd.columns
     files = sum(1 for _ in (tmp_path / "s/data").rglob("part-*"))
     assert files > len(shards) and store.vacuum() == 0
+    brief = sharding.shard_table(docs, str(tmp_path / "t"), sharding.Policy(40_000, 3_000, 3, 9, 0.0), arrivals=3)
+    assert brief.read().count() == odd.count() and sum(1 for _ in (tmp_path / "t/data").rglob("part-*")) == len(brief.shards())
     swept = sharding.ShardStore(spark, store.root, sharding.Policy(retain_seconds=0.0))
     assert swept.vacuum() == files - len(shards) and swept.read().count() == odd.count()
 
