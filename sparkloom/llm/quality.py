@@ -2,18 +2,19 @@
 
 Each document's statistics become a vector of logarithms, in fixed point so that sums
 are exact in any order.  Per language and source the minimum-covariance-determinant
-estimate of location and scatter is found by concentration steps from a deterministic
-start (medians and absolute deviations): take the ``subset`` share of documents that
-is nearest by Mahalanobis distance, estimate again, repeat.  The scatter of the nearest
-share is raised to that of a whole normal sample (``consistency``), and a ridge is added:
-the least deviation that is told apart where a statistic hardly varies.  Squared
-distances are therefore at most chi-square, and documents above its quantile ``cutoff``
-are rejected.
+estimate of location and scatter is found by concentration steps: take the ``subset``
+share of documents that is nearest by Mahalanobis distance, estimate again, repeat until
+no estimate changes.  Three starts (medians and absolute deviations; all documents; the
+half nearest to the medians) are followed side by side, and each group takes the one whose
+scatter has the least determinant.  The scatter of the nearest share is raised to that of
+a whole normal sample (``consistency``), and a ridge is added: the least deviation that is
+told apart where a statistic hardly varies.  Squared distances are therefore at most
+chi-square, and documents above its quantile ``cutoff`` are rejected.
 
 The texts are read once, in one pass without a shuffle; the steps run over one row of
-integers per document.  All aggregates combine before the shuffle: sums, counts, and
-percentiles over a bounded set of integer values, so a source that holds a third of all
-documents is no hot key.
+integers per document, and each step is one pass: sums are kept per group, start and class
+of distance, a bounded histogram from which the share and its sums follow.  All aggregates
+combine before the shuffle, so a source that holds a third of all documents is no hot key.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, stored, words
@@ -45,7 +46,7 @@ class Limits:
     max_repeat_percent: int = 50
     min_group: int = 50  # smaller groups join their language's rest, then the rest of all
     subset: float = 0.75
-    steps: int = 3
+    steps: int = 50  # at most; some ten suffice
     cutoff: float = 20.515  # of the squared distance; chi-square with 5 degrees passes it with p = 0.001
 
 
@@ -153,11 +154,11 @@ def _distance(whitened: list[Column]) -> Column:
 
 
 def _params(sums: DataFrame, raised: float) -> DataFrame:
-    """g, means m<i> and the Cholesky factor l<i>_<j> of the scatter, times ``raised``, with ridge, from exact sums."""
+    """g, start, n, means m<i> and the Cholesky factor l<i>_<j> of the scatter, times ``raised``, with ridge, and ld, its log-determinant, from exact sums."""
     p = len(FEATURES)
-    df = sums.select("g", *(((F.col(f"s{i}").cast("double") / F.col("n")).alias(f"m{i}")) for i in range(p)), "n", *(f"s{i}_{j}" for i in range(p) for j in range(i + 1)))
+    df = sums.select("g", "start", *(((F.col(f"s{i}").cast("double") / F.col("n")).alias(f"m{i}")) for i in range(p)), "n", *(f"s{i}_{j}" for i in range(p) for j in range(i + 1)))
     df = df.select(
-        "g", *(f"m{i}" for i in range(p)),
+        "g", "start", "n", *(f"m{i}" for i in range(p)),
         *((F.lit(raised) * (F.col(f"s{i}_{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (F.lit((FEATURES[i][2] * SCALE) ** 2) if i == j else F.lit(0.0))).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)),
     )
     for j in range(p):  # Cholesky, column by column
@@ -172,7 +173,34 @@ def _params(sums: DataFrame, raised: float) -> DataFrame:
                 total = total - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
             new[f"l{i}_{j}"] = total / F.col(f"l{j}_{j}")
         df = df.withColumns(new) if new else df
-    return df.select("g", *(f"m{i}" for i in range(p)), *(f"l{i}_{j}" for i in range(p) for j in range(i + 1)))
+    return df.select("g", "start", "n", *_PARAMS, _log_det().alias("ld"))
+
+
+_PARAMS = [*(f"m{i}" for i in range(len(FEATURES))), *(f"l{i}_{j}" for i in range(len(FEATURES)) for j in range(i + 1))]
+
+
+def _log_det() -> Column:
+    out = F.ln("l0_0")
+    for i in range(1, len(FEATURES)):
+        out = out + F.ln(f"l{i}_{i}")
+    return out
+
+
+def _sums(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Numbers of rows, sums and products of the vectors; exact."""
+    p = len(FEATURES)
+    products = [(F.col(NAMES[i]) * F.col(NAMES[j]), f"s{i}_{j}") for i in range(p) for j in range(i + 1)]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(n).alias(f"s{i}") for i, n in enumerate(NAMES)), *(F.sum(c).alias(n) for c, n in products))
+
+
+def _nearest(near: DataFrame, share: float) -> DataFrame:
+    """The sums of the nearest ``share`` of each group and start, by a histogram of d2's classes."""
+    hist = _sums(near.select("g", "start", *NAMES, _bin(F.col("d2")).alias("bin")), ["g", "start", "bin"])
+    whole = Window.partitionBy("g", "start")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = hist.withColumns({"before": before, "all": F.sum("n").over(whole)}).filter(F.col("before") < F.lit(share) * F.col("all"))
+    columns = [c for c in hist.columns if c not in ("g", "start", "bin")]
+    return inside.groupBy("g", "start").agg(*(F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in columns))
 
 
 def _whiten(df: DataFrame) -> DataFrame:
@@ -226,25 +254,23 @@ def fit(stats: DataFrame, lim: Limits = Limits()) -> Model:
     names = stored(group_names(stats, lim), "mcd-names")
     vectors = stats.withColumn("g0", _exact_group()).join(names, "g0").select("g", *(F.expr(e).alias(n) for n, e in _VECTOR.items()))
     vectors = stored(vectors, "mcd-vectors")
-    ridge = [F.lit(r * SCALE) for _, _, r in FEATURES]
+    raised = consistency(lim.subset)
     centre = vectors.groupBy("g").agg(*(F.percentile(n, F.lit(0.5)).alias(f"m{i}") for i, n in enumerate(NAMES)))
     around = vectors.join(centre, "g")
     spread = around.groupBy("g").agg(*(F.percentile(F.abs(F.col(n) - F.col(f"m{i}")), F.lit(0.5)).alias(f"a{i}") for i, n in enumerate(NAMES)))
-    start = stored(centre.join(spread, "g"), "mcd-start")
-    near = vectors.join(start, "g")
-    near = near.withColumn("d2", _distance([(F.col(n) - F.col(f"m{i}")) / F.greatest(F.lit(1.4826) * F.col(f"a{i}"), ridge[i]) for i, n in enumerate(NAMES)]))
-    for step in range(lim.steps + 1):
-        near = near.select("g", *NAMES, _bin(F.col("d2")).alias("bin"))
-        limit = stored(near.groupBy("g").agg(F.expr(f"percentile_disc({lim.subset}) WITHIN GROUP (ORDER BY bin)").cast("int").alias("limit")), f"mcd-limit{step}")
-        inside = near.join(limit, "g").filter("bin <= limit")
-        big = lambda c: F.sum(c.cast("decimal(20,0)"))
-        sums = inside.groupBy("g").agg(
-            F.count(F.lit(1)).alias("n"), *(big(F.col(NAMES[i])).alias(f"s{i}") for i in range(p)),
-            *(big(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)),
-        )
-        params = stored(_params(sums, consistency(lim.subset)), f"mcd-params{step}")
-        near = _whiten(vectors.join(params, "g"))
-    return Model(names, params)
+    factor = [(F.greatest(F.lit(1.4826) * F.col(f"a{i}"), F.lit(FEATURES[i][2] * SCALE)) if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(p) for j in range(i + 1)]
+    middle = stored(centre.join(spread, "g").select("g", F.lit(0).alias("start"), *(f"m{i}" for i in range(p)), *factor), "mcd-middle")
+    half = _params(_nearest(_whiten(vectors.join(middle, "g")).withColumn("start", F.lit(2)), 0.5), raised)
+    every = _params(_sums(vectors, ["g"]).withColumn("start", F.lit(1)), 1.0)
+    starts = ["g", "start", *_PARAMS]
+    params = stored(middle.select(starts).unionByName(every.select(starts)).unionByName(half.select(starts)).withColumns({"n": F.lit(None).cast("decimal(38,0)"), "ld": _log_det()}), "mcd-start")
+    for step in range(lim.steps):
+        last, params = params, stored(_params(_nearest(_whiten(vectors.join(params.select(starts), "g")), lim.subset), raised), f"mcd-params{step}")
+        was = last.select("g", "start", F.col("n").alias("_n"), F.col("ld").alias("_ld"))
+        if params.join(was, ["g", "start"]).filter("NOT (n <=> _n AND ld <=> _ld)").isEmpty():
+            break
+    best = params.groupBy("g").agg(F.min_by(F.struct(*_PARAMS), F.struct("ld", "start")).alias("b")).select("g", "b.*")
+    return Model(names, stored(best, "mcd-best"))
 
 
 def judge_quality(docs: DataFrame, lim: Limits = Limits()) -> DataFrame:
@@ -271,12 +297,12 @@ def judge_quality(docs: DataFrame, lim: Limits = Limits()) -> DataFrame:
 def keep_good(docs: DataFrame, lim: Limits = Limits()) -> DataFrame:
     """The rows of ``docs``, with all columns, that ``judge_quality`` keeps.
 
-    Texts are judged where they are read: once the estimates are known, a document's
-    statistics are computed again, which is cheaper than to shuffle all texts to theirs.
+    Rows that pass the base rules are written once, with their statistics, and read again
+    with the verdicts once the estimates are known; that costs less than to count all
+    words twice or to shuffle texts.
     """
     packed = docs.select(F.struct("*").alias("_row"), "text", "lang", "source")
-    first = text_stats(packed, ["lang", "source"]).filter(~_failed(lim) & (F.col("n_words") > 0))
-    model = fit(stored(first, "quality-stats"), lim)
-    second = text_stats(packed, ["_row", "lang", "source"]).filter(~_failed(lim))
-    words_ = model.distances(second.filter("n_words > 0")).filter(F.coalesce(F.col("d2") <= lim.cutoff, F.lit(True))).select("_row.*")
-    return words_ if lim.min_words > 0 else words_.unionByName(second.filter("n_words = 0").select("_row.*"))
+    passed = stored(text_stats(packed, ["_row", "lang", "source"]).filter(~_failed(lim)), "quality-rows")
+    with_words = passed.filter("n_words > 0")
+    kept = fit(with_words.drop("_row"), lim).distances(with_words).filter(F.coalesce(F.col("d2") <= lim.cutoff, F.lit(True))).select("_row.*")
+    return kept if lim.min_words > 0 else kept.unionByName(passed.filter("n_words = 0").select("_row.*"))

@@ -7,7 +7,7 @@ brute-force versions.
 from __future__ import annotations
 
 from .licenses import TEMPLATES, template_bigrams
-from .quality import SCALE, Limits
+from .quality import FEATURES, SCALE, Limits, consistency
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -44,37 +44,41 @@ SELECT page_id, host, path, rule,
   n::BIGINT AS host_labelled, bad::BIGINT AS host_bad, posterior_mean, lower_bound FROM j"""
 
 
-#: What op3's SQL was written for.  The operator has since got another x3, a consistency
-#: factor in place of the scale, and a lower cutoff; the SQL is left as it was and so
-#: disagrees with it in kept and distance.
-FEATURES = [
-    ("x0", "ln(n_words)", 0.2),
-    ("x1", "ln(word_chars / n_words)", 0.05),
-    ("x2", "ln(1 + 100e0 * n_symbols / word_chars)", 0.5),
-    ("x3", "ln(1 + 100e0 * n_dup_lines / n_lines)", 0.5),
-    ("x4", "ln(1 + 100e0 * n_repeat_words / n_words)", 0.5),
-]
-
-
-def _quality(lim: Limits = Limits(cutoff=60.0), median: float = 4.351) -> str:
+def _quality(lim: Limits = Limits(), steps: int = 16) -> str:
+    """The concentration steps end well before ``steps`` of them on the tables; further ones change nothing."""
     p, names = range(len(FEATURES)), [n for n, _, _ in FEATURES]
     pairs = [(i, j) for i in p for j in range(i + 1)]
+    params = ", ".join([f"m{i}" for i in p] + [f"l{i}_{j}" for i, j in pairs])
+    raised = consistency(lim.subset)
 
     def binned(d2: str) -> str:
         return f"floor(64e0 * log2(least({d2}, 1e12) + 1))::INT"
 
-    def disc(table: str, share: float, name: str) -> str:
-        return f"SELECT g, min(bin) {name} FROM (SELECT g, bin, row_number() OVER (PARTITION BY g ORDER BY bin) k, count(*) OVER (PARTITION BY g) n FROM {table}) WHERE k >= {share} * n GROUP BY g"
-
     def whiten(table: str) -> str:
         """d2 of v under the parameters of ``table``."""
-        inner = f"SELECT v.*, {', '.join(f'm{i}' for i in p)}, {', '.join(f'l{i}_{j}' for i, j in pairs)} FROM v JOIN {table} USING (g)"
+        inner = f"SELECT v.*, start, {params} FROM v JOIN {table} USING (g)"
         for i in p:
             total = f"{names[i]} - m{i}" + "".join(f" - l{i}_{j} * z{j}" for j in range(i))
             inner = f"SELECT *, ({total}) / l{i}_{i} z{i} FROM ({inner})"
         return f"SELECT *, {' + '.join(f'z{i} * z{i}' for i in p)} d2 FROM ({inner})"
 
-    ridge = [repr(float(r * SCALE)) for _, _, r in FEATURES]
+    def factors(sums: str, raised: float) -> str:
+        cov = ", ".join(f"{raised}::DOUBLE * (s{i}_{j}::DOUBLE / n - (s{i}::DOUBLE / n) * (s{j}::DOUBLE / n)) + {f'pow({float(FEATURES[i][2] * SCALE)!r}::DOUBLE, 2)' if i == j else '0e0'} c{i}_{j}" for i, j in pairs)
+        chol = f"SELECT g, start, {', '.join(f's{i}::DOUBLE / n m{i}' for i in p)}, {cov} FROM ({sums})"
+        for j in p:
+            diag = f"c{j}_{j}" + "".join(f" - l{j}_{q} * l{j}_{q}" for q in range(j))
+            chol = f"SELECT *, sqrt(greatest({diag}, 1e-6)) l{j}_{j} FROM ({chol})"
+            below = [f"(c{i}_{j}" + "".join(f" - l{i}_{q} * l{j}_{q}" for q in range(j)) + f") / l{j}_{j} l{i}_{j}" for i in p if i > j]
+            if below:
+                chol = f"SELECT *, {', '.join(below)} FROM ({chol})"
+        return f"SELECT g, start, {params} FROM ({chol})"
+
+    sums = ", ".join(["count(*) n"] + [f"sum({names[i]}) s{i}" for i in p] + [f"sum({names[i]} * {names[j]}) s{i}_{j}" for i, j in pairs])
+
+    def nearest(table: str, share: float) -> str:
+        ranked = f"SELECT *, row_number() OVER (PARTITION BY g, start ORDER BY bin) k, count(*) OVER (PARTITION BY g, start) al FROM (SELECT *, {binned('d2')} bin FROM ({whiten(table)}))"
+        return f"SELECT g, start, {sums} FROM (SELECT *, min(k) OVER (PARTITION BY g, start, bin) kb FROM ({ranked})) WHERE kb - 1 < {share} * al GROUP BY g, start"
+
     parts = [
         rf"""
 t AS (SELECT row_number() OVER () rid, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
@@ -83,7 +87,7 @@ u AS (SELECT rid, unnest(w) word, generate_subscripts(w, 1) pos FROM t),
 tri AS (SELECT rid, pos, word a, lead(word) OVER o b, lead(word, 2) OVER o c FROM u WINDOW o AS (PARTITION BY rid ORDER BY pos)),
 twice AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, a, b, c) n FROM tri WHERE c IS NOT NULL) WHERE n > 1),
 rep AS (SELECT rid, count(DISTINCT pos + k) n FROM twice, range(3) r(k) GROUP BY rid),
-st AS (SELECT rid, doc_id, lang, source, len(w)::BIGINT n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT word_chars,
+st AS (SELECT rid, doc_id, text, lang, source, len(w)::BIGINT n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, len(ls)::BIGINT n_lines,
   coalesce(rep.n, 0)::BIGINT n_repeat_words FROM t LEFT JOIN rep USING (rid)),
 j AS (SELECT *, (n_words < {lim.min_words} OR 100 * n_repeat_words > {lim.max_repeat_percent} * n_words) base_failed FROM st),
@@ -94,29 +98,14 @@ gn AS (SELECT g0, CASE WHEN n >= {lim.min_group} THEN g0 WHEN n1 >= {lim.min_gro
 v AS (SELECT rid, g, {", ".join(f"round({SCALE} * {e})::BIGINT {n}" for n, e, _ in FEATURES)} FROM good JOIN gn USING (g0)),
 ce AS (SELECT g, {", ".join(f"quantile_cont({n}, 0.5) m{i}" for i, n in enumerate(names))} FROM v GROUP BY g),
 sp AS (SELECT g, {", ".join(f"quantile_cont(abs({n} - m{i}), 0.5) a{i}" for i, n in enumerate(names))} FROM v JOIN ce USING (g) GROUP BY g),
-near0 AS (SELECT rid, g, {", ".join(names)}, {binned(" + ".join(f"pow(({n} - m{i}) / greatest(1.4826e0 * a{i}, {ridge[i]}), 2)" for i, n in enumerate(names)))} bin FROM v JOIN ce USING (g) JOIN sp USING (g))"""
+middle AS (SELECT g, 0 AS start, {", ".join(f"m{i}" for i in p)}, {", ".join(f"greatest(1.4826e0 * a{i}, {float(FEATURES[i][2] * SCALE)!r}::DOUBLE) l{i}_{j}" if i == j else f"0e0 l{i}_{j}" for i, j in pairs)} FROM ce JOIN sp USING (g)),
+par0 AS (SELECT * FROM middle UNION ALL ({factors(f"SELECT g, 1 AS start, {sums} FROM v GROUP BY g", 1.0)})
+  UNION ALL (SELECT * REPLACE (2 AS start) FROM ({factors(nearest("middle", 0.5), raised)})))"""
     ]
-    for k in range(lim.steps + 1):
-        cov = ", ".join(f"s{i}_{j}::DOUBLE / n - (s{i}::DOUBLE / n) * (s{j}::DOUBLE / n) + {f'pow({ridge[i]}, 2)' if i == j else '0e0'} c{i}_{j}" for i, j in pairs)
-        chol = f"SELECT g, {', '.join(f's{i}::DOUBLE / n m{i}' for i in p)}, {cov} FROM sums{k}"
-        for j in p:
-            diag = f"c{j}_{j}" + "".join(f" - l{j}_{q} * l{j}_{q}" for q in range(j))
-            chol = f"SELECT *, sqrt(greatest({diag}, 1e-6)) l{j}_{j} FROM ({chol})"
-            below = [f"(c{i}_{j}" + "".join(f" - l{i}_{q} * l{j}_{q}" for q in range(j)) + f") / l{j}_{j} l{i}_{j}" for i in p if i > j]
-            if below:
-                chol = f"SELECT *, {', '.join(below)} FROM ({chol})"
-        sums = ", ".join([f"sum({names[i]}) s{i}" for i in p] + [f"sum({names[i]} * {names[j]}) s{i}_{j}" for i, j in pairs])
-        parts += [
-            f"lim{k} AS ({disc(f'near{k}', lim.subset, 'lim')})",
-            f"sums{k} AS (SELECT g, count(*) n, {sums} FROM near{k} JOIN lim{k} USING (g) WHERE bin <= lim GROUP BY g)",
-            f"par{k} AS ({chol})",
-            f"dist{k} AS ({whiten(f'par{k}')})",
-            f"near{k + 1} AS (SELECT rid, g, {', '.join(names)}, {binned('d2')} bin FROM dist{k})",
-        ]
-    last = lim.steps
+    parts += [f"par{k} AS MATERIALIZED ({factors(nearest(f'par{k - 1}', lim.subset), raised)})" for k in range(1, steps + 1)]
     parts += [
-        f"mid AS ({disc(f'near{last + 1}', 0.5, 'mid')})",
-        f"fin AS (SELECT rid, d2 / greatest((pow(2e0, (mid + 1) / 64e0) - 1) / {median}, 1e0) d2 FROM dist{last} JOIN mid USING (g))",
+        f"best AS (SELECT * EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {' + '.join(f'ln(l{i}_{i})' for i in p)}, start) o FROM par{steps}) WHERE o = 1)",
+        f"fin AS ({whiten('best')})",
     ]
     return f"""WITH {", ".join(parts)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {lim.cutoff}, true) AS kept, round(d2, 4) AS distance

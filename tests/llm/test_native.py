@@ -184,6 +184,55 @@ def test_junk_between_pipes_goes_and_one_repeated_line_stays(spark):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
 
 
+def numpy_mcd(x, share, raised, ridge, rng, starts=60):
+    """The textbook's search: concentration from random small subsets and from all, the least determinant wins."""
+    import numpy as np
+
+    n, h, best = len(x), int(np.ceil(share * len(x))), None
+    for k in range(starts):
+        own = rng.choice(n, 8, replace=False) if k else np.arange(n)
+        for _ in range(100):
+            centre, scatter = x[own].mean(0), raised * np.cov(x[own].T, bias=True) + np.diag(ridge**2)
+            d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            near = np.argsort(d2, kind="stable")[:h]
+            if set(near) == set(own):
+                break
+            own = near
+        det = np.linalg.slogdet(scatter)[1]
+        if best is None or det < best[0]:
+            best = det, centre, d2
+    return best
+
+
+@pytest.mark.parametrize("bad", [0.0, 0.2])
+def test_the_determinant_is_least(spark, bad):
+    """Against an independent search in numpy, with many random starts, on statistics with planted outliers."""
+    import numpy as np
+
+    rng = np.random.default_rng(int(bad * 10) + 1)
+    n = 600
+    words = np.exp(rng.normal(5.5, 0.5, n)).astype(int) + 50
+    chars = (words * np.exp(rng.normal(1.5, 0.08, n))).astype(int)
+    symbols = rng.poisson(chars * 0.01)
+    dups, repeats, lines = rng.poisson(1, n), (words * rng.beta(2, 30, n)).astype(int), words // 10 + 1
+    out = np.arange(n) < bad * n
+    symbols[out] = chars[out] // 4
+    chars[out] = chars[out] * 2
+    rows = [(i, "en", "s", *map(int, r)) for i, r in enumerate(zip(words, chars, symbols, dups, repeats, lines))]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    lim = quality.Limits()
+    model = quality.fit(stats, lim)
+    got = {r.doc_id: r.d2 for r in model.distances(stats).select("doc_id", "d2").collect()}
+    x = np.array([list(r) for r in stats.orderBy("doc_id").select(*(F.expr(e).alias(k) for k, e in quality._VECTOR.items())).collect()], float)
+    ridge = np.array([r * quality.SCALE for _, _, r in quality.FEATURES])
+    det, centre, d2 = numpy_mcd(x, lim.subset, quality.consistency(lim.subset), ridge, rng)
+    f = model.factors.first().asDict()
+    assert 2 * sum(np.log(f[f"l{i}_{i}"]) for i in range(5)) <= det + 0.05  # classes of distance end a little off the exact share
+    assert np.allclose([f[f"m{i}"] for i in range(5)], centre, atol=0.05 * quality.SCALE)
+    mine, theirs = {i for i, v in got.items() if v > lim.cutoff}, set(np.flatnonzero(d2 > lim.cutoff).tolist())
+    assert len(mine ^ theirs) <= 4 and mine >= set(np.flatnonzero(out).tolist())
+
+
 def test_consistency():
     """Known quantiles of chi-square: with 5 degrees 0.95 at 11.0705, 0.999 at 20.515; with 7, 0.95 at 14.0671."""
     assert quality._chi_square(11.0705, 5) == pytest.approx(0.95, abs=1e-5)
