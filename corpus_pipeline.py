@@ -5,7 +5,7 @@ returns a DataFrame; ``run`` writes each result as Parquet in the shared folder
 hands the files to the next stage.  All stages but the last return the columns of
 ``documents``.
 
-Rows pass whole or not at all.  NULL and repeated ids are handled by the operators:
+Rows pass whole or not at all, but that mixing may repeat them.  NULL and repeated ids are handled by the operators:
 rows equal in id and text share their fate, except that near-duplicate removal keeps
 one row of each component.
 """
@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontaminate, mixing, quality, sharding, simhash
 from sparkloom.llm.common import scratch, shuffle_cleanup, stored, table
-from sparkloom.llm.entry import TARGETS
+from sparkloom.llm.entry import SHARDS, TARGETS
+
+#: Setting that names the folder of the finished shards.
+SHARDS_DIR = "spark.sparkloom.shards.dir"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +40,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose weighted token shares meet the targets."""
+    """A sample whose token shares meet the targets: documents of rare cells are repeated."""
     return mixing.sample(docs, TARGETS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document lies in the compacted store."""
-    return sharding.shard_table(docs, scratch(spark, "shards")).placement()
+    """Where each document lies in the compacted store.
+
+    The store is at ``spark.sparkloom.shards.dir`` and stays there; where that is unset it
+    lies in the shared folder until the driver ends.
+    """
+    root = spark.conf.get(SHARDS_DIR, None)
+    store = sharding.shard_table(docs, root) if root else sharding.shard_table(docs, scratch(spark, "shards"), SHARDS)
+    return store.placement()
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
