@@ -3,8 +3,8 @@
 Each document's statistics become a vector of logarithms, in fixed point so that sums
 are exact in any order.  Per language and source the minimum-covariance-determinant
 estimate of location and scatter is found by concentration steps: take the ``subset``
-share of documents that is nearest by Mahalanobis distance, estimate again, repeat until
-no estimate changes.  Three starts (medians and absolute deviations; all documents; the
+share of documents that is nearest by Mahalanobis distance, estimate again, repeat while
+the determinant falls.  Three starts (medians and absolute deviations; all documents; the
 half nearest to the medians) are followed side by side, and each group takes the one whose
 scatter has the least determinant.  The scatter of the nearest share is raised to that of
 a whole normal sample (``consistency``), and a ridge is added: the least deviation that is
@@ -38,6 +38,8 @@ FEATURES: list[tuple[str, str, float]] = [
     ("x4", "ln(1 + 100e0 * n_repeat_words / n_words)", 0.5),
 ]
 NAMES = [n for n, _, _ in FEATURES]
+#: What half the logarithm of a determinant has to fall by for another step.
+FALL = 1e-3
 
 
 @dataclass(frozen=True)
@@ -263,12 +265,18 @@ def fit(stats: DataFrame, lim: Limits = Limits()) -> Model:
     half = _params(_nearest(_whiten(vectors.join(middle, "g")).withColumn("start", F.lit(2)), 0.5), raised)
     every = _params(_sums(vectors, ["g"]).withColumn("start", F.lit(1)), 1.0)
     starts = ["g", "start", *_PARAMS]
-    params = stored(middle.select(starts).unionByName(every.select(starts)).unionByName(half.select(starts)).withColumns({"n": F.lit(None).cast("decimal(38,0)"), "ld": _log_det()}), "mcd-start")
+    params = middle.select(starts).unionByName(every.select(starts)).unionByName(half.select(starts))
+    params = stored(params.withColumns({"ld": _log_det(), "falls": F.lit(True)}), "mcd-start")
     for step in range(lim.steps):
-        last, params = params, stored(_params(_nearest(_whiten(vectors.join(params.select(starts), "g")), lim.subset), raised), f"mcd-params{step}")
-        was = last.select("g", "start", F.col("n").alias("_n"), F.col("ld").alias("_ld"))
-        if params.join(was, ["g", "start"]).filter("NOT (n <=> _n AND ld <=> _ld)").isEmpty():
+        # a start is done for a group once its determinant no longer falls; what it had then stays
+        going = params.filter("falls")
+        if going.isEmpty():
             break
+        new = _params(_nearest(_whiten(vectors.join(going.select(starts), "g")), lim.subset), raised)
+        new = new.select("g", "start", F.struct(*_PARAMS, "ld").alias("new"))
+        falls = F.col("new").isNotNull() & (F.lit(step == 0) | (F.col("new.ld") < F.col("ld") - FALL))
+        joined = params.join(new, ["g", "start"], "left").withColumn("falls", falls)
+        params = stored(joined.select("g", "start", *(F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in [*_PARAMS, "ld"]), "falls"), f"mcd-params{step}")
     best = params.groupBy("g").agg(F.min_by(F.struct(*_PARAMS), F.struct("ld", "start")).alias("b")).select("g", "b.*")
     return Model(names, stored(best, "mcd-best"))
 

@@ -7,7 +7,7 @@ brute-force versions.
 from __future__ import annotations
 
 from .licenses import TEMPLATES, template_bigrams
-from .quality import FEATURES, SCALE, Limits, consistency
+from .quality import FALL, FEATURES, SCALE, Limits, consistency
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -45,7 +45,7 @@ SELECT page_id, host, path, rule,
 
 
 def _quality(lim: Limits = Limits(), steps: int = 16) -> str:
-    """The concentration steps end well before ``steps`` of them on the tables; further ones change nothing."""
+    """The determinants stop falling well before ``steps`` steps on the tables; further steps change nothing."""
     p, names = range(len(FEATURES)), [n for n, _, _ in FEATURES]
     pairs = [(i, j) for i in p for j in range(i + 1)]
     params = ", ".join([f"m{i}" for i in p] + [f"l{i}_{j}" for i, j in pairs])
@@ -102,9 +102,13 @@ middle AS (SELECT g, 0 AS start, {", ".join(f"m{i}" for i in p)}, {", ".join(f"g
 par0 AS (SELECT * FROM middle UNION ALL ({factors(f"SELECT g, 1 AS start, {sums} FROM v GROUP BY g", 1.0)})
   UNION ALL (SELECT * REPLACE (2 AS start) FROM ({factors(nearest("middle", 0.5), raised)})))"""
     ]
-    parts += [f"par{k} AS MATERIALIZED ({factors(nearest(f'par{k - 1}', lim.subset), raised)})" for k in range(1, steps + 1)]
+    det = " + ".join(f"ln(l{i}_{i})" for i in p)
+    for k in range(1, steps + 1):
+        parts.append(f"new{k} AS MATERIALIZED (SELECT *, {det} ld FROM ({factors(nearest(f'par{k - 1}', lim.subset), raised)}))")
+        kept = "SELECT * FROM new1" if k == 1 else f"SELECT n.* FROM new{k} n JOIN par{k - 1} o USING (g, start) WHERE n.ld < o.ld - {FALL!r}::DOUBLE UNION ALL SELECT o.* FROM new{k} n JOIN par{k - 1} o USING (g, start) WHERE NOT n.ld < o.ld - {FALL!r}::DOUBLE"
+        parts.append(f"par{k} AS MATERIALIZED ({kept})")
     parts += [
-        f"best AS (SELECT * EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {' + '.join(f'ln(l{i}_{i})' for i in p)}, start) o FROM par{steps}) WHERE o = 1)",
+        f"best AS (SELECT * EXCLUDE (o) FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ld, start) o FROM par{steps}) WHERE o = 1)",
         f"fin AS ({whiten('best')})",
     ]
     return f"""WITH {", ".join(parts)}
