@@ -123,8 +123,8 @@ def host_reputation(outcomes: DataFrame, prior: Prior = Prior()) -> DataFrame:
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], prior: Prior = Prior()) -> DataFrame:
     """A verdict for every row of ``pages`` (page_id, url).
 
-    ``outcomes`` has page_key and bad; ``pages`` rows find theirs by the number that
-    is a segment of the path.  The longest fitting rule decides; else 'block' where
+    ``outcomes`` has page_key and bad; ``pages`` rows find theirs by the first number that
+    begins a segment of the path ('/825', '/825/', '/825.html', '/825-title').  The longest fitting rule decides; else 'block' where
     the host's lower bound exceeds the threshold, 'allow' elsewhere.
 
     NULL or odd urls have host and path '' and are judged as the host ''.  Repeated
@@ -135,7 +135,10 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], prior:
     p = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     p = p.withColumn("page_key", F.expr("try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS BIGINT)"))
     marks = outcomes.filter("page_key IS NOT NULL AND bad IS NOT NULL").groupBy("page_key").agg(F.max("bad").alias("bad"))
-    rep = stored(host_reputation(p.select("host", "page_key").join(marks, "page_key", "left").select("host", "bad"), prior), "reputation")
+    # every page names its host; only those with a number look for a mark, so no row joins by NULL
+    seen = p.select("host", F.lit(None).cast("int").alias("bad"))
+    found = p.filter("page_key IS NOT NULL").select("host", "page_key").join(marks, "page_key").select("host", "bad")
+    rep = stored(host_reputation(seen.unionByName(found), prior), "reputation")
     rule, action = match_rule(F.col("host"), F.col("path"), rules)
     return (
         p.drop("page_key").join(rep, "host", "left")
