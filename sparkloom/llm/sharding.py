@@ -123,11 +123,12 @@ class ShardStore:
         """
         extra = f"_arrival_{uuid.uuid4().hex}"
         shards = self._write(df.withColumn(extra, F.pmod(F.spark_partition_id(), F.lit(arrivals))).write.partitionBy(extra).option("maxRecordsPerFile", self.policy.arrival_rows))
+        shards = shards or self._write(df.limit(0).write)  # an empty file keeps the columns
         groups: dict[str, list[Shard]] = {}
         for s in shards:
             groups.setdefault(s.path.rsplit("/", 2)[-2], []).append(s)
-        for name in sorted(groups, key=lambda x: int(x.rsplit("=", 1)[1]) if "=" in x else 0) or [""]:
-            self._change(set(), groups.get(name, []))
+        for name in sorted(groups, key=lambda x: int(x.rsplit("=", 1)[1]) if "=" in x else 0):
+            self._change(set(), groups[name])
             self._merge()
         self.vacuum()  # only now: files of later arrivals were in no version yet
         return self.version()
@@ -211,7 +212,7 @@ def shard_table(docs: DataFrame, root: str, policy: Policy = Policy(), arrivals:
     """Append ``docs`` (any columns, any values) to the store at ``root`` in several arrivals, compacting after each.
 
     Rows are kept as they are: NULLs, repeated rows and extra columns included.  An empty
-    table makes a version without shards or with empty ones.
+    table makes a version with an empty shard.
     """
     store = ShardStore(docs.sparkSession, root, policy)
     store.append_each(docs, arrivals)
