@@ -1,7 +1,8 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-Units of comparison are the lines of a text and its paragraphs of two lines or more.
-A unit's distinct bigrams are compared with a template's; a template is looked at
+Units of comparison are the lines of a text, its paragraphs of two lines or more, runs
+of neighbouring sentences, over line ends too, and a text of several paragraphs as a
+whole.  A unit's distinct bigrams are compared with a template's; a template is looked at
 only if its size allows the threshold: with a and b bigrams, Dice is at most
 2 min(a, b) / (a + b), so b must lie in [a t / (2 - t), a (2 - t) / t].
 """
@@ -9,13 +10,17 @@ only if its size allows the threshold: with a and b bigrams, Dice is at most
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, lower_ascii
 
+#: Ends of sentences and of paragraphs.
+SENTENCE_END = r"[.!?;:][\x20\t\r\n]+|\n[\x20\t\r]*\n"
+PARAGRAPH_END = r"\n[\x20\t\r]*\n"
+
 #: Short notices and standard headers of public licences.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
@@ -36,6 +41,15 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("proprietary", "All rights reserved."),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Apache License, Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU General Public License, Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License, Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License, Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License, Version 3, 19 November 2007"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License, Version 2.0"),
 ]
 
 
@@ -55,53 +69,75 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])))
 
 
-def telling_words(grams: list[list[str]], threshold: float) -> list[str]:
-    """Words of which every text that reaches the threshold with some template holds one.
+def telling_words(gram: list[str], threshold: float, sets: int = 3) -> list[list[str]]:
+    """Disjoint word sets; a text that reaches the threshold with the template holds a word of each.
 
-    A match shares at least t / (2 - t) of the template's bigrams.  Words are taken from
-    each template, longest first, until the bigrams they are part of are too many to miss.
+    A match shares at least t / (2 - t) of the template's bigrams, so words that are part
+    of more than the rest can't all be missing.  Words are taken longest first.
     """
-    found: set[str] = set()
-    for g in grams:
-        pairs, taken = [set(x.split(" ")) for x in g], set()
-        for w in sorted(set().union(*pairs), key=lambda w: (w not in found, -len(w), w)):
-            if len(g) - sum(bool(p & taken) for p in pairs) < len(g) * threshold / (2 - threshold) - 1e-9:
-                break
-            taken.add(w)
-        found |= taken
-    return sorted(found)
+    pairs, need = [set(x.split(" ")) for x in gram], len(gram) * threshold / (2 - threshold) - 1e-9
+    left, found = sorted(set().union(*pairs), key=lambda w: (-len(w), w)), []
+    while len(found) < sets:
+        taken = next((left[:k] for k in range(1, len(left) + 1) if sum(not p.intersection(left[:k]) for p in pairs) < need), None)
+        if taken is None:
+            break
+        found.append(taken)
+        left = left[len(taken) :]
+    return found
+
 
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, run: int = 3) -> DataFrame:
+    """doc_id, unit, unit_no, unit_size, license, template_no, dice: the best template of each matching unit.
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
-    """doc_id, unit ('line' or 'paragraph'), unit_no, license, template_no, dice: the best template of each matching unit.
+    unit is 'line', 'paragraph' (of two lines or more), 'sentences' (a run of unit_size
+    neighbouring sentences, 1 to ``run``, the first of them unit_no) or 'text' (a whole
+    text of several paragraphs).  Units overlap, and each that matches is reported.
 
     Whole texts are read.  NULL or empty texts have no units; ties go to the template
     that comes first; repeated rows are reported for each row.  Extra columns are
     ignored; an empty table gives an empty result.  The work is one pass without a
     shuffle, and the templates (a list in the plan) are its only other input.  Texts and
-    units that hold none of the templates' telling words can't match and go first.
+    units that lack the telling words of every template can't match and go first.
     """
     grams = [(i, k, template_bigrams(t)) for i, (k, t) in enumerate(TEMPLATES if templates is None else templates)]
     grams = [g for g in grams if g[2]]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = sorted({len(g[2]) for g in grams})
-    telling = telling_words([g[2] for g in grams], threshold)
+    telling = [telling_words(g[2], threshold) for g in grams]
+    first = sorted({w for sets in telling for w in sets[0]})
     text = F.coalesce(F.col("text"), F.lit(""))
 
+    def any_of(col: Column, taken: list[str]) -> Column:
+        return reduce(or_, (col.contains(w) for w in taken), F.lit(False))
+
     def may_match(col: Column) -> Column:
-        return reduce(or_, (col.contains(w) for w in telling), F.lit(False))
-
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.cast("long").alias("unit_no"), x.alias("s")))
-    paragraphs = F.filter(
-        F.transform(F.split(text, r"\n[\x20\t\r]*\n"), lambda x, i: F.struct(F.lit("paragraph").alias("unit"), i.cast("long").alias("unit_no"), x.alias("s"))),
-        lambda u: F.contains(F.trim(u["s"]), F.lit("\n")),
-    )
-    units = docs.select("doc_id", text.alias("text")).filter(let(lower_ascii(F.col("text")), may_match)).select("doc_id", F.inline(F.concat(lines, paragraphs)))
-    units = units.filter(let(lower_ascii(F.col("s")), may_match))
+        return any_of(col, first) & reduce(or_, (reduce(and_, (any_of(col, taken) for taken in sets)) for sets in telling), F.lit(False))
+
+    def unit(kind: str, i: Column, size: int, s: Column) -> Column:
+        return F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("unit_no"), F.lit(size).cast("long").alias("unit_size"), s.alias("s"))
+
+    def runs(p: Column) -> Column:
+        def of(r: int) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i <= F.size(p) - r) & F.exists(F.slice(p, i + 1, r), lambda x: x["told"]))
+            return F.transform(starts, lambda i: unit("sentences", i, r, F.array_join(F.slice(p, i + 1, r)["x"], " ")))
+
+        return F.concat(*map(of, range(1, run + 1)))
+
+    def units_of(t: Column) -> Column:
+        lines = F.filter(F.transform(F.split(t, "\n"), lambda x, i: unit("line", i, 1, x)), lambda u: any_of(u["s"], first))
+        blocks = F.transform(F.split(t, PARAGRAPH_END), lambda x, i: unit("paragraph", i, 1, x))
+        blocks = F.filter(blocks, lambda u: F.contains(F.trim(u["s"]), F.lit("\n")) & any_of(u["s"], first))
+        whole = F.filter(F.array(unit("text", F.lit(0), 1, t)), lambda u: u["s"].rlike(PARAGRAPH_END))
+        pieces = F.transform(F.split(t, SENTENCE_END), lambda x: F.struct(x.alias("x"), any_of(x, first).alias("told")))
+        return F.concat(lines, blocks, whole, let(pieces, runs))
+
+    # lower-cased once; a text that can't match has no units
+    units = let(lower_ascii(text), lambda t: F.when(may_match(t), units_of(t)))
+    units = docs.select("doc_id", F.inline(units)).filter(let(F.col("s"), may_match))
     # a text of n characters has at most n / 2 bigrams, so short lines go before they are split
     units = units.filter(F.length("s") >= 2 * low * sizes[0]).withColumn("w", normal_words(F.col("s")))
     # distinct bigrams only get fewer, so a lower bound on words is exact; the upper bound holds after array_distinct
-    units = units.filter(F.size("w") - 1 >= F.lit(low * sizes[0])).select("doc_id", "unit", "unit_no", let(F.col("w"), bigrams).alias("b"))
+    units = units.filter(F.size("w") - 1 >= F.lit(low * sizes[0])).select("doc_id", "unit", "unit_no", "unit_size", let(F.col("w"), bigrams).alias("b"))
     n = F.size("b")
     units = units.filter(n.between(low * sizes[0] - 1e-9, high * sizes[-1] + 1e-9))
     scores = []
@@ -111,7 +147,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         scores.append(F.struct(dice.alias("dice"), F.lit(-i).alias("o"), F.lit(k).alias("license")))
     best = F.array_max(F.array(*scores))
     return (
-        units.select("doc_id", "unit", "unit_no", best.alias("m")).filter(F.col("m.dice") >= threshold)
-        .select("doc_id", "unit", "unit_no", "m.license", (-F.col("m.o")).cast("long").alias("template_no"), F.round("m.dice", 6).alias("dice"))
+        units.select("doc_id", "unit", "unit_no", "unit_size", best.alias("m")).filter(F.col("m.dice") >= threshold)
+        .select("doc_id", "unit", "unit_no", "unit_size", "m.license", (-F.col("m.o")).cast("long").alias("template_no"), F.round("m.dice", 6).alias("dice"))
     )
 

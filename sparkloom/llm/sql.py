@@ -6,7 +6,7 @@ brute-force versions.
 
 from __future__ import annotations
 
-from .licenses import TEMPLATES, template_bigrams
+from .licenses import PARAGRAPH_END, SENTENCE_END, TEMPLATES, template_bigrams
 from .quality import FALL, FEATURES, SCALE, Limits, consistency
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,19 +140,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
-def _licenses(threshold: float = 0.8) -> str:
+def _licenses(threshold: float = 0.8, run: int = 3) -> str:
     rows = ", ".join(f"({i}, '{k}', [{', '.join(repr(g) for g in template_bigrams(t))}])" for i, (k, t) in enumerate(TEMPLATES))
+    sentences = " UNION ALL ".join(
+        f"SELECT doc_id, 'sentences' AS unit, unnest(list_transform(range(1, len(ps) - {r - 2}), lambda i: array_to_string(ps[i:i + {r - 1}], ' '))) AS s, unnest(range(0, len(ps) - {r - 1})) AS unit_no, {r} AS unit_size FROM pieces"
+        for r in range(1, run + 1)
+    )
     return rf"""
 WITH tpl(no, license, tb) AS (VALUES {rows}),
-lines AS (SELECT doc_id, 'line' AS unit, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit_no FROM documents),
-paras AS (SELECT doc_id, 'paragraph' AS unit, unnest(ps) AS s, generate_subscripts(ps, 1) - 1 AS unit_no FROM (SELECT doc_id, regexp_split_to_array(text, '\n[\x20\t\r]*\n') AS ps FROM documents)),
-u AS (SELECT row_number() OVER () AS rid, * FROM (SELECT * FROM lines UNION ALL SELECT * FROM paras WHERE contains(trim(s, ' '), chr(10)))),
-w AS (SELECT rid, doc_id, unit, unit_no, string_split(trim(regexp_replace({_LOW.format("s")}, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
-g AS (SELECT rid, doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
+lines AS (SELECT doc_id, 'line' AS unit, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit_no, 1 AS unit_size FROM documents),
+paras AS (SELECT doc_id, 'paragraph' AS unit, unnest(ps) AS s, generate_subscripts(ps, 1) - 1 AS unit_no, 1 AS unit_size FROM (SELECT doc_id, regexp_split_to_array(text, '{PARAGRAPH_END}') AS ps FROM documents)),
+pieces AS (SELECT doc_id, regexp_split_to_array(text, '{SENTENCE_END}') AS ps FROM documents),
+sentences AS ({sentences}),
+u AS (SELECT row_number() OVER () AS rid, * FROM (SELECT * FROM lines UNION ALL SELECT * FROM paras WHERE contains(trim(s, ' '), chr(10)) UNION ALL SELECT * FROM sentences
+  UNION ALL SELECT doc_id, 'text', text, 0, 1 FROM documents WHERE regexp_matches(text, '{PARAGRAPH_END}'))),
+w AS (SELECT rid, doc_id, unit, unit_no, unit_size, string_split(trim(regexp_replace({_LOW.format("s")}, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
+g AS (SELECT rid, doc_id, unit, unit_no, unit_size, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
 m AS (SELECT g.*, license, no, 2.0::DOUBLE * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM g, tpl
   WHERE len(b) BETWEEN len(tb) * {threshold / (2 - threshold)} - 1e-9 AND len(tb) * {(2 - threshold) / threshold} + 1e-9 AND list_has_any(b, tb)),
 k AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, no) AS k FROM m WHERE dice >= {threshold})
-SELECT doc_id, unit, unit_no::BIGINT AS unit_no, license, no::BIGINT AS template_no, round(dice, 6) AS dice FROM k WHERE k = 1"""
+SELECT doc_id, unit, unit_no::BIGINT AS unit_no, unit_size::BIGINT AS unit_size, license, no::BIGINT AS template_no, round(dice, 6) AS dice FROM k WHERE k = 1"""
 
 
 def mixing_sql(targets: dict[str, dict[str, float]], iterations: int = 30, seed: str = "mix") -> str:

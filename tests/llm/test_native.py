@@ -1,6 +1,7 @@
 """The operators that use DataFrame functions only."""
 
 import json
+import re
 from collections import Counter
 
 import pytest
@@ -290,28 +291,55 @@ def test_proximity(spark):
 def test_licenses(spark, odd, none):
     texts = ["Intro\nReleased under the MIT License.\nEnd", "licensed UNDER the apache-license, version 2.0!", "the licence is nice", None, "",
              "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nmore"]
-    got = [(r.doc_id, r.unit, r.unit_no, r.license) for r in licenses.scan_licenses(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).orderBy("doc_id", "unit").collect()]
-    assert got == [(0, "line", 1, "MIT"), (0, "paragraph", 0, "MIT"), (1, "line", 0, "Apache-2.0"), (5, "paragraph", 0, "MIT")]
+    texts += ["See below. This project is licensed under the MIT License. Contributions are welcome.", "Some words here. This Source Code Form is subject to the\nterms of the Mozilla Public License, v. 2.0. More words\nfollow in this paragraph", "Apache License\nVersion 2.0, January 2004", "x " * 20000 + ". All rights reserved. " + "y " * 20000]
+    got = {(r.doc_id, r.unit, r.unit_no, r.unit_size, r.license) for r in licenses.scan_licenses(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert {g for g in got if g[1] != "sentences"} == {(0, "line", 1, 1, "MIT"), (1, "line", 0, 1, "Apache-2.0"), (5, "paragraph", 0, 1, "MIT"), (8, "paragraph", 0, 1, "Apache-2.0"), (8, "line", 1, 1, "Apache-2.0"), (0, "paragraph", 0, 1, "MIT"), (5, "text", 0, 1, "MIT")}
+    assert {(g[0], g[2], g[4]) for g in got if g[1] == "sentences"} >= {(6, 1, "MIT"), (7, 1, "MPL-2.0"), (8, 0, "Apache-2.0"), (9, 1, "proprietary")}
+    assert {g[0] for g in got} == {0, 1, 5, 6, 7, 8, 9}
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
 
 
+def test_whole_licence_text_without_its_own_words_alone(spark):
+    whole = "\n\n".join(" ".join(f"w{(i * 40 + j) ** 2 % 389}" for j in range(40)) + "." for i in range(12))
+    templates = [("long", whole), ("short", "w1 w2 w3 w4")]
+    near, far = whole.replace("w100 ", "other "), whole[: len(whole) // 2]
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate([whole, near, far, "a\n\nb"])])
+    got = [(r.doc_id, r.unit, r.license) for r in licenses.scan_licenses(docs, templates).orderBy("doc_id").collect()]
+    assert got == [(0, "text", "long"), (1, "text", "long")]
+
+
+def units_of(text, run=3):
+    """The units of a text by plain Python."""
+    yield from (("line", i, 1, x) for i, x in enumerate(text.split("\n")))
+    blocks = re.split(r"\n[ \t\r]*\n", text)
+    yield from (("paragraph", i, 1, x) for i, x in enumerate(blocks) if "\n" in x.strip(" "))
+    if len(blocks) > 1:
+        yield "text", 0, 1, text
+    p = re.split(r"[.!?;:][ \t\r\n]+|\n[ \t\r]*\n", text)
+    yield from (("sentences", i, r, " ".join(p[i : i + r])) for r in range(1, run + 1) for i in range(len(p) - r + 1))
+
+
 def test_dice_and_pruning_lose_nothing(spark):
     import random
 
     rng, rows, want = random.Random(4), [], {}
+    grams = [licenses.template_bigrams(t) for _, t in licenses.TEMPLATES]
     for i in range(200):
-        k = rng.randrange(len(licenses.TEMPLATES))
-        w = "".join(c if c.isalnum() else " " for c in licenses.TEMPLATES[k][1]).lower().split()
-        for _ in range(rng.randint(0, 3)):
-            w[rng.randrange(len(w)) : rng.randrange(len(w)) + 1] = rng.choice([["extra"], []]) or w[:1]
-        text = " ".join(w[:90])
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            w = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w)) : rng.randrange(len(w)) + 1] = rng.choice([["extra"], []]) or w[:1]
+            parts += [" ".join(w[:90]), rng.choice(["\n", " ", "\n\n", ". ", "; it is so. "])]
+        text = "".join(parts)
         rows.append((i, text, "en", "s", 1))
-        mine = set(licenses.template_bigrams(text))
-        best = max(((2 * len(mine & set(g)) / (len(mine) + len(g)), -n) for n, (_, t) in enumerate(licenses.TEMPLATES) if (g := licenses.template_bigrams(t))), default=(0, 0))
-        if best[0] >= 0.8:
-            want[i] = (-best[1], round(best[0], 6))
-    got = {r.doc_id: (r.template_no, r.dice) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
-    assert got == want and len(want) > 50
+        for unit, no, size, s in units_of(text):
+            mine = set(licenses.template_bigrams(s))
+            best = max((2 * len(mine & set(g)) / (len(mine) + len(g)), -n) for n, g in enumerate(grams))
+            if best[0] >= 0.8:
+                want[i, unit, no, size] = (-best[1], round(best[0], 6))
+    got = {(r.doc_id, r.unit, r.unit_no, r.unit_size): (r.template_no, r.dice) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert got == want and {k[1] for k in want} == {"line", "paragraph", "sentences", "text"}
 
 
 # -- mixing --------------------------------------------------------------------------
