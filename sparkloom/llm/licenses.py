@@ -73,10 +73,11 @@ def telling_words(gram: list[str], threshold: float, sets: int = 3) -> list[list
     """Disjoint word sets; a text that reaches the threshold with the template holds a word of each.
 
     A match shares at least t / (2 - t) of the template's bigrams, so words that are part
-    of more than the rest can't all be missing.  Words are taken longest first.
+    of more than the rest can't all be missing.  Words are taken longest first; numbers, rare in
+    prose, count as four letters.
     """
     pairs, need = [set(x.split(" ")) for x in gram], len(gram) * threshold / (2 - threshold) - 1e-9
-    left, found = sorted(set().union(*pairs), key=lambda w: (-len(w), w)), []
+    left, found = sorted(set().union(*pairs), key=lambda w: (-max(len(w), 4 * w.isdigit()), w)), []
     while len(found) < sets:
         taken = next((left[:k] for k in range(1, len(left) + 1) if sum(not p.intersection(left[:k]) for p in pairs) < need), None)
         if taken is None:
@@ -105,13 +106,14 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     sizes = sorted({len(g[2]) for g in grams})
     telling = [telling_words(g[2], threshold) for g in grams]
     first = sorted({w for sets in telling for w in sets[0]})
+    first = [w for w in first if not any(v in w for v in first if v != w)]  # a word is held by all that contain it
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def any_of(col: Column, taken: list[str]) -> Column:
         return reduce(or_, (col.contains(w) for w in taken), F.lit(False))
 
     def may_match(col: Column) -> Column:
-        return any_of(col, first) & reduce(or_, (reduce(and_, (any_of(col, taken) for taken in sets)) for sets in telling), F.lit(False))
+        return reduce(or_, (reduce(and_, (any_of(col, taken) for taken in sets)) for sets in telling), F.lit(False))
 
     def unit(kind: str, i: Column, size: int, s: Column) -> Column:
         return F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("unit_no"), F.lit(size).cast("long").alias("unit_size"), s.alias("s"))
@@ -132,7 +134,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         return F.concat(lines, blocks, whole, let(pieces, runs))
 
     # lower-cased once; a text that can't match has no units
-    units = let(lower_ascii(text), lambda t: F.when(may_match(t), units_of(t)))
+    units = let(lower_ascii(text), lambda t: F.when(any_of(t, first) & may_match(t), units_of(t)))
     units = docs.select("doc_id", F.inline(units)).filter(let(F.col("s"), may_match))
     # a text of n characters has at most n / 2 bigrams, so short lines go before they are split
     units = units.filter(F.length("s") >= 2 * low * sizes[0]).withColumn("w", normal_words(F.col("s")))
