@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .licenses import PARAGRAPH_END, SENTENCE_END, TEMPLATES, template_bigrams
 from .quality import FALL, FEATURES, SCALE, Limits, consistency
+from .url_reputation import DOMAIN, SUFFIX
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +24,7 @@ def _url_reputation(z: float = 1.645, threshold: float = 0.5, least: float = 1.0
 WITH p AS (SELECT page_id, {_LOW.format("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 marks AS (SELECT doc_id, max((toxic = 1 OR quality = 0)::INT) AS bad FROM labels WHERE doc_id IS NOT NULL AND (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY doc_id),
 o AS (SELECT host, bad FROM p LEFT JOIN marks ON doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS BIGINT)),
-h AS (SELECT host, count(bad) n, coalesce(sum(bad), 0) bad, regexp_extract(host, '([^.]*\.[^.]*|[^.]*)$', 1) AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix FROM o GROUP BY host),
+h AS (SELECT host, count(bad) n, coalesce(sum(bad), 0) bad, regexp_extract(host, '{DOMAIN}', 1) AS domain, regexp_extract(host, '{SUFFIX}', 1) AS suffix FROM o GROUP BY host),
 d AS (SELECT domain, suffix, sum(n) dn, sum(bad) dbad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(dn) sn, sum(dbad) sbad FROM d GROUP BY suffix),
 t AS (SELECT coalesce(sum(sn), 0) tn, coalesce(sum(sbad), 0) tbad FROM s),

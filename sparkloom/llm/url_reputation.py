@@ -47,13 +47,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^/?#]*([^?#]*)", 1)
 
 
+#: Second-level labels that registries of countries sell names under.
+SHARED_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: Two labels such as co.uk are one suffix.
+PAIRED_SUFFIX = rf"(?:{'|'.join(SHARED_LABELS)})\.[a-z]{{2}}"
+SUFFIX = rf"(?:^|\.)({PAIRED_SUFFIX}|[^.]*)$"
+DOMAIN = rf"(?:^|\.)([^.]*\.{PAIRED_SUFFIX}|[^.]*\.[^.]*|[^.]*)$"
+
+
 def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels."""
-    return F.regexp_extract(host, r"([^.]*\.[^.]*|[^.]*)$", 1)
+    """Registered domain: the suffix and the label before it."""
+    return F.regexp_extract(host, DOMAIN, 1)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]*)$", 1)
+    """The last label, or the last two where they are like co.uk."""
+    return F.regexp_extract(host, SUFFIX, 1)
 
 
 def match_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:

@@ -122,6 +122,14 @@ def test_urls(spark):
     assert url_reputation.judge_urls(pages, marks.limit(0), URL_RULES).count() == len(urls) + 1
 
 
+def test_domains_and_suffixes(spark):
+    want = {"x.a.co.uk": ("a.co.uk", "co.uk"), "a.co.uk": ("a.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.b.com": ("b.com", "com"),
+            "b.com": ("b.com", "com"), "disco.uk": ("disco.uk", "uk"), "host": ("host", "host"), "": ("", ""), "a.b.": ("b.", ""), "..": (".", "")}
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    got = df.select("host", url_reputation.domain_of(F.col("host")).alias("d"), url_reputation.suffix_of(F.col("host")).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in got} == want
+
+
 def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     rows = [("bad.a.com", 1)] * 40 + [("good.a.com", 0)] * 40 + [("new.a.com", 1)] + [(f"h{i}.b.org", int(i % 5 == 0)) for i in range(50)] + [("none.a.com", None)]
     df = spark.createDataFrame(rows, "host string, bad int")
