@@ -99,9 +99,12 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     ignored; an empty table gives an empty result.  The work is one pass without a
     shuffle, and the templates (a list in the plan) are its only other input.  Texts and
     units that lack the telling words of every template can't match and go first.
+    Templates of fewer than two words match nothing; without any other there is an error.
     """
     grams = [(i, k, template_bigrams(t)) for i, (k, t) in enumerate(TEMPLATES if templates is None else templates)]
     grams = [g for g in grams if g[2]]
+    if not grams:
+        raise ValueError("no template of two words or more")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = sorted({len(g[2]) for g in grams})
     telling = [telling_words(g[2], threshold) for g in grams]

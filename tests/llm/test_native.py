@@ -305,6 +305,8 @@ def test_licenses(spark, odd, none):
     assert {(g[0], g[2], g[4]) for g in got if g[1] == "sentences"} >= {(6, 1, "MIT"), (7, 1, "MPL-2.0"), (8, 0, "Apache-2.0"), (9, 1, "proprietary")}
     assert {g[0] for g in got} == {0, 1, 5, 6, 7, 8, 9}
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(odd, [("x", "word")])
 
 
 def test_whole_licence_text_without_its_own_words_alone(spark):
