@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, quality, sharding, simhash, substring_dedup, suffix_dedup, url_reputation
+from . import chat, decontaminate, licenses, mixing, ngram_join, quality, sharding, simhash, substring_dedup, suffix_dedup, url_reputation
 from .common import scratch, shuffle_cleanup, table
 from .sql import ORACLE_SQL, mixing_sql
 
@@ -75,8 +75,12 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_url_reputation, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_simhash, op8_mixing, op9_suffix_dedup, op10_chat_snapshots)
+    f.__name__: f for f in (op1_sharding, op2_url_reputation, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_simhash, op8_mixing, op9_suffix_dedup, op10_chat_snapshots, op13_ngram_join)
 }
 
 

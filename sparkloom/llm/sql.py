@@ -207,6 +207,15 @@ pre AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FRO
 SELECT conv_id, n AS n_turns, n_copies, list_reduce(list_prepend('', list_transform(l, lambda x: '<|im_start|>' || replace(translate(coalesce(x.role, 'unknown'), chr(13) || chr(10), '  '), '<|', '< |') || chr(10) || replace(coalesce(x.text, ''), '<|', '< |') || '<|im_end|>' || chr(10))), lambda a, b: a || b) AS text
 FROM u ANTI JOIN pre USING (l)"""
 
+_NGRAMS = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, m) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_reputation": _url_reputation(),
     "op3_quality_rules": _quality(),
@@ -215,4 +224,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": _licenses(),
     "op9_suffix_dedup": _SUFFIXES,
     "op10_chat_snapshots": _CHATS,
+    "op13_ngram_join": _NGRAMS,
 }
