@@ -216,6 +216,23 @@ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, m) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)"""
 
+# crc32 by its table, which follows from the polynomial
+_SPELLING = rf"""
+WITH RECURSIVE t AS (SELECT list(list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), k) ORDER BY k) AS t FROM range(256) r(k)),
+d AS (SELECT doc_id, unnest(regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+p AS (SELECT doc_id, run, count(*) AS n FROM d WHERE length(run) > 5 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c) - 64] END)),
+  lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) AS h FROM p, t),
+x AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM x WHERE length(word) > 5 GROUP BY word HAVING sum(n) > 4),
+g AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS v FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS form, b.n FROM g a JOIN g b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM g JOIN w ON w.word = v UNION SELECT w.word, g.word, g.n FROM g JOIN w ON w.word = v),
+b AS (SELECT word, count(*) AS n_near, arg_min(form, {{'n': -n, 'f': encode(form)}}) AS form, max(n) AS form_n FROM near GROUP BY word),
+f AS (SELECT word, CASE WHEN form_n >= 5 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM w LEFT JOIN b USING (word)),
+r(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM r JOIN f ON f.form = r.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN r USING (word)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_reputation": _url_reputation(),
     "op3_quality_rules": _quality(),
@@ -224,5 +241,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": _licenses(),
     "op9_suffix_dedup": _SUFFIXES,
     "op10_chat_snapshots": _CHATS,
+    "op12_spelling_variants": _SPELLING,
     "op13_ngram_join": _NGRAMS,
 }
