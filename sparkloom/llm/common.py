@@ -168,6 +168,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def light(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most ``most`` bytes as JSON, 64 more for each; else as it is, to be shuffled."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """Adds uid, a unique long that orders rows as doc_id does; columns doc_id, text, uid.
 

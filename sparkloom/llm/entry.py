@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, ngram_join, quality, sharding, simhash, spelling, substring_dedup, suffix_dedup, url_reputation
+from . import chat, decontaminate, licenses, mixing, ngram_join, quality, sharding, simhash, spelling, substring_dedup, suffix_dedup, url_reputation, vector_codes
 from .common import scratch, shuffle_cleanup, table
 from .sql import ORACLE_SQL, mixing_sql
 
@@ -75,6 +75,10 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), every=199)
 
@@ -84,7 +88,7 @@ def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_url_reputation, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_simhash, op8_mixing, op9_suffix_dedup, op10_chat_snapshots, op12_spelling_variants, op13_ngram_join)
+    f.__name__: f for f in (op1_sharding, op2_url_reputation, op3_quality_rules, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_simhash, op8_mixing, op9_suffix_dedup, op10_chat_snapshots, op11_vector_codes, op12_spelling_variants, op13_ngram_join)
 }
 
 

@@ -233,6 +233,27 @@ f AS (SELECT word, CASE WHEN form_n >= 5 * n THEN form END AS form, n, coalesce(
 r(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM r JOIN f ON f.form = r.word)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN r USING (word)"""
 
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT rid, p, min({{'d': d, 'e': e}}) AS m FROM (SELECT rid, x.p, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN b{k} ON b{k}.p = x.p) GROUP BY rid, p)"""
+
+    def moved(k: int) -> str:
+        return f"""b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS c FROM (
+  SELECT x.p, m.e AS e, i, sum(v[i]) AS s, count(*) AS n FROM x JOIN a{k} USING (rid, p), (SELECT unnest(range(1, (SELECT max(len(v)) FROM x) + 1)) AS i) GROUP BY ALL) GROUP BY p, e) n USING (p, e))"""
+
+    steps = ",\n".join(f"{assigned(k)},\n{moved(k)}" for k in range(rounds))
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+x AS MATERIALIZED (SELECT rid, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM k, range({parts}) r(p)),
+b0 AS MATERIALIZED (SELECT p, e, v AS c FROM x JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k WHERE vec_id IS NOT NULL ORDER BY vec_id LIMIT {entries}) USING (rid)),
+{steps},
+{assigned(rounds)},
+f AS (SELECT rid, string_agg(lower(printf('%02x', (m.e)::INT)), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM k JOIN f USING (rid)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_reputation": _url_reputation(),
     "op3_quality_rules": _quality(),
@@ -241,6 +262,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": _licenses(),
     "op9_suffix_dedup": _SUFFIXES,
     "op10_chat_snapshots": _CHATS,
+    "op11_vector_codes": _vector_codes(),
     "op12_spelling_variants": _SPELLING,
     "op13_ngram_join": _NGRAMS,
 }
