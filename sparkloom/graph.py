@@ -1,15 +1,16 @@
 """The graph: dense vertex ids 0..n-1 and a table of weighted arcs.
 
-``edges`` has src, dst, weight (> 0) and pos, the arc's place in the graph's list of
-arcs.  Row order means nothing in Spark, so everything that depends on the list's
-order goes by pos.  Parallel arcs and loops are allowed.
+``edges`` has src, dst, weight (> 0) and pos, the arc's place in the graph's list of arcs:
+a struct (half, no), where half is 1 for the reverses that make a graph undirected.  Row
+order means nothing in Spark, so everything that depends on the list's order goes by pos,
+which is compared and never computed with.  Parallel arcs and loops are allowed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EndpointOutOfRange, InvalidNodeCount, InvalidWeight, RunNodeOutOfRange
@@ -17,6 +18,11 @@ from .errors import EndpointOutOfRange, InvalidNodeCount, InvalidWeight, RunNode
 EDGE_COLUMNS = ("src", "dst", "weight", "pos")
 
 
+def place(no: Column, half: int = 0) -> Column:
+    """The column pos of an arc with this number."""
+    return F.struct(F.lit(half).alias("half"), no.alias("no")).alias("pos")
+
+
 @dataclass(frozen=True)
 class Graph:
     spark: SparkSession
@@ -28,17 +34,18 @@ class Graph:
     def from_edges(cls, edges: DataFrame, n: int, undirected: bool = False) -> Graph:
         """A validated graph from src, dst and, optionally, weight (else 1) and pos.
 
-        Without pos, arcs have no order: among parallel arcs the lightest counts for
-        shortest paths.  One scan checks ids and weights.
+        Without pos, arcs have no order: among parallel arcs, whichever way they were given,
+        the lightest counts for shortest paths.  One scan checks ids and weights.
         """
         spark = edges.sparkSession
         if n <= 0:
             raise InvalidNodeCount(n)
         weight = F.col("weight").cast("long") if "weight" in edges.columns else F.lit(1).cast("long")
-        pos = F.col("pos").cast("long") if "pos" in edges.columns else -weight
-        e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"), pos.alias("pos"))
+        listed = "pos" in edges.columns
+        pos = F.col("pos").cast("long") if listed else F.bitwise_not(weight)  # falls as the weight rises; the negative may overflow
+        e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"), place(pos))
         check_edges(e, n)
-        return cls(spark, n, symmetrize(e) if undirected else e)
+        return cls(spark, n, symmetrize(e, listed) if undirected else e)
 
     def vertices(self) -> DataFrame:
         return self.spark.range(self.n)
@@ -63,6 +70,19 @@ class Graph:
         none = F.array().cast("array<struct<dst:bigint,weight:bigint>>")
         return self.vertices().join(lists, F.col("id") == F.col("src"), "left").select("id", F.coalesce(arcs, none).alias("neighbors"))
 
+    def adjacency_pages(self, size: int = 10_000) -> DataFrame:
+        """id, page_no, neighbors (dst, weight) of vertices with arcs: lists of any length in rows of at most ``size``.
+
+        Pages in order of page_no, whose numbers have gaps, make up the list.  Arcs are dealt out
+        by ranges of (src, pos), so a vertex with many of them fills many tasks.
+        """
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = self.edges.repartitionByRange(parts, "src", "pos").sortWithinPartitions("src", "pos")
+        # the upper bits are the partition's number, the lower ones the place in it
+        at = ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("page_no", F.floor(F.col("_at") / size).cast("long"))
+        lists = at.groupBy("src", "page_no").agg(F.sort_array(F.collect_list(F.struct("_at", "dst", "weight"))).alias("arcs"))
+        return lists.select(F.col("src").alias("id"), "page_no", F.transform("arcs", lambda a: F.struct(a["dst"].alias("dst"), a["weight"].alias("weight"))).alias("neighbors"))
+
     def arc_count(self) -> int:
         if "arcs" not in self._memo:
             self._memo["arcs"] = self.edges.count()
@@ -93,14 +113,11 @@ def check_edges(edges: DataFrame, n: int) -> None:
         raise EndpointOutOfRange(e.fault, e.src if e.fault == "from" else e.dst, n)
 
 
-def symmetrize(edges: DataFrame) -> DataFrame:
+def symmetrize(edges: DataFrame, listed: bool = True) -> DataFrame:
     """Arcs and their reverses, one of each (src, dst, weight), at its first place.
 
-    Reverses come after all arcs, in the same order; loops have none.
+    Reverses come after all arcs, in the same order (half 1); loops have none.  If arcs aren't
+    ``listed``, their place only ranks weights, so reverses go among the arcs (half 0).
     """
-    both = edges.withColumn("half", F.lit(0)).unionByName(
-        edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "pos", F.lit(1).alias("half"))
-    )
-    first = both.groupBy("src", "dst", "weight").agg(F.min(F.struct("half", "pos")).alias("at"))
-    # keeps the order of (half, pos) in one number: pos is below 2^61 in size
-    return first.select("src", "dst", "weight", (F.col("at.pos") + F.col("at.half") * F.lit(1 << 61)).alias("pos"))
+    back = edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", place(F.col("pos.no"), 1 if listed else 0))
+    return edges.unionByName(back).groupBy("src", "dst", "weight").agg(F.min("pos").alias("pos"))

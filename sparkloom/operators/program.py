@@ -21,6 +21,7 @@ class RunConfig:
     target: int | None = None
     max_steps: int | None = None  # the program's own cap by default
     trace: bool = False
+    trace_messages: bool = True  # else a trace lists updates only
 
 
 @dataclass

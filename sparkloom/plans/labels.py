@@ -69,6 +69,15 @@ def components(run: Run) -> DataFrame:
     return run.states.groupBy("label").agg(F.sort_array(F.collect_list("id")).alias("members"))
 
 
+def component_pages(labelling: DataFrame, size: int = 10_000) -> DataFrame:
+    """label, page_no, members (ascending): a component of any size in rows of at most ``size`` members.
+
+    Page k has the members from k * size on, so the pages in order list the component.
+    """
+    page = F.floor(F.col("id") / size).cast("long").alias("page_no")
+    return labelling.groupBy("label", page).agg(F.sort_array(F.collect_list("id")).alias("members"))
+
+
 def labels(run: Run) -> DataFrame:
     """id, label of every vertex."""
     return run.states.select("id", "label")

@@ -12,6 +12,19 @@ from ..operators.superstep import Run
 DAMPING = 0.85
 EPSILON = 1e-9
 
+#: Steps of the two integers that ``exact_sum`` adds up: 2^-52, and 2^-30 of that.
+COARSE, FINE = float(1 << 52), float(1 << 30)
+
+
+def exact_sum(x: Column) -> Column:
+    """Sum of numbers from 0 up that total less than 2^11, the same in any order.
+
+    Each number becomes two integers, cut off below 2^-82; integers add up exactly, so
+    neither partitions nor retries change a bit.  NULL for no numbers.
+    """
+    coarse = F.floor(x * COARSE)
+    return F.sum(coarse).cast("double") / COARSE + F.sum(F.floor((x * COARSE - coarse) * FINE)).cast("double") / (COARSE * FINE)
+
 
 class PageRank(VertexProgram):
     """Two ranks per vertex: ``rank`` only follows changes above EPSILON; ``emit_rank`` always, and is what is sent.
@@ -33,7 +46,7 @@ class PageRank(VertexProgram):
         return {"rank": F.col("emit_rank") / F.col("degree")}
 
     def gather(self, outbox: DataFrame, states: DataFrame) -> DataFrame:
-        return outbox.groupBy("dst").agg(F.sum("rank").alias("received"))
+        return outbox.groupBy("dst").agg(exact_sum(F.col("rank")).alias("received"))
 
     def update(self, step: Step) -> dict[str, Column]:
         loose = (step.totals["dangling_rank"] or 0.0) / step.n
@@ -45,7 +58,7 @@ class PageRank(VertexProgram):
 
     def totals(self) -> dict[str, Column]:
         loose = F.col("degree") == 0
-        return {"dangling_rank": F.sum(F.when(loose, F.col("emit_rank"))), "dangling": F.count(F.when(loose, 1))}
+        return {"dangling_rank": exact_sum(F.when(loose, F.col("emit_rank"))), "dangling": F.count(F.when(loose, 1))}
 
     def messages_sent(self, step: Step, along_arcs: int) -> int:
         return step.n * step.n + along_arcs + step.n * step.totals["dangling"]

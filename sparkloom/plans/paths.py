@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import MissingSource, MissingTarget, TargetNodeMissing
 from ..graph import Graph
 from ..operators.program import RunConfig, Step, VertexProgram
-from ..operators.superstep import Run
+from ..operators.superstep import Run, forget
 
 PATH_RESULT = "found boolean, distance long, path array<long>"
 
@@ -103,12 +103,20 @@ def path_result(run: Run) -> DataFrame:
 
 
 def all_paths(states: DataFrame, source: int) -> DataFrame:
-    """id, distance, path for every reached vertex, by joins along predecessors."""
-    done = states.filter(F.col("id") == source).select("id", "distance", F.array("id").alias("path"))
-    tree = states.filter("predecessor IS NOT NULL").select(F.col("id").alias("child"), F.col("predecessor").alias("parent"), F.col("distance").alias("d"))
-    level, out = done, done
+    """id, distance, path for every reached vertex.
+
+    Doubling: every vertex holds the last piece of its path and the vertex before it; a round
+    puts the piece of that vertex in front, so pieces grow from 2^k to 2^(k + 1) hops and the
+    rounds with the logarithm of the hops.
+    """
+    held = states.filter((F.col("id") == source) | F.col("predecessor").isNotNull()).select(
+        "id", "distance", F.array("id").alias("path"), F.when(F.col("id") != source, F.col("predecessor")).alias("before")).checkpoint()
     while True:
-        level = tree.join(level, tree["parent"] == level["id"]).select(F.col("child").alias("id"), F.col("d").alias("distance"), F.array_append("path", F.col("child")).alias("path")).checkpoint()
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+        left = Observation()
+        front = held.select(F.col("id").alias("before"), F.col("path").alias("front"), F.col("before").alias("_before"))
+        longer = held.join(front, "before", "left").select("id", "distance", F.concat(F.coalesce("front", F.array().cast("array<long>")), "path").alias("path"), F.col("_before").alias("before"))
+        longer = longer.observe(left, F.count("before").alias("n")).checkpoint()
+        forget(held)
+        held = longer
+        if not left.get["n"]:
+            return held.select("id", "distance", "path")

@@ -14,7 +14,7 @@ from ..graph import Graph, invalid_edges
 from ..operators.program import RunConfig
 from ..operators.superstep import Run, run
 from ..sources import tables
-from . import labels, pagerank, paths
+from . import capacity, labels, pagerank, paths, shortcut
 from .registry import BELLMAN_FORD, BFS, COMPONENTS, LABEL_PROPAGATION, PAGERANK, Algorithm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,7 +91,7 @@ def graph_effective_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_SUCCESSIONS} SELECT src, dst, pos, CASE WHEN src >= 100 THEN 'from' ELSE 'to' END AS fault FROM e WHERE src >= 100 OR dst >= 100""")
 def graph_range_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arcs that a graph of 100 vertices would reject."""
-    return invalid_edges(tables.successions(spark, sf_dir).edges, 100).select("src", "dst", "pos", "fault")
+    return invalid_edges(tables.successions(spark, sf_dir).edges, 100).select("src", "dst", F.col("pos.no").alias("pos"), "fault")
 
 
 @_query(_search(_SUCCESSIONS, 1, "1") + " SELECT v AS id, d AS distance, p AS predecessor FROM t")
@@ -195,14 +195,19 @@ def lp_unstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.unstable(g, g.vertices().select("id", F.col("id").alias("label")))
 
 
+def _exact(x: str) -> str:
+    """The sum that is the same in any order: integers of 2^-52, and of 2^-82 for the rest."""
+    return f"(sum(floor({x} * 4503599627370496e0)::BIGINT)::DOUBLE / 4503599627370496e0 + sum(floor(({x} * 4503599627370496e0 - floor({x} * 4503599627370496e0)) * 1073741824e0)::BIGINT)::DOUBLE / 4835703278458516698824704e0)"
+
+
 def _ranks(graph: str, cap: str = "(SELECT greatest(50, n * n) FROM n)") -> str:
-    """CTEs up to s(step, v, rank, emit, alive) until no rank moves by more than 1e-9, or the cap."""
+    """CTEs up to s(step, v, rank, emit, alive) until no rank moves by more than 1e-9, or the cap; bit for bit the engine's."""
     return f"""WITH RECURSIVE {graph}, n AS (SELECT count(*) n FROM v), deg AS (SELECT src, count(*) c FROM e GROUP BY src),
 s(step, v, rank, emit, alive) AS (SELECT 0, id, 1.0::DOUBLE / n, 1.0::DOUBLE / n, true FROM v, n UNION ALL
   SELECT step + 1, v, CASE WHEN abs(new - rank) <= 1e-9 THEN rank ELSE new END, new, bool_or(abs(new - rank) > 1e-9) OVER () FROM (
-    SELECT s.step, s.v, s.rank, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(m.got, 0) + coalesce(loose, 0) / n) new
-    FROM s LEFT JOIN (SELECT e.dst, sum(s.emit / c) got FROM s JOIN e ON e.src = s.v JOIN deg ON deg.src = s.v GROUP BY e.dst) m ON m.dst = s.v,
-      n, (SELECT sum(emit) loose FROM s WHERE v NOT IN (SELECT src FROM deg)) WHERE s.alive AND s.step < {cap})),
+    SELECT s.step, s.v, s.rank, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * (coalesce(m.got, 0) + coalesce(loose, 0) / n) new
+    FROM s LEFT JOIN (SELECT e.dst, {_exact('s.emit / c')} got FROM s JOIN e ON e.src = s.v JOIN deg ON deg.src = s.v GROUP BY e.dst) m ON m.dst = s.v,
+      n, (SELECT {_exact('emit')} loose FROM s WHERE v NOT IN (SELECT src FROM deg)) WHERE s.alive AND s.step < {cap})),
 t AS (SELECT v, rank FROM s WHERE step = (SELECT max(step) FROM s))"""
 
 
@@ -229,3 +234,75 @@ def bfs_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates and messages of all steps."""
     done = _run(tables.places(spark, sf_dir), BFS, source=0, target=0, trace=True)
     return done.trace.select("step", "kind", "from_id", "to_id", "distance")
+
+
+#: How a run ended: at the cap, if the last step still changed something.
+_ENDED = "(SELECT max(step) FROM s)::INT AS supersteps, (SELECT bool_or(alive) FROM s WHERE step = (SELECT max(step) FROM s)) AS max_reached"
+
+
+@_query("""WITH RECURSIVE tops AS (SELECT max(s_suppkey) + 1 s FROM supplier),
+x AS (SELECT l_suppkey a, l_partkey + s b, l_quantity::BIGINT w FROM lineitem, tops),
+e AS (SELECT a, b, min(w) w FROM x GROUP BY ALL) SELECT a AS src, b AS dst, w AS weight FROM e UNION ALL SELECT b, a, w FROM e""")
+def graph_lightest_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected, unlisted parallel arcs given either way: the lightest counts, both ways."""
+    return tables.shipments(spark, sf_dir).effective_weights()
+
+
+@_query(_search(_PLACES, 0, "1").replace("WHERE alive\n", "WHERE alive AND step < 2\n").replace("WHERE alive AND s.d", "WHERE alive AND s.step < 2 AND s.d") + f" SELECT v AS id, d AS distance, p AS predecessor, {_ENDED} FROM t")
+def bfs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that ends at its cap just when all is found is flagged."""
+    return _flagged(_run(tables.places(spark, sf_dir), BFS, source=0, target=0, max_steps=2), paths.distances)
+
+
+def _flagged(done: Run, result) -> DataFrame:
+    return result(done).select("*", F.lit(done.supersteps).alias("supersteps"), F.lit(done.max_reached).alias("max_reached"))
+
+
+@_query(_labelled(_TRADE, _MOST, "3") + f" SELECT v AS id, label, {_ENDED} FROM t")
+def lp_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label propagation on a bipartite graph, stopped by its cap."""
+    return _flagged(_run(tables.trade(spark, sf_dir), LABEL_PROPAGATION, max_steps=3), labels.labels)
+
+
+@_query(_ranks(_PLACES, "12") + f" SELECT v AS id, round(rank, 12) AS rank, {_ENDED} FROM t")
+def pagerank_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _flagged(_run(tables.places(spark, sf_dir), PAGERANK, max_steps=12), pagerank.rankings)
+    return done.withColumn("rank", F.round("rank", 12))
+
+
+@_query(_ranks(_SUCCESSIONS) + f" SELECT v AS id, round(rank, 12) AS rank, {_ENDED} FROM t")
+def pagerank_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To the halt: stored ranks stay where they last moved by more than 1e-9."""
+    done = _flagged(_run(tables.successions(spark, sf_dir), PAGERANK), pagerank.rankings)
+    return done.withColumn("rank", F.round("rank", 12))
+
+
+@_query(_labelled(_PLACES, _MOST, "3") + """ SELECT (a.step - 1)::INT AS step, 'update' AS kind, a.v AS from_id, NULL::BIGINT AS to_id, a.label FROM s a JOIN s b ON b.v = a.v AND b.step = a.step - 1 WHERE a.label <> b.label
+UNION ALL SELECT (step - 1)::INT, 'message', v, dst, label FROM s JOIN e ON src = v WHERE step > 0 AND act""")
+def lp_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label updates and messages of the first steps."""
+    done = _run(tables.places(spark, sf_dir), LABEL_PROPAGATION, max_steps=3, trace=True)
+    return done.trace.select("step", "kind", "from_id", "to_id", "label")
+
+
+@_query(_ranks(_PLACES, "6") + " SELECT (a.step - 1)::INT AS step, a.v AS id, round(a.rank, 12) AS rank FROM s a JOIN s b ON b.v = a.v AND b.step = a.step - 1 WHERE a.rank <> b.rank")
+def rank_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks that moved, by step."""
+    done = _run(tables.places(spark, sf_dir), PAGERANK, max_steps=6, trace=True, trace_messages=False)
+    return done.trace.select("step", F.col("from_id").alias("id"), F.round("rank", 12).alias("rank"))
+
+
+@_query(_components(_PLACES) + " SELECT label, v // 1000 AS page_no, string_agg(v, ' ' ORDER BY v) AS members FROM t GROUP BY ALL")
+def cc_member_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components by hooking and compressing, listed in pages."""
+    found = shortcut.undirected_components(tables.places(spark, sf_dir)).labels
+    return labels.component_pages(found, 1000).select("label", "page_no", F.array_join("members", " ").alias("members"))
+
+
+@_query(f"""WITH RECURSIVE {_TRADE}, s(step, v, c, alive) AS (SELECT 0, id, CASE WHEN id = 1 THEN {capacity.WHOLE} ELSE 0 END::BIGINT, true FROM v UNION ALL
+  SELECT step + 1, v, greatest(c, new), bool_or(new > c) OVER () FROM (SELECT s.step, s.v, s.c, coalesce(m.w, 0) new
+    FROM s LEFT JOIN (SELECT dst, max(least(c, weight)) w FROM s JOIN e ON src = v GROUP BY dst) m ON m.dst = s.v WHERE s.alive))
+SELECT v AS id, c AS capacity FROM s WHERE step = (SELECT max(step) FROM s)""")
+def widest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program of one's own, none of the registry's."""
+    return run(tables.trade(spark, sf_dir), capacity.WidestPaths(), RunConfig(source=1)).states.select("id", "capacity")

@@ -51,3 +51,13 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     p = _top(_table(spark, sf_dir, "part"), "p_partkey")
     arcs = items.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + s).alias("dst")).agg(F.min("l_quantity").cast("long").alias("weight"))
     return Graph.from_edges(arcs, s + p, undirected=True)
+
+
+def shipments(spark: SparkSession, sf_dir: str) -> Graph:
+    """Undirected and unlisted: an arc per line, from the supplier or from the part by the line's number, weighted by quantity."""
+    s = _top(_table(spark, sf_dir, "supplier"), "s_suppkey")
+    p = _top(_table(spark, sf_dir, "part"), "p_partkey")
+    ends = [F.col("l_suppkey"), F.col("l_partkey") + s]
+    odd = F.col("l_linenumber") % 2 == 1
+    arcs = _table(spark, sf_dir, "lineitem").select(*(F.when(odd, a).otherwise(b).alias(k) for k, a, b in (("src", *ends), ("dst", *ends[::-1]))), F.col("l_quantity").cast("long").alias("weight"))
+    return Graph.from_edges(arcs, s + p, undirected=True)

@@ -15,11 +15,12 @@ import re
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import EndpointOutOfRange, LoadError, ParseError
-from ..graph import Graph, symmetrize
+from ..graph import EDGE_COLUMNS, Graph, place, symmetrize
 
-_SCHEMA = "src long, dst long, weight long, pos long"
+_SCHEMA = "src long, dst long, weight long, no long"
 _INT = re.compile(r"-?[0-9]{1,19}")
 #: Ids, counts and weights are 64-bit; larger numbers are refused like any other text.
 MOST = (1 << 63) - 1
@@ -82,7 +83,7 @@ def parse_graph(spark: SparkSession, text: str) -> Graph:
         for end, node in (("from", a), ("to", b)):
             if node >= n:
                 raise ParseError(str(EndpointOutOfRange(end, node, n)), "out-of-range", f"edge ({end})", node, n)
-    edges = spark.createDataFrame([(a, b, w, last - i) for i, (a, b, w) in enumerate(arcs)], _SCHEMA)
+    edges = spark.createDataFrame([(a, b, w, last - i) for i, (a, b, w) in enumerate(arcs)], _SCHEMA).withColumn("pos", place(F.col("no"))).select(*EDGE_COLUMNS)
     return Graph(spark, n, symmetrize(edges) if undirected else edges)
 
 
