@@ -11,10 +11,10 @@ There are two ways to run it, with the same rows:
 * A step of many messages keeps arcs and states partitioned by vertex, so that only the
   messages are shuffled.  All states go to the checkpoint folder, which keeps their
   partitioning and cuts the lineage; files of a step are deleted once the next is written.
-* A step of few messages (at most one in ``SPARSE`` vertices, of a program that is active
-  only where messages are) follows the messages: it reads the arcs and states of the
-  blocks that they touch, and writes the states that it changed to a log
-  (``state_log``).  Nothing in it grows with the graph.
+* A step of few messages (at most one in ``SPARSE`` vertices, in a graph of over ``LEAST``
+  and for a program that is active only where messages are) follows the messages: it reads
+  the arcs and states of the blocks that they touch, and writes the states that it changed
+  to a log (``state_log``).  Nothing in it grows with the graph.
 
 Either way an executor's loss costs one step at most, and plans don't grow with the steps.
 
@@ -40,6 +40,8 @@ from .state_log import BlockArcs, Folder, StateLog, Trace
 HUB = 1_000_000
 #: A step with at most one message in so many vertices follows its messages; one that does goes on so up to four times as many.
 SPARSE = 8
+#: The fixed cost of following messages, in vertices: smaller graphs rewrite their states faster than they open files.
+LEAST = 200_000
 
 SUPERSTEPS = "step int, active_vertices long, messages_sent long, state_changed boolean"
 
@@ -227,7 +229,8 @@ def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -
     graph.check_run_nodes(config.source, config.target)
     cap = program.max_steps(n) if config.max_steps is None else config.max_steps
     parts, folder = _partitions(spark), Folder(spark)
-    edges = program.edges(graph)
+    # read by the degrees and by what keeps the arcs near the states
+    edges = program.edges(graph).persist(StorageLevel.MEMORY_AND_DISK)
     degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     step = Step(n)
     base = spark.range(n).repartition(parts, "id").join(degrees, F.col("id") == F.col("src"), "left")
@@ -235,7 +238,7 @@ def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -
     states = base.select("id", "degree", *(c.alias(k) for k, c in program.init(config, step).items()))
     states = states.withColumn("emits", program.bootstrap(config))
     # only the vertices that have messages matter, and no totals over all of them are asked for
-    local = not program.always_active and not program.totals() and not program.first_totals()
+    local = n > LEAST and not program.always_active and not program.totals() and not program.first_totals()
 
     seen = Observation()
     first = program.first_totals()
@@ -289,6 +292,8 @@ def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -
         stored = now.store(after, columns)
         if was_log:
             log.delete()
+        if not local:
+            edges.unpersist()
         found = counted.get
         step = Step(n, {k: found[k] for k in totals})
         pending = found["_along"]
@@ -303,6 +308,7 @@ def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -
 
     if now is not dense and log.parts:
         log.compact()
+    edges.unpersist()
     if dense.arcs is not None:
         dense.arcs.close()
     if now is dense and number and trace.schema is None:

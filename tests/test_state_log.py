@@ -47,6 +47,7 @@ def scans(spark, since):
 def test_written_bytes_follow_the_changed_vertices(spark, monkeypatch):
     """A chain of 10,000: each step changes one vertex, writes that one, and is one action."""
     monkeypatch.setattr(state_log, "BLOCK", 100)
+    monkeypatch.setattr(superstep, "LEAST", 0)
     written, append = [], state_log.StateLog.append
 
     def weighed(self, changed):
@@ -110,7 +111,8 @@ def test_both_ways_agree(spark, monkeypatch, sparse):
     """All steps through the log, or none, with broadcasts or without."""
     from test_algorithms import check
 
-    monkeypatch.setattr(superstep, "SPARSE", sparse and 1e-9)
+    monkeypatch.setattr(superstep, "LEAST", 0)
+    monkeypatch.setattr(superstep, "SPARSE", 1e-9)
     monkeypatch.setattr(state_log, "BLOCK", 3)
     monkeypatch.setattr(state_log, "KEEP", 1)
     monkeypatch.setattr(state_log, "FEW", 0)
