@@ -15,13 +15,10 @@ that an alignment lies over, and those are compared with the item's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RAW_TERM, TERM, let, lower_ascii, numbered, small, stored, words
-
-#: Up to so many rows of test vocabulary or anchors are broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
+from .common import RAW_TERM, TERM, let, light, lower_ascii, numbered, stored, words
 
 
 def terms(text: Column) -> Column:
@@ -29,17 +26,38 @@ def terms(text: Column) -> Column:
 
 
 def _intervals(part: Column, item: Column, shift: Column, width: Column) -> Column:
-    """(s, e) in document positions of each window of ``item`` that occurs at ``shift``; ``part``: the document's words from ``shift``, or 0, on."""
-    zero = F.struct(F.lit(0).alias("run"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    """(s, e) in document positions of each window of ``item`` that occurs at ``shift``; ``part``: the document's words from ``shift``, or 0, on.
+
+    Found between the places that differ, so the work follows the item's words.
+    """
     skipped = F.greatest(-shift, F.lit(0))
+    differs = F.filter(F.sequence(F.lit(0), F.size(item) - 1), lambda j: (j < skipped) | ~F.coalesce(F.get(part, j - skipped) == F.get(item, j), F.lit(False)))
+
+    def runs(ends: Column) -> Column:
+        between = F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.struct((F.get(ends, i - 1) + 1).alias("a"), F.get(ends, i).alias("b")))
+        return F.filter(between, lambda x: x["b"] - x["a"] >= width)
+
+    found = let(F.concat(F.array(F.lit(-1)), differs, F.array(F.size(item))), runs)
+    return F.flatten(F.transform(found, lambda x: F.transform(F.sequence(x["a"], x["b"] - width), lambda k: F.struct((shift + k).alias("s"), (shift + k + width).alias("e")))))
+
+
+def _paired(qs: Column, pairs: Column, width: Column) -> Column:
+    """Whether both places of one of ``pairs`` (codes, see ``_code``) are among ``qs``.
+
+    Places of a pair lie less than ``width`` apart; the sets are hashed, so the work follows
+    the lengths of qs and, where any places are near enough, of pairs.
+    """
+    around = F.sequence(1 - width, width - 1)
+
+    def codes(swapped: bool) -> Column:
+        return F.flatten(F.transform(qs, lambda q: F.transform(around, lambda d: _code(q + d, q) if swapped else _code(q, q + d))))
+
+    near = F.array_intersect(codes(False), codes(True))
+    return let(near, lambda c: (F.size(c) > 0) & F.arrays_overlap(c, pairs))
 
-    def step(a: Column, j: Column) -> Column:
-        hit = (j >= skipped) & (F.get(part, j - skipped) == F.get(item, j))
-        run = F.when(hit, a["run"] + 1).otherwise(0)
-        at = shift + j
-        return let(run, lambda r: F.struct(r.alias("run"), F.when(r >= width, F.concat(a["out"], F.array(F.struct((at - width + 1).alias("s"), (at + 1).alias("e"))))).otherwise(a["out"]).alias("out")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), zero, step, lambda a: a["out"])
+def _code(q1: Column, q2: Column) -> Column:
+    return q1.cast("long") * F.lit(1 << 32) + q2
 
 
 def covered(intervals: Column) -> Column:
@@ -71,43 +89,33 @@ class PositionalIndex:
         begins = F.coalesce(F.col("pos"), F.lit(0)) == 0
         own = [F.when(begins, F.col(c)).alias(c) for c in ("doc_id", "digest", "n_words")]
         tokens = tokens.select(lower_ascii(F.col("raw")).alias("term"), "uid", "pos", begins.alias("begins"), *own)
-        tokens = tokens.join(small(vocabulary.withColumn("known", F.lit(True)), BROADCAST_ROWS), "term", "left").filter("known OR begins")
+        tokens = tokens.join(light(vocabulary.withColumn("known", F.lit(True))), "term", "left").filter("known OR begins")
         written = stored(tokens, "postings")
         self.postings = written.filter("known").select("term", "uid", "pos")
         #: doc_id, uid, digest (md5 of the text), n_words of every row
         self.rows = written.filter("begins").select("doc_id", "uid", "digest", "n_words")
 
     def windows(self, width: int) -> DataFrame:
-        """ik, item_id, iw, width, w: array of (q1, q2), the places of each possible window's rarest terms.
+        """ik, item_id, iw, width, w: distinct (q1, q2), the places of each possible window's rarest terms.
 
         An item of fewer words is one window.  Windows with a term that never occurs are
         left out.
         """
         freq = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("f"))
-        placed = self.items.select("ik", F.posexplode("iw").alias("q", "term")).join(freq, "term")
-        ranks = placed.groupBy("ik").agg(F.map_from_entries(F.collect_list(F.struct("q", "f"))).alias("rank"))
-        n = F.least(F.lit(width), F.size("iw"))
-        df = self.items.join(ranks, "ik").withColumn("width", n)
-        by_place = F.transform("iw", lambda _, q: F.struct(F.col("rank")[q].alias("f"), q.alias("q")))
-        df = df.withColumn("by_place", by_place)
-
-        def anchors(i: Column) -> Column:
-            def pick(s: Column) -> Column:
-                rare = F.sort_array(s)
-                return F.when(F.exists(s, lambda x: x["f"].isNull()), F.lit(None)).otherwise(
-                    let(rare, lambda r: F.struct(F.get(r, F.lit(0))["q"].alias("q1"), F.coalesce(F.get(r, F.lit(1))["q"], F.get(r, F.lit(0))["q"]).alias("q2")))
-                )
-
-            return let(F.slice(F.col("by_place"), i + 1, F.col("width")), pick)
-
-        w = F.filter(F.transform(F.sequence(F.lit(0), F.size("iw") - F.col("width")), anchors), lambda x: x.isNotNull())
-        return df.select("ik", "item_id", "iw", "width", w.alias("w")).filter(F.size("w") > 0)
+        sized = self.items.withColumn("width", F.least(F.lit(width), F.size("iw")))
+        placed = sized.select("ik", "width", F.posexplode("iw").alias("q", "term")).join(freq, "term", "left")
+        ahead = Window.partitionBy("ik").orderBy("q").rowsBetween(0, width - 1)
+        framed = placed.select("ik", "width", F.count(F.lit(1)).over(ahead).alias("n"), F.count("f").over(ahead).alias("known"), F.sort_array(F.collect_list(F.struct("f", "q")).over(ahead)).alias("r"))
+        framed = framed.filter("n = width AND known = width")
+        pair = F.struct(F.get("r", F.lit(0))["q"].alias("q1"), F.coalesce(F.get("r", F.lit(1))["q"], F.get("r", F.lit(0))["q"]).alias("q2"))
+        anchors = framed.groupBy("ik").agg(F.collect_set(pair).alias("w"))
+        return sized.join(anchors, "ik").select("ik", "item_id", "iw", "width", "w")
 
     def _hits(self, wins: DataFrame) -> DataFrame:
         """ik, uid, q, shift of every posting of every anchor."""
         anchor = wins.select("ik", "iw", F.explode(F.array_distinct(F.flatten(F.transform("w", lambda x: F.array(x["q1"], x["q2"]))))).alias("q"))
         anchor = stored(anchor.select("ik", "q", F.get("iw", F.col("q")).alias("term")), "anchors")
-        return self.postings.join(small(anchor, BROADCAST_ROWS), "term").select("ik", "uid", "q", (F.col("pos") - F.col("q")).alias("shift"))
+        return self.postings.join(light(anchor), "term").select("ik", "uid", "q", (F.col("pos") - F.col("q")).alias("shift"))
 
     def phrases(self, width: int = 10) -> DataFrame:
         """doc_id, digest (md5 of the text), n_words, n_hit, matches (array of item_id, s, e) of every document.
@@ -118,9 +126,10 @@ class PositionalIndex:
         """
         wins = stored(self.windows(width), "windows")
         hits = self._hits(wins).groupBy("uid", "ik", "shift").agg(F.collect_set("q").alias("qs"))
-        both = F.exists("w", lambda x: F.array_contains("qs", x["q1"]) & F.array_contains("qs", x["q2"]))
-        held = wins.select("ik", "w", F.size("iw").alias("n"))
-        survivors = hits.join(small(held, BROADCAST_ROWS), "ik").filter(both).select("uid", F.struct("ik", "shift", "n").alias("a"))
+        held = wins.select("ik", "width", F.transform("w", lambda x: _code(x["q1"], x["q2"])).alias("pairs"), F.size("iw").alias("n"))
+        # most alignments are single words that meet by chance
+        enough = F.size("qs") >= F.least(F.lit(2), F.col("width"))
+        survivors = hits.join(light(held), "ik").filter(enough & _paired(F.col("qs"), F.col("pairs"), F.col("width"))).select("uid", F.struct("ik", "shift", "n").alias("a"))
         per_doc = stored(survivors.groupBy("uid").agg(F.collect_list("a").alias("aligned")), "alignments")
 
         def cut(dw: Column) -> Column:
@@ -128,7 +137,7 @@ class PositionalIndex:
 
         # survivors grow with the corpus, so they are never broadcast: one plan at every size
         parts = self.docs.join(per_doc.hint("merge"), "uid").select("uid", F.inline(let(terms(F.col("text")), cut)))
-        parts = parts.join(small(wins.select("ik", "item_id", "iw", "width"), BROADCAST_ROWS // 10), "ik")
+        parts = parts.join(light(wins.select("ik", "item_id", "iw", "width")), "ik")
         found = parts.select("uid", "item_id", F.inline(_intervals(F.col("part"), F.col("iw"), F.col("shift"), F.col("width"))))
         found = stored(found.groupBy("uid").agg(F.collect_set(F.struct("item_id", "s", "e")).alias("matches")), "matches")
         found = self.rows.join(found.hint("merge"), "uid", "left")

@@ -3,7 +3,7 @@
 Layout below ``root``::
 
     data/<run>/part-*.parquet      immutable; a run is what one job wrote
-    manifest/v00000001.json        the shards of a version, one JSON object a line
+    manifest/v00000001.json        the columns of a version, then its shards, one JSON object a line
 
 Arrivals are appended as small shards (``arrival_rows`` at most), as they come.  Shards of one size tier
 (powers of ``fanout`` above ``least_bytes``) are merged once there are ``fanout`` of
@@ -32,6 +32,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import create_once, hadoop_fs, read_text, versions
 
@@ -66,6 +67,26 @@ class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+#: Types that a column may be widened to when an arrival has a wider one, or that swallow an arrival's.
+WIDER = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3, "float": 10, "double": 11}
+
+
+def widened(old: StructType | None, new: StructType) -> StructType:
+    """The columns of both, in order of their first appearance, each with the wider of its types.
+
+    Names differ if they do but for case.  Raises ValueError where no type holds both.
+    """
+    fields = {f.name.lower(): f for f in (old.fields if old else [])}
+    for f in new.fields:
+        known = fields.get(f.name.lower())
+        a, b = (x.dataType.simpleString() if x else "" for x in (known, f))
+        if known and a != b and (a not in WIDER or b not in WIDER or WIDER[a] // 10 != WIDER[b] // 10):
+            raise ValueError(f"column {f.name} is {a} in the store and {b} in the arrival")
+        wide = known and (a == b or WIDER[a] > WIDER[b])
+        fields[f.name.lower()] = StructField(known.name if known else f.name, known.dataType if wide else f.dataType, True)
+    return StructType(list(fields.values()))
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, policy: Policy = Policy()):
         self.spark, self.root, self.policy = spark, root.rstrip("/"), policy
@@ -83,19 +104,31 @@ class ShardStore:
         if not version:
             return []
         lines = read_text(self.spark, self._manifest(version)).splitlines()
-        return [Shard(**{k: v for k, v in json.loads(x).items() if k != "no"}) for x in lines if x]
+        return [Shard(**{k: v for k, v in json.loads(x).items() if k != "no"}) for x in lines if x and not x.startswith('{"schema"')]
 
-    def commit(self, base: int, shards: list[Shard]) -> int:
-        """Make ``shards`` version base + 1, or raise Conflict."""
-        text = "".join(json.dumps({"no": i} | asdict(s)) + "\n" for i, s in enumerate(shards))
+    def schema(self, version: int | None = None) -> StructType | None:
+        """Columns of all shards of a version, each with the widest type it arrived with; None before the first commit."""
+        version = self.version() if version is None else version
+        if not version:
+            return None
+        first = read_text(self.spark, self._manifest(version)).partition("\n")[0]
+        if not first.startswith('{"schema"'):  # written before manifests had columns
+            return self.spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(*[s.path for s in self.shards(version)]).schema
+        return StructType.fromJson(json.loads(first)["schema"])
+
+    def commit(self, base: int, shards: list[Shard], schema: StructType | None = None) -> int:
+        """Make ``shards`` version base + 1, with ``schema`` (by default that of the base), or raise Conflict."""
+        schema = schema or self.schema(base) or StructType()
+        text = json.dumps({"schema": schema.jsonValue()}) + "\n" + "".join(json.dumps({"no": i} | asdict(s)) + "\n" for i, s in enumerate(shards))
         if not create_once(self.spark, self._manifest(base + 1), text):
             raise Conflict(self._manifest(base + 1))
         return base + 1
 
-    def _change(self, gone: set[str], new: list[Shard]) -> int:
+    def _change(self, gone: set[str], new: list[Shard], schema: StructType | None = None) -> int:
         """Commit the newest version without ``gone`` and with ``new``; tried again while other writers are faster.
 
-        Raises Conflict if another writer has replaced a file of ``gone``.
+        Columns are those of the newest version, widened by ``schema``.  Raises Conflict if
+        another writer has replaced a file of ``gone``.
         """
         while True:
             base = self.version()
@@ -103,7 +136,8 @@ class ShardStore:
             if not gone <= {s.path for s in now}:
                 raise Conflict("another writer has replaced these shards")
             try:
-                return self.commit(base, [s for s in now if s.path not in gone] + new)
+                known = self.schema(base)
+                return self.commit(base, [s for s in now if s.path not in gone] + new, widened(known, schema) if schema else known)
             except Conflict:
                 continue
 
@@ -113,14 +147,21 @@ class ShardStore:
     # -- data -------------------------------------------------------------------
 
     def append(self, arrivals: DataFrame) -> int:
-        """Write arrivals as they come, without a shuffle, and commit them as new shards."""
-        return self._change(set(), self._write(arrivals.write.option("maxRecordsPerFile", self.policy.arrival_rows)))
+        """Write arrivals as they come, without a shuffle, and commit them as new shards.
+
+        Arrivals may have columns that the store hasn't, lack some, or have wider or narrower
+        numbers: the store keeps all columns, NULL where a row came without one, in the wider
+        type (see ``widened``, whose ValueError is raised before anything is written).
+        """
+        widened(self.schema(), arrivals.schema)
+        return self._change(set(), self._write(arrivals.write.option("maxRecordsPerFile", self.policy.arrival_rows)), arrivals.schema)
 
     def append_each(self, df: DataFrame, arrivals: int) -> int:
         """Append ``df`` as several arrivals, each of every so-many-th partition of its scan, and compact after each.
 
         One job writes the files of all; it stands for a stream of deliveries.
         """
+        widened(self.schema(), df.schema)
         extra = f"_arrival_{uuid.uuid4().hex}"
         shards = self._write(df.withColumn(extra, F.pmod(F.spark_partition_id(), F.lit(arrivals))).write.partitionBy(extra).option("maxRecordsPerFile", self.policy.arrival_rows))
         shards = shards or self._write(df.limit(0).write)  # an empty file keeps the columns
@@ -128,7 +169,7 @@ class ShardStore:
         for s in shards:
             groups.setdefault(s.path.rsplit("/", 2)[-2], []).append(s)
         for name in sorted(groups, key=lambda x: int(x.rsplit("=", 1)[1]) if "=" in x else 0):
-            self._change(set(), groups[name])
+            self._change(set(), groups[name], df.schema)
             self._merge()
         self.vacuum()  # only now: files of later arrivals were in no version yet
         return self.version()
@@ -165,7 +206,7 @@ class ShardStore:
             files = max(1, math.ceil(sum(s.bytes for s in merge) / self.policy.target_bytes))
             if files >= len(merge):
                 break  # nothing to gain
-            self._change({s.path for s in merge}, self._write(self._load(merge).coalesce(files).write))
+            self._change({s.path for s in merge}, self._write(self._load(merge, self.schema()).coalesce(files).write))
 
     def vacuum(self) -> int:
         """Delete data files older than ``retain_seconds`` that the newest version doesn't name; returns their number.
@@ -189,13 +230,14 @@ class ShardStore:
         """A file's path below ``data``, however the store writes the rest."""
         return path.rpartition("/data/")[2]
 
-    def _load(self, shards: list[Shard]) -> DataFrame:
+    def _load(self, shards: list[Shard], schema: StructType) -> DataFrame:
         # files of a delivery lie in folders whose names are no columns of theirs
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[s.path for s in shards])
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[s.path for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version."""
-        return self._load(self.shards(version))
+        """All rows of a version, with all columns that any of them came with."""
+        version = self.version() if version is None else version
+        return self._load(self.shards(version), self.schema(version))
 
     def placement(self) -> DataFrame:
         """Every row's doc_id with the number, tier and bytes of its shard in the newest version."""

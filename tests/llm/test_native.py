@@ -1,14 +1,16 @@
 """The operators that use DataFrame functions only."""
 
 import json
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import frame
+from conftest import frame, words
 from sparkloom.llm import chat, decontaminate, licenses, mixing, quality, sharding, url_reputation
 from sparkloom.llm.entry import TARGETS, URL_RULES
 
@@ -452,3 +454,47 @@ def test_long_conversations(spark):
     other = turns.filter(f"turn < {2 * chat.STEP}").withColumn("conv_id", F.lit(3).cast("long")).withColumn("text", F.concat("text", F.when(F.col("turn") == 2 * chat.STEP - 1, "x").otherwise("")))
     got = {r.conv_id: r.n_turns for r in chat.collapse_snapshots(turns.unionByName(short).unionByName(other)).select("conv_id", "n_turns").collect()}
     assert got == {1: n, 3: 2 * chat.STEP}
+
+
+def test_shards_keep_all_columns(spark, tmp_path):
+    """Arrivals with more, fewer, renamed in case, wider and narrower columns, through merges and vacuum."""
+    store = sharding.ShardStore(spark, f"{tmp_path}/s", sharding.Policy(retain_seconds=0.0))
+    arrivals = [
+        spark.sql("SELECT 1L AS doc_id, 'a' AS text, CAST(1 AS INT) AS n, CAST(1.5 AS FLOAT) AS x"),
+        spark.sql("SELECT 2L AS doc_id, 'b' AS text, 'en' AS lang, CAST(1 AS BIGINT) << 40 AS N"),
+        spark.sql("SELECT 'c' AS TEXT, CAST(0.1 AS DOUBLE) AS x"),
+        spark.sql("SELECT CAST(4 AS INT) AS doc_id, array(struct(1 AS k)) AS more"),
+    ]
+    for a in arrivals:
+        store.append(a)
+    want = {(1, "a", 1, 1.5, None, None), (2, "b", 1 << 40, None, "en", None), (None, "c", None, 0.1, None, None), (4, None, None, None, None, (1,))}
+
+    def rows():
+        return {(*r[:5], r.more and tuple(m.k for m in r.more)) for r in store.read().collect()}
+
+    assert store.read().columns == ["doc_id", "text", "n", "x", "lang", "more"] and rows() == want
+    assert store.read(1).columns == ["doc_id", "text", "n", "x"]
+    files = len(store.shards())
+    store.compact()
+    assert len(store.shards()) < files and rows() == want and store.schema().simpleString() == store.read().schema.simpleString()
+    assert store.vacuum() == 0 and sum(1 for _ in (tmp_path / "s/data").rglob("part-*.parquet")) == len(store.shards())
+    assert {(r.doc_id, r.shard_no) for r in store.placement().collect()} == {(i, 0) for i in (1, 2, 4, None)}
+    version = store.version()
+    with pytest.raises(ValueError, match="lang is string"):
+        store.append(spark.sql("SELECT 5L AS doc_id, 7 AS lang"))
+    assert store.version() == version
+
+
+def test_items_of_20000_words(spark):
+    """A document that holds a very long item with two words changed, and others with parts of it."""
+    rng = random.Random(8)
+    item = words(rng, 20_000)
+    doc = list(item)
+    doc[5_000] = doc[15_000] = "zzz"
+    docs = [(1, " ".join(["x", *doc])), (2, " ".join(item[777:800])), (3, " ".join(item[40:49])), (4, " ".join(words(rng, 300))), (5, " ".join(item[-10:] + item[:12]))]
+    rows = [(i, t, "en", "s", 0) for i, t in docs]
+    items = spark.createDataFrame([("long", " ".join(item)), ("short", "zzz")], "item_id string, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.decontaminate(frame(spark, rows), items).collect()}
+    assert time.time() - began < 90
+    assert got == {1: (20_001, 20_000, ["long", "short"]), 2: (23, 23, ["long"]), 3: (9, 0, []), 4: (300, 0, []), 5: (22, 22, ["long"])}
