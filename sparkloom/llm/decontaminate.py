@@ -6,11 +6,11 @@ a match.  Postings are written where the texts are read, without a shuffle.
 
 A phrase query works from the rarest terms: for each window of an item the two terms
 with the fewest postings are its anchors.  Their posting lists, shifted by the anchor's
-place in the item, are intersected: an alignment (document, item, shift) survives if
-both anchors of some window are there.  Survivors are checked word by word against the
-text.  Consecutive windows share anchors, so an alignment stands for all of them.
-Only anchors' postings are shuffled.  Documents with survivors give out the few words
-that an alignment lies over, and those are compared with the item's.
+place in the item, are intersected: an alignment (document, item, shift) survives where
+both anchors of some window are there.  Consecutive windows share anchors, so an alignment
+stands for all of them.  Only anchors' postings are shuffled.  Documents with survivors
+give out the words about the anchors that have met, and those are compared with the item's,
+so the work follows what matches and not the item's length.
 """
 
 from __future__ import annotations
@@ -41,19 +41,30 @@ def _intervals(part: Column, item: Column, shift: Column, width: Column) -> Colu
     return F.flatten(F.transform(found, lambda x: F.transform(F.sequence(x["a"], x["b"] - width), lambda k: F.struct((shift + k).alias("s"), (shift + k + width).alias("e")))))
 
 
-def _paired(qs: Column, pairs: Column, width: Column) -> Column:
-    """Whether both places of one of ``pairs`` (codes, see ``_code``) are among ``qs``.
-
-    Places of a pair lie less than ``width`` apart; the sets are hashed, so the work follows
-    the lengths of qs and, where any places are near enough, of pairs.
-    """
+def _near(qs: Column, width: Column) -> Column:
+    """Codes (see ``_code``) of the pairs of places in ``qs`` less than ``width`` apart; the work follows the length of qs."""
     around = F.sequence(1 - width, width - 1)
 
     def codes(swapped: bool) -> Column:
         return F.flatten(F.transform(qs, lambda q: F.transform(around, lambda d: _code(q + d, q) if swapped else _code(q, q + d))))
 
-    near = F.array_intersect(codes(False), codes(True))
-    return let(near, lambda c: (F.size(c) > 0) & F.arrays_overlap(c, pairs))
+    return F.array_intersect(codes(False), codes(True))
+
+
+def _segments(places: Column, width: Column, n: Column) -> Column:
+    """(lo, hi), apart from each other, in an item of ``n`` words: every window of ``width`` that holds one of ``places``."""
+
+    def merged(q: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(q) - 1), lambda i: (i == 0) | (F.get(q, i) - F.get(q, i - 1) >= 2 * width))
+
+        def cut(at: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda k: F.struct(
+                F.greatest(F.get(q, F.get(at, k)) - width + 1, F.lit(0)).alias("lo"),
+                F.least(F.get(q, F.coalesce(F.get(at, k + 1), F.size(q)) - 1) + width, n).alias("hi")))
+
+        return let(begins, cut)
+
+    return let(F.array_sort(places), merged)
 
 
 def _code(q1: Column, q2: Column) -> Column:
@@ -126,19 +137,25 @@ class PositionalIndex:
         """
         wins = stored(self.windows(width), "windows")
         hits = self._hits(wins).groupBy("uid", "ik", "shift").agg(F.collect_set("q").alias("qs"))
-        held = wins.select("ik", "width", F.transform("w", lambda x: _code(x["q1"], x["q2"])).alias("pairs"), F.size("iw").alias("n"))
+        sizes = light(wins.select("ik", "width", F.size("iw").alias("n")))
+        pairs = light(wins.select("ik", F.explode("w").alias("w")).select("ik", _code(F.col("w.q1"), F.col("w.q2")).alias("code"), F.col("w.q1").alias("q1")))
         # most alignments are single words that meet by chance
-        enough = F.size("qs") >= F.least(F.lit(2), F.col("width"))
-        survivors = hits.join(light(held), "ik").filter(enough & _paired(F.col("qs"), F.col("pairs"), F.col("width"))).select("uid", F.struct("ik", "shift", "n").alias("a"))
-        per_doc = stored(survivors.groupBy("uid").agg(F.collect_list("a").alias("aligned")), "alignments")
+        several = hits.join(sizes, "ik").filter(F.size("qs") >= F.least(F.lit(2), F.col("width")))
+        met = several.select("uid", "ik", "shift", "width", "n", F.explode(_near(F.col("qs"), F.col("width"))).alias("code")).join(pairs, ["ik", "code"])
+        held = met.groupBy("uid", "ik", "shift", "width", "n").agg(F.collect_set("q1").alias("places"))
+        # of an item only what lies about the places that have met is compared
+        survivors = held.select("uid", "ik", "shift", F.inline(_segments(F.col("places"), F.col("width"), F.col("n"))))
+        per_doc = stored(survivors.groupBy("uid").agg(F.collect_list(F.struct("ik", "lo", "hi", (F.col("shift") + F.col("lo")).alias("shift"))).alias("aligned")), "alignments")
 
         def cut(dw: Column) -> Column:
-            return F.transform(F.col("aligned"), lambda a: F.struct(a["ik"].alias("ik"), a["shift"].alias("shift"), F.slice(dw, F.greatest(a["shift"], F.lit(0)) + 1, a["n"] + F.least(a["shift"], F.lit(0))).alias("part")))
+            return F.transform(F.col("aligned"), lambda a: F.struct(
+                a["ik"].alias("ik"), a["lo"].alias("lo"), a["hi"].alias("hi"), a["shift"].alias("shift"),
+                F.slice(dw, F.greatest(a["shift"], F.lit(0)) + 1, F.greatest(a["hi"] - a["lo"] + F.least(a["shift"], F.lit(0)), F.lit(0))).alias("part")))
 
         # survivors grow with the corpus, so they are never broadcast: one plan at every size
         parts = self.docs.join(per_doc.hint("merge"), "uid").select("uid", F.inline(let(terms(F.col("text")), cut)))
-        parts = parts.join(light(wins.select("ik", "item_id", "iw", "width")), "ik")
-        found = parts.select("uid", "item_id", F.inline(_intervals(F.col("part"), F.col("iw"), F.col("shift"), F.col("width"))))
+        parts = parts.join(light(wins.select("ik", "item_id", "iw", "width")), "ik").withColumn("own", F.slice("iw", F.col("lo") + 1, F.col("hi") - F.col("lo")))
+        found = parts.select("uid", "item_id", F.inline(_intervals(F.col("part"), F.col("own"), F.col("shift"), F.col("width"))))
         found = stored(found.groupBy("uid").agg(F.collect_set(F.struct("item_id", "s", "e")).alias("matches")), "matches")
         found = self.rows.join(found.hint("merge"), "uid", "left")
         empty = F.array().cast(found.schema["matches"].dataType)
