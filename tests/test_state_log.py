@@ -5,14 +5,14 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures import COMMUNITIES, COMPONENTS, DANGLING, model
+from fixtures import COMPONENTS, DANGLING, model
 from sparkloom.graph import Graph
 from sparkloom.operators import state_log, superstep
 from sparkloom.operators.program import RunConfig
 from sparkloom.operators.superstep import run
 from sparkloom.plans import labels, paths
 from sparkloom.plans.capacity import WHOLE, WidestPaths
-from sparkloom.plans.registry import BELLMAN_FORD, BFS, COMPONENTS as CC, LABEL_PROPAGATION, PAGERANK
+from sparkloom.plans.registry import BELLMAN_FORD, BFS, LABEL_PROPAGATION, PAGERANK
 from sparkloom.plans.shortcut import undirected_components
 from sparkloom.sources.text_format import parse_graph
 
@@ -106,21 +106,14 @@ def test_versions_and_compaction(spark, monkeypatch):
     assert len([f for f in os.listdir(folder.path.removeprefix("file:")) if f.startswith("states")]) == 1
 
 
-@pytest.mark.parametrize("sparse", [0, 10**9])
-def test_both_ways_agree(spark, monkeypatch, sparse):
-    """All steps through the log, or none, with broadcasts or without."""
+def test_all_steps_through_the_log(spark, monkeypatch):
+    """Without broadcasts, with a new base after every part; test_algorithms has the other way."""
     from test_algorithms import check
 
-    monkeypatch.setattr(superstep, "LEAST", 0)
-    monkeypatch.setattr(superstep, "SPARSE", 1e-9)
-    monkeypatch.setattr(state_log, "BLOCK", 3)
-    monkeypatch.setattr(state_log, "KEEP", 1)
-    monkeypatch.setattr(state_log, "FEW", 0)
-    if not sparse:
-        monkeypatch.setattr(superstep, "SPARSE", 10**9)
-    for text in (COMPONENTS, COMMUNITIES):
-        for name in ("bfs", "cc", "lp"):
-            check(parse_graph(spark, text), name, 0)
+    for where, name, value in ((superstep, "LEAST", 0), (superstep, "SPARSE", 1e-9), (state_log, "BLOCK", 3), (state_log, "KEEP", 1), (state_log, "FEW", 0)):
+        monkeypatch.setattr(where, name, value)
+    for name in ("bfs", "cc", "lp"):
+        check(parse_graph(spark, COMPONENTS), name, 0)
 
 
 def test_traces_are_one_scan(spark):
@@ -224,4 +217,3 @@ def test_dangling_ranks_match_the_model(spark):
     arcs = [(r.src, r.dst, r.weight) for r in parse_graph(spark, DANGLING).edges.orderBy("pos").collect()]
     states, steps, _, _ = model(4, arcs, "pagerank", cap=30)
     assert done.supersteps == steps and [r.rank for r in done.states.orderBy("id").collect()] == pytest.approx([states[v] for v in range(4)], abs=1e-12)
-    assert CC.name == "ConnectedComponents"
