@@ -3,7 +3,7 @@
 Layout below ``root``::
 
     data/<run>/part-*.parquet      immutable; a run is what one job wrote
-    manifest/v00000001.json        the columns of a version, then its shards, one JSON object a line
+    manifest/v00000001.json        the shards of a version, one JSON object a line, the first with its columns
 
 Arrivals are appended as small shards (``arrival_rows`` at most), as they come.  Shards of one size tier
 (powers of ``fanout`` above ``least_bytes``) are merged once there are ``fanout`` of
@@ -28,7 +28,7 @@ import json
 import math
 import time
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,8 @@ class Shard:
     bytes: int
     tier: int
     since: int  # the version that brought it
+    #: Of the first shard of a version: the version's columns, as JSON.
+    schema: dict | None = field(default=None, compare=False, repr=False)
 
 
 @dataclass(frozen=True)
@@ -104,22 +106,21 @@ class ShardStore:
         if not version:
             return []
         lines = read_text(self.spark, self._manifest(version)).splitlines()
-        return [Shard(**{k: v for k, v in json.loads(x).items() if k != "no"}) for x in lines if x and not x.startswith('{"schema"')]
+        return [Shard(**{k: v for k, v in json.loads(x).items() if k != "no"}) for x in lines if x]
 
     def schema(self, version: int | None = None) -> StructType | None:
-        """Columns of all shards of a version, each with the widest type it arrived with; None before the first commit."""
+        """Columns of all shards of a version, each with the widest type it arrived with; None without shards."""
         version = self.version() if version is None else version
-        if not version:
+        shards = self.shards(version)
+        if not shards:
             return None
-        first = read_text(self.spark, self._manifest(version)).partition("\n")[0]
-        if not first.startswith('{"schema"'):  # written before manifests had columns
-            return self.spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(*[s.path for s in self.shards(version)]).schema
-        return StructType.fromJson(json.loads(first)["schema"])
-
-    def commit(self, base: int, shards: list[Shard], schema: StructType | None = None) -> int:
-        """Make ``shards`` version base + 1, with ``schema`` (by default that of the base), or raise Conflict."""
-        schema = schema or self.schema(base) or StructType()
-        text = json.dumps({"schema": schema.jsonValue()}) + "\n" + "".join(json.dumps({"no": i} | asdict(s)) + "\n" for i, s in enumerate(shards))
+        if not shards[0].schema:  # written before manifests had columns
+            return self.spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(*[s.path for s in shards]).schema
+        return StructType.fromJson(shards[0].schema)
+
+    def commit(self, base: int, shards: list[Shard]) -> int:
+        """Make ``shards`` version base + 1, or raise Conflict."""
+        text = "".join(json.dumps({"no": i} | {k: v for k, v in asdict(s).items() if v is not None}) + "\n" for i, s in enumerate(shards))
         if not create_once(self.spark, self._manifest(base + 1), text):
             raise Conflict(self._manifest(base + 1))
         return base + 1
@@ -137,7 +138,9 @@ class ShardStore:
                 raise Conflict("another writer has replaced these shards")
             try:
                 known = self.schema(base)
-                return self.commit(base, [s for s in now if s.path not in gone] + new, widened(known, schema) if schema else known)
+                columns = widened(known, schema) if schema else known
+                live = [*(s for s in now if s.path not in gone), *new]
+                return self.commit(base, [replace(s, schema=None if i or not columns else columns.jsonValue()) for i, s in enumerate(live)])
             except Conflict:
                 continue
 

@@ -498,3 +498,19 @@ def test_items_of_20000_words(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.decontaminate(frame(spark, rows), items).collect()}
     assert time.time() - began < 90
     assert got == {1: (20_001, 20_000, ["long", "short"]), 2: (23, 23, ["long"]), 3: (9, 0, []), 4: (300, 0, []), 5: (22, 22, ["long"])}
+
+
+@pytest.mark.parametrize("name", ["op2_url_reputation", "op5_decontamination", "op6_license_scan"])
+def test_no_python_in_native_queries(spark, name):
+    from sparkloom.llm.entry import QUERIES
+
+    assert not plan_has_python(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from sparkloom.llm.common import light
+
+    few = spark.createDataFrame([("x" * 5000,)] * 10, "t string")
+    for most, hinted in ((60_000, True), (40_000, False)):
+        assert ("broadcast" in light(few, most)._jdf.queryExecution().analyzed().toString().lower()) is hinted
+    assert "broadcast" in light(few.limit(0))._jdf.queryExecution().analyzed().toString().lower()
