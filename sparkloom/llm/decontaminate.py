@@ -11,6 +11,10 @@ both anchors of some window are there.  Consecutive windows share anchors, so an
 stands for all of them.  Only anchors' postings are shuffled.  Documents with survivors
 give out the words about the anchors that have met, and those are compared with the item's,
 so the work follows what matches and not the item's length.
+
+A proximity query asks for all words of a window within a few words more than the window
+has, in any order.  Postings of anchors are grouped by half-overlapping cells of positions;
+where a window's two anchors are close enough, the words about the rarer one are compared.
 """
 
 from __future__ import annotations
@@ -106,8 +110,8 @@ class PositionalIndex:
         #: doc_id, uid, digest (md5 of the text), n_words of every row
         self.rows = written.filter("begins").select("doc_id", "uid", "digest", "n_words")
 
-    def windows(self, width: int) -> DataFrame:
-        """ik, item_id, iw, width, w: distinct (q1, q2), the places of each possible window's rarest terms.
+    def _framed(self, width: int) -> tuple[DataFrame, DataFrame]:
+        """The items with their windows' width; and ik, q (place in the item), q1, q2 (places of the rarest terms) of each possible window.
 
         An item of fewer words is one window.  Windows with a term that never occurs are
         left out.
@@ -116,11 +120,10 @@ class PositionalIndex:
         sized = self.items.withColumn("width", F.least(F.lit(width), F.size("iw")))
         placed = sized.select("ik", "width", F.posexplode("iw").alias("q", "term")).join(freq, "term", "left")
         ahead = Window.partitionBy("ik").orderBy("q").rowsBetween(0, width - 1)
-        framed = placed.select("ik", "width", F.count(F.lit(1)).over(ahead).alias("n"), F.count("f").over(ahead).alias("known"), F.sort_array(F.collect_list(F.struct("f", "q")).over(ahead)).alias("r"))
+        framed = placed.select("ik", "q", "width", F.count(F.lit(1)).over(ahead).alias("n"), F.count("f").over(ahead).alias("known"), F.sort_array(F.collect_list(F.struct("f", "q")).over(ahead)).alias("r"))
         framed = framed.filter("n = width AND known = width")
-        pair = F.struct(F.get("r", F.lit(0))["q"].alias("q1"), F.coalesce(F.get("r", F.lit(1))["q"], F.get("r", F.lit(0))["q"]).alias("q2"))
-        anchors = framed.groupBy("ik").agg(F.collect_set(pair).alias("w"))
-        return sized.join(anchors, "ik").select("ik", "item_id", "iw", "width", "w")
+        q1 = F.get("r", F.lit(0))["q"]
+        return sized, stored(framed.select("ik", "q", q1.alias("q1"), F.coalesce(F.get("r", F.lit(1))["q"], q1).alias("q2")), "frames")
 
     def _hits(self, wins: DataFrame) -> DataFrame:
         """ik, uid, q, shift of every posting of every anchor."""
@@ -128,14 +131,8 @@ class PositionalIndex:
         anchor = stored(anchor.select("ik", "q", F.get("iw", F.col("q")).alias("term")), "anchors")
         return self.postings.join(light(anchor), "term").select("ik", "uid", "q", (F.col("pos") - F.col("q")).alias("shift"))
 
-    def phrases(self, width: int = 10) -> DataFrame:
-        """doc_id, digest (md5 of the text), n_words, n_hit, matches (array of item_id, s, e) of every document.
-
-        matches has each occurrence of a window of ``width`` words of an item (of the whole
-        item if it is shorter) as word positions [s, e), in no order; n_hit counts the words
-        in any.
-        """
-        wins = stored(self.windows(width), "windows")
+    def _aligned(self, wins: DataFrame) -> DataFrame:
+        """uid, ik, lo, hi, shift: what of an item is to be compared with the words from position ``shift`` + lo on."""
         hits = self._hits(wins).groupBy("uid", "ik", "shift").agg(F.collect_set("q").alias("qs"))
         sizes = light(wins.select("ik", "width", F.size("iw").alias("n")))
         pairs = light(wins.select("ik", F.explode("w").alias("w")).select("ik", _code(F.col("w.q1"), F.col("w.q2")).alias("code"), F.col("w.q1").alias("q1")))
@@ -144,49 +141,99 @@ class PositionalIndex:
         met = several.select("uid", "ik", "shift", "width", "n", F.explode(_near(F.col("qs"), F.col("width"))).alias("code")).join(pairs, ["ik", "code"])
         held = met.groupBy("uid", "ik", "shift", "width", "n").agg(F.collect_set("q1").alias("places"))
         # of an item only what lies about the places that have met is compared
-        survivors = held.select("uid", "ik", "shift", F.inline(_segments(F.col("places"), F.col("width"), F.col("n"))))
-        per_doc = stored(survivors.groupBy("uid").agg(F.collect_list(F.struct("ik", "lo", "hi", (F.col("shift") + F.col("lo")).alias("shift"))).alias("aligned")), "alignments")
+        return held.select("uid", "ik", "shift", F.inline(_segments(F.col("places"), F.col("width"), F.col("n"))))
+
+    def _close(self, loose: DataFrame, most: int) -> DataFrame:
+        """uid, wid, at: postings of the rarest term of a window of ``loose`` with one of its second rarest close by.
+
+        Spans have ``most`` words at most, so both lie in one of two cells of twice that length.
+        """
+        ids = stored(loose.select(F.explode(F.array("t1", "t2")).alias("term")).distinct().withColumn("tid", F.monotonically_increasing_id()), "anchors")
+        pairs = loose.select("wid", "span", "t1", "t2")
+        for t in ("1", "2"):
+            pairs = pairs.join(ids.select(F.col("term").alias(f"t{t}"), F.col("tid").alias(f"a{t}")), f"t{t}")
+        pairs = light(stored(pairs.select("wid", "span", "a1", "a2"), "pairs"))
+        cell = F.floor(F.col("pos") / F.lit(most))
+        spread = self.postings.join(light(ids), "term").select("uid", F.explode(F.array(cell - 1, cell)).alias("cell"), F.struct("pos", "tid").alias("p"))
+        cells = spread.groupBy("uid", "cell").agg(F.collect_set("p").alias("ps"))
+
+        def about(x: Column) -> Column:
+            close = F.filter(F.col("ps"), lambda y: F.abs(x["pos"] - y["pos"]) < most)
+            return F.transform(close, lambda y: F.struct(x["tid"].alias("a1"), y["tid"].alias("a2"), x["pos"].alias("at"), F.abs(x["pos"] - y["pos"]).alias("gap")))
+
+        meets = cells.select("uid", F.inline(F.flatten(F.transform("ps", about))))
+        return meets.join(pairs, ["a1", "a2"]).filter("gap < span").select("uid", "wid", "at").distinct()
+
+    def matches(self, width: int = 10, slop: int | None = None) -> DataFrame:
+        """doc_id, digest (md5 of the text), n_words, n_hit, matches, near of every document.
+
+        matches (array of item_id, s, e) has each occurrence of a window of ``width`` words of
+        an item (of the whole item if it is shorter) as word positions [s, e), in no order;
+        n_hit counts the words in any.
+
+        near (array of item_id, q, s) has each proximity match, likewise: the window from word
+        q of the item on has all its words, in any order and repeats once, among the document's
+        words from s on, in ``slop`` words more than the window has, and word s is one of
+        them.  Phrases are proximity matches, too.  Without ``slop`` it is empty.
+        """
+        sized, framed = self._framed(width)
+        anchors = framed.groupBy("ik").agg(F.collect_set(F.struct("q1", "q2")).alias("w"))
+        wins = stored(sized.join(anchors, "ik").select("ik", "item_id", "iw", "width", "w"), "windows")
+        wanted = self._aligned(wins).select("uid", F.lit(False).alias("loose"), "ik", "lo", "hi", (F.col("shift") + F.col("lo")).alias("shift"))
+        if slop is not None:
+            most = width + slop
+            loose = sized.join(framed, "ik").select(
+                "item_id", "q", (F.col("width") + slop).alias("span"), F.array_distinct(F.slice("iw", F.col("q") + 1, F.col("width"))).alias("own"),
+                F.get("iw", F.col("q1")).alias("t1"), F.get("iw", F.col("q2")).alias("t2"), F.monotonically_increasing_id().alias("wid"))
+            loose = stored(loose, "loose-windows")
+            close = self._close(loose, most)
+            wanted = wanted.unionByName(close.select("uid", F.lit(True).alias("loose"), F.col("wid").alias("ik"), F.lit(0).alias("lo"), F.lit(2 * most - 1).alias("hi"), (F.col("at") - most + 1).alias("shift")))
+        per_doc = stored(wanted.groupBy("uid").agg(F.collect_list(F.struct("loose", "ik", "lo", "hi", "shift")).alias("aligned")), "alignments")
 
         def cut(dw: Column) -> Column:
             return F.transform(F.col("aligned"), lambda a: F.struct(
-                a["ik"].alias("ik"), a["lo"].alias("lo"), a["hi"].alias("hi"), a["shift"].alias("shift"),
+                a["loose"].alias("loose"), a["ik"].alias("ik"), a["lo"].alias("lo"), a["hi"].alias("hi"), a["shift"].alias("shift"),
                 F.slice(dw, F.greatest(a["shift"], F.lit(0)) + 1, F.greatest(a["hi"] - a["lo"] + F.least(a["shift"], F.lit(0)), F.lit(0))).alias("part")))
 
         # survivors grow with the corpus, so they are never broadcast: one plan at every size
         parts = self.docs.join(per_doc.hint("merge"), "uid").select("uid", F.inline(let(terms(F.col("text")), cut)))
-        parts = parts.join(light(wins.select("ik", "item_id", "iw", "width")), "ik").withColumn("own", F.slice("iw", F.col("lo") + 1, F.col("hi") - F.col("lo")))
-        found = parts.select("uid", "item_id", F.inline(_intervals(F.col("part"), F.col("own"), F.col("shift"), F.col("width"))))
-        found = stored(found.groupBy("uid").agg(F.collect_set(F.struct("item_id", "s", "e")).alias("matches")), "matches")
+        if slop is not None:
+            parts = stored(parts, "parts")  # read twice
+        exact = parts.filter("NOT loose").join(light(wins.select("ik", "item_id", "iw", "width")), "ik").withColumn("own", F.slice("iw", F.col("lo") + 1, F.col("hi") - F.col("lo")))
+        exact = exact.select("uid", "item_id", F.inline(_intervals(F.col("part"), F.col("own"), F.col("shift"), F.col("width"))))
+        found = exact.select("uid", F.struct("item_id", "s", "e").alias("m"), F.lit(None).cast(f"struct<item_id:{exact.schema['item_id'].dataType.simpleString()},q:int,s:int>").alias("l"))
+        if slop is not None:
+            near = parts.filter("loose").withColumnRenamed("ik", "wid").join(light(loose.select("wid", "item_id", "q", "span", "own")), "wid")
+            begin, at = F.greatest(F.col("shift"), F.lit(0)), F.col("shift") + most - 1
+            whole = lambda i: F.array_contains("own", F.get("part", i)) & (F.size(F.array_except("own", F.slice("part", i + 1, F.col("span")))) == 0)
+            starts = F.filter(F.sequence(F.greatest(at - F.col("span") + 1, F.lit(0)) - begin, at - begin), whole)
+            near = near.select("uid", "item_id", "q", (F.explode(starts)).alias("i"), begin.alias("begin"))
+            found = found.unionByName(near.select("uid", F.lit(None).cast(found.schema["m"].dataType).alias("m"), F.struct("item_id", "q", (F.col("begin") + F.col("i")).alias("s")).alias("l")))
+        found = stored(found.groupBy("uid").agg(F.collect_set("m").alias("matches"), F.collect_set("l").alias("near")), "matches")
         found = self.rows.join(found.hint("merge"), "uid", "left")
-        empty = F.array().cast(found.schema["matches"].dataType)
-        matches = F.coalesce("matches", empty)
-        return found.select("doc_id", "digest", "n_words", covered(F.transform(matches, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))).alias("n_hit"), matches.alias("matches"))
-
-    def proximity(self, width: int = 10, slop: int = 3) -> DataFrame:
-        """uid, item_id, q1, q2, gap: a window's two rarest terms, gap (1 to slop) words off their distance in the item."""
-        wins = stored(self.windows(width), "windows")
-        hits = stored(self._hits(wins), "hits")
-        pairs = wins.select("ik", "item_id", F.explode("w").alias("w")).select("ik", "item_id", "w.q1", "w.q2").filter("q1 <> q2").distinct()
-        cell = F.floor(F.col("shift") / F.lit(slop + 1))
-        first = hits.join(pairs, (hits["ik"] == pairs["ik"]) & (hits["q"] == pairs["q1"])).select(pairs["ik"], "item_id", "q1", "q2", "uid", F.col("shift").alias("s1"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-        second = hits.select("ik", F.col("q").alias("q2"), "uid", F.col("shift").alias("s2"), cell.alias("cell"))
-        near = first.join(second, ["ik", "q2", "uid", "cell"]).withColumn("gap", F.abs(F.col("s1") - F.col("s2")))
-        return near.filter(F.col("gap").between(1, slop)).select("uid", "item_id", "q1", "q2", "gap").distinct()
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted distinct strings), contaminated of every document.
-
-    An empty ``items`` contaminates nothing; an empty ``docs`` gives an empty result.
+        lists = {c: F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("matches", "near")}
+        places = F.transform(lists["matches"], lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))
+        return found.select("doc_id", "digest", "n_words", covered(places).alias("n_hit"), lists["matches"].alias("matches"), lists["near"].alias("near"))
+
+
+def _ids(matches: str) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(matches, lambda m: F.coalesce(m["item_id"].cast("string"), F.lit("null")))))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, slop: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, item_ids (sorted distinct strings), contaminated, near_ids, n_near of every document.
+
+    near_ids and n_near are the items and the number of the proximity matches (see
+    ``PositionalIndex.matches``); they don't make a document contaminated.  An empty
+    ``items`` contaminates nothing; an empty ``docs`` gives an empty result.
     """
-    found = PositionalIndex(docs, items).phrases(width)
-    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.coalesce(m["item_id"].cast("string"), F.lit("null")))))
-    return found.select("doc_id", "n_words", "n_hit", ids.alias("item_ids"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = PositionalIndex(docs, items).matches(width, slop)
+    return found.select("doc_id", "n_words", "n_hit", _ids("matches").alias("item_ids"), (F.col("n_hit") > 0).alias("contaminated"), _ids("near").alias("near_ids"), F.size("near").cast("long").alias("n_near"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no phrase of any item."""
-    found = PositionalIndex(docs, items).phrases(width).filter("n_hit > 0")
+    found = PositionalIndex(docs, items).matches(width).filter("n_hit > 0")
     dirty = stored(found.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_d")).distinct(), "dirty")
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
     return packed.join(dirty, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d")), "left_anti").select("_row.*")

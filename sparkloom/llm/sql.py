@@ -136,9 +136,19 @@ q AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + l
 win AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM q))),
 hit AS (SELECT doc_id, i, win.n, item_id FROM win JOIN q ON q.n = win.n AND q.s = win.s),
 words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id),
+t AS (SELECT doc_id, pos, term FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM d)),
+f AS (SELECT term, count(*) AS f FROM t GROUP BY term),
+o AS (SELECT DISTINCT item_id, i - 1 AS q, least(10, len(w)) + 3 AS span, list_distinct(w[i:i + least(10, len(w)) - 1]) AS own
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+rare AS (SELECT item_id, q, span, own, arg_min(o2.term, coalesce(f, 0)) AS term FROM (SELECT *, unnest(own) AS term FROM o) o2 LEFT JOIN f ON f.term = o2.term GROUP BY item_id, q, span, own),
+around AS (SELECT * FROM (SELECT doc_id, pos, term, list(term) OVER p AS part, least(pos, 12) AS back FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)) WHERE term IN (SELECT term FROM rare)),
+near AS (SELECT DISTINCT doc_id, item_id, q, pos - j AS s FROM (SELECT doc_id, pos, part, back, item_id, q, span, own, unnest(range(0, least(span - 1, back) + 1)) AS j FROM around JOIN rare USING (term))
+  WHERE list_contains(own, part[back - j + 1]) AND list_has_all(part[back - j + 1:back - j + span], own)),
+nears AS (SELECT doc_id, count(*) AS n, count(DISTINCT coalesce(item_id::VARCHAR, 'null')) AS items FROM near GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, words.n IS NOT NULL AS contaminated,
+  coalesce(nears.items, 0)::BIGINT AS n_near_items, coalesce(nears.n, 0)::BIGINT AS n_near
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nears USING (doc_id)"""
 
 
 def _licenses(threshold: float = 0.8, run: int = 3) -> str:

@@ -288,11 +288,29 @@ def test_decontamination(spark, odd, odd_rows, none):
     assert decontaminate.decontaminate(odd, bench.limit(0)).filter("contaminated").count() == 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "x alpha y y beta z"), (2, "alpha beta"), (3, "alpha q q q q q q beta")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, "alpha beta")], "item_id long, text string")
-    found = decontaminate.PositionalIndex(docs, items).proximity(slop=3).collect()
-    assert [(r.uid, r.item_id, r.gap) for r in found] == [(1, 7, 2)]
+def test_proximity(spark, odd, odd_rows, none):
+    """Against every span of every document, with items whose words are mixed, spread, repeated, unknown, few or none."""
+    passage = odd_rows[6][1].split()
+    mixed = [*passage[3:8][::-1], "kaba", *passage[9:16]]
+    texts = [(0, " ".join(passage)), (1, "one"), (1, "two one"), (None, " ".join(passage[:7])), (2, None), (3, "..."), (4, "never seen"), (5, " ".join(mixed)), (6, "ab " * 12), (7, "one one")]
+    bench = spark.createDataFrame([(*x, 1) for x in texts], "item_id long, text string, uid long")
+    for width, slop in ((10, 3), (4, 0), (1, 2)):
+        want = Counter()
+        for r in odd_rows:
+            w, near = brute.terms(r[1]), set()
+            for item, text in texts:
+                b = brute.terms(text)
+                n = min(width, len(b))
+                for q in range(len(b) - n + 1 if b else 0):
+                    own = set(b[q : q + n])
+                    near |= {(item, q, s) for s in range(len(w)) if w[s] in own and own <= set(w[s : s + n + slop])}
+            want[r[0], len(w), frozenset(near)] += 1
+        found = decontaminate.PositionalIndex(odd, bench).matches(width, slop).collect()
+        assert Counter((r.doc_id, r.n_words, frozenset(map(tuple, r.near))) for r in found) == want
+        for r in found:
+            assert len(r.near) == len(set(r.near)) and {m.item_id for m in r.matches} <= {m.item_id for m in r.near}
+    assert decontaminate.decontaminate(none, bench, slop=3).count() == 0
+    assert decontaminate.decontaminate(odd, bench.limit(0), slop=3).filter("n_near > 0 OR contaminated").count() == 0
 
 
 # -- licences ------------------------------------------------------------------------
