@@ -11,7 +11,8 @@ merges with it and no run is shuffled again.  A new batch is
 3. merge-joined with the older runs: a chunk that an older run holds is a repeat;
 4. verified: a chunk counts as equal only by the digest of all its words, and chunks
    whose gram occurs in chunks of another shape are compared window by window with the
-   texts of both sides, by digests of the windows' words;
+   texts of both sides, by digests of the windows' words; grams that the batch hasn't
+   got were compared before and are left alone;
 5. committed by a manifest, and runs of similar size are compacted into one.
 
 Removed words never influence what counts as a repeat: windows are judged on the input.
@@ -156,8 +157,9 @@ class FingerprintIndex:
         repeats.append(stored(self.spark.table(self._tables[run["path"]]).filter("seen").select("uid", "s", "r"), "repeats"))
         fresh, old = self._run(run), self.history()
         # 4: grams that occur in chunks of different shape
-        shapes = fresh.select("h", "c").unionByName(old.select("h", "c")).groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"))
-        mixed = stored(shapes.filter("a <> b").select("h"), "mixed")
+        both = fresh.select("h", "c", F.lit(True).alias("new")).unionByName(old.select("h", "c", F.lit(False).alias("new")))
+        shapes = both.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("new").alias("new"))
+        mixed = stored(shapes.filter("a <> b AND new").select("h"), "mixed")  # others were compared with their own batch
         sides = fresh.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False)))
         sides = stored(sides.join(mixed, "h").select("uid", "s", "r", "new"), "sides")
         discard(mixed)

@@ -91,6 +91,23 @@ def test_runs_are_merged_without_a_shuffle(spark, tmp_path):
     index.close()
 
 
+def test_only_grams_of_the_batch_are_compared(spark, monkeypatch):
+    """Edges of older repeats aren't compared again for a batch that has none of their grams."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    shared = [rng.choice(vocabulary) for _ in range(60)]
+    first = [(i, " ".join([rng.choice(vocabulary) for _ in range(30)] + shared[i : 50 + i] + [rng.choice(vocabulary) for _ in range(30)])) for i in range(6)]
+    other = [(i, " ".join(f"x{i}y{k}" for k in range(90))) for i in range(6, 9)]
+    compared, verify = [], substring_dedup.FingerprintIndex._verify
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "_verify", lambda self, sides, corpus: compared.append(sides.count()) or verify(self, sides, corpus))
+    index = substring_dedup.FingerprintIndex(spark)
+    batches = [spark.createDataFrame(x, "uid long, text string") for x in (first, other)]
+    assert index.add(batches[0], batches[0]).count() > 0
+    assert index.add(batches[1], batches[0].unionByName(batches[1])).count() == 0
+    assert compared[0] > 0 and compared[1] == 0
+    index.close()
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
