@@ -83,7 +83,7 @@ def test_empty_table(spark, none, sf_dir):
 
 def test_registry():
     names = list(entry.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(entry.oracle_sql()) <= set(names)
 
 
