@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import cli
@@ -19,7 +19,7 @@ from ..errors import GraphEngineError
 from ..graph import Graph
 from ..operators.program import RunConfig
 from ..operators.superstep import checkpoint_dir, run
-from ..sources.text_format import graph_text, load_graph, parse_graph
+from ..sources.text_format import graph_lines, graph_text, load_graph, parse_graph
 from . import pagerank
 from .queries import _LEAST, _MOST, _labelled, _query, _ranks, _search
 from .registry import PAGERANK
@@ -54,15 +54,41 @@ def _file(spark: SparkSession, text: str) -> Iterator[str]:
         fs.delete(p, False)
 
 
+@contextmanager
+def _folder(spark: SparkSession, lines: DataFrame) -> Iterator[str]:
+    """Files in the shared folder that hold the lines (no, value) in order, as a path with a scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    lines.orderBy("no").select("value").write.text(path.toString())
+    try:
+        yield fs.makeQualified(path).toString().replace("file:/", "file:///", 1) if fs.getScheme() == "file" else fs.makeQualified(path).toString()
+    finally:
+        fs.delete(path, True)
+
+
 def _rows(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> list[tuple]:
-    """The file format is read by the driver in one piece, so its lines are made there too."""
+    """Rows of a small table, in order."""
     return [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns).orderBy(columns[0]).collect()]
 
 
 def _listed(graph: Graph) -> DataFrame:
-    """list_no, src, dst, weight: the arcs in list order."""
-    number = F.row_number().over(Window.orderBy("pos")) - 1
-    return graph.edges.select(number.cast("long").alias("list_no"), "src", "dst", "weight")
+    """list_no, src, dst, weight: the arcs in list order.
+
+    Numbers begin anew in each range of places; the ranges' sizes, a row each, tell where.
+    """
+    spark = graph.spark
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = graph.edges.repartitionByRange(parts, "pos").sortWithinPartitions("pos")
+    ranges = ranges.select(F.monotonically_increasing_id().alias("at"), "src", "dst", "weight").checkpoint()
+    part, first, total = F.shiftright("at", 33), [], 0
+    for r in ranges.groupBy(part.alias("part")).count().orderBy("part").collect():
+        first.append((r.part, total))
+        total += r["count"]
+    starts = F.broadcast(spark.createDataFrame(first, "part long, first long"))
+    number = F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranges.withColumn("part", part).join(starts, "part").select(number.alias("list_no"), "src", "dst", "weight")
 
 
 def _world(spark: SparkSession, sf_dir: str) -> tuple[int, list[tuple[int, int]]]:
@@ -83,8 +109,10 @@ _BOTH = _WORLD + ", e AS (SELECT src, dst, 1 weight FROM half UNION ALL SELECT d
 SELECT (SELECT count(*) FROM f) - i AS list_no, src, dst, weight FROM f""")
 def text_weighted_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weighted, directed file with parallel arcs: its arcs are listed from the last line to the first."""
-    orders = [(c, c % 97, k % 1000 + 1) for k, c in _rows(spark, sf_dir, "orders", "o_orderkey", "o_custkey")]
-    with _file(spark, graph_text(max(max(a, b) for a, b, _ in orders) + 1, orders, weighted=True)) as path:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    arcs = orders.select(F.col("o_orderkey").alias("no"), F.col("o_custkey").alias("src"), (F.col("o_custkey") % 97).alias("dst"), (F.col("o_orderkey") % 1000 + 1).alias("weight"))
+    n = arcs.agg(F.max(F.greatest("src", "dst"))).first()[0] + 1
+    with _folder(spark, graph_lines(n, arcs, weighted=True)) as path:
         return _listed(load_graph(spark, path))
 
 
@@ -95,9 +123,12 @@ SELECT row_number() OVER (ORDER BY half, p) - 1 AS list_no, src, dst, 1::BIGINT
 def text_undirected_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An undirected file with CRLF, blank lines, odd spaces: reverses come after all arcs."""
     n, arcs = _world(spark, sf_dir)
-    arcs += [(n + k, up + min(a for a, _ in arcs)) for k, up in _rows(spark, sf_dir, "customer", "c_custkey", "c_nationkey")]
-    text = graph_text(max(a for a, _ in arcs) + 1, arcs, undirected=True).replace(" ", " \t ").replace("\n", " \r\n \r\n")
-    with _file(spark, text) as path:
+    first = spark.createDataFrame([(i - len(arcs), *a) for i, a in enumerate(arcs)], "no long, src long, dst long")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    arcs = first.unionByName(customer.select(F.col("c_custkey").alias("no"), (F.col("c_custkey") + n).alias("src"), (F.col("c_nationkey") + min(a for a, _ in arcs)).alias("dst")))
+    odd = F.replace(F.replace("value", F.lit(" "), F.lit(" \t ")), F.lit("\n"), F.lit(" \r\n \r\n"))
+    lines = graph_lines(arcs.agg(F.max("src")).first()[0] + 1, arcs, undirected=True).select("no", F.concat(odd, F.lit(" \r\n \r")).alias("value"))
+    with _folder(spark, lines) as path:
         return _listed(load_graph(spark, path))
 
 

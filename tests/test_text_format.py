@@ -121,3 +121,60 @@ def test_tables(spark):
     for role, source, target in (("SOURCE", 4, None), ("TARGET", 0, 9), ("SOURCE", -1, 9)):
         with pytest.raises(RunNodeOutOfRange, match=role):
             g.check_run_nodes(source, target)
+
+
+BLOCKY = "NODES 9\n\nWEIGHTED\nEDGES\n" + "".join(f"{i % 7}\t {i % 5} \x0b {i + 1} \r\n" for i in range(40)) + "UNDIRECTED\nEDGES\n8 8 3\n"
+
+
+def read(spark, folder, text):
+    file = folder / "graph.txt"
+    file.write_bytes(text.encode())
+    return load_graph(spark, f"file://{file}")
+
+
+def test_files_are_read_in_blocks(spark, tmp_path, monkeypatch):
+    """Lines of a file that Spark reads are parsed where they lie: arcs, order and weights are the driver's."""
+    want = parse_graph(spark, BLOCKY)
+    monkeypatch.setattr("sparkloom.sources.text_format.parse_lines", None)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        g = read(spark, tmp_path, BLOCKY)
+        assert g.n == want.n == 9
+        assert [tuple(r) for r in g.edges.orderBy("pos").select("src", "dst", "weight").collect()] == [tuple(r) for r in want.edges.orderBy("pos").select("src", "dst", "weight").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "EDGES\n0 1\n",
+        "NODES 2\nEDGES\n",
+        "NODES 0\n0 1\n",
+        "0 1\nNODES 0\n",
+        "NODES 2\n# note  here\nEDGES\n0 1\n",
+        "NODES 2\nEDGES\n0 1\nUNDIRECTED\n1  0\nEDGES\n",
+        "NODES 2\nEDGES\n0 1\n0 1 5\nWEIGHTED\nEDGES\n",
+        "NODES 2\nWEIGHTED\nEDGES\n0 1 3\n0 1\n0 1 0\n",
+        "NODES 2\nWEIGHTED\nEDGES\n0 1 9223372036854775808\n",
+        "NODES 2\nEDGES\n-1 1\n0 y\n",
+        "NODES 2\nEDGES\n9 0\n0 7\n0 1\n",
+        "\n \n",
+    ],
+)
+def test_files_in_blocks_have_the_same_faults(spark, tmp_path, text):
+    with pytest.raises(ParseError) as want:
+        parse_graph(spark, text)
+    with pytest.raises(ParseError) as got:
+        read(spark, tmp_path, text)
+    assert str(got.value) == str(want.value)
+
+
+def test_text_queries_bring_no_lines_to_the_driver(spark, tmp_path, monkeypatch):
+    from sparkloom.plans.queries import QUERIES
+
+    monkeypatch.setattr("sparkloom.sources.text_format.parse_lines", None)
+    spark.range(200).selectExpr("id * 3 AS o_orderkey", "id % 11 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = QUERIES["text_weighted_arcs"](spark, str(tmp_path)).orderBy("list_no").collect()
+    assert [tuple(r) for r in rows] == [(199 - i, i % 11, i % 11 % 97, i * 3 % 1000 + 1) for i in reversed(range(200))]
