@@ -28,12 +28,16 @@ class Graph:
     spark: SparkSession
     n: int
     edges: DataFrame
+    simple: bool = False  # known to have no parallel arcs
     _memo: dict = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
-    def from_edges(cls, edges: DataFrame, n: int, undirected: bool = False) -> Graph:
+    def from_edges(cls, edges: DataFrame, n: int, undirected: bool = False, simple: bool = False) -> Graph:
         """A validated graph from src, dst and, optionally, weight (else 1) and pos.
 
+        ``simple`` says that no two rows have the same ends, whichever way, and none is a loop:
+        then nothing has to be grouped.
+
         Without pos, arcs have no order: among parallel arcs, whichever way they were given,
         the lightest counts for shortest paths.  One scan checks ids and weights.
         """
@@ -45,7 +49,9 @@ class Graph:
         pos = F.col("pos").cast("long") if listed else F.bitwise_not(weight)  # falls as the weight rises; the negative may overflow
         e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"), place(pos))
         check_edges(e, n)
-        return cls(spark, n, symmetrize(e, listed) if undirected else e)
+        if not undirected:
+            return cls(spark, n, e, simple)
+        return cls(spark, n, both_ways(e, listed) if simple else symmetrize(e, listed), simple)
 
     def vertices(self) -> DataFrame:
         return self.spark.range(self.n)
@@ -61,7 +67,16 @@ class Graph:
 
     def effective_weights(self) -> DataFrame:
         """src, dst, weight: of parallel arcs, the weight of the last in list order."""
-        return self.edges.groupBy("src", "dst").agg(F.max_by("weight", "pos").alias("weight"))
+        if self.simple:
+            return self.edges.select("src", "dst", "weight")
+        return self.edges.groupBy("src", "dst").agg(_last_weight().alias("weight"))
+
+    def arcs_of_effective_weight(self) -> DataFrame:
+        """src, dst, weight of all arcs, each with its effective weight."""
+        if self.simple:
+            return self.edges.select("src", "dst", "weight")
+        grouped = self.edges.groupBy("src", "dst").agg(_last_weight().alias("weight"), F.count(F.lit(1)).cast("int").alias("_n"))
+        return grouped.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
     def adjacency(self) -> DataFrame:
         """id, neighbors (array of dst, weight in list order) of every vertex."""
@@ -113,11 +128,35 @@ def check_edges(edges: DataFrame, n: int) -> None:
         raise EndpointOutOfRange(e.fault, e.src if e.fault == "from" else e.dst, n)
 
 
+def _last_weight() -> Column:
+    """Of parallel arcs, the weight of the last in list order; numbers only, so that no rows are sorted."""
+    reverse, given = (F.expr(f"max_by(weight, pos.no) FILTER (WHERE pos.half = {half})") for half in (1, 0))
+    return F.coalesce(reverse, given)
+
+
+def both_ways(edges: DataFrame, listed: bool = True) -> DataFrame:
+    """Arcs and their reverses, where no two arcs join the same ends and none is a loop."""
+    turned = (F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), place(F.col("pos.no"), 1 if listed and a == "dst" else 0)) for a, b in (("src", "dst"), ("dst", "src")))
+    return edges.select("weight", F.explode(F.array(*turned)).alias("arc")).select("arc.src", "arc.dst", "weight", "arc.pos")
+
+
 def symmetrize(edges: DataFrame, listed: bool = True) -> DataFrame:
     """Arcs and their reverses, one of each (src, dst, weight), at its first place.
 
     Reverses come after all arcs, in the same order (half 1); loops have none.  If arcs aren't
     ``listed``, their place only ranks weights, so reverses go among the arcs (half 0).
+
+    Arcs of either way are grouped by their two ends, each row once, and turned afterwards.
     """
-    back = edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", place(F.col("pos.no"), 1 if listed else 0))
-    return edges.unionByName(back).groupBy("src", "dst", "weight").agg(F.min("pos").alias("pos"))
+    up = F.col("src") <= F.col("dst")
+    ends = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight"]
+    places = edges.select(*ends, F.when(up, F.col("pos.no")).alias("up"), F.when(~up, F.col("pos.no")).alias("down")).groupBy("src", "dst", "weight").agg(F.min("up").alias("up"), F.min("down").alias("down"))
+
+    def arc(src: str, dst: str, given: str, other: str) -> Column:
+        half = F.when(F.col(given).isNull(), 1).otherwise(0) if listed else F.lit(0)
+        no = F.coalesce(given, other) if listed else F.least(given, other)
+        return F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.struct(half.alias("half"), no.alias("no")).alias("pos"))
+
+    there, back = arc("src", "dst", "up", "down"), arc("dst", "src", "down", "up")
+    turned = F.explode(F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back)))
+    return places.select("weight", turned.alias("arc")).select("arc.src", "arc.dst", "weight", "arc.pos")

@@ -12,7 +12,10 @@ parts; after ``KEEP`` parts the base is written anew.
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +28,40 @@ MOST_BLOCKS = 4096
 KEEP = 16
 #: Rows (of some 50 bytes) that may be broadcast.
 FEW = 1 << 20
+#: Rows that a task should be dealt; beyond, there are more tasks than the session asks for.
+ROWS = 1_000_000
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; made and set only where one machine runs all."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
+        base = sc.getCheckpointDir()
+    return base
+
+
+@contextmanager
+def dealt(spark: SparkSession, rows: int) -> Iterator[int]:
+    """Shuffles inside have partitions of about ROWS rows, and at least as many as the session asks for."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), -(-rows // ROWS))))
+    try:
+        yield int(spark.conf.get(key))
+    finally:
+        spark.conf.set(key, before)
 
 
 class Folder:
     """A folder of one run, under the checkpoint folder."""
 
     def __init__(self, spark: SparkSession):
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
         self.spark = spark
         self.path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/run-{uuid.uuid4().hex}"
         self.made = 0
@@ -46,6 +77,12 @@ class Folder:
         self.made += 1
         return f"{self.path}/{name}-{self.made}"
 
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table of the folder, so that it is computed once."""
+        path = self.new(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
 
 def block_of(column: Column, n: int) -> Column:
     """Number of the block that an id lies in."""

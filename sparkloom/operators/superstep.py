@@ -24,7 +24,6 @@ parts, and its state meets each part; other arcs stay where their states are.
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from .program import RunConfig, Step, VertexProgram
-from .state_log import BlockArcs, Folder, StateLog, Trace
+from .state_log import BlockArcs, Folder, StateLog, Trace, checkpoint_dir, dealt  # noqa: F401
 
 #: Arcs of one vertex that may lie in one partition.
 HUB = 1_000_000
@@ -75,18 +74,6 @@ class Run:
         return self.graph.spark.createDataFrame(rows, SUPERSTEPS)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; made and set only where one machine runs all."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
-        base = sc.getCheckpointDir()
-    return base
-
-
 def forget(df: DataFrame) -> None:
     """Delete the files of a frame that ``checkpoint`` returned."""
     try:

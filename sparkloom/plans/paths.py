@@ -60,7 +60,7 @@ class BellmanFord(BFS):
     name = "BellmanFord"
 
     def edges(self, graph: Graph) -> DataFrame:
-        return graph.edges.select("src", "dst").join(graph.effective_weights(), ["src", "dst"]).withColumnRenamed("weight", "length")
+        return graph.arcs_of_effective_weight().withColumnRenamed("weight", "length")
 
 
 def distances(run: Run) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..operators.state_log import Folder, dealt
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +42,9 @@ def successions(spark: SparkSession, sf_dir: str) -> Graph:
     day = Window.partitionBy(F.to_date("o_orderdate")).orderBy("o_orderkey")
     weight = F.floor(F.abs(F.lead("o_totalprice").over(day) - F.col("o_totalprice")) / 1000) + 1
     arcs = orders.select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(day).alias("dst"), weight.alias("weight"), F.col("o_orderkey").alias("pos"))
-    return Graph.from_edges(arcs.filter("dst IS NOT NULL"), _top(_table(spark, sf_dir, "customer"), "c_custkey"))
+    with dealt(spark, orders.count()):
+        arcs = Folder(spark).kept(arcs.filter("dst IS NOT NULL"), "successions")
+    return Graph.from_edges(arcs, _top(_table(spark, sf_dir, "customer"), "c_custkey"))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:
@@ -49,8 +52,11 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     items = _table(spark, sf_dir, "lineitem")
     s = _top(_table(spark, sf_dir, "supplier"), "s_suppkey")
     p = _top(_table(spark, sf_dir, "part"), "p_partkey")
-    arcs = items.groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + s).alias("dst")).agg(F.min("l_quantity").cast("long").alias("weight"))
-    return Graph.from_edges(arcs, s + p, undirected=True)
+    lines = items.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + s).alias("dst"), "l_quantity")
+    with dealt(spark, items.count()) as parts:
+        # hardly a pair repeats, so grouping before the shuffle would only fill memory
+        arcs = Folder(spark).kept(lines.repartition(parts, "src", "dst").groupBy("src", "dst").agg(F.min("l_quantity").cast("long").alias("weight")), "trade")
+    return Graph.from_edges(arcs, s + p, undirected=True, simple=True)
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> Graph:

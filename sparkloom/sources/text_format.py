@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ..errors import EndpointOutOfRange, LoadError, ParseError
 from ..graph import EDGE_COLUMNS, Graph, place, symmetrize
 from ..operators.state_log import Folder
-from ..operators.superstep import checkpoint_dir
 
 _SCHEMA = "src long, dst long, weight long, no long"
 _INT = re.compile(r"-?[0-9]{1,19}")
@@ -148,15 +147,11 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", rf"\A{_SPACES}|{_SPACES}\z", "").alias("line"))
     found = found.withColumn("token", F.split("line", _SPACES)).select("*", *(c.alias(k) for k, c in number.items()), F.size("token").alias("size"))
     arc = F.col("size").isin(2, 3) & (F.col("a") >= 0) & (F.col("b") >= 0) & ((F.col("size") == 2) | (F.coalesce("w", F.lit(0)) >= 1))
-    table, kept = Folder(spark).new("lines"), found.select("block", "at", "line", F.when(arc, F.col("a")).alias("a"), "b", "w")
-    kept.write.parquet(table)
-    return spark.read.schema(kept.schema).parquet(table)
+    return Folder(spark).kept(found.select("block", "at", "line", F.when(arc, F.col("a")).alias("a"), "b", "w"), "lines")
 
 
 def _read_graph(spark: SparkSession, path: str) -> Graph:
     """The graph of a file, or of a folder's files in the order of their names.  Only directives come to the driver."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     lines = _parsed(spark, path)
     blocks = sorted((r.block.file, r.block.start) for r in lines.select("block").distinct().collect())
     if not blocks:
