@@ -26,10 +26,11 @@ class RunConfig:
 
 @dataclass
 class Step:
-    """What an update may refer to besides columns: n, and the totals of the previous step."""
+    """What an update may refer to besides columns: n, the totals of the previous step, and the number of arcs."""
 
     n: int
     totals: dict[str, float | int | None] = field(default_factory=dict)
+    arcs: int | None = None
 
 
 class VertexProgram:
@@ -67,6 +68,10 @@ class VertexProgram:
         """One row per vertex with messages: dst and inbox columns."""
         raise NotImplementedError
 
+    def gathered(self, outbox: DataFrame, states: DataFrame, step: Step) -> DataFrame:
+        """The same, for programs whose plan depends on the graph's size."""
+        return self.gather(outbox, states)
+
     def update(self, step: Step) -> dict[str, Column]:
         """New state columns, from state and inbox columns and active."""
         raise NotImplementedError

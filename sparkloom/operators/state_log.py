@@ -46,14 +46,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def dealt(spark: SparkSession, rows: int) -> Iterator[int]:
-    """Shuffles inside have partitions of about ROWS rows, and at least as many as the session asks for."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(int(before), -(-rows // ROWS))))
+    """Shuffles inside have partitions of about ROWS rows, and at least as many as the session asks for; more aren't put together again."""
+    key, join = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {k: spark.conf.get(k) for k in (key, join)}
+    parts = max(int(before[key]), -(-rows // ROWS))
+    if parts > int(before[key]):
+        spark.conf.set(key, str(parts))
+        spark.conf.set(join, "false")
     try:
         yield int(spark.conf.get(key))
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Folder:

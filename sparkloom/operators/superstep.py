@@ -95,9 +95,10 @@ class Arcs:
             found = states.filter(F.col("degree") > HUB).select(F.col("id").alias("src"), F.ceil(F.col("degree") / HUB).cast("int").alias("salts"))
             others = [c for c in edges.columns if c != "src"]
             salted = edges.join(found, "src").withColumn("salt", F.pmod(F.xxhash64(*others, F.monotonically_increasing_id()), F.col("salts")).cast("int"))
-            self.many = salted.repartition(parts, "src", "salt").persist(StorageLevel.DISK_ONLY)
+            self.many = salted.repartition(parts, "src", "salt").sortWithinPartitions("src", "salt").persist(StorageLevel.DISK_ONLY)
             edges = edges.join(found, "src", "left_anti")
-        self.few = edges.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
+        # sorted once, as every step's join wants them
+        self.few = edges.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
 
     def sent(self, emitting: DataFrame, message: dict) -> DataFrame:
         """src, dst and payload of every message of the emitting states."""
@@ -114,10 +115,6 @@ class Arcs:
                 df.unpersist()
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _trace(after: DataFrame, outbox: DataFrame | None, program: VertexProgram, step: Step, number: int) -> DataFrame:
     """step, kind_ord, kind, from_id, to_id, seq, distance, label, rank: updates, then messages.
 
@@ -209,17 +206,25 @@ class _Sparse:
 
 
 def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -> Run:
-    """Iterate until the cap, until nobody has messages, or until no state changes, checked in this order."""
-    spark, n = graph.spark, graph.n
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    """Iterate until the cap, until nobody has messages, or until no state changes, checked in this order.
+
+    Tasks are as many as the arcs and vertices ask for, so none grows with the graph.
+    """
     graph.check_run_nodes(config.source, config.target)
-    cap = program.max_steps(n) if config.max_steps is None else config.max_steps
-    parts, folder = _partitions(spark), Folder(spark)
+    folder = Folder(graph.spark)
     # read by the degrees and by what keeps the arcs near the states
-    edges = program.edges(graph).persist(StorageLevel.MEMORY_AND_DISK)
+    with dealt(graph.spark, graph.arc_count()):
+        edges = program.edges(graph).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = edges.count()
+    with dealt(graph.spark, max(rows, graph.n)) as parts:
+        return _run(graph, program, config, folder, edges, rows, parts)
+
+
+def _run(graph: Graph, program: VertexProgram, config: RunConfig, folder: Folder, edges: DataFrame, rows: int, parts: int) -> Run:
+    spark, n = graph.spark, graph.n
+    cap = program.max_steps(n) if config.max_steps is None else config.max_steps
     degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    step = Step(n)
+    step = Step(n, arcs=rows)
     base = spark.range(n).repartition(parts, "id").join(degrees, F.col("id") == F.col("src"), "left")
     base = base.select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
     states = base.select("id", "degree", *(c.alias(k) for k, c in program.init(config, step).items()))
@@ -261,7 +266,7 @@ def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -
         elif now is not dense and pending * SPARSE > 4 * n:
             dense.table, now = log.states(), dense
         outbox = now.outbox(program.message(step), pending)
-        joined = now.receive(program.gather(outbox, now.states()), pending, program.always_active)
+        joined = now.receive(program.gathered(outbox, now.states(), step), pending, program.always_active)
         new = program.update(step)
         after = joined.select("id", "degree", "active", *(F.col(k).alias(f"_{k}") for k in program.state), *(F.when(F.col("active"), c).otherwise(F.col(k)).alias(k) for k, c in new.items()))
         changed = F.lit(False)
@@ -282,7 +287,7 @@ def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -
         if not local:
             edges.unpersist()
         found = counted.get
-        step = Step(n, {k: found[k] for k in totals})
+        step = Step(n, {k: found[k] for k in totals}, rows)
         pending = found["_along"]
         logs.append(StepLog(number, found["_active"], program.messages_sent(step, pending), found["_changed"]))
         if config.trace:

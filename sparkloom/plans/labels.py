@@ -39,16 +39,24 @@ class ConnectedComponents(LabelProgram):
         return {"label": F.least("label", "least")}
 
 
-def majority(votes: DataFrame, states: DataFrame) -> DataFrame:
-    """dst, best (struct c, o): most votes first, then the smallest label (o is its negative).
+def majority(votes: DataFrame, states: DataFrame, n: int, most: int) -> DataFrame:
+    """dst, best (struct c, o): most votes first, then the smallest label (o is its negative); labels are below n, votes ``most`` at most.
 
     Votes are counted per (vertex, label) before they meet at the vertex, so a vertex with
-    many neighbours gathers one row per label and task, not one per neighbour.
+    many neighbours gathers one row per label and task, not one per neighbour.  Everybody's own
+    vote is one more row; a vertex that has no other gets no row.  Count and label fit in one
+    number as a rule, so nothing has to be sorted to find the best.
     """
-    counts = votes.groupBy("dst", "label").agg(F.count(F.lit(1)).alias("c"))
-    own = states.select(F.col("id").alias("dst"), F.col("label").alias("own"))
-    counted = counts.join(own, "dst").withColumn("c", F.col("c") + (F.col("label") == F.col("own")).cast("long"))
-    return counted.groupBy("dst").agg(F.max(F.struct("c", (-F.col("label")).alias("o"))).alias("best"))
+    own = states.select(F.col("id").alias("dst"), "label")
+    counts = votes.select("dst", "label").unionByName(own).groupBy("dst", "label").agg(F.count(F.lit(1)).alias("c"))
+    bits = n.bit_length()
+    packed = bits + (most + 1).bit_length() <= 63
+    rank = F.shiftleft("c", bits) + (F.lit((1 << bits) - 1) - F.col("label")) if packed else F.struct("c", (-F.col("label")).alias("o"))
+    best = counts.groupBy("dst").agg(F.max(rank).alias("best"), F.sum("c").alias("votes")).filter("votes > 1")
+    if not packed:
+        return best.select("dst", "best")
+    o = F.col("best").bitwiseAND(F.lit((1 << bits) - 1)) - F.lit((1 << bits) - 1)
+    return best.select("dst", F.struct(F.shiftright("best", bits).alias("c"), o.alias("o")).alias("best"))
 
 
 class LabelPropagation(LabelProgram):
@@ -56,8 +64,8 @@ class LabelPropagation(LabelProgram):
 
     name = "LabelPropagation"
 
-    def gather(self, outbox: DataFrame, states: DataFrame) -> DataFrame:
-        return majority(outbox.select("dst", "label"), states)
+    def gathered(self, outbox: DataFrame, states: DataFrame, step: Step) -> DataFrame:
+        return majority(outbox, states, step.n, step.arcs)
 
     def update(self, step: Step) -> dict[str, Column]:
         own = F.struct(F.lit(1).cast("long").alias("c"), (-F.col("label")).alias("o"))
@@ -87,7 +95,7 @@ def unstable(graph: Graph, labelling: DataFrame) -> DataFrame:
     """id, label, wanted of vertices that would change if all in-neighbours voted once more."""
     lab = labelling.select("id", "label")
     votes = graph.edges.select("src", "dst").join(lab, F.col("id") == F.col("src")).select("dst", "label")
-    best = majority(votes, lab)
+    best = majority(votes, lab, graph.n, graph.arc_count())
     own = F.struct(F.lit(1).cast("long").alias("c"), (-F.col("label")).alias("o"))
     wanted = -F.greatest(F.col("best"), own)["o"]
     return lab.join(best, F.col("id") == F.col("dst")).select("id", "label", wanted.alias("wanted")).filter("label <> wanted")

@@ -7,6 +7,8 @@ from sparkloom.graph import Graph, symmetrize
 from sparkloom.operators import state_log
 from sparkloom.operators.program import RunConfig
 from sparkloom.operators.superstep import run
+from sparkloom.plans.labels import majority
+from sparkloom.plans.registry import LABEL_PROPAGATION
 from sparkloom.sources import tables
 
 
@@ -50,3 +52,29 @@ def test_symmetrize_groups_numbers_only(spark):
     assert {((r.src, r.dst, r.weight), tuple(r.pos)) for r in edges.collect()} == set(first.items())
     unlisted = symmetrize(Graph.from_edges(frame.drop("pos"), 5).edges, listed=False)
     assert {((r.src, r.dst, r.weight), tuple(r.pos)) for r in unlisted.collect()} == {(k, (0, ~k[2])) for k in first}
+
+
+def test_majority_counts_numbers_and_sorts_nothing(spark):
+    rng = random.Random(4)
+    own = {i: rng.randrange(6) for i in range(12)}
+    votes = [(rng.randrange(12), rng.randrange(10), rng.randrange(6)) for _ in range(70)]
+    states = spark.createDataFrame(list(own.items()), "id long, label long")
+    frame = spark.createDataFrame(votes, "src long, dst long, label long")
+    want = {}
+    for v in {d for _, d, _ in votes}:
+        all_votes = [x for _, d, x in votes if d == v] + [own[v]]
+        want[v] = max((all_votes.count(x), -x) for x in all_votes)
+    for most, sorts in ((70, False), ((1 << 63) - 2, True)):
+        best = majority(frame, states, 12, most)
+        assert {r.dst: tuple(r.best) for r in best.collect()} == want
+        assert ("SortAggregate" in plan(best)) == sorts and "Join" not in plan(best)
+
+
+def test_parts_of_a_run_follow_its_arcs(spark, monkeypatch):
+    monkeypatch.setattr(state_log, "ROWS", 20)
+    arcs = [(i, (i * 7 + 1) % 50, i % 5 + 1) for i in range(50)] * 4
+    g = Graph.from_edges(spark.createDataFrame(arcs, "src long, dst long, weight long"), 50)
+    done = run(g, LABEL_PROPAGATION.program, RunConfig(max_steps=2))
+    assert done.states.rdd.getNumPartitions() == 10
+    assert {r.id: r.label for r in done.states.collect()} == model(50, arcs, "lp", cap=2)[0]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
