@@ -8,7 +8,7 @@ from sparkloom.operators import state_log
 from sparkloom.operators.program import RunConfig
 from sparkloom.operators.superstep import run
 from sparkloom.plans.labels import majority
-from sparkloom.plans.registry import LABEL_PROPAGATION
+from sparkloom.plans.registry import BELLMAN_FORD, LABEL_PROPAGATION
 from sparkloom.sources import tables
 
 
@@ -78,3 +78,16 @@ def test_parts_of_a_run_follow_its_arcs(spark, monkeypatch):
     assert done.states.rdd.getNumPartitions() == 10
     assert {r.id: r.label for r in done.states.collect()} == model(50, arcs, "lp", cap=2)[0]
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+
+
+def test_effective_weights_of_arcs_need_no_join(spark):
+    """Parallel arcs all get the last one's weight; simple graphs are only read."""
+    rng = random.Random(6)
+    arcs = [(rng.randrange(5), rng.randrange(5), rng.randint(1, 9), i) for i in range(60)]
+    g = Graph.from_edges(spark.createDataFrame(arcs, "src long, dst long, weight long, pos long"), 5)
+    last = {(a, b): w for a, b, w, _ in arcs}
+    found = BELLMAN_FORD.program.edges(g)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((a, b, last[a, b]) for a, b, _, _ in arcs)
+    assert "Join" not in plan(found) and "SortAggregate" not in plan(found)
+    simple = Graph.from_edges(spark.range(4).selectExpr("id AS src", "id + 1 AS dst", "id + 1 AS weight"), 5, undirected=True, simple=True)
+    assert "Exchange" not in plan(BELLMAN_FORD.program.edges(simple)) and BELLMAN_FORD.program.edges(simple).count() == 8
