@@ -28,6 +28,10 @@ class BFS(VertexProgram):
     def edges(self, graph: Graph) -> DataFrame:
         return graph.edges.select("src", "dst", F.lit(1).cast("long").alias("length"))
 
+    def lengths(self, graph: Graph) -> DataFrame:
+        """src, dst, length: of parallel arcs one, which is enough for distances."""
+        return self.edges(graph).distinct()
+
     def init(self, cfg: RunConfig, step: Step) -> dict[str, Column]:
         if cfg.source is None:
             raise MissingSource
@@ -62,6 +66,9 @@ class BellmanFord(BFS):
     def edges(self, graph: Graph) -> DataFrame:
         return graph.arcs_of_effective_weight().withColumnRenamed("weight", "length")
 
+    def lengths(self, graph: Graph) -> DataFrame:
+        return graph.effective_weights().withColumnRenamed("weight", "length")
+
 
 def distances(run: Run) -> DataFrame:
     """id, distance, predecessor of every vertex."""

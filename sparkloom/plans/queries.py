@@ -14,7 +14,7 @@ from ..graph import Graph, invalid_edges
 from ..operators.program import RunConfig
 from ..operators.superstep import Run, run
 from ..sources import tables
-from . import capacity, labels, pagerank, paths, shortcut
+from . import blocks, capacity, labels, pagerank, paths, shortcut
 from .registry import BELLMAN_FORD, BFS, COMPONENTS, LABEL_PROPAGATION, PAGERANK, Algorithm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,7 +96,7 @@ def graph_range_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_search(_SUCCESSIONS, 1, "1") + " SELECT v AS id, d AS distance, p AS predecessor FROM t")
 def bfs_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.distances(_run(tables.successions(spark, sf_dir), BFS, source=1, target=1))
+    return blocks.distances(tables.successions(spark, sf_dir), BFS.program, 1)
 
 
 def _path_sql(search: str, target: str) -> str:
@@ -113,7 +113,7 @@ def _shown_path(df: DataFrame) -> DataFrame:
 @_query(_path_sql(_search(_SUCCESSIONS, 1, "1"), "(SELECT max(c_custkey) FROM customer)"))
 def bfs_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.successions(spark, sf_dir)
-    return _shown_path(paths.path_result(_run(g, BFS, source=1, target=g.n - 1)))
+    return _shown_path(paths.path_to(blocks.distances(g, BFS.program, 1), g.n - 1))
 
 
 @_query(_search(_TRADE, 1, "e.weight") + " SELECT v AS id, d AS distance, p AS predecessor FROM t")
@@ -124,7 +124,7 @@ def sssp_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_search(_SUCCESSIONS.replace("e AS (", "x AS (", 1) + ", e AS (SELECT src, dst, arg_max(weight, pos) weight FROM x GROUP BY src, dst)", 1, "e.weight") + " SELECT v AS id, d AS distance, p AS predecessor FROM t")
 def sssp_parallel_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of parallel arcs, the last in list order tells the weight."""
-    return paths.distances(_run(tables.successions(spark, sf_dir), BELLMAN_FORD, source=1, target=1))
+    return blocks.distances(tables.successions(spark, sf_dir), BELLMAN_FORD.program, 1)
 
 
 @_query(_path_sql(_search(_TRADE, 1, "e.weight"), "(SELECT max(p_partkey) + (SELECT s FROM tops) FROM part)"))
