@@ -1,7 +1,7 @@
 """Files of a run in the shared folder: blocks of states and arcs, a log of changed states, a trace.
 
-Vertices are cut into blocks of ``BLOCK`` consecutive ids.  States and arcs lie in one
-folder per block, so a join with a few ids reads the folders of those ids only: the ids
+Vertices are cut into blocks of ``BLOCK`` consecutive ids, for arcs of as many ids as have
+about so many arcs.  States and arcs lie in one folder per block, so a join with a few ids reads the folders of those ids only: the ids
 are broadcast, and Spark's dynamic partition pruning drops the other folders.
 
 A step of few messages writes only the states of vertices that it changed or that speak, as one
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-#: Vertices in a block, more where that would make over ``MOST_BLOCKS``.
+#: Vertices in a block of states, and arcs in a block of arcs on average; more where that would make over ``MOST_BLOCKS``.
 BLOCK = 1 << 16
 MOST_BLOCKS = 4096
 #: Parts of the log until the base is written anew.
@@ -88,18 +88,18 @@ class Folder:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def block_of(column: Column, n: int) -> Column:
-    """Number of the block that an id lies in."""
-    return F.floor(column / F.lit(max(BLOCK, -(-n // MOST_BLOCKS)))).cast("int")
+def block_of(column: Column, n: int, arcs: int = 0) -> Column:
+    """Number of the block that an id lies in: of states, or of so many arcs."""
+    return F.floor(column / F.lit(max(BLOCK * n // max(n, arcs), -(-n // MOST_BLOCKS), 1))).cast("int")
 
 
-def in_blocks(df: DataFrame, path: str, n: int, *keys: str) -> DataFrame:
+def in_blocks(df: DataFrame, path: str, n: int, *keys: str, arcs: int = 0) -> DataFrame:
     """``df`` written by the block of its first key, sorted by the keys, and read again (with column block).
 
     Written by ranges of all keys, so a vertex with many rows is dealt out.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = df.withColumn("block", block_of(F.col(keys[0]), n))
+    marked = df.withColumn("block", block_of(F.col(keys[0]), n, arcs))
     marked.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.partitionBy("block").parquet(path)
     schema = marked.schema
     return df.sparkSession.read.schema(schema).parquet(path)
@@ -111,16 +111,16 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 
 
 class BlockArcs:
-    """The arcs in blocks of their sources."""
+    """The arcs in blocks of their sources: the more arcs (``rows``) a vertex has, the fewer vertices, so that a step doesn't read many arcs for one."""
 
-    def __init__(self, folder: Folder, edges: DataFrame, n: int):
-        self.n = n
-        self.arcs = in_blocks(edges, folder.new("arcs"), n, "src", "dst").withColumnRenamed("block", "_block")
+    def __init__(self, folder: Folder, edges: DataFrame, n: int, rows: int = 0):
+        self.n, self.rows = n, rows
+        self.arcs = in_blocks(edges, folder.new("arcs"), n, "src", "dst", arcs=rows).withColumnRenamed("block", "_block")
 
     def sent(self, emitting: DataFrame, message: dict, rows: int) -> DataFrame:
         """src, dst and payload of the messages of emitting states, at most ``rows`` of which have arcs."""
         # DPP asks for a filter on the side that prunes; states without arcs send nothing
-        speaking = few(emitting.filter("degree > 0").withColumn("_at", block_of(F.col("id"), self.n)), rows)
+        speaking = few(emitting.filter("degree > 0").withColumn("_at", block_of(F.col("id"), self.n, self.rows)), rows)
         columns = ["src", "dst", *(c.alias(k) for k, c in message.items())]
         return self.arcs.join(speaking, (F.col("_block") == F.col("_at")) & (F.col("src") == F.col("id"))).select(*columns)
 

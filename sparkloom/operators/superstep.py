@@ -214,7 +214,9 @@ def run(graph: Graph, program: VertexProgram, config: RunConfig = RunConfig()) -
     folder = Folder(graph.spark)
     # read by the degrees and by what keeps the arcs near the states
     with dealt(graph.spark, graph.arc_count()):
-        edges = program.edges(graph).persist(StorageLevel.MEMORY_AND_DISK)
+        edges = program.edges(graph)
+        if not graph.simple:  # else they are as near as a copy would be
+            edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
         rows = edges.count()
     with dealt(graph.spark, max(rows, graph.n)) as parts:
         return _run(graph, program, config, folder, edges, rows, parts)
@@ -258,7 +260,7 @@ def _run(graph: Graph, program: VertexProgram, config: RunConfig, folder: Folder
         if not pending and not program.always_active:
             break
         if local and now is dense and pending * SPARSE <= n:
-            blocks = blocks or BlockArcs(folder, edges, n)
+            blocks = blocks or BlockArcs(folder, edges, n, rows)
             if number:
                 log = StateLog.write(folder, dense.states(), n)
                 dense.forget()
